@@ -71,7 +71,7 @@ class Batches:
 
     def __init__(self, df: DataFrame, text: str = "text", chars: int = BATCH_CHARS, deal_by=None):
         self.spark = df.sparkSession
-        total = df.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+        total = df.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]  # characters, or bytes of binary texts
         least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.chars, self.n = total, max(1, least, -(-total // chars))
         self.name = f"corvane_batches_{uuid.uuid4().hex}"

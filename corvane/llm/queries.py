@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontam, exact_dedup, jaccard, langid, lm, secrets
+from corvane.llm import bpe, decontam, exact_dedup, jaccard, langid, lm, pfp, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda found: found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return pfp.repeated_bytes(table(spark, sf_dir, "documents"), result=digest)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = langid.fit(docs.where(remainder(4) != 2))
@@ -81,6 +86,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontamination": op5_decontamination,
+    "op6_repeated_bytes": op6_repeated_bytes,
     "op8_language_id": op8_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
