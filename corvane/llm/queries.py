@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontam, exact_dedup, jaccard, langid, lm, pfp, secrets
+from corvane.llm import bpe, decontam, exact_dedup, jaccard, langid, licenses, lines, lm, pfp, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,12 @@ def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfp.repeated_bytes(table(spark, sf_dir, "documents"), result=digest)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicate_lines(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0), lambda total, x: total + x[1] - x[0]).cast("long")
+    return found.select("doc_id", "n_lines", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = langid.fit(docs.where(remainder(4) != 2))
@@ -76,6 +82,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", (remainder(4) == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.margin").alias("margin"), F.col("language.rejected").alias("rejected"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), F.col("doc_id").cast("string"))
+    found = licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+    return found.select("doc_id", "path", "own_license", F.round("own_score", 6).alias("own_score"), "license", "inherited_from")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -87,11 +100,23 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontamination": op5_decontamination,
     "op6_repeated_bytes": op6_repeated_bytes,
+    "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+             p AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM l),
+             f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, pos) > 1 AS later FROM p WHERE nxt IS NOT NULL),
+             c AS (SELECT DISTINCT doc_id, pos + k AS pos FROM (SELECT doc_id, pos, unnest([0, 1]) AS k FROM f WHERE later)),
+             g AS (SELECT l.doc_id, l.pos, l.line, c.pos IS NOT NULL AS gone, coalesce(lag(c.pos IS NOT NULL) OVER (PARTITION BY l.doc_id ORDER BY l.pos), false) AS prior
+                   FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.pos = c.pos)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT prior) AS n_runs,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM g GROUP BY doc_id""",
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
              g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
