@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,14 @@ ROWS_AT_ONCE = 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep what one Python worker holds at once to a few MB of ordinary texts."""
+    """Keep what one Python worker holds at once to a few MB of ordinary texts, and send workers this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+    context = spark.sparkContext
+    if not getattr(context, "corvane_sent", False):
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="corvane-code-")
+        context.addPyFile(shutil.make_archive(f"{folder}/corvane_code", "zip", package.parent, package.name))
+        context.corvane_sent = True
 
 
 def shared_dir(spark: SparkSession) -> str:
