@@ -6,15 +6,21 @@ documents link when their sets' Jaccard similarity is at least ``PERCENT`` / 100
 1. Blocks: the corpus is dealt into batches and n-gram columns into parts; each part adds up
    how many documents have a column and replies to the batches (``exchange``).
 2. Bounds: with set size n, a partner shares ceil(n * PERCENT / 100) columns or more, so it
-   shares one of the n - that + 1 rarest. Of these, columns that one document has can't give
-   a pair. What is left of most documents is nothing. Sizes alone rule out further pairs.
+   shares one of the n - that + 1 rarest. If the rarest shared column is number j of n, at
+   most n - j columns are shared, which bounds the partner's size (the column's ``reach``).
+   Columns that one document has give no pair, and entries whose reach is below every size in
+   their column go. What is left of most documents is nothing.
 3. Equal sets are collapsed to one representative.
 4. Product: in each column every document meets the column's hub, the document with the
    smallest share of columns of its own. Overlaps of the pairs that meet are counted over all
    shared columns, and those that reach the threshold are links. A large group of near copies
    costs one pair a member instead of all pairs.
-5. Documents that share a column but are not in one component after that meet one by one, so
-   no link between two components is missed: the components are those of all pairs.
+5. Two documents that share a column and aren't in one component now: one of them, y, failed
+   against the column's hub h, which both have met. The bound of step 2 holds for any order of
+   columns; with the columns that h doesn't have first, y and a partner share one of the first
+   n - ceil(n * PERCENT / 100) + 1 of each, within reach. Those columns are mostly y's own.
+   The pairs that still meet there, not in one component, are tested one by one. So no link
+   between two components is missed, and the components are those of all pairs.
 
 Columns are 64-bit hashes of lower-cased words, and set sizes and overlaps are counted over
 them; see ``words`` for the odds of a clash. Null texts and texts without words: size 0,
@@ -89,7 +95,8 @@ def document_rows(docs: DataFrame, n: int, percent: int, text: str, doc_id: str)
             rows["set_2"].append(int(mix(own ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64).astype(np.int64)) if some else None)
             rows["own"].append(float((f == 1).mean()) if some else None)
             rows["prefix"].append(prefix.astype(np.int64) if some else None)
-            rows["shared"].append(own[f > 1].astype(np.int64) if some else None)
+            order = np.argsort(f, kind="stable")
+            rows["shared"].append(own[order][f[order] > 1].astype(np.int64) if some else None)
         return pa.table(rows, schema=_ROWS)
 
     replies = totals(corpus.each(send, FORWARD)).select("b", "part", "totals").where("b >= 0")
@@ -98,18 +105,32 @@ def document_rows(docs: DataFrame, n: int, percent: int, text: str, doc_id: str)
     return rows
 
 
-def sized(percent: int):
-    """Whether the sizes n_a and n_b allow a link."""
-    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+def entries(rows: DataFrame, columns: str, percent: int) -> DataFrame:
+    """``rows`` with a row for each of its ``columns`` (key), and the largest partner that may have it as rarest shared column (reach)."""
+    each = rows.select("*", F.posexplode(columns).alias("at", "key")).drop(columns)
+    left = F.col("n") - F.col("alone") - F.col("at")  # columns from this one on
+    return each.withColumn("reach", F.floor(left * (100 + percent) / percent) - F.col("n")).drop("at", "alone")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets overlap enough."""
+def worth_it(columns: DataFrame) -> DataFrame:
+    """The entries that can pair with any other of their column."""
+    sizes = columns.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("m > 1").select((F.col("key") + 0).alias("same"), "least")  # dealt anew
+    return columns.join(sizes.hint("merge"), F.col("key") == F.col("same")).where("reach >= least").drop("same", "least")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with whether they link, and b's rarest columns in the order of a's absence."""
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("s_b"))
     met = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    return met.select("a", "b", both.alias("overlap"), "n_a", "n_b").where(F.col("overlap") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * percent).select("a", "b")
+    outside, inside = F.array_except("s_b", "s_a"), F.array_intersect("s_b", "s_a")  # in the order of s_b: by frequency
+    overlap = F.size(inside)
+    alone = F.col("n_b") - F.size("s_b")  # columns that only b has come first
+    first = F.col("n_b") - F.ceil(F.col("n_b") * percent / 100) + 1 - alone
+    room = F.greatest(first, F.lit(0)).cast("int")
+    return met.select(
+        "a", "b", F.col("n_b").alias("n"), alone.alias("alone"), (overlap * 100 >= (F.col("n_a") + F.col("n_b") - overlap) * percent).alias("linked"), F.slice(F.concat(outside, inside), F.lit(1), room).alias("rarest")
+    )
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -122,22 +143,22 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, text
     members = some.select("doc_id", "n", F.struct("set_1", "set_2").alias("set")).join(
         classes.select(F.struct("set_1", "set_2").alias("set"), F.col("first.doc_id").alias("rep")).hint("merge"), "set")
     reps = written(some.join(classes.select("first.row", F.col("first.doc_id").alias("rep")), "row").select("rep", "n", "own", "prefix", "shared"), "reps")
-    columns = reps.select(F.explode("prefix").alias("key"), "rep", "n", "own")
-
-    hubs = columns.groupBy("key").agg(F.min(F.struct("own", "rep", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    hubs = hubs.select((F.col("key") + 0).alias("at"), F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a"))
-    star = columns.withColumnsRenamed({"rep": "b", "n": "n_b"}).join(hubs.hint("merge"), F.col("key") == F.col("at")).where((F.col("a") != F.col("b")) & sized(percent))
-    tested = written(star.select("a", "b").distinct(), "pairs")
-    links = written(linked(tested, reps, percent), "links")
+    alone_n = (F.col("n") - F.size("shared")).alias("alone")
+    columns = written(worth_it(entries(reps.select("rep", "n", "own", alone_n, "prefix"), "prefix", percent)), "columns")
+
+    hubs = columns.groupBy("key").agg(F.min(F.struct("own", "rep")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    hubs = hubs.select((F.col("key") + 0).alias("at"), F.col("hub.rep").alias("a"))  # dealt anew
+    star = columns.select("key", F.col("rep").alias("b")).join(hubs.hint("merge"), F.col("key") == F.col("at")).where("a <> b")
+    tested = written(compared(star.select("a", "b").distinct(), reps, percent), "tested")
+    links = tested.where("linked").select("a", "b")
     labels = components(links)
 
-    named = columns.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select((F.col("key") + 0).alias("at"))
-    named = written(named.join(mixed.hint("merge"), F.col("key") == F.col("at"), "left_semi").select("key", "rep", "n", "label"), "named")
-    one, two = named.withColumnsRenamed({"rep": "a", "n": "n_a", "label": "l_a"}), named.withColumnsRenamed({"rep": "b", "n": "n_b", "label": "l_b", "key": "key_b"})
-    cross = one.join(two.hint("merge"), F.col("key") == F.col("key_b")).where((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & sized(percent)).select("a", "b").distinct()
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(linked(cross.join(known, ["a", "b"], "left_anti"), reps, percent), "links")
+    named = tested.join(labels.withColumnsRenamed({"node": "b", "label": "known"}), "b", "left").withColumn("label", F.coalesce("known", "b"))
+    named = written(entries(named.select("a", "b", "n", "alone", "linked", "label", "rarest"), "rarest", percent), "named")
+    failed = named.where(~F.col("linked")).select(F.col("a").alias("hub"), F.col("key").alias("same"), F.col("b").alias("y"), F.col("n").alias("n_y"), F.col("reach").alias("reach_y"), F.col("label").alias("other"))
+    met = (F.col("hub") == F.col("a")) & (F.col("same") == F.col("key")) & (F.col("other") != F.col("label")) & (F.col("n_y") <= F.col("reach")) & (F.col("n") <= F.col("reach_y"))
+    again = failed.join(named.hint("merge"), met).select(F.least("y", "b").alias("a"), F.greatest("y", "b").alias("b")).distinct()
+    more = written(compared(again, reps, percent).where("linked").select("a", "b"), "links")
     if more.take(1):
         labels = components(links.unionByName(more))
 
