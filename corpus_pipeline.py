@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: each stage reads what its predecessor wrote.
 
 Language ID drops texts without a recognised language; exact dedup keeps one of each set of
-equal texts; decontamination cuts benchmark passages, or drops a document that is mostly
+equal texts, and the Jaccard join one of each group of near copies; decontamination cuts benchmark passages, or drops a document that is mostly
 benchmark; byte-level BPE encodes what is left and decodes it again.
 """
 
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontam, exact_dedup, langid
+from corvane.llm import bpe, decontam, exact_dedup, jaccard, langid
 from corvane.llm.batches import shared_dir
 from corvane.llm.queries import table, vocabulary
 
@@ -28,6 +28,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of five-word Jaccard similarity 0.8 join: the one with the smallest doc_id."""
+    return jaccard.one_of_each(docs)
+
+
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -40,7 +45,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("raw") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
 
-STAGES = [("language_id", language), ("exact_dedup", exact), ("benchmark_decontamination", benchmark_free), ("byte_bpe", tokens)]
+STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_jaccard", near), ("benchmark_decontamination", benchmark_free), ("byte_bpe", tokens)]
 
 #: Compression sizes can't be had in SQL, so neither can the first stage.
 ORACLE_SQL = None
