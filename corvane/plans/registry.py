@@ -2,5 +2,487 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.functions import json_text
+from corvane.functions.cues import facts
+from corvane.functions.html import Gate, article_text
+from corvane.functions.relevance import relevance_score
+from corvane.functions.segment import passages, sentence_units
+from corvane.functions.text import dedup_key, exact_comparison_tokens, passage_terms, redacted, reject_reason, search_terms, without_fence
+from corvane.operators import explain, metrics, policy, quality, retrieval, review
+from corvane.plans.knowledge import knowledge
+from corvane.plans.messages import expected_sql, messages, text_sql
+from corvane.session import load
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLES[name] = sql
+        return function
+
+    return register
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test documents as a searchable corpus: language as category, first line as title, source as tag."""
+    docs = load(spark, sf_dir, "documents").repartition("doc_id")  # one row group a file: a scan is one task
+    return docs.select("doc_id", F.col("lang").alias("category"), F.substring_index("text", "\n", 1).alias("title"), F.array("source").alias("tags"), "text", "source")
+
+
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test documents as labelled rows: eight of ten to train, one each to validate and test."""
+    split = F.when(F.col("doc_id") % 10 < 8, "train").when(F.col("doc_id") % 10 == 8, "validation").otherwise("test")
+    return load(spark, sf_dir, "documents").repartition("doc_id").withColumn("split", split)
+
+
+SPLIT_SQL = "CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'validation' ELSE 'test' END"
+STOP_SQL = "['a','an','and','for','in','is','of','on','or','the','to']"
+GENERIC_SQL = "['email','internet','ios','iphone','message','network','phone','popup','safari','text','wifi']"
+PASSAGE_STOP_SQL = (
+    STOP_SQL[:-1] + ",'i','my','me','you','your','it','its','this','that','these','those','are','was','were','be','been','can','could','would','should','will','have','has','had','with',"
+    "'from','at','by','as','but','if','then','do','does','did','about','into','says','say','saying','now','s']"
+)
+
+
+def terms_sql(x: str) -> str:
+    plain = f"replace(replace(replace(replace(lower({x}), 'ß', 'ss'), 'wi-fi', 'wifi'), 'e-mail', 'email'), 'pop-up', 'popup')"
+    return f"list_filter(list_distinct(regexp_extract_all({plain}, '[a-z0-9]+')), lambda w: NOT list_contains({STOP_SQL}, w))"
+
+
+def bag_sql(x: str) -> str:
+    plain = f"replace(replace(replace(lower({x}), 'ß', 'ss'), 'wi-fi', 'wifi'), 'pop-up', 'popup')"
+    kept = f"list_filter(regexp_extract_all({plain}, '[a-z0-9]+'), lambda w: NOT list_contains({PASSAGE_STOP_SQL}, w))"
+    return f"list_transform({kept}, lambda w: CASE WHEN length(w) > 4 AND regexp_matches(w, '[^sui]s$') THEN w[:-2] ELSE w END)"
+
+
+CORPUS_SQL = "corpus AS (SELECT doc_id, lang AS category, split_part(text, chr(10), 1) AS title, source AS tag, text FROM documents)"
+
+
+def selection_sql(words: str, limit: int) -> str:
+    return f"""
+        q AS (SELECT item_id AS query_id, unnest({terms_sql(words)}) AS term FROM benchmark),
+        {CORPUS_SQL},
+        dt AS (SELECT doc_id, {terms_sql('title')} AS tt, {terms_sql('tag')} AS gt, {terms_sql('text')} AS bt FROM corpus),
+        dx AS (SELECT doc_id, tt, gt, bt, unnest(list_distinct(list_concat(list_concat(tt, gt), bt))) AS term FROM dt),
+        p AS (SELECT doc_id, term, 4 * list_contains(tt, term)::INT + 3 * list_contains(gt, term)::INT + list_contains(bt, term)::INT AS points,
+                     list_contains(tt, term) OR list_contains(gt, term) AS gate FROM dx),
+        s AS (SELECT query_id, doc_id, sum(points)::INT AS score, bool_or(gate AND NOT list_contains({GENERIC_SQL}, term)) AS seen
+              FROM q JOIN p USING (term) GROUP BY query_id, doc_id),
+        ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE seen AND score > 0),
+        found AS (SELECT * FROM ranked WHERE rank <= {limit})"""
+
+
+def asked(spark: SparkSession, sf_dir: str, expansion: bool = False) -> DataFrame:
+    parts = F.split("text", " ")
+    item = load(spark, sf_dir, "benchmark")
+    text = lambda a, n: F.array_join(F.slice(parts, a, n), " ")
+    return item.select(F.col("item_id").alias("query_id"), text(1, 8).alias("query"), text(9, 4).alias("expansion") if expansion else F.lit("").alias("expansion"), F.lit(None).cast("string").alias("category"))
+
+
+@query("keyword_search", f"WITH {selection_sql('array_to_string(string_split(text, chr(32))[1:8], chr(32))', 3)} SELECT query_id, doc_id, score, rank FROM found")
+def keyword_search(spark, sf_dir):
+    return retrieval.search_documents(asked(spark, sf_dir), documents(spark, sf_dir), 3)
+
+
+@query("bm25_search", f"""
+    WITH {selection_sql('array_to_string(string_split(text, chr(32))[1:12], chr(32))', 10)},
+    pas AS (SELECT doc_id, doc_id || ':' || (o - 1) || ':' || sha256(line)[1:10] AS passage_id, {bag_sql('line')} AS terms
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS o FROM corpus WHERE doc_id IN (SELECT doc_id FROM found))),
+    mine AS (SELECT query_id, f.doc_id, f.score AS doc_score, passage_id, terms, len(terms) AS length FROM found f JOIN pas USING (doc_id)),
+    stat AS (SELECT query_id, count(*) AS n, avg(length) AS average FROM mine GROUP BY query_id),
+    w AS (SELECT item_id AS query_id, unnest({bag_sql('array_to_string(string_split(text, chr(32))[1:8], chr(32))')}) AS term, 1.0::DOUBLE AS weight FROM benchmark
+          UNION ALL SELECT item_id, unnest({bag_sql('array_to_string(string_split(text, chr(32))[9:12], chr(32))')}), 0.2::DOUBLE FROM benchmark),
+    ww AS (SELECT query_id, term, max(weight) AS weight FROM w GROUP BY query_id, term),
+    tf AS (SELECT query_id, doc_id, doc_score, passage_id, length, term, count(*) AS tf FROM (SELECT query_id, doc_id, doc_score, passage_id, length, unnest(terms) AS term FROM mine) GROUP BY ALL),
+    hit AS (SELECT tf.*, weight FROM tf JOIN ww USING (query_id, term)),
+    df AS (SELECT query_id, term, count(*) AS df FROM hit GROUP BY query_id, term),
+    sc AS (SELECT query_id, doc_id, passage_id, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / average))) + 0.05 * doc_score, 6) AS score,
+                  bool_or(NOT list_contains({GENERIC_SQL}, term)) AS specific
+           FROM hit JOIN df USING (query_id, term) JOIN stat USING (query_id) GROUP BY query_id, doc_id, passage_id, doc_score),
+    cap AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, passage_id) AS k FROM sc WHERE specific),
+    fin AS (SELECT query_id, doc_id, passage_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id)::INT AS rank FROM cap WHERE k <= 2)
+    SELECT query_id, doc_id, passage_id, score, rank FROM fin WHERE rank <= 3""")
+def bm25_search(spark, sf_dir):
+    corpus = documents(spark, sf_dir)
+    lines = retrieval.passage_table(corpus, lambda text: F.split(text, "\n", -1))
+    return retrieval.search_passages(asked(spark, sf_dir, True), corpus, lines, any_platform_for=None)
+
+
+@query("term_counts", f"SELECT doc_id, len({terms_sql('text')})::BIGINT AS n_search_terms, len({bag_sql('text')})::BIGINT AS n_passage_terms FROM documents")
+def term_counts(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id", F.size(search_terms(F.col("text"))).cast("long").alias("n_search_terms"), F.size(passage_terms(F.col("text"))).cast("long").alias("n_passage_terms"))
+
+
+@query("chunk_documents")
+def chunk_documents(spark, sf_dir):
+    return retrieval.passage_table(documents(spark, sf_dir), passages(separator="\n"))
+
+
+@query("chunk_ids", """
+    SELECT doc_id, (o - 1)::INT AS ordinal, doc_id || ':' || (o - 1) || ':' || sha256(line)[1:10] AS passage_id
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS o FROM documents)""")
+def chunk_ids(spark, sf_dir):
+    return retrieval.passage_table(documents(spark, sf_dir), lambda text: F.split(text, "\n", -1)).drop("text")
+
+
+@query("chunk_stats")
+def chunk_stats(spark, sf_dir):
+    words = F.size(F.filter(F.split("text", r"(?U)\s+", -1), lambda w: w != ""))
+    return chunk_documents(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_passages"), F.max(words).alias("longest_words"))
+
+
+@query("sentence_unit_counts")
+def sentence_unit_counts(spark, sf_dir):
+    return chunk_documents(spark, sf_dir).select("passage_id", F.size(sentence_units("\n")(F.col("text"))).alias("n_units"))
+
+
+@query("input_validation", r"""
+    SELECT doc_id, CASE WHEN NOT regexp_matches(text, '\S') THEN 'blank' WHEN length(text) > 4000 THEN 'too_long' WHEN regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]') THEN 'control_characters' END AS reason
+    FROM documents""")
+def input_validation(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", reject_reason(F.col("text")).alias("reason"))
+
+
+@query("redact_documents", r"""
+    WITH a AS (SELECT doc_id, regexp_replace(text, 'https?://\S+|www\.\S+', 'https://source-link.example', 'g') AS t FROM documents),
+    b AS (SELECT doc_id, regexp_replace(t, '[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_.-]+\.[a-zA-Z]{2,}\b', '[EMAIL]', 'g') AS t FROM a),
+    c AS (SELECT doc_id, regexp_replace(t, '(^|[^0-9])0(?:[ ()-]*[0-9]){10}', '\1[PHONE]', 'g') AS t FROM b),
+    d AS (SELECT doc_id, regexp_replace(t, '(?i)\b0[0-9]+x+\b', '[PHONE]', 'g') AS t FROM c),
+    e AS (SELECT doc_id, regexp_replace(t, '[0-9]{5,}', '[NUMBER]', 'g') AS t FROM d),
+    f AS (SELECT doc_id, regexp_replace(t, '(?i)\b(?:po\s*box|pobox|box)\s*[0-9]+[\p{L}\p{N}_/]*', '[POSTBOX]', 'g') AS t FROM e),
+    g AS (SELECT doc_id, regexp_replace(t, '(?i)(^|[^\p{L}\p{N}_])[a-z]{1,2}[0-9][a-z0-9]?\s*[0-9][a-z]{2}($|[^\p{L}\p{N}_])', '\1[POSTCODE]\2', 'g') AS t FROM f)
+    SELECT doc_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS redacted FROM g""")
+def redact_documents(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", redacted(F.col("text"), entities=False).alias("redacted"))
+
+
+KEY_SQL = r"sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')))"
+
+
+@query("duplicate_inputs", f"""
+    WITH k AS (SELECT doc_id AS id, {KEY_SQL} AS key_hash FROM documents), g AS (SELECT key_hash, min(id) AS first_id, count(*) AS copies FROM k GROUP BY key_hash HAVING count(*) > 1)
+    SELECT id, key_hash, first_id, copies FROM k JOIN g USING (key_hash)""")
+def duplicate_inputs(spark, sf_dir):
+    return quality.duplicate_inputs(documents(spark, sf_dir), row_id="doc_id")
+
+
+@query("group_leakage", f"SELECT source AS group_id, count(DISTINCT {SPLIT_SQL}) AS n_splits, count(*) AS n_rows FROM documents GROUP BY source HAVING count(DISTINCT {SPLIT_SQL}) > 1")
+def group_leakage(spark, sf_dir):
+    return quality.group_leakage(examples(spark, sf_dir), "source")
+
+
+@query("unknown_references", """
+    SELECT DISTINCT doc_id AS id, reference FROM (SELECT doc_id, unnest([doc_id % 50, doc_id % 70]) AS reference FROM documents) WHERE reference NOT IN (SELECT item_id FROM benchmark)""")
+def unknown_references(spark, sf_dir):
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.array(F.col("doc_id") % 50, F.col("doc_id") % 70).alias("refs"))
+    return quality.unknown_references(rows, load(spark, sf_dir, "benchmark"), "doc_id", "refs", "item_id")
+
+
+@query("input_overlap", r"""
+    WITH k AS (SELECT DISTINCT trim(lower(line)) AS k FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))
+    SELECT conv_id * 1000 + turn AS id FROM conversations WHERE trim(replace(lower(text), 'ß', 'ss')) IN (SELECT replace(k, 'ß', 'ss') FROM k)""")
+def input_overlap(spark, sf_dir):
+    lines = documents(spark, sf_dir).select(F.explode(F.split("text", "\n", -1)).alias("text"))
+    turns = load(spark, sf_dir, "conversations").withColumn("turn_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return quality.input_overlap(turns, lines, "turn_id")
+
+
+PROMPT_SQL = "SELECT string_agg(text, chr(10) ORDER BY item_id) AS prompt FROM benchmark"
+
+
+@query("prompt_leakage", f"WITH p AS ({PROMPT_SQL}) SELECT doc_id AS id FROM documents, p WHERE contains(prompt, text) AND length(text) > 0")
+def prompt_leakage(spark, sf_dir):
+    items = load(spark, sf_dir, "benchmark")  # a prompt is a few kB: all examples in one text
+    prompt = items.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), "\n").alias("prompt"))
+    return quality.prompt_leakage(load(spark, sf_dir, "documents"), prompt, "doc_id")
+
+
+def near_rows(spark, sf_dir):
+    return examples(spark, sf_dir).select(F.col("doc_id").alias("id"), "split", (F.col("source") == "src0").alias("sourced"), "text")
+
+
+@query("near_duplicates")
+def near_duplicates(spark, sf_dir):
+    return quality.near_duplicates(near_rows(spark, sf_dir))
+
+
+@query("near_duplicate_candidates", rf"""
+    WITH t AS (SELECT doc_id AS id, {SPLIT_SQL} AS split, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+') AS w FROM documents),
+    n AS (SELECT id, split, len(w) AS n FROM t WHERE len(w) > 0),
+    c AS (SELECT id, token, count(*) AS c FROM (SELECT id, unnest(w) AS token FROM t) GROUP BY id, token),
+    o AS (SELECT x.id AS a, y.id AS b, sum(least(x.c, y.c))::BIGINT AS overlap FROM c x JOIN c y ON x.token = y.token AND x.id < y.id GROUP BY x.id, y.id)
+    SELECT a, b, overlap FROM o JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE p.split <> q.split AND 2 * overlap >= 0.75 * (p.n + q.n)""")
+def near_duplicate_candidates(spark, sf_dir):
+    tokens = F.regexp_extract_all(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss")), F.lit("[a-z0-9]+"), F.lit(0))
+    rows = near_rows(spark, sf_dir).select("id", "split", tokens.alias("tokens"))
+    return quality.bag_candidates(rows, 0.75).select("a", "b", "overlap")
+
+
+@query("comparison_token_counts")
+def comparison_token_counts(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.size(exact_comparison_tokens(F.col("text"))).alias("n_tokens"))
+
+
+@query("dataset_profile", " UNION ALL ".join(f"SELECT {SPLIT_SQL} AS split, '{d}' AS dimension, {d} AS value, count(*) AS count FROM documents GROUP BY 1, 3" for d in ("lang", "source")))
+def dataset_profile(spark, sf_dir):
+    return quality.profile(examples(spark, sf_dir), ["lang", "source"])
+
+
+@query("missing_values", f"""
+    SELECT split, value FROM (SELECT DISTINCT {SPLIT_SQL} AS split FROM documents), (SELECT unnest(['en', 'de', 'fr', 'es', 'it', 'nl']) AS value)
+    EXCEPT SELECT {SPLIT_SQL}, lang FROM documents""")
+def missing_values(spark, sf_dir):
+    return quality.missing_values(examples(spark, sf_dir), "lang", ["en", "de", "fr", "es", "it", "nl"])
+
+
+def labelled_cases(spark, sf_dir):
+    """labels against a simple predictor on the documents."""
+    names = lambda *flags: F.array_compact(F.array(*[F.when(c, n) for c, n in flags]))
+    both = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents"), "doc_id")
+    text = F.lower("text")
+    guess = F.when(text.contains("ß") | text.contains("ü"), "de").when(text.contains("ç") | text.contains("è"), "fr").when(text.contains("ñ") | text.contains("ó"), "es").otherwise("en")
+    return both.select(
+        F.col("lang").alias("gold_category"), names((F.col("quality") == 1, "quality"), (F.col("toxic") == 1, "toxic")).alias("gold_signals"), F.array().cast("array<string>").alias("gold_issues"),
+        guess.alias("pred_category"), names((F.col("n_chars") >= 200, "quality"), (text.contains("scum") | text.contains("loser"), "toxic")).alias("pred_signals"),
+        F.when(F.col("n_chars") > 4000, F.array(F.lit("incomplete_model_output"))).otherwise(F.array().cast("array<string>")).alias("pred_issues"),
+        F.when(F.col("doc_id") % 3 == 0, "ordinary").otherwise("other").alias("case_kind"), F.col("source").alias("provenance"), (F.col("n_chars") / 1000.0).alias("seconds"),
+    )
+
+
+CASES_SQL = """
+    j AS (SELECT * FROM labels JOIN documents USING (doc_id)),
+    c AS (SELECT lang AS gold_category, source AS provenance, n_chars / 1000.0 AS seconds, doc_id % 3 = 0 AS ordinary, n_chars <= 4000 AS valid,
+                 CASE WHEN contains(lower(text), 'ß') OR contains(lower(text), 'ü') THEN 'de' WHEN contains(lower(text), 'ç') OR contains(lower(text), 'è') THEN 'fr'
+                      WHEN contains(lower(text), 'ñ') OR contains(lower(text), 'ó') THEN 'es' ELSE 'en' END AS pred_category,
+                 (quality = 1)::INT AS gq, (toxic = 1)::INT AS gt, (n_chars >= 200)::INT AS pq, (contains(lower(text), 'scum') OR contains(lower(text), 'loser'))::INT AS pt FROM j),
+    m AS (SELECT *, (gold_category = pred_category) AS cat, gq * pq + gt * pt AS tp, (1 - gq) * pq + (1 - gt) * pt AS fp, gq * (1 - pq) + gt * (1 - pt) AS fn FROM c)"""
+SUMMARY_SQL = """
+    count(*) AS examples, count(*) FILTER (valid) AS valid_outputs, count(*) FILTER (cat) AS category_correct, count(*) FILTER (valid AND cat AND fp = 0 AND fn = 0) AS observation_matches,
+    coalesce(sum(tp), 0)::BIGINT AS signal_tp, coalesce(sum(fp), 0)::BIGINT AS signal_fp, coalesce(sum(fn), 0)::BIGINT AS signal_fn,
+    count(*) FILTER (ordinary) AS ordinary_controls, count(*) FILTER (ordinary AND fp > 0) AS ordinary_with_extra_signals,
+    round(count(*) FILTER (cat) / nullif(count(*), 0), 4) AS category_accuracy, round(count(*) FILTER (valid AND cat AND fp = 0 AND fn = 0) / nullif(count(*), 0), 4) AS observation_match_rate,
+    round(sum(tp) / nullif(sum(tp + fp), 0), 4) AS signal_precision, round(sum(tp) / nullif(sum(tp + fn), 0), 4) AS signal_recall,
+    round(2 * sum(tp) / nullif(sum(2 * tp + fp + fn), 0), 4) AS signal_f1, round(count(*) FILTER (ordinary AND fp > 0) / nullif(count(*) FILTER (ordinary), 0), 4) AS ordinary_extra_signal_rate,
+    round(avg(seconds), 3) AS mean_seconds"""
+
+
+@query("classification_metrics", f"WITH {CASES_SQL} SELECT {SUMMARY_SQL} FROM m")
+def classification_metrics(spark, sf_dir):
+    return metrics.summarise(labelled_cases(spark, sf_dir))
+
+
+@query("classification_by_group", f"WITH {CASES_SQL} SELECT provenance, gold_category, {SUMMARY_SQL} FROM m GROUP BY GROUPING SETS ((), (provenance), (gold_category))")
+def classification_by_group(spark, sf_dir):
+    return metrics.summarise(labelled_cases(spark, sf_dir), ["provenance", "gold_category"])
+
+
+@query("latency_summary", "SELECT event_type AS suite, count(*) AS n, round(avg(value), 3) AS mean_seconds, quantile_disc(value, 0.95) AS p95_seconds FROM events GROUP BY event_type")
+def latency_summary(spark, sf_dir):
+    return metrics.latency(load(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("contract_pass_counts", """
+    WITH c AS (SELECT role AS suite, length(text) <= 400 AS short, NOT contains(text, '@') AS no_address, turn < 4 AS early FROM conversations),
+    e AS (SELECT suite, unnest(['short', 'no_address', 'early', '*']) AS "check", unnest([short, no_address, early, short AND no_address AND early]) AS ok FROM c)
+    SELECT suite, "check", count(*) FILTER (ok) AS passed, count(*) AS total FROM e GROUP BY ALL""")
+def contract_pass_counts(spark, sf_dir):
+    checks = F.create_map(F.lit("short"), F.length("text") <= 400, F.lit("no_address"), ~F.contains("text", F.lit("@")), F.lit("early"), F.col("turn") < 4)
+    return metrics.check_counts(load(spark, sf_dir, "conversations").select("role", checks.alias("checks")), "role", "checks")
+
+
+@query("before_after_diff", r"""
+    WITH b AS (SELECT doc_id, text AS before FROM documents WHERE doc_id % 7 <> 0), a AS (SELECT doc_id, regexp_replace(text, '[0-9]{5,}', '[NUMBER]', 'g') AS after FROM documents WHERE doc_id % 11 <> 0)
+    SELECT doc_id, sha256(before) AS before_hash, sha256(after) AS after_hash FROM b FULL JOIN a USING (doc_id) WHERE before IS DISTINCT FROM after""")
+def before_after_diff(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    after = docs.where("doc_id % 11 <> 0").withColumn("text", F.regexp_replace("text", "[0-9]{5,}", "[NUMBER]"))
+    found = metrics.changes(docs.where("doc_id % 7 <> 0"), after, "doc_id", "text")
+    return found.select("doc_id", F.sha2("before", 256).alias("before_hash"), F.sha2("after", 256).alias("after_hash"))
+
+
+@query("best_checkpoint", """
+    WITH h AS (SELECT l_suppkey % 50 AS run, l_linenumber AS epoch, count(*) AS matches, count(*) FILTER (l_returnflag = 'R') AS extras, round(avg(l_discount), 3) AS f1, max(l_tax) AS loss FROM lineitem GROUP BY ALL)
+    SELECT run, epoch, matches, extras, f1, loss FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY matches DESC, extras, f1 DESC, loss, epoch) AS n FROM h) WHERE n = 1""")
+def best_checkpoint(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("run"), F.col("l_linenumber").alias("epoch"))
+    history = rows.agg(F.count("*").alias("matches"), F.count_if(F.col("l_returnflag") == "R").alias("extras"), F.round(F.avg("l_discount"), 3).alias("f1"), F.max("l_tax").alias("loss"))
+    return metrics.best_checkpoint(history, "run", "epoch", [F.desc("matches"), F.asc("extras"), F.desc("f1"), F.asc("loss")])
+
+
+@query("weighted_loss", """
+    SELECT l_returnflag, round(sum(l_quantity), 2) AS weight_sum, round(sum(l_quantity * l_discount) / nullif(sum(l_quantity), 0), 6) AS weighted_mean FROM lineitem GROUP BY l_returnflag""")
+def weighted_loss(spark, sf_dir):
+    found = metrics.weighted_mean(load(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_discount", "l_quantity")
+    return found.select("l_returnflag", F.round("weight_sum", 2).alias("weight_sum"), F.round("weighted_mean", 6).alias("weighted_mean"))
+
+
+@query("token_length_stats", f"""
+    WITH t AS (SELECT {SPLIT_SQL} AS split, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n, len(regexp_extract_all(split_part(text, chr(10), 1), '[A-Za-z0-9]+')) AS c FROM documents)
+    SELECT split, min(n)::INT AS min_tokens, max(n)::INT AS max_tokens, round(avg(n), 2) AS mean_tokens, max(c)::INT AS max_completion_tokens FROM t GROUP BY split""")
+def token_length_stats(spark, sf_dir):
+    count = lambda text: F.size(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)))
+    rows = examples(spark, sf_dir).select("split", count(F.col("text")).alias("n"), count(F.substring_index("text", "\n", 1)).alias("c"))
+    return metrics.length_summary(rows, "split", "n", "c")
+
+
+@query("completion_boundary", """
+    WITH t AS (SELECT doc_id, string_split(split_part(text, chr(10), 1), ' ') AS prompt, string_split(replace(text, chr(10), ' '), ' ') AS full_ids FROM documents)
+    SELECT doc_id, coalesce(CASE WHEN full_ids[1:len(prompt)] = prompt AND len(full_ids) > len(prompt) THEN len(prompt) END, -1)::INT AS start FROM t""")
+def completion_boundary(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    prompt, full = F.split(F.substring_index("text", "\n", 1), " ", -1), F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)
+    return docs.select("doc_id", F.coalesce(json_text.completion_start(prompt, full), F.lit(-1)).alias("start"))
+
+
+SYSTEM = "Describe the text as data."
+
+
+def json_sql(x: str) -> str:
+    return rf"""'"' || replace(replace(replace(replace({x}, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(9), '\t') || '"'"""
+
+
+@query("sft_export", f"""
+    WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant')
+    SELECT conv_id, turn, '{{"messages":[{{"role":"system","content":"{SYSTEM}"}},{{"role":"user","content":' || {json_sql("'{\"input_text\": ' || " + json_sql('u.text') + " || '}'")} || '}},{{"role":"assistant","content":' || {json_sql('a.text')} || '}}]}}' AS json
+    FROM u JOIN a USING (conv_id, turn)""")
+def sft_export(spark, sf_dir):
+    turns = load(spark, sf_dir, "conversations")
+    users = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("asked"))
+    answers = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    chat = json_text.chat(SYSTEM, F.col("asked"), F.col("answer"))
+    return users.join(answers, ["conv_id", "turn"]).select("conv_id", "turn", F.to_json(F.struct(chat.alias("messages"))).alias("json"))
+
+
+@query("decision_weights")
+def decision_weights(spark, sf_dir):
+    seen = observed_messages(spark, sf_dir)
+    content = json_text.observation_json(F.col("category"), F.col("signals"), F.col("issues"))
+    tokens = F.transform(F.sequence(F.lit(0), F.floor(F.length("content") / 4).cast("int")), lambda i: F.struct((i * 4).alias("from"), (i * 4 + 4).alias("to")))
+    weights = json_text.token_weights(tokens, F.col("spans"), 4.0)
+    return seen.select("input_id", content.alias("content")).withColumn("spans", json_text.decision_spans(F.col("content"))).select("input_id", F.size("spans").alias("n_spans"), F.aggregate(weights, F.lit(0.0), lambda s, w: s + w).alias("weight"))
+
+
+@query("draft_validation", """
+    WITH d AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'answered' WHEN 1 THEN 'insufficient_evidence' ELSE 'invalid_citation' END AS outcome FROM conversations)
+    SELECT conv_id, turn, outcome FROM d""")
+def draft_validation(spark, sf_dir):
+    kinds = [
+        '```json\n{"source_id":"S1","sentence_id":1,"insufficient_evidence":false}\n```',
+        '{"source_id":"","sentence_id":0,"insufficient_evidence":true}',
+        '{"source_id":"S1","sentence_id":"1","insufficient_evidence":false}',
+        '{"source_id":"S1","sentence_id":9,"insufficient_evidence":false}',
+        '{"source_id":"S1","sentence_id":1,"insufficient_evidence":false} {}',
+    ]
+    draft = F.element_at(F.array(*map(F.lit, kinds)), (F.col("turn") % 5 + 1).cast("int"))
+    turns = load(spark, sf_dir, "conversations").withColumn("draft", json_text.parsed_draft(without_fence(draft)))
+    return turns.select("conv_id", "turn", json_text.draft_outcome(F.col("draft"), F.lit("S1"), F.array(F.lit("one"), F.lit("two"))).alias("outcome"))
+
+
+@query("html_article_text")
+def html_article_text(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages").repartition("page_id")
+    return pages.select("page_id", article_text(Gate())(F.col("html")).alias("article"))
+
+
+@query("source_verification", """
+    WITH x AS (SELECT l_orderkey AS record_number, l_linenumber, l_returnflag FROM lineitem WHERE l_linenumber <= 2),
+    u AS (SELECT record_number, count(*) AS uses FROM x GROUP BY record_number)
+    SELECT record_number * 10 + l_linenumber AS id, 'train' AS split, l_returnflag AS label,
+           CASE WHEN o_orderkey IS NULL THEN 'no_such_record' WHEN uses > 1 THEN 'repeated_record' WHEN l_returnflag <> CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END THEN 'label' END AS problem
+    FROM x JOIN u USING (record_number) LEFT JOIN orders ON o_orderkey = record_number""")
+def source_verification(spark, sf_dir):
+    lines = load(spark, sf_dir, "lineitem").where("l_linenumber <= 2").join(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    rows = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.lit("train").alias("split"), F.col("l_orderkey").alias("record_number"), F.col("l_returnflag").alias("label"),
+                        F.sha2("o_orderpriority", 256).alias("raw_sha256"), F.col("o_orderpriority").alias("text"))
+    label = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
+    archive = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_number"), label.alias("source_label"), F.col("o_orderpriority").alias("raw"))
+    return quality.verify_source(rows, archive, F.col("raw"))
+
+
+@query("topic_relevance", r"""
+    WITH s AS (SELECT doc_id, 'In this ' || source || ' text a gift card number for ' || lang || ' was used to pay' || CASE doc_id % 3 WHEN 0 THEN ' and it is a scam with pressure' WHEN 1 THEN ' so do not reset it' ELSE '' END AS t,
+                      CASE doc_id % 4 WHEN 0 THEN 'gift_payment' WHEN 1 THEN 'payment' WHEN 2 THEN 'popup' ELSE 'secrets' END AS topic FROM documents)
+    SELECT doc_id, topic, CASE WHEN doc_id % 3 = 1 THEN 0 WHEN topic = 'gift_payment' THEN 4 ELSE 0 END::INT AS relevance FROM s""")
+def topic_relevance(spark, sf_dir):
+    c = F.col
+    ending = F.when(c("doc_id") % 3 == 0, " and it is a scam with pressure").when(c("doc_id") % 3 == 1, " so do not reset it").otherwise("")
+    text = F.concat(F.lit("In this "), c("source"), F.lit(" text a gift card number for "), c("lang"), F.lit(" was used to pay"), ending)
+    topic = F.when(c("doc_id") % 4 == 0, "gift_payment").when(c("doc_id") % 4 == 1, "payment").when(c("doc_id") % 4 == 2, "popup").otherwise("secrets")
+    rows = load(spark, sf_dir, "documents").select("doc_id", topic.alias("topic"), text.alias("t"))
+    return rows.select("doc_id", "topic", relevance_score(c("topic"), c("t")).alias("relevance"))
+
+
+def observed_messages(spark, sf_dir):
+    return explain.observed(messages(spark, sf_dir))
+
+
+def joined(names):
+    return F.array_join(names, ",")
+
+
+@query("literal_cues", f"SELECT o_orderkey AS input_id, {text_sql()} AS text, {expected_sql(1)} AS cues FROM orders")
+def literal_cues(spark, sf_dir):
+    found = messages(spark, sf_dir).withColumn("facts", facts(F.col("text")))
+    return found.select("input_id", "text", joined(F.transform("facts.cues", lambda c: c["signal"])).alias("cues"))
+
+
+@query("reviewed_observations", f"SELECT o_orderkey AS input_id, {expected_sql(2)} AS category, CASE WHEN o_orderkey % 16 = 14 THEN 'contextless_help_request' ELSE '' END AS notes FROM orders")
+def reviewed_observations(spark, sf_dir):
+    return observed_messages(spark, sf_dir).select("input_id", "category", joined("notes").alias("notes"))
+
+
+@query("policy_flags", f"SELECT o_orderkey AS input_id, array_to_string(list_sort(string_split({expected_sql(1)}, ',')), ',') AS flags FROM orders")
+def policy_flags(spark, sf_dir):
+    seen = observed_messages(spark, sf_dir).withColumn("f", policy.policy_flags(F.col("text"), F.col("category"), F.col("signals")))
+    return seen.select("input_id", joined("f.flags").alias("flags"))
+
+
+def guided_messages(spark, sf_dir):
+    return policy.guidance(observed_messages(spark, sf_dir).withColumn("status", F.lit("answered")), "input_id", knowledge(spark))
+
+
+SUPPORT_SQL = f"CASE WHEN {expected_sql(4)} IN ('no_change', 'clarify') THEN 'policy_only' ELSE 'verified_local_support' END"
+
+
+@query("guidance_levels", f"SELECT o_orderkey AS input_id, {expected_sql(3)} AS level, {expected_sql(4)} AS actions, {SUPPORT_SQL} AS evidence_status FROM orders")
+def guidance_levels(spark, sf_dir):
+    return guided_messages(spark, sf_dir).select("input_id", "level", joined("actions").alias("actions"), "evidence_status")
+
+
+@query("handoff_text", f"""
+    SELECT o_orderkey AS input_id, 'ready' AS status, {expected_sql(3)} IN ('attention', 'check_source', 'uncertain') AS suggested, {expected_sql(4)} AS action_ids, false AS leaks FROM orders""")
+def handoff_text(spark, sf_dir):
+    shared = policy.handoff(guided_messages(spark, sf_dir), "input_id", knowledge(spark))
+    leaks = F.contains("text", F.col("input_id").cast("string")) & (F.col("input_id") > 99) | F.contains("text", F.lit("482913"))
+    return shared.select("input_id", "status", "suggested", joined("action_ids").alias("action_ids"), leaks.alias("leaks"))
+
+
+@query("explained_inputs")
+def explained_inputs(spark, sf_dir):
+    corpus = knowledge(spark)
+    table = retrieval.passage_table(corpus, passages())
+    return explain.explain(messages(spark, sf_dir), corpus, table).select("input_id", "category", "topic", "status", "cited_document", "explanation")
+
+
+@query("observation_errors", f"""
+    SELECT o_orderkey AS input_id, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'evidence_not_in_text' WHEN 2 THEN 'connectivity_outside_wifi' ELSE 'repeated_signal' END AS errors FROM orders""")
+def observation_errors(spark, sf_dir):
+    c = F.col("input_id") % 4
+    one = lambda name, text: F.struct(F.lit(name).alias("signal"), text.alias("evidence"))
+    word = F.substring("text", 1, 3)
+    signals = F.when(c == 0, F.array(one("visible_link", word))).when(c == 1, F.array(one("visible_link", F.lit("~~~")))).when(c == 2, F.array(one("wifi_off", word))).otherwise(F.array(one("visible_link", word), one("visible_link", word)))
+    rows = messages(spark, sf_dir).withColumn("o", quality.normalised_observation(F.lit("message"), signals, F.array().cast("array<string>")))
+    return rows.select("input_id", joined(quality.observation_errors(F.col("text"), F.col("o"))).alias("errors"))
+
+
+@query("dedup_keys", rf"SELECT doc_id, {KEY_SQL} AS key_hash FROM documents")
+def dedup_keys(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.sha2(dedup_key(F.col("text")), 256).alias("key_hash"))
