@@ -43,7 +43,8 @@ LEDGER = T.StructType([T.StructField("blob_id", T.StringType()), T.StructField("
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], LEDGER)
+    nothing = spark.range(0)  # a plan of the JVM's own: no rows come from Python
+    return nothing.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in LEDGER.fields])
 
 
 def rule_spans(text: Column, rule: Rule) -> Column:
