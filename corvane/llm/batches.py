@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,17 @@ from pyspark.sql import functions as F
 ROWS_AT_ONCE = 512
 
 
+pa.set_memory_pool(pa.system_memory_pool())  # so that release() can give Arrow's memory back, too
+
+
+def release() -> None:
+    """Give freed memory back to the machine: a Python worker lives on between tasks and shares its executor's limit."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; nothing depends on it
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep what one Python worker holds at once to a few MB of ordinary texts, and send workers this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
@@ -45,3 +58,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def text_or_empty(text: str = "text"):
     """The text column; null counts as the empty text."""
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def dealt_anew(key: str):
+    """An integer key under another name for the planner.
+
+    A table grouped by ``key`` that is joined on it keeps its partitions, and then a hot key's
+    rows on the other side can't be split. Joined on this expression, both sides are dealt for
+    the join, and Spark's skew join may split them.
+    """
+    return F.bitwise_not(F.col(key))

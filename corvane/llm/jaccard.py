@@ -24,8 +24,8 @@ documents link when their sets' Jaccard similarity is at least ``PERCENT`` / 100
 
 Columns are 64-bit hashes of lower-cased words, and set sizes and overlaps are counted over
 them; see ``words`` for the odds of a clash. Null texts and texts without words: size 0,
-linked with nothing. Null ids: never linked, null component. Rows that share an id are one
-document. Extra columns are ignored.
+linked with nothing. Null ids: never linked, null component. Rows that share an id but not
+their text are documents of their own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.batches import small_batches, written
+from corvane.llm.batches import dealt_anew, small_batches, written
 from corvane.llm.components import components
 from corvane.llm.exchange import FORWARD, Batches, forward_rows, key_bits, read_totals, totals
 from corvane.llm.words import NOT_BLANK, U64, Words, mix, window_hashes
@@ -114,8 +114,8 @@ def entries(rows: DataFrame, columns: str, percent: int) -> DataFrame:
 
 def worth_it(columns: DataFrame) -> DataFrame:
     """The entries that can pair with any other of their column."""
-    sizes = columns.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("m > 1").select((F.col("key") + 0).alias("same"), "least")  # dealt anew
-    return columns.join(sizes.hint("merge"), F.col("key") == F.col("same")).where("reach >= least").drop("same", "least")
+    sizes = columns.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("m > 1").select(dealt_anew("key").alias("same"), "least")
+    return columns.join(sizes.hint("merge"), dealt_anew("key") == F.col("same")).where("reach >= least").drop("same", "least")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -141,14 +141,14 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, text
     some = rows.where(F.col("prefix").isNotNull())
     classes = some.groupBy("set_1", "set_2").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     members = some.select("doc_id", "n", F.struct("set_1", "set_2").alias("set")).join(
-        classes.select(F.struct("set_1", "set_2").alias("set"), F.col("first.doc_id").alias("rep")).hint("merge"), "set")
-    reps = written(some.join(classes.select("first.row", F.col("first.doc_id").alias("rep")), "row").select("rep", "n", "own", "prefix", "shared"), "reps")
+        classes.select(F.struct("set_1", "set_2").alias("set"), F.col("first").alias("rep")).hint("merge"), "set")
+    reps = written(some.join(classes.select("first.row", F.col("first").alias("rep")), "row").select("rep", "n", "own", "prefix", "shared"), "reps")
     alone_n = (F.col("n") - F.size("shared")).alias("alone")
     columns = written(worth_it(entries(reps.select("rep", "n", "own", alone_n, "prefix"), "prefix", percent)), "columns")
 
     hubs = columns.groupBy("key").agg(F.min(F.struct("own", "rep")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    hubs = hubs.select((F.col("key") + 0).alias("at"), F.col("hub.rep").alias("a"))  # dealt anew
-    star = columns.select("key", F.col("rep").alias("b")).join(hubs.hint("merge"), F.col("key") == F.col("at")).where("a <> b")
+    hubs = hubs.select(dealt_anew("key").alias("at"), F.col("hub.rep").alias("a"))
+    star = columns.select("key", F.col("rep").alias("b")).join(hubs.hint("merge"), dealt_anew("key") == F.col("at")).where("a <> b")
     tested = written(compared(star.select("a", "b").distinct(), reps, percent), "tested")
     links = tested.where("linked").select("a", "b")
     labels = components(links)
@@ -163,7 +163,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, text
         labels = components(links.unionByName(more))
 
     found = members.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
-    return alone.unionByName(found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id")))
+    return alone.unionByName(found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep")["doc_id"].alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

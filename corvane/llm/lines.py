@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.batches import text_or_empty, written
+from corvane.llm.batches import dealt_anew, text_or_empty, written
 
 MIN_LINES = 2
 
@@ -40,7 +40,7 @@ def ranked(suffixes: DataFrame, keys: list[str], rank: str) -> DataFrame:
 def repeated_suffixes(df: DataFrame, min_lines: int = MIN_LINES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, t (hash of the text), at: where a run of ``min_lines`` lines starts that also starts earlier."""
     texts = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("t"), F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("at", "line"))
-    lines = texts.select("doc_id", "t", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).distinct()
+    lines = written(texts.select("doc_id", "t", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).distinct(), "lines")
     current, length = ranked(lines, ["h1", "h2"], "r"), 1
     in_text = Window.partitionBy("doc_id", "t").orderBy("at")
     while length < min_lines:
@@ -50,8 +50,8 @@ def repeated_suffixes(df: DataFrame, min_lines: int = MIN_LINES, text: str = "te
         current, length = ranked(written(pairs, "pairs"), ["a", "ahead"], "r"), length + step
     current = written(current, "suffixes")
     earliest = current.groupBy("r").agg(F.min(F.struct("doc_id", "at", "t")).alias("first"))
-    earliest = earliest.select((F.col("r") + 0).alias("same"), "first")  # dealt anew
-    joined = current.join(earliest.hint("merge"), F.col("r") == F.col("same"))
+    earliest = earliest.select(dealt_anew("r").alias("same"), "first")
+    joined = current.join(earliest.hint("merge"), dealt_anew("r") == F.col("same"))
     return joined.where(~F.struct("doc_id", "at", "t").eqNullSafe(F.col("first"))).select("doc_id", "t", "at")
 
 
