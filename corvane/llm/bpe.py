@@ -15,17 +15,19 @@ decode to null (the whole row). Extra columns stay; a column of the output's nam
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from corvane.llm.batches import small_batches
+from corvane.llm.batches import release, small_batches
 
 #: The largest rank file that is sent to executors.
 MOST_RANK_BYTES = 64 << 20
@@ -92,6 +94,21 @@ def rank_file_bytes(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
+def id_array(lists: list[list[int]]) -> pa.Array:
+    """Lists of ids as an Arrow array, without an object for each id."""
+    flat = np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int32, count=sum(map(len, lists)))
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def decode_ids(ids: list[int] | None, encoding) -> bytes | None:
+    """The bytes of a list of ids; none for null, and null for an unknown id."""
+    try:
+        return encoding.decode_bytes(ids or [])
+    except KeyError:
+        return None
+
+
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the array column ``ids`` of token ids of the whole text."""
     small_batches(df.sparkSession)
@@ -100,25 +117,40 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids:
     @arrow_udf(T.ArrayType(T.IntegerType()))
     def to_ids(texts: pa.Array) -> pa.Array:
         encoding = tokenizer(shared.value, pattern)
-        return pa.array([encode_text(x, encoding) for x in texts.to_pylist()], pa.list_(pa.int32()))
+        found = id_array([encode_text(x.as_py(), encoding) for x in texts])
+        release()
+        return found
 
     return df.withColumn(ids, to_ids(F.col(text)))
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", raw: str = "raw") -> DataFrame:
     """``df`` with the binary column ``raw``: the bytes that the ids stand for, whether or not they are valid UTF-8."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(rank_file_bytes(rank_file))
 
     @arrow_udf(T.BinaryType())
     def to_bytes(arrays: pa.Array) -> pa.Array:
         encoding = tokenizer(shared.value, pattern)
+        found = pa.array([decode_ids(x.values.to_numpy().tolist() if x.is_valid else None, encoding) for x in arrays], pa.binary())
+        release()
+        return found
+
+    return df.withColumn(raw, to_bytes(F.col(ids)))
+
 
-        def one(x):
-            try:
-                return encoding.decode_bytes(x or [])
-            except KeyError:
-                return None
+def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", raw: str = "raw") -> DataFrame:
+    """``df`` with both columns, as ``decode(encode(df))`` gives them, in one pass: each text is encoded once, and its ids decoded."""
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(rank_file_bytes(rank_file))
+    both = "_corvane_both"
 
-        return pa.array([one(x) for x in arrays.to_pylist()], pa.binary())
+    @arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("raw", T.BinaryType())]))
+    def run(texts: pa.Array) -> pa.Array:
+        encoding = tokenizer(shared.value, pattern)
+        lists = [encode_text(x.as_py(), encoding) for x in texts]
+        found = pa.StructArray.from_arrays([id_array(lists), pa.array([decode_ids(x, encoding) for x in lists], pa.binary())], ["ids", "raw"])
+        release()
+        return found
 
-    return df.withColumn(raw, to_bytes(F.col(ids)))
+    return df.withColumn(both, run(F.col(text))).withColumns({ids: F.col(f"{both}.ids"), raw: F.col(f"{both}.raw")}).drop(both)

@@ -24,8 +24,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.batches import release
+
 #: Characters of text in a batch, and keys in a part: what one Python worker holds at once.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 4_000_000
 PART_KEYS = 2_000_000
 
 FORWARD = "b long, part int, keys binary, values array<binary>"
@@ -90,11 +92,20 @@ class Batches:
         return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(keys / PART_KEYS))
 
     def each(self, function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-        return self.table.groupBy("b").applyInArrow(function, schema)
+        def one(table: pa.Table) -> pa.Table:
+            found = function(table)
+            release()
+            return found
+
+        return self.table.groupBy("b").applyInArrow(one, schema)
+
+    def replied(self, replies: DataFrame, function: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        def one(table: pa.Table, answers: pa.Table) -> pa.Table:
+            found = function(table, answers)
+            release()
+            return found
 
-    def replied(self, replies: DataFrame, function: Callable[[pa.Table, pa.Table], pa.Table], schema: str, where=None) -> DataFrame:
-        rows = self.table if where is None else self.table.where(where)
-        return rows.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(function, schema)
+        return self.table.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(one, schema)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

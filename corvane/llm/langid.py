@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 from pyspark.sql.functions import arrow_udf
 
-from corvane.llm.batches import small_batches
+from corvane.llm.batches import release, small_batches
 
 #: The sample: so many labelled rows of a language at most, and so many bytes of them.
 ROWS_A_LANGUAGE = 96
@@ -100,9 +100,8 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     @arrow_udf(RESULT)
     def run(texts: pa.Array) -> pa.Array:
         models = compressors(shared.value, level)
-        return pa.array(
-            [classify(x, models, narrow) for x in texts.to_pylist()],
-            pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())]),
-        )
+        rows = [classify(x.as_py(), models, narrow) for x in texts]
+        release()
+        return pa.array(rows, pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())]))
 
     return df.withColumn(out, run(F.col(text)))
