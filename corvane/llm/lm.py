@@ -1,25 +1,26 @@
-"""LM scoring by deleted interpolation of bigram, unigram and uniform estimates.
+"""LM scoring by deleted interpolation of trigram, bigram, unigram and uniform estimates.
 
-Tokens are lower-cased words and one end token a text; the end token of nothing is what the
-first word follows. With counts c over the training texts,
+Tokens are lower-cased words and one end token a text. With counts c over the training texts,
 
-    p(v | u) = w2(u) c(u v) / c(u)  +  w1(u) c(v) / N  +  w0(u) / (V + 1)
+    p(w | u v) = w3 c(u v w) / c(u v)  +  w2 c(v w) / c(v)  +  w1 c(w) / N  +  w0 / (V + 1)
 
-where the weights depend on the bucket of c(u): 0, or its number of binary digits. The
-training texts are split into a kept and a deleted part; the weights of each bucket are found
-by expectation-maximisation so that estimates from the kept part explain the deleted part's
-tokens best. Scores then use the counts of both parts.
+where the weights depend on the bucket of the context: the longest context that was seen, and
+the number of binary digits of how often. Before a text stands a start of its own, which was
+seen once for each training text. The training texts are split into a kept and a deleted
+part; the weights of each bucket are found by expectation-maximisation so that estimates from
+the kept part explain the deleted part's tokens best. Scores use the counts of both parts.
 
-Counts come from all texts, through ``exchange``: each batch sends its distinct words and
-word pairs once and gets their totals back. For the weights, every deleted token is an event
-(bucket, p2 / p0, p1 / p0), with ratios in eighths of an octave; equal events are added up,
-so the driver gets a table that is bounded by the number of buckets and ratios (some 10^5
-rows) whatever the corpus, and that still has every event.
+Counts come from all texts, through ``exchange``: each batch sends its distinct n-grams of
+each length once and gets their totals back. For the weights, every deleted token is an event
+(bucket, and each estimate over the uniform one, in halves of an octave); equal events are
+added up, so the driver gets a table whose size is bounded by the number of buckets and
+ratios whatever the corpus, and that still has every event.
 
 Null and empty texts have the end token only. Rows with the same id are scored by
 themselves. With no training texts, every token has probability 1 / (0 + 1). Rows whose fold
-is null are scored and not learned from. Word counts use 64-bit hashes, pair counts fewer
-bits (a pair of another pair's hash has odds of 2^-20).
+is null are scored and not learned from. Word counts use 64-bit hashes, longer n-grams fewer
+bits (one of them has the hash of another with odds of 2^-SPARE_BITS). Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,21 +36,22 @@ from corvane.llm.batches import small_batches, written
 from corvane.llm.exchange import FORWARD, Batches, forward_rows, key_bits, read_totals, totals
 from corvane.llm.words import NOT_BLANK, STEP, U64, Words, mix
 
+ORDER = 3
 KEPT, DELETED, HELD_OUT = 0, 1, 2
-#: Contexts seen 2^(BUCKETS - 2) times or more share the last bucket.
+#: Contexts seen 2^(BUCKETS - 2) times or more share the last bucket of their length.
 BUCKETS = 40
 ROUNDS = 60
 #: No component's weight is less, so that every token has a probability.
 LEAST_WEIGHT = 1e-6
-#: Ratios are kept as round(EIGHTHS * log2(ratio)) + SHIFT.
-EIGHTHS, SHIFT = 8, 1024
-SPARE_BITS = 20
+#: Ratios are kept as round(PER_OCTAVE * log2(ratio)) + SHIFT, zero as -1; codes fit in CODE_BITS.
+PER_OCTAVE, SHIFT, CODE_BITS = 2, 128, 9
+SPARE_BITS = 18
 END = mix(np.array([0x456E64], dtype=U64))[0]
 
-EVENTS = "bucket int, r2 int, r1 int, n long"
-_EVENTS = pa.schema([("bucket", pa.int32()), ("r2", pa.int32()), ("r1", pa.int32()), ("n", pa.int64())])
 SCORES = "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("fold", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+EVENTS = "code long, n long"
+_EVENTS = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -63,9 +65,9 @@ class Sizes:
 
 
 class Events:
-    """A batch's tokens in order, as places in its sorted distinct words and pairs."""
+    """A batch's tokens in order, and for each length the places of their n-grams in the sorted distinct ones."""
 
-    def __init__(self, table: pa.Table, pair_bits: int):
+    def __init__(self, table: pa.Table, order: int, bits: int):
         words = Words(table["text"], NOT_BLANK)
         n = np.diff(words.first)
         self.lengths = n + 1
@@ -74,100 +76,137 @@ class Events:
         last[self.start + n] = True
         tokens = np.full(len(last), END, dtype=U64)
         tokens[~last] = words.hashes()
-        before = np.concatenate([[END], tokens[:-1]]).astype(U64)
-        pairs = mix(before * U64(STEP) + tokens) >> U64(64 - pair_bits)
-        self.words, self.word = np.unique(tokens, return_inverse=True)
-        self.pairs, self.pair = np.unique(pairs, return_inverse=True)
-        self.context = np.concatenate([[np.searchsorted(self.words, END)], self.word[:-1]])
+        self.opens = np.zeros(len(tokens), bool)
+        self.opens[self.start] = True
+        self.keys, self.place = [], []
+        gram = tokens
+        for k in range(1, order + 1):
+            if k > 1:
+                before = np.concatenate([gram[:1], gram[:-1]])
+                before[self.opens] = U64(k)  # the text's start
+                gram = mix(before * U64(STEP) + tokens)
+            keys, place = np.unique(gram if k == 1 else gram >> U64(64 - bits), return_inverse=True)
+            self.keys.append(keys)
+            self.place.append(place)
+        self.end = int(np.searchsorted(self.keys[0], END))
         folds = np.array([-1 if x is None else x for x in table["fold"].to_pylist()])
         self.fold = np.repeat(folds, self.lengths)
 
-    def counts(self, place: np.ndarray, n: int) -> list[np.ndarray]:
-        return [np.bincount(place[self.fold == part], minlength=n) for part in (KEPT, DELETED)]
+    def counts(self, k: int) -> list[np.ndarray]:
+        """How often the batch has each n-gram of length k + 1, in the kept and in the deleted part."""
+        return [np.bincount(self.place[k][self.fold == part], minlength=len(self.keys[k])) for part in (KEPT, DELETED)]
+
+    def found(self, totals_of: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of every token, the totals of its n-grams by length, and those of their contexts (of length 1 on)."""
+        own = [t[p].astype(np.int64) for t, p in zip(totals_of, self.place, strict=True)]
+        contexts = []
+        for c in own[:-1]:
+            before = np.concatenate([c[:1], c[:-1]])
+            before[self.opens] = int(totals_of[0][self.end])
+            contexts.append(before)
+        return own, contexts
+
+
+def bucket_of(contexts: list[np.ndarray]) -> np.ndarray:
+    """The longest context that was seen, and its frequency; 0 if none was."""
+    out = np.zeros(len(contexts[0]) if contexts else 0, np.int64)
+    for k, count in enumerate(contexts):
+        digits = np.minimum(np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1, BUCKETS - 1)
+        out = np.where(count > 0, k * BUCKETS + digits, out)
+    return out
+
+
+def estimates(own: list[np.ndarray], contexts: list[np.ndarray], tokens: int) -> list[np.ndarray]:
+    """Maximum-likelihood estimates of every token, the longest n-gram first."""
+    longer = [c / np.maximum(u, 1) for c, u in zip(own[1:], contexts, strict=True)]
+    return [*longer[::-1], own[0] / max(1, tokens)]
 
 
-def bucket_of(count: np.ndarray) -> np.ndarray:
-    return np.minimum(np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1, 0), BUCKETS - 1)
+def ratio_code(estimate: np.ndarray, words: int) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        code = np.round(PER_OCTAVE * np.log2(estimate * (words + 1))) + SHIFT
+    return np.where(estimate > 0, np.clip(np.nan_to_num(code, neginf=0), 0, (1 << CODE_BITS) - 2), -1).astype(np.int64)
 
 
-def ratio_code(numerator: np.ndarray, denominator, size: int) -> np.ndarray:
-    """The estimate over the uniform one, coded; -1 where it is zero."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        code = np.round(EIGHTHS * np.log2(numerator / denominator * (size + 1))) + SHIFT
-    return np.where(numerator > 0, np.clip(np.nan_to_num(code), 0, 2 * SHIFT), -1).astype(np.int64)
+def event_codes(bucket: np.ndarray, ratios: list[np.ndarray]) -> np.ndarray:
+    code = bucket.astype(np.int64)
+    for r in ratios:
+        code = (code << CODE_BITS) | (r + 1)
+    return code
 
 
-def learn_weights(events: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (w2, w1, w0) of each bucket by EM. events: rows of bucket, r2, r1, n."""
+def learn_weights(codes: np.ndarray, n: np.ndarray, order: int = ORDER, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of each bucket by EM, the longest n-gram's first and the uniform one's last; buckets without events share pooled ones."""
+    size = max(1, order - 1) * BUCKETS
+    ratios = [((codes >> (CODE_BITS * k)) & ((1 << CODE_BITS) - 1)) - 1 for k in range(order)][::-1]
+    bucket = codes >> (CODE_BITS * order)
+    e = np.stack([*[np.where(r < 0, 0.0, 2.0 ** ((r - SHIFT) / PER_OCTAVE)) for r in ratios], np.ones(len(codes))], axis=1)
 
     def fit(own: np.ndarray) -> np.ndarray:
-        e = np.stack([np.where(own[:, k] < 0, 0.0, 2.0 ** ((own[:, k] - SHIFT) / EIGHTHS)) for k in (1, 2)] + [np.ones(len(own))], axis=1)
-        w = np.full(3, 1 / 3)
+        w = np.full(order + 1, 1 / (order + 1))
         for _ in range(rounds):
-            share = e * w
-            share *= (own[:, 3] / share.sum(axis=1))[:, None]
+            share = e[own] * w
+            share *= (n[own] / share.sum(axis=1))[:, None]
             w = share.sum(axis=0) / share.sum()
         w = np.maximum(w, LEAST_WEIGHT)
         return w / w.sum()
 
-    pooled = fit(events) if len(events) else np.array([0.0, 0.0, 1.0])
-    out = np.tile(pooled, (BUCKETS, 1))
-    for bucket in np.unique(events[:, 0]) if len(events) else []:
-        out[bucket] = fit(events[events[:, 0] == bucket])
+    uniform_only = np.zeros(order + 1)
+    uniform_only[-1] = 1.0
+    out = np.tile(fit(np.arange(len(codes))) if len(codes) else uniform_only, (size, 1))
+    for b in np.unique(bucket):
+        out[b] = fit(np.flatnonzero(bucket == b))
     return out
 
 
-def score_corpus(docs: DataFrame, fold: str = "fold", text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS) -> tuple[DataFrame, Sizes]:
+def score_corpus(docs: DataFrame, fold: str = "fold", text: str = "text", doc_id: str = "doc_id", order: int = ORDER, rounds: int = ROUNDS) -> tuple[DataFrame, Sizes]:
     """doc_id, fold, n_tokens, n_known, base_score and score of every row; and the training sizes.
 
     ``fold`` says what a row is for: KEPT and DELETED rows train, others are only scored.
     """
     small_batches(docs.sparkSession)
     corpus = Batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(fold).cast("int").alias("fold"), F.col(text).alias("text")))
-    bits = key_bits(corpus.chars // 2, SPARE_BITS)
-    parts = corpus.parts(corpus.chars / 8)
+    bits, parts = key_bits(corpus.chars // 2, SPARE_BITS), corpus.parts(corpus.chars / 8)
 
     def send(table: pa.Table) -> pa.Table:
-        e = Events(table, bits)
-        return forward_rows(
-            table["b"][0].as_py(),
-            [(e.words, e.counts(e.word, len(e.words)), 64, parts, 0), (e.pairs, e.counts(e.pair, len(e.pairs)), bits, parts, parts)],
-        )
+        e = Events(table, order, bits)
+        return forward_rows(table["b"][0].as_py(), [(e.keys[k], e.counts(k), bits if k else 64, parts, k * parts) for k in range(order)])
 
     replies = written(totals(corpus.each(send, FORWARD)), "counts")
     sums = replies.where(f"b = -1 AND part < {parts}").select(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0)).alias(f"s{k}") for k in range(6)]).first()
     sizes = Sizes(kept_tokens=sums["s1"], kept_words=sums["s2"], tokens=sums["s1"] + sums["s3"], words=sums["s5"])
     answered = replies.where("b >= 0").drop("stats")
 
-    def looked_up(e: Events, table: pa.Table, k: int) -> tuple[np.ndarray, ...]:
-        """c(u v), c(u) and c(v) of every token in value k."""
-        word, pair = read_totals(table, 0, parts, k), read_totals(table, parts, parts, k)
-        return pair[e.pair].astype(np.int64), word[e.context].astype(np.int64), word[e.word].astype(np.int64)
+    def looked_up(table: pa.Table, value: int) -> list[np.ndarray]:
+        return [read_totals(table, k * parts, parts, value) for k in range(order)]
 
     def collect_events(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _EVENTS.empty_table()
-        e = Events(table, bits)
-        own = e.fold == DELETED
-        uv, u, v = (x[own] for x in looked_up(e, reply, 0))
-        r2, r1 = ratio_code(uv, u, sizes.kept_words), ratio_code(v, max(1, sizes.kept_tokens), sizes.kept_words)
-        code, n = np.unique((bucket_of(u) << 32) | ((r2 + 1) << 16) | (r1 + 1), return_counts=True)
-        return pa.table({"bucket": code >> 32, "r2": ((code >> 16) & 0xFFFF) - 1, "r1": (code & 0xFFFF) - 1, "n": n}).cast(_EVENTS)
+        e = Events(table, order, bits)
+        own, contexts = e.found(looked_up(reply, 0))
+        deleted = e.fold == DELETED
+        own, contexts = [x[deleted] for x in own], [x[deleted] for x in contexts]
+        ratios = [ratio_code(p, sizes.kept_words) for p in estimates(own, contexts, sizes.kept_tokens)]
+        code, n = np.unique(event_codes(bucket_of(contexts) if contexts else np.zeros(len(own[0])), ratios), return_counts=True)
+        return pa.table({"code": code, "n": n}).cast(_EVENTS)
 
-    events = corpus.replied(answered, collect_events, EVENTS).groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
-    weights = learn_weights(np.array([tuple(r) for r in events.collect()], dtype=np.int64).reshape(-1, 4), rounds)
+    events = corpus.replied(answered, collect_events, EVENTS).groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    weights = learn_weights(events["code"].to_numpy(), events["n"].to_numpy(), order, rounds)
 
     def score(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _SCORES.empty_table()
-        e = Events(table, bits)
-        uv, u, v = (a + b for a, b in zip(looked_up(e, reply, 0), looked_up(e, reply, 1), strict=True))
-        w = weights[bucket_of(u)]
-        p = w[:, 0] * uv / np.maximum(u, 1) + w[:, 1] * v / max(1, sizes.tokens) + w[:, 2] / (sizes.words + 1)
-        base = np.log10((v + 1) / (sizes.tokens + sizes.words + 1))
+        e = Events(table, order, bits)
+        own, contexts = e.found([a.astype(np.int64) + b for a, b in zip(looked_up(reply, 0), looked_up(reply, 1), strict=True)])
+        w = weights[bucket_of(contexts) if contexts else np.zeros(len(own[0]), np.int64)]
+        p = w[:, -1] / (sizes.words + 1)
+        for k, estimate in enumerate(estimates(own, contexts, sizes.tokens)):
+            p = p + w[:, k] * estimate
+        base = np.log10((own[0] + 1) / (sizes.tokens + sizes.words + 1))
         add = lambda x: np.add.reduceat(x, e.start)  # noqa: E731  every text has a token
         return pa.table(
-            {"doc_id": table["doc_id"], "fold": table["fold"], "n_tokens": e.lengths, "n_known": add((v > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
+            {"doc_id": table["doc_id"], "fold": table["fold"], "n_tokens": e.lengths, "n_known": add((own[0] > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
         ).cast(_SCORES)
 
     scores = written(corpus.replied(answered, score, SCORES), "scores")

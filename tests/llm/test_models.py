@@ -69,13 +69,54 @@ def test_lm_base_matches_brute_force_and_model_matches_its_formula(spark):
 
 def test_em_finds_the_mixture():
     rng = np.random.default_rng(0)
-    code = lambda x: np.where(x > 0, np.round(lm.EIGHTHS * np.log2(np.maximum(x, 1e-9))) + lm.SHIFT, -1)
     n = 40000
     kind = rng.choice(3, n, p=[0.5, 0.3, 0.2])  # each component explains its own events best
-    events = np.stack([np.full(n, 4), code(np.where(kind == 0, 1000.0, 0.0)), code(np.where(kind <= 1, 30.0, 0.0)), np.ones(n)], axis=1).astype(np.int64)
-    w = lm.learn_weights(events, 400)
-    assert abs(w[4].sum() - 1) < 1e-9 and abs(w[4][0] - 0.5) < 0.02 and w[4][2] < 0.25
-    assert lm.learn_weights(np.zeros((0, 4), np.int64))[3].tolist() == pytest.approx([0, 0, 1])
+    ratios = [np.where(kind == 0, 2**20 / 1000, 0.0), np.zeros(n), np.where(kind <= 1, 2.0**10 / 1000, 0.0)]
+    codes = lm.event_codes(np.full(n, 4), [lm.ratio_code(r, 999) for r in ratios])
+    w = lm.learn_weights(codes, np.ones(n), 3, 400)
+    assert abs(w[4].sum() - 1) < 1e-9 and abs(w[4][0] - 0.5) < 0.02 and w[4][1] < 0.001 and 0.2 < w[4][2] < 0.4 and 0.1 < w[4][3] < 0.3
+    assert lm.learn_weights(np.zeros(0, np.int64), np.zeros(0), 3)[3].tolist() == [0, 0, 0, 1]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores_match_a_plain_computation(spark, order):
+    """With all weights known, every token's probability is the formula's."""
+    rows = [(1, "a b a b c"), (2, "a b"), (3, None), (4, "a b a d"), (5, "b a b a b c a"), (6, "z a b")]
+    folds = {1: 0, 2: 0, 3: 0, 4: 1, 5: 0, 6: 2}
+    docs = frame(spark, rows).withColumn("fold", F.expr("CASE doc_id WHEN 4 THEN 1 WHEN 6 THEN 2 ELSE 0 END"))
+    fixed = np.random.default_rng(order).dirichlet(np.ones(order + 1), max(1, order - 1) * lm.BUCKETS)
+    learn, lm.learn_weights = lm.learn_weights, lambda *a: fixed
+    try:
+        scores, sizes = lm.score_corpus(docs, order=order)
+        got = {r.doc_id: r.score for r in scores.collect()}
+    finally:
+        lm.learn_weights = learn
+    grams = [Counter() for _ in range(order)]
+    contexts = [Counter() for _ in range(order)]
+    tokens = {i: [*blank_words(t), "</s>"] for i, t in rows}
+    padded = lambda i: ["<s>"] * (order - 1) + tokens[i]
+    for i in tokens:
+        if folds[i] != lm.HELD_OUT:
+            p = padded(i)
+            for at in range(order - 1, len(p)):
+                for k in range(order):
+                    grams[k][tuple(p[at - k : at + 1])] += 1
+                    contexts[k][tuple(p[at - k : at])] += 1
+    total, distinct = sum(grams[0].values()), len(grams[0])
+    for i in tokens:
+        p, score = padded(i), 0.0
+        for at in range(order - 1, len(p)):
+            bucket = 0
+            for k in range(1, order):
+                c = contexts[k][tuple(p[at - k : at])]
+                bucket = (k - 1) * lm.BUCKETS + c.bit_length() if c else bucket
+            w = fixed[bucket]
+            prob = w[-1] / (distinct + 1) + w[-2] * grams[0][(p[at],)] / total
+            for k in range(1, order):
+                c = contexts[k][tuple(p[at - k : at])]
+                prob += w[order - 1 - k] * (grams[k][tuple(p[at - k : at + 1])] / c if c else 0)
+            score += math.log10(prob)
+        assert got[i] == pytest.approx(score), (i, order)
 
 
 def test_lm_without_training_texts_and_empty_table(spark):
