@@ -81,7 +81,7 @@ def classify(text: str | None, models: list, narrow: float = NARROW) -> dict:
     """lang, score from 0 to 1, margin, and whether the margin is too narrow."""
     plain = prepared(text) if text else ""
     raw = f" {plain} ".encode()  # the spaces let whole words match at the ends of very short texts
-    if not plain or not models:
+    if not models or not any(map(str.isalpha, plain)):
         return {"lang": "und", "score": 0.0, "margin": 0.0, "rejected": True}
     blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
     sizes = sorted((sum(len(model.compress(x)) for x in blocks), name) for name, model in models)
