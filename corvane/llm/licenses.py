@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.batches import text_or_empty, written
@@ -90,6 +90,12 @@ def needed(templates: list, least: float) -> list[str]:
     return sorted(out)
 
 
+def small_table(spark: SparkSession, names: tuple[str, ...], rows: list[tuple]) -> DataFrame:
+    """A table of constants as a plan of the JVM's own."""
+    structs = [F.struct(*[F.lit(x).alias(name) for name, x in zip(names, row, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def keyed(files: DataFrame, text: str) -> DataFrame:
     """``files`` with a key of path and content; rows that repeat both share it."""
     return files.withColumn("_key", F.xxhash64(F.coalesce("path", F.lit("")), text_or_empty(text)))
@@ -100,13 +106,13 @@ def declared(files: DataFrame, templates=TEMPLATES, least: float = LEAST, text:
     spark = files.sparkSession
     idf, unknown = weights(files, templates, text)
     own = vectors(idf, templates)
-    must = "|".join(f"(?:{t.replace('.', '[.]')})" for t in needed(own, least))
-    terms_of = spark.createDataFrame([(t, x) for t, x in idf.items()], "term string, idf double")
-    parts = spark.createDataFrame([(i, t, x, n) for i, (_, v, n) in enumerate(own) for t, x in v.items()], "which int, term string, y double, length double")
+    must = F.array(*map(F.lit, needed(own, least)))
+    terms_of = small_table(spark, ("term", "idf"), list(idf.items()))
+    parts = small_table(spark, ("which", "term", "y", "length"), [(i, t, x, n) for i, (_, v, n) in enumerate(own) for t, x in v.items()])
 
-    some = keyed(files, text).where(F.lower(text_or_empty(text)).rlike(must)).select("_key", "path", F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("line", "words"))
-    some = some.where(F.lower("words").rlike(must)).distinct()
-    counts = some.select("_key", "line", F.explode(terms(F.col("words"))).alias("term")).groupBy("_key", "line", "term").agg(F.count("*").alias("n"))
+    some = keyed(files, text).where(F.arrays_overlap(terms(text_or_empty(text)), must)).select("_key", "path", F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("line", "words"))
+    some = written(some.select("_key", "path", "line", terms(F.col("words")).alias("terms")).where(F.arrays_overlap("terms", must)).distinct(), "notices")
+    counts = some.select("_key", "line", F.explode("terms").alias("term")).groupBy("_key", "line", "term").agg(F.count("*").alias("n"))
     weighed = counts.join(F.broadcast(terms_of), "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(unknown)))
     norms = weighed.groupBy("_key", "line").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
     dots = weighed.join(F.broadcast(parts), "term").groupBy("_key", "line", "which", "length").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
