@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.batches import written
+from corvane.llm.batches import forget, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,11 +18,14 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     edges = written(both, "edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    before = labels
     while True:
         heard = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         near = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         after = written(near.join(jump, "next", "left").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "labels")
-        labels = after.select("node", "label")
+        forget(before)
+        before, labels = after, after.select("node", "label")
         if not after.where("moved").take(1):
+            forget(edges)
             return labels

@@ -167,7 +167,7 @@ def _finder(docs: DataFrame, items: list, window: int):
     def find(texts: pa.Array) -> pa.Array:
         return shared.value.scan(texts)
 
-    return find
+    return find.asNondeterministic()  # it isn't, but a filter on the result must not make Spark look twice
 
 
 def hit_words(spans: Column) -> Column:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.batches import dealt_anew, small_batches, written
+from corvane.llm.batches import dealt_anew, forget, small_batches, written
 from corvane.llm.components import components
 from corvane.llm.exchange import FORWARD, Batches, forward_rows, key_bits, read_totals, totals
 from corvane.llm.words import NOT_BLANK, U64, Words, mix, window_hashes
@@ -135,8 +135,9 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
-    numbered = document_rows(docs, n, percent, text, doc_id).withColumn("row", F.monotonically_increasing_id())
-    rows = written(numbered, "rows")
+    sets = document_rows(docs, n, percent, text, doc_id)
+    rows = written(sets.withColumn("row", F.monotonically_increasing_id()), "rows")
+    forget(sets)
     alone = rows.where(F.col("prefix").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     some = rows.where(F.col("prefix").isNotNull())
     classes = some.groupBy("set_1", "set_2").agg(F.min(F.struct("doc_id", "row")).alias("first"))
@@ -161,6 +162,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, text
     more = written(compared(again, reps, percent).where("linked").select("a", "b"), "links")
     if more.take(1):
         labels = components(links.unionByName(more))
+    forget(columns, tested, named, more, reps)  # all that is left to do reads rows and labels
 
     found = members.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     return alone.unionByName(found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep")["doc_id"].alias("component_id")))

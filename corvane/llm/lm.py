@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.batches import small_batches, written
+from corvane.llm.batches import forget, small_batches, written
 from corvane.llm.exchange import FORWARD, Batches, forward_rows, key_bits, read_totals, totals
 from corvane.llm.words import NOT_BLANK, STEP, U64, Words, mix
 
@@ -211,4 +211,5 @@ def score_corpus(docs: DataFrame, fold: str = "fold", text: str = "text", doc_id
 
     scores = written(corpus.replied(answered, score, SCORES), "scores")
     corpus.drop()
+    forget(replies)
     return scores, sizes

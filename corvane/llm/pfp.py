@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.batches import small_batches, written
+from corvane.llm.batches import forget, small_batches, written
 from corvane.llm.exchange import FORWARD, Batches, forward_rows, key_bits, pack, pack_sorted, read_totals, slices, totals, unpack, unpack_sorted
 from corvane.llm.words import BYTE_VALUE, STEP, U64, flat, mix, powers, span_hashes
 
@@ -227,9 +227,12 @@ def repeated_bytes(
         return pa.table(rows, schema=_RESULT)
 
     answers = written(totals(corpus.each(send_grams, FORWARD)).where("b >= 0").select("b", "part", "totals"), "grams")
+    tables = [answers]
     for send, name in ((send_phrases, "phrases"), (send_windows, "windows")):
         found = corpus.replied(answers, send, FIRSTS).groupBy("part").applyInArrow(order_part, ANSWERS)
-        answers = answers.unionByName(written(found, name))
+        tables.append(written(found, name))
+        answers = answers.unionByName(tables[-1])
     removed = written(result(corpus.replied(answers, remove, RESULT)), "kept")
     corpus.drop()
+    forget(*tables)
     return removed
