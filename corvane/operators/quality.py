@@ -143,7 +143,7 @@ def bag_candidates(rows: DataFrame, least: float) -> DataFrame:
     A ratio of t needs 2 * overlap >= t * (n_a + n_b), so each bag shares one of its
     n - ceil(n * t / (2 - t)) + 1 rarest tokens: pairs meet on these, then bags are compared.
     """
-    bags = token_rows(rows)
+    bags = token_rows(rows).persist()  # counted, ordered and compared
     frequency = bags.groupBy("token", "k").agg(F.count("*").alias("df"))
     ordered = bags.join(frequency, ["token", "k"]).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "token", "k")))
     prefix = ordered.where((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * least / (2 - least) - 1e-9) + 1))
@@ -153,17 +153,10 @@ def bag_candidates(rows: DataFrame, least: float) -> DataFrame:
     b = prefix.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("split").alias("s_b"), "token", "k")
     fits = (F.col("s_a") != F.col("s_b")) & (F.col("a") < F.col("b")) & (2 * F.least("n_a", "n_b") >= least * (F.col("n_a") + F.col("n_b")))
     pairs = a.join(b, ["token", "k"]).where(fits).select("a", "b", "n_a", "n_b").distinct()
-    maps = rows.select("id", "tokens")
-    both = pairs.join(maps.select(F.col("id").alias("a"), F.col("tokens").alias("t_a")), "a").join(maps.select(F.col("id").alias("b"), F.col("tokens").alias("t_b")), "b")
-    overlap = bag_overlap(F.col("t_a"), F.col("t_b"))
-    return both.withColumn("overlap", overlap).where(2 * F.col("overlap") >= least * (F.col("n_a") + F.col("n_b")))
-
-
-@arrow_udf(T.LongType())
-def bag_overlap(left: pa.Array, right: pa.Array) -> pa.Array:
-    from collections import Counter
-
-    return pa.array([sum((Counter(a) & Counter(b)).values()) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.int64())
+    sets = bags.groupBy("id").agg(F.collect_list(F.xxhash64("token", "k")).alias("bag"))  # as many as a text has tokens
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
+    overlap = F.size(F.array_intersect("bag_a", "bag_b")).cast("long")
+    return both.select("a", "b", "n_a", "n_b", overlap.alias("overlap")).where(2 * F.col("overlap") >= least * (F.col("n_a") + F.col("n_b")))
 
 
 def near_duplicates(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -173,7 +166,9 @@ def near_duplicates(rows: DataFrame, text: str = "text") -> DataFrame:
     tokens are alike in full.
     """
     tokens = rows.select("id", "split", "sourced", exact_comparison_tokens(F.col(text)).alias("tokens")).persist()  # five uses
-    found = bag_candidates(tokens, SIMILAR_SOURCES).select("a", "b", "t_a", "t_b")
+    found = bag_candidates(tokens, SIMILAR_SOURCES).select("a", "b")
+    lists = tokens.select("id", "tokens")
+    found = found.join(lists.select(F.col("id").alias("a"), F.col("tokens").alias("t_a")), "a").join(lists.select(F.col("id").alias("b"), F.col("tokens").alias("t_b")), "b")
     empty = tokens.where(F.size("tokens") == 0).select("id", "split")
     blank = empty.select(F.col("id").alias("a"), F.col("split").alias("x")).join(empty.select(F.col("id").alias("b"), F.col("split").alias("y")), (F.col("x") < F.col("y")) | (F.col("x") > F.col("y")))
     scored = found.select("a", "b", sequence_ratio(F.col("t_a"), F.col("t_b")).alias("score")).unionByName(blank.where("a < b").select("a", "b", F.lit(1.0).alias("score")))
