@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import json_text
+from corvane.functions import json_text, observation
 from corvane.functions.cues import facts
 from corvane.functions.html import Gate, article_text
 from corvane.functions.relevance import relevance_score
 from corvane.functions.segment import passages, sentence_units
 from corvane.functions.text import dedup_key, exact_comparison_tokens, passage_terms, redacted, reject_reason, search_terms, without_fence
-from corvane.operators import explain, metrics, policy, quality, retrieval, review
+from corvane.operators import evaluation, explain, metrics, policy, quality, retrieval, training
 from corvane.plans.knowledge import knowledge
 from corvane.plans.messages import expected_sql, messages, text_sql
 from corvane.session import load
@@ -486,3 +486,68 @@ def observation_errors(spark, sf_dir):
 @query("dedup_keys", rf"SELECT doc_id, {KEY_SQL} AS key_hash FROM documents")
 def dedup_keys(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.sha2(dedup_key(F.col("text")), 256).alias("key_hash"))
+
+
+@query("observation_texts", f"""
+    SELECT o_orderkey AS input_id, CASE {expected_sql(2)} WHEN 'message' THEN 'This is a message or email.' WHEN 'alert' THEN 'This is a notification or popup.'
+        WHEN 'wifi' THEN 'This describes an iPhone Wi-Fi connection.' ELSE 'There is not enough information to identify the situation reliably.' END AS summary, o_orderkey % 16 = 14 AS asks_for_context FROM orders""")
+def observation_texts(spark, sf_dir):
+    seen = observed_messages(spark, sf_dir)
+    asks = observation.uncertainty(F.col("issues")) == observation.ISSUE_TEXT["insufficient_context"]
+    return seen.select("input_id", observation.summary(F.col("category")).alias("summary"), asks.alias("asks_for_context"))
+
+
+@query("context_budget", "SELECT doc_id, ceil(length(text) / 4.0)::BIGINT + 256 <= 4096 AS fits FROM documents")
+def context_budget(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", observation.fits_context(F.ceil(F.length("text") / 4.0), F.lit(256)).alias("fits"))
+
+
+@query("length_violations", """
+    WITH t AS (SELECT doc_id AS id, len(string_split(split_part(text, chr(10), 1), ' ')) AS p, len(string_split(replace(text, chr(10), ' '), ' ')) AS f FROM documents),
+         v AS (SELECT id, CASE WHEN f <= p THEN 'completion_boundary' WHEN f > 1536 THEN 'sequence_length' WHEN f - p > 256 THEN 'completion_length' END AS rule FROM t)
+    SELECT id, rule FROM v WHERE rule IS NOT NULL""")
+def length_violations(spark, sf_dir):
+    prompt, full = F.split(F.substring_index("text", "\n", 1), " ", -1), F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)
+    return training.length_violations(documents(spark, sf_dir).select("doc_id", prompt.alias("p"), full.alias("f")), "doc_id", "p", "f")
+
+
+@query("epoch_groups", "SELECT (i // 4)::BIGINT AS group_no, count(*) AS n FROM (SELECT row_number() OVER () - 1 AS i FROM documents) GROUP BY 1")
+def epoch_groups(spark, sf_dir):
+    return training.epoch_groups(load(spark, sf_dir, "documents"), "doc_id", 7, 3, 4).groupBy("group_no").agg(F.count("*").alias("n"))
+
+
+@query("challenge_checks", """
+    SELECT 'templates' AS suite, "check", count(*) AS passed, count(*) AS total FROM orders, (SELECT unnest(['category', 'level', 'required_flags', 'appropriate_action', '*']) AS "check") GROUP BY ALL""")
+def challenge_checks(spark, sf_dir):
+    parts = lambda k: F.filter(F.split(F.expr(expected_sql(k)), ","), lambda x: x != "")
+    orders = load(spark, sf_dir, "orders")
+    expected = orders.select(F.col("o_orderkey").alias("input_id"), F.expr(expected_sql(2)).alias("expected_category"), F.array(F.expr(expected_sql(3))).alias("levels"), parts(1).alias("required_flags"), parts(4).alias("actions_any"))
+    both = evaluation.expectations(guided_messages(spark, sf_dir), expected, "input_id")
+    return metrics.check_counts(both.select(F.lit("templates").alias("suite"), evaluation.challenge_checks().alias("checks")), "suite", "checks")
+
+
+@query("contract_checks", """
+    SELECT 'templates' AS suite, "check", count(*) AS passed, count(*) AS total FROM orders, (SELECT unnest(['approved_actions_only', 'no_prohibited_actions', 'action_evidence_verified', 'citation_provenance',
+        'literal_explanation', 'handoff_preserves_actions', 'handoff_no_completion_claim', 'handoff_does_not_copy_input', 'private_markers_excluded', '*']) AS "check") GROUP BY ALL""")
+def contract_checks(spark, sf_dir):
+    guided = guided_messages(spark, sf_dir).persist()
+    shared = policy.handoff(guided, "input_id", knowledge(spark)).select("input_id", F.col("status").alias("handoff_status"), F.col("action_ids").alias("handoff_actions"), F.col("text").alias("handoff_text"))
+    rows = guided.join(shared, "input_id").join(messages(spark, sf_dir), "input_id")
+    rows = rows.withColumns({"explanation": F.lit(""), "quote": F.lit(None).cast("string"), "excerpt": F.lit(""), "private_markers": F.array(F.lit("482913"), F.lit("shop.example"))})
+    return metrics.check_counts(rows.select(F.lit("templates").alias("suite"), evaluation.contract_checks().alias("checks")), "suite", "checks")
+
+
+@query("replay_changes", "SELECT o_orderkey AS input_id, 'message' AS before, 'unknown' AS after FROM orders WHERE o_orderkey % 16 = 14")
+def replay_changes(spark, sf_dir):
+    seen = observed_messages(spark, sf_dir)
+    before = seen.select("input_id", F.col("observed.category").alias("c"))
+    return metrics.changes(before, seen.select("input_id", F.col("category").alias("c")), "input_id", "c")
+
+
+@query("result_view", f"""
+    SELECT o_orderkey AS input_id, replace({expected_sql(3)}, '_', ' ') AS title, len(string_split({expected_sql(4)}, ','))::INT AS n_steps,
+           CASE WHEN {expected_sql(3)} IN ('attention', 'connection_check', 'check_source') THEN 2 ELSE 0 END::INT AS n_avoid FROM orders""")
+def result_view(spark, sf_dir):
+    seen = observed_messages(spark, sf_dir).withColumn("explanation", F.lit(""))
+    view = policy.result_view(seen, guided_messages(spark, sf_dir), "input_id")
+    return view.select("input_id", "title", F.size("steps").alias("n_steps"), F.size("avoid").alias("n_avoid"))
