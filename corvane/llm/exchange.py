@@ -26,9 +26,13 @@ from pyspark.sql import functions as F
 
 from corvane.llm.batches import release
 
-#: Characters of text in a batch, and keys in a part: what one Python worker holds at once.
+#: Characters of text in a batch, and keys in a part: what one Python worker holds at once (some 150 MB).
+#: Rows that are sent are batches x parts at most, and keys at most: a larger corpus wants larger ones, as
+#: far as workers have memory, by the settings spark.corvane.batchChars and spark.corvane.partKeys.
 BATCH_CHARS = 4_000_000
 PART_KEYS = 2_000_000
+#: Keys are dealt by so many of their highest bits.
+SLOT_BITS = 24
 
 FORWARD = "b long, part int, keys binary, values array<binary>"
 REPLY = "b long, part int, totals array<binary>, stats array<long>"
@@ -57,10 +61,10 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
 
 
 def slices(keys: np.ndarray, bits: int, parts: int) -> Iterator[tuple[int, int, int]]:
-    """(part, from, to) of sorted keys of ``bits`` bits, dealt by their highest 16 bits."""
-    slot = (keys >> np.uint64(bits - 16)).astype(np.int64)
-    edge = np.searchsorted(slot * parts >> 16, np.arange(parts + 1))
-    return ((p, int(edge[p]), int(edge[p + 1])) for p in range(parts) if edge[p] < edge[p + 1])
+    """(part, from, to) of sorted keys of ``bits`` bits, dealt by their highest bits; parts without keys are left out."""
+    part = (keys >> np.uint64(bits - SLOT_BITS)).astype(np.int64) * parts >> SLOT_BITS
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    return zip(part[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(part)], strict=len(part) > 0)
 
 
 def key_bits(keys: int, spare: int) -> int:
@@ -71,15 +75,16 @@ def key_bits(keys: int, spare: int) -> int:
 class Batches:
     """A corpus in batches; ``drop()`` removes the table when the results are written."""
 
-    def __init__(self, df: DataFrame, text: str = "text", chars: int = BATCH_CHARS, deal_by=None):
+    def __init__(self, df: DataFrame, text: str = "text"):
         self.spark = df.sparkSession
+        chars = self.setting("spark.corvane.batchChars", BATCH_CHARS)
         total = df.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]  # characters, or bytes of binary texts
-        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        least = self.setting("spark.sql.shuffle.partitions", 200)
         self.chars, self.n = total, max(1, least, -(-total // chars))
         self.name = f"corvane_batches_{uuid.uuid4().hex}"
-        key = deal_by if deal_by is not None else F.xxhash64("doc_id", text)
-        dealt = df.withColumn("b", F.pmod(key, F.lit(self.n)))
-        dealt.repartition(self.n, "b").write.option("compression", "zstd").bucketBy(self.n, "b").saveAsTable(self.name)
+        buckets = min(self.n, self.setting("spark.sql.sources.bucketing.maxBuckets", 100_000))  # then some hold several batches
+        dealt = df.withColumn("b", F.pmod(F.xxhash64("doc_id", text), F.lit(self.n)))
+        dealt.repartition(buckets, "b").write.option("compression", "zstd").bucketBy(buckets, "b").saveAsTable(self.name)
         self.table = self.spark.table(self.name)
         self.clean()
 
@@ -88,8 +93,13 @@ class Batches:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def setting(self, name: str, otherwise: int) -> int:
+        return int(self.spark.conf.get(name, str(otherwise)))
+
     def parts(self, keys: float) -> int:
-        return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(keys / PART_KEYS))
+        """How many parts ``keys`` keys are dealt to."""
+        wanted = math.ceil(keys / self.setting("spark.corvane.partKeys", PART_KEYS))
+        return min(max(1, self.setting("spark.sql.shuffle.partitions", 200), wanted), 1 << SLOT_BITS)
 
     def each(self, function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
         def one(table: pa.Table) -> pa.Table:

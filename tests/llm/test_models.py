@@ -182,3 +182,36 @@ def test_licence_scores_match_a_plain_computation(spark):
                     best[path] = (name, score)
     got = {r.path: (r.license, r.score) for r in licenses.declared(files).collect()}
     assert {k: (n, round(s, 6)) for k, (n, s) in got.items()} == {k: (n, round(s, 6)) for k, (n, s) in best.items()}
+
+
+def test_exchange_totals_match_plain_counts_with_several_batches_a_bucket(spark):
+    import pyarrow as pa
+
+    from corvane.llm import exchange
+    from corvane.llm.words import NOT_BLANK, Words
+
+    texts = [prose(200) for _ in range(30)] + [None, ""]
+    spark.conf.set("spark.corvane.batchChars", "2000")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")
+    try:
+        corpus = exchange.Batches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert corpus.n > 3
+
+        def send(table: pa.Table) -> pa.Table:
+            keys, n = np.unique(Words(table["text"], NOT_BLANK).hashes(), return_counts=True)
+            return exchange.forward_rows(table["b"][0].as_py(), [(keys, [n], 64, 5, 0)])
+
+        def receive(table: pa.Table, replies: pa.Table) -> pa.Table:
+            words = Words(table["text"], NOT_BLANK)
+            keys = np.unique(words.hashes())
+            got = exchange.read_totals(replies, 0, 5, 0)
+            rows = [(words.word(k).decode(), int(got[np.searchsorted(keys, h)])) for k, h in enumerate(words.hashes())]
+            return pa.table({"word": [r[0] for r in rows], "n": [r[1] for r in rows]}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
+
+        replies = exchange.totals(corpus.each(send, exchange.FORWARD)).where("b >= 0")
+        got = {(r.word, r.n) for r in corpus.replied(replies, receive, "word string, n long").collect()}
+        corpus.drop()
+    finally:
+        spark.conf.unset("spark.corvane.batchChars")
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    assert got == set(Counter(w for t in texts for w in blank_words(t)).items())
