@@ -141,17 +141,18 @@ def bag_candidates(rows: DataFrame, least: float) -> DataFrame:
     """Pairs of rows(id, split, tokens) of different splits whose bags of tokens allow a ratio of ``least``, with the overlap.
 
     A ratio of t needs 2 * overlap >= t * (n_a + n_b), so each bag shares one of its
-    n - ceil(n * t / (2 - t)) + 1 rarest tokens: pairs meet on these, then bags are compared.
+    n - ceil(n * t / (2 - t)) + 1 rarest tokens: pairs meet on these. At the first token that
+    they share, what is left of either bag bounds the overlap. Then bags are compared.
     """
     bags = token_rows(rows).persist()  # counted, ordered and compared
     frequency = bags.groupBy("token", "k").agg(F.count("*").alias("df"))
     ordered = bags.join(frequency, ["token", "k"]).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "token", "k")))
     prefix = ordered.where((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * least / (2 - least) - 1e-9) + 1))
     splits = rows.select("id", "split")
-    prefix = prefix.select("id", "n", "token", "k").join(splits, "id")
-    a = prefix.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("split").alias("s_a"), "token", "k")
-    b = prefix.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("split").alias("s_b"), "token", "k")
-    fits = (F.col("s_a") != F.col("s_b")) & (F.col("a") < F.col("b")) & (2 * F.least("n_a", "n_b") >= least * (F.col("n_a") + F.col("n_b")))
+    prefix = prefix.select("id", "n", "token", "k", (F.col("n") - F.col("place") + 1).alias("left")).join(splits, "id")
+    a = prefix.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("split").alias("s_a"), "token", "k")
+    b = prefix.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), F.col("split").alias("s_b"), "token", "k")
+    fits = (F.col("s_a") != F.col("s_b")) & (F.col("a") < F.col("b")) & (2 * F.least("left_a", "left_b") >= least * (F.col("n_a") + F.col("n_b")))
     pairs = a.join(b, ["token", "k"]).where(fits).select("a", "b", "n_a", "n_b").distinct()
     sets = bags.groupBy("id").agg(F.collect_list(F.xxhash64("token", "k")).alias("bag"))  # as many as a text has tokens
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
