@@ -45,7 +45,7 @@ ROUNDS = 60
 LEAST_WEIGHT = 1e-6
 #: Ratios are kept as round(PER_OCTAVE * log2(ratio)) + SHIFT, zero as -1; codes fit in CODE_BITS.
 PER_OCTAVE, SHIFT, CODE_BITS = 2, 128, 9
-SPARE_BITS = 18
+SPARE_BITS = 14
 END = mix(np.array([0x456E64], dtype=U64))[0]
 
 SCORES = "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double"
