@@ -1,8 +1,9 @@
 """A training-data pipeline over ``documents``: each stage reads what its predecessor wrote.
 
 Language ID drops texts without a recognised language; exact dedup keeps one of each set of
-equal texts, and the Jaccard join one of each group of near copies; decontamination cuts benchmark passages, or drops a document that is mostly
-benchmark; byte-level BPE encodes what is left and decodes it again.
+equal texts, and the Jaccard join one of each group of near copies; decontamination cuts
+benchmark passages, or drops a document that is mostly benchmark; byte-level BPE encodes what
+is left and decodes it again.
 """
 
 from __future__ import annotations
