@@ -69,12 +69,21 @@ def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfp.repeated_bytes(table(spark, sf_dir, "documents"), result=digest)
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.deduplicate_lines(table(spark, sf_dir, "documents"))
+def without_repeated_lines(spark: SparkSession, sf_dir: str, min_lines: int) -> DataFrame:
+    found = lines.deduplicate_lines(table(spark, sf_dir, "documents"), min_lines)
     removed = F.aggregate("spans", F.lit(0), lambda total, x: total + x[1] - x[0]).cast("long")
     return found.select("doc_id", "n_lines", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(spark, sf_dir, lines.MIN_LINES)
+
+
+def op7_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7_line_dedup where a run of one line counts, too."""
+    return without_repeated_lines(spark, sf_dir, 1)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = langid.fit(docs.where(remainder(4) != 2))
@@ -101,6 +110,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_repeated_bytes": op6_repeated_bytes,
     "op7_line_dedup": op7_line_dedup,
+    "op7_line_dedup_whole": op7_line_dedup_whole,
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
@@ -139,6 +149,13 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT prior) AS n_runs,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM g GROUP BY doc_id""",
+    "op7_line_dedup_whole": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+             f AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS gone FROM l),
+             g AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS prior FROM f)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT prior) AS n_runs,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM g GROUP BY doc_id""",
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
              g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
