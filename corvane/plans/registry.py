@@ -392,14 +392,17 @@ def html_article_text(spark, sf_dir):
     return pages.select("page_id", article_text(Gate())(F.col("html")).alias("article"))
 
 
-@query("source_verification", """
-    WITH x AS (SELECT l_orderkey AS record_number, l_linenumber, l_returnflag FROM lineitem WHERE l_linenumber <= 2),
+def verification_sql(lines: str) -> str:
+    return f"""
+    WITH x AS (SELECT l_orderkey AS record_number, l_linenumber, l_returnflag FROM {lines}),
     u AS (SELECT record_number, count(*) AS uses FROM x GROUP BY record_number)
     SELECT record_number * 10 + l_linenumber AS id, 'train' AS split, l_returnflag AS label,
            CASE WHEN o_orderkey IS NULL THEN 'no_such_record' WHEN uses > 1 THEN 'repeated_record' WHEN l_returnflag <> CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END THEN 'label' END AS problem
-    FROM x JOIN u USING (record_number) LEFT JOIN orders ON o_orderkey = record_number""")
-def source_verification(spark, sf_dir):
-    lines = load(spark, sf_dir, "lineitem").where("l_linenumber <= 2").join(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    FROM x JOIN u USING (record_number) LEFT JOIN orders ON o_orderkey = record_number"""
+
+
+def verified(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    lines = lines.join(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     rows = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.lit("train").alias("split"), F.col("l_orderkey").alias("record_number"), F.col("l_returnflag").alias("label"),
                         F.sha2("o_orderpriority", 256).alias("raw_sha256"), F.col("o_orderpriority").alias("text"))
     label = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
@@ -407,6 +410,17 @@ def source_verification(spark, sf_dir):
     return quality.verify_source(rows, archive, F.col("raw"))
 
 
+@query("source_verification", verification_sql("lineitem WHERE l_linenumber <= 2"))
+def source_verification(spark, sf_dir):
+    return verified(spark, sf_dir, load(spark, sf_dir, "lineitem").where("l_linenumber <= 2"))
+
+
+@query("source_verification_whole", verification_sql("lineitem"))
+def source_verification_whole(spark, sf_dir):
+    """source_verification of every line."""
+    return verified(spark, sf_dir, load(spark, sf_dir, "lineitem"))
+
+
 @query("topic_relevance", r"""
     WITH s AS (SELECT doc_id, 'In this ' || source || ' text a gift card number for ' || lang || ' was used to pay' || CASE doc_id % 3 WHEN 0 THEN ' and it is a scam with pressure' WHEN 1 THEN ' so do not reset it' ELSE '' END AS t,
                       CASE doc_id % 4 WHEN 0 THEN 'gift_payment' WHEN 1 THEN 'payment' WHEN 2 THEN 'popup' ELSE 'secrets' END AS topic FROM documents)
