@@ -79,9 +79,13 @@ def selection_sql(words: str, limit: int) -> str:
         found AS (SELECT * FROM ranked WHERE rank <= {limit})"""
 
 
-def asked(spark: SparkSession, sf_dir: str, expansion: bool = False) -> DataFrame:
+def asked(spark: SparkSession, sf_dir: str, expansion: bool = False, whole: bool = False) -> DataFrame:
+    """Benchmark items as queries: words 1-8, and 9-12 as expansion; ``whole`` items keep every word."""
     parts = F.split("text", " ")
     item = load(spark, sf_dir, "benchmark")
+    if whole:
+        head, rest = F.array_join(F.slice(parts, 1, 8), " "), F.array_join(F.slice(parts, 9, F.greatest(F.size(parts), F.lit(1))), " ")
+        return item.select(F.col("item_id").alias("query_id"), (head if expansion else F.col("text")).alias("query"), (rest if expansion else F.lit("")).alias("expansion"), F.lit(None).cast("string").alias("category"))
     text = lambda a, n: F.array_join(F.slice(parts, a, n), " ")
     return item.select(F.col("item_id").alias("query_id"), text(1, 8).alias("query"), text(9, 4).alias("expansion") if expansion else F.lit("").alias("expansion"), F.lit(None).cast("string").alias("category"))
 
@@ -91,14 +95,21 @@ def keyword_search(spark, sf_dir):
     return retrieval.search_documents(asked(spark, sf_dir), documents(spark, sf_dir), 3)
 
 
-@query("bm25_search", f"""
-    WITH {selection_sql('array_to_string(string_split(text, chr(32))[1:12], chr(32))', 10)},
+@query("keyword_search_whole", f"WITH {selection_sql('text', 3)} SELECT query_id, doc_id, score, rank FROM found")
+def keyword_search_whole(spark, sf_dir):
+    """keyword_search with every word of every item."""
+    return retrieval.search_documents(asked(spark, sf_dir, whole=True), documents(spark, sf_dir), 3)
+
+
+def bm25_sql(both: str, first: str, expansion: str) -> str:
+    return f"""
+    WITH {selection_sql(both, 10)},
     pas AS (SELECT doc_id, doc_id || ':' || (o - 1) || ':' || sha256(line)[1:10] AS passage_id, {bag_sql('line')} AS terms
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS o FROM corpus WHERE doc_id IN (SELECT doc_id FROM found))),
     mine AS (SELECT query_id, f.doc_id, f.score AS doc_score, passage_id, terms, len(terms) AS length FROM found f JOIN pas USING (doc_id)),
     stat AS (SELECT query_id, count(*) AS n, avg(length) AS average FROM mine GROUP BY query_id),
-    w AS (SELECT item_id AS query_id, unnest({bag_sql('array_to_string(string_split(text, chr(32))[1:8], chr(32))')}) AS term, 1.0::DOUBLE AS weight FROM benchmark
-          UNION ALL SELECT item_id, unnest({bag_sql('array_to_string(string_split(text, chr(32))[9:12], chr(32))')}), 0.2::DOUBLE FROM benchmark),
+    w AS (SELECT item_id AS query_id, unnest({bag_sql(first)}) AS term, 1.0::DOUBLE AS weight FROM benchmark
+          UNION ALL SELECT item_id, unnest({bag_sql(expansion)}), 0.2::DOUBLE FROM benchmark),
     ww AS (SELECT query_id, term, max(weight) AS weight FROM w GROUP BY query_id, term),
     tf AS (SELECT query_id, doc_id, doc_score, passage_id, length, term, count(*) AS tf FROM (SELECT query_id, doc_id, doc_score, passage_id, length, unnest(terms) AS term FROM mine) GROUP BY ALL),
     hit AS (SELECT tf.*, weight FROM tf JOIN ww USING (query_id, term)),
@@ -108,11 +119,28 @@ def keyword_search(spark, sf_dir):
            FROM hit JOIN df USING (query_id, term) JOIN stat USING (query_id) GROUP BY query_id, doc_id, passage_id, doc_score),
     cap AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, passage_id) AS k FROM sc WHERE specific),
     fin AS (SELECT query_id, doc_id, passage_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id)::INT AS rank FROM cap WHERE k <= 2)
-    SELECT query_id, doc_id, passage_id, score, rank FROM fin WHERE rank <= 3""")
-def bm25_search(spark, sf_dir):
+    SELECT query_id, doc_id, passage_id, score, rank FROM fin WHERE rank <= 3"""
+
+
+def search_lines(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
     corpus = documents(spark, sf_dir)
     lines = retrieval.passage_table(corpus, lambda text: F.split(text, "\n", -1))
-    return retrieval.search_passages(asked(spark, sf_dir, True), corpus, lines, any_platform_for=None)
+    return retrieval.search_passages(queries, corpus, lines, any_platform_for=None)
+
+
+def words_sql(a: str) -> str:
+    return f"array_to_string(string_split(text, chr(32))[{a}], chr(32))"
+
+
+@query("bm25_search", bm25_sql(words_sql("1:12"), words_sql("1:8"), words_sql("9:12")))
+def bm25_search(spark, sf_dir):
+    return search_lines(spark, sf_dir, asked(spark, sf_dir, True))
+
+
+@query("bm25_search_whole", bm25_sql("text", words_sql("1:8"), words_sql("9:")))
+def bm25_search_whole(spark, sf_dir):
+    """bm25_search with every word of every item: words 1-8 are the query, all others the expansion."""
+    return search_lines(spark, sf_dir, asked(spark, sf_dir, True, whole=True))
 
 
 @query("term_counts", f"SELECT doc_id, len({terms_sql('text')})::BIGINT AS n_search_terms, len({bag_sql('text')})::BIGINT AS n_passage_terms FROM documents")
