@@ -80,6 +80,6 @@ def exact_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``df`` without the rows whose text an earlier row has; same columns."""
-    gone = exact_duplicates(df, text, doc_id).where(~F.col("kept")).select(F.col("doc_id").alias("_corvane_id"))
-    return df.join(gone, F.col(doc_id) == F.col("_corvane_id"), "left_anti")
+    """``df`` without the rows whose text an earlier row has; same columns. Decisions come back by id and text: an id may repeat with other texts, or be null."""
+    gone = exact_duplicates(df, text, doc_id).where(~F.col("kept")).select(F.col("doc_id").alias("_corvane_id"), F.col("text_sha256").alias("_corvane_sha256"))
+    return df.join(gone, F.col(doc_id).eqNullSafe(F.col("_corvane_id")) & (F.sha2(normalised(text), 256) == F.col("_corvane_sha256")), "left_anti")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.batches import dealt_anew, forget, small_batches, written
+from corvane.llm.batches import dealt_anew, forget, small_batches, text_or_empty, written
 from corvane.llm.components import components
 from corvane.llm.exchange import FORWARD, Batches, forward_rows, key_bits, read_totals, totals
 from corvane.llm.words import NOT_BLANK, U64, Words, mix, window_hashes
@@ -46,8 +46,8 @@ N = 5
 PERCENT = 80
 SPARE_BITS = 16
 
-ROWS = "doc_id long, n long, set_1 long, set_2 long, own double, prefix array<long>, shared array<long>"
-_ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_1", pa.int64()), ("set_2", pa.int64()), ("own", pa.float64()), ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
+ROWS = "doc_id long, t long, n long, set_1 long, set_2 long, own double, prefix array<long>, shared array<long>"
+_ROWS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("set_1", pa.int64()), ("set_2", pa.int64()), ("own", pa.float64()), ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -66,10 +66,14 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
+def text_hash(text: str):
+    return F.xxhash64(text_or_empty(text))
+
+
 def document_rows(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> DataFrame:
     """One row for each row of ``docs``: set size and identity; and of possible partners' columns, the rarest and all."""
     small_batches(docs.sparkSession)
-    corpus = Batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    corpus = Batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("t")))
     bits, parts = key_bits(corpus.chars // 2, SPARE_BITS), corpus.parts(corpus.chars / 6)
     shift = U64(64 - bits)
 
@@ -84,12 +88,13 @@ def document_rows(docs: DataFrame, n: int, percent: int, text: str, doc_id: str)
         keys = np.unique(np.concatenate(sets) >> shift)
         frequency = read_totals(replies, 0, parts, 0)
         rows: dict = {name: [] for name in _ROWS.names}
-        for doc, own in zip(table["doc_id"].to_pylist(), sets, strict=True):
+        for doc, t, own in zip(table["doc_id"].to_pylist(), table["t"].to_pylist(), sets, strict=True):
             f = frequency[np.searchsorted(keys, own >> shift)]
             first = np.argsort(f, kind="stable")[: len(own) - math.ceil(len(own) * percent / 100) + 1]  # ties by hash
             prefix = own[first][f[first] > 1]
             some = doc is not None and len(prefix) > 0
             rows["doc_id"].append(doc)
+            rows["t"].append(t)
             rows["n"].append(len(own))
             rows["set_1"].append(int(mix(own).sum(dtype=U64).astype(np.int64)) if some else None)
             rows["set_2"].append(int(mix(own ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64).astype(np.int64)) if some else None)
@@ -133,15 +138,15 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
+def jaccard_rows(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> DataFrame:
+    """doc_id, t (hash of the text), n_shingles, component_id and kept (the first of its component by id and t) of every row."""
     sets = document_rows(docs, n, percent, text, doc_id)
     rows = written(sets.withColumn("row", F.monotonically_increasing_id()), "rows")
     forget(sets)
-    alone = rows.where(F.col("prefix").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = rows.where(F.col("prefix").isNull()).select("doc_id", "t", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     some = rows.where(F.col("prefix").isNotNull())
-    classes = some.groupBy("set_1", "set_2").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    members = some.select("doc_id", "n", F.struct("set_1", "set_2").alias("set")).join(
+    classes = some.groupBy("set_1", "set_2").agg(F.min(F.struct("doc_id", "t", "row")).alias("first"))
+    members = some.select("doc_id", "t", "n", F.struct("set_1", "set_2").alias("set")).join(
         classes.select(F.struct("set_1", "set_2").alias("set"), F.col("first").alias("rep")).hint("merge"), "set")
     reps = written(some.join(classes.select("first.row", F.col("first").alias("rep")), "row").select("rep", "n", "own", "prefix", "shared"), "reps")
     alone_n = (F.col("n") - F.size("shared")).alias("alone")
@@ -165,10 +170,17 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, text
     forget(columns, tested, named, more, reps)  # all that is left to do reads rows and labels
 
     found = members.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
-    return alone.unionByName(found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep")["doc_id"].alias("component_id")))
+    first = F.coalesce("label", "rep")
+    kept = (F.col("doc_id") == first["doc_id"]) & (F.col("t") == first["t"])
+    return alone.unionByName(found.select("doc_id", "t", F.col("n").alias("n_shingles"), first["doc_id"].alias("component_id"), kept.alias("kept")))
+
+
+def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
+    return jaccard_rows(docs, n, percent, text, doc_id).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one with the smallest id; same columns."""
-    gone = jaccard_components(docs, n, percent, text, doc_id).where("component_id <> doc_id").select(F.col("doc_id").alias("_corvane_id")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_corvane_id"), "left_anti")
+    """``docs`` with one document of each group of near copies, the one with the smallest id (then hash of the text); same columns."""
+    gone = jaccard_rows(docs, n, percent, text, doc_id).where(~F.col("kept")).select(F.col("doc_id").alias("_corvane_id"), F.col("t").alias("_corvane_t"))
+    return docs.join(gone, (F.col(doc_id) == F.col("_corvane_id")) & (text_hash(text) == F.col("_corvane_t")), "left_anti")
