@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
+"""N-gram Jaccard join: candidate pairs from the document by n-gram incidence, then both whole sets compared.
 
 A document's set has the distinct runs of ``N`` words (fewer words: all of them as one); two
 documents link when their sets' Jaccard similarity is at least ``PERCENT`` / 100.
