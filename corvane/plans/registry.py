@@ -336,6 +336,16 @@ def before_after_diff(spark, sf_dir):
     return found.select("doc_id", F.sha2("before", 256).alias("before_hash"), F.sha2("after", 256).alias("after_hash"))
 
 
+@query("before_after_diff_whole", r"""
+    WITH d AS (SELECT doc_id, text AS before, regexp_replace(text, '[0-9]{5,}', '[NUMBER]', 'g') AS after FROM documents)
+    SELECT doc_id, sha256(before) AS before_hash, sha256(after) AS after_hash FROM d WHERE before IS DISTINCT FROM after""")
+def before_after_diff_whole(spark, sf_dir):
+    """before_after_diff of every document."""
+    docs = load(spark, sf_dir, "documents")
+    found = metrics.changes(docs, docs.withColumn("text", F.regexp_replace("text", "[0-9]{5,}", "[NUMBER]")), "doc_id", "text")
+    return found.select("doc_id", F.sha2("before", 256).alias("before_hash"), F.sha2("after", 256).alias("after_hash"))
+
+
 @query("best_checkpoint", """
     WITH h AS (SELECT l_suppkey % 50 AS run, l_linenumber AS epoch, count(*) AS matches, count(*) FILTER (l_returnflag = 'R') AS extras, round(avg(l_discount), 3) AS f1, max(l_tax) AS loss FROM lineitem GROUP BY ALL)
     SELECT run, epoch, matches, extras, f1, loss FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY matches DESC, extras, f1 DESC, loss, epoch) AS n FROM h) WHERE n = 1""")
