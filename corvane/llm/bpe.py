@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from corvane.llm.batches import release, small_batches
+from corvane.llm.batches import in_pieces, send_package
 
 #: The largest rank file that is sent to executors.
 MOST_RANK_BYTES = 64 << 20
@@ -111,46 +111,44 @@ def decode_ids(ids: list[int] | None, encoding) -> bytes | None:
 
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the array column ``ids`` of token ids of the whole text."""
-    small_batches(df.sparkSession)
+    send_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(rank_file_bytes(rank_file))
 
     @arrow_udf(T.ArrayType(T.IntegerType()))
     def to_ids(texts: pa.Array) -> pa.Array:
         encoding = tokenizer(shared.value, pattern)
-        found = id_array([encode_text(x.as_py(), encoding) for x in texts])
-        release()
-        return found
+        return in_pieces(texts, lambda some: id_array([encode_text(x.as_py(), encoding) for x in some]))
 
     return df.withColumn(ids, to_ids(F.col(text)))
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", raw: str = "raw") -> DataFrame:
     """``df`` with the binary column ``raw``: the bytes that the ids stand for, whether or not they are valid UTF-8."""
-    small_batches(df.sparkSession)
+    send_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(rank_file_bytes(rank_file))
 
     @arrow_udf(T.BinaryType())
     def to_bytes(arrays: pa.Array) -> pa.Array:
         encoding = tokenizer(shared.value, pattern)
-        found = pa.array([decode_ids(x.values.to_numpy().tolist() if x.is_valid else None, encoding) for x in arrays], pa.binary())
-        release()
-        return found
+        return pa.array([decode_ids(x.values.to_numpy().tolist() if x.is_valid else None, encoding) for x in arrays], pa.binary())
 
     return df.withColumn(raw, to_bytes(F.col(ids)))
 
 
 def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", raw: str = "raw") -> DataFrame:
     """``df`` with both columns, as ``decode(encode(df))`` gives them, in one pass: each text is encoded once, and its ids decoded."""
-    small_batches(df.sparkSession)
+    send_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(rank_file_bytes(rank_file))
     both = "_corvane_both"
 
     @arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("raw", T.BinaryType())]))
     def run(texts: pa.Array) -> pa.Array:
         encoding = tokenizer(shared.value, pattern)
-        lists = [encode_text(x.as_py(), encoding) for x in texts]
-        found = pa.StructArray.from_arrays([id_array(lists), pa.array([decode_ids(x, encoding) for x in lists], pa.binary())], ["ids", "raw"])
-        release()
-        return found
+
+        def some(part: pa.Array) -> pa.Array:
+            lists = [encode_text(x.as_py(), encoding) for x in part]
+            return pa.StructArray.from_arrays([id_array(lists), pa.array([decode_ids(x, encoding) for x in lists], pa.binary())], ["ids", "raw"])
+
+        return in_pieces(texts, some)
 
     return df.withColumn(both, run(F.col(text))).withColumns({ids: F.col(f"{both}.ids"), raw: F.col(f"{both}.raw")}).drop(both)

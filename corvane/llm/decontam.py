@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from corvane.llm.batches import small_batches
+from corvane.llm.batches import in_pieces, send_package
 from corvane.llm.words import ALNUM, Words, flat, window_hashes
 
 WINDOW = 10
@@ -139,7 +139,7 @@ def scan(
     branch of a union, so that no worker holds two; a document's hits then meet by a key of its
     id and text, and are joined back.
     """
-    small_batches(docs.sparkSession)
+    send_package(docs.sparkSession)
     shared = [_finder(docs, x, window) for x in blocks(benchmark, window, item_id, item_text, most_windows)]
     if len(shared) == 1:
         return docs.withColumn(found, shared[0](F.col(text)))
@@ -165,7 +165,7 @@ def _finder(docs: DataFrame, items: list, window: int):
 
     @arrow_udf(FOUND)
     def find(texts: pa.Array) -> pa.Array:
-        return shared.value.scan(texts)
+        return in_pieces(texts, shared.value.scan)
 
     return find.asNondeterministic()  # it isn't, but a filter on the result must not make Spark look twice
 

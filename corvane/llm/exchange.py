@@ -1,12 +1,16 @@
 """Counting keys of a corpus by batches, so that no key can be a hot spot.
 
 A corpus is dealt into batches of a few MB of text and written once as a bucketed table in
-the warehouse, so that every later pass reads whole batches without a shuffle. A pass over
+the shared folder, so that every later pass reads whole batches without a shuffle. A pass over
 the batches sends each distinct key of a batch once, with the batch's own counts, to the
 part that its hash belongs to; the part adds up what the batches sent and replies to every
 batch, in the order of the batch's sorted keys. A key that is in a third of all rows arrives
 at most once from each batch, and replies hold no keys.
 
+A worker holds one batch or one part at a time. The number of parts follows from the number of
+keys alone, so a part has ``PART_KEYS`` keys on average whatever the corpus; a very frequent key
+adds one entry a batch. Equal rows are spread over batches by the partition they were read from.
+
 Keys travel as sorted differences, byte plane by byte plane, compressed: most of a 64-bit
 hash's bits are in the difference, so fewer bits of hash make less to move.
 """
@@ -17,6 +21,7 @@ import gc
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.batches import release
+from corvane.llm.batches import delete, release, shared_dir
 
 #: Characters of text in a batch, and keys in a part: what one Python worker holds at once (some 150 MB).
 #: Rows that are sent are batches x parts at most, and keys at most: a larger corpus wants larger ones, as
@@ -52,6 +57,16 @@ def unpack(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).view(kind).ravel()
 
 
+def pack_counts(a: np.ndarray) -> bytes:
+    """Counts in the narrowest width that holds them all, which the first byte tells."""
+    size = next(k for k in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << (8 * k))
+    return bytes([size]) + pack(a.astype(f"u{size}"))
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    return unpack(raw[1:], f"u{raw[0]}").astype(np.int64)
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     return pack(np.diff(keys, prepend=np.zeros(1, keys.dtype)))
 
@@ -83,13 +98,15 @@ class Batches:
         self.chars, self.n = total, max(1, least, -(-total // chars))
         self.name = f"corvane_batches_{uuid.uuid4().hex}"
         buckets = min(self.n, self.setting("spark.sql.sources.bucketing.maxBuckets", 100_000))  # then some hold several batches
-        dealt = df.withColumn("b", F.pmod(F.xxhash64("doc_id", text), F.lit(self.n)))
-        dealt.repartition(buckets, "b").write.option("compression", "zstd").bucketBy(buckets, "b").saveAsTable(self.name)
+        # equal rows are told apart by the partition they come from, which a task that runs again finds the same
+        dealt = df.withColumn("b", F.pmod(F.xxhash64("doc_id", text, F.spark_partition_id()), F.lit(self.n)))
+        self.path = f"{shared_dir(self.spark).rstrip('/')}/{self.name}"
+        dealt.repartition(buckets, "b").write.option("compression", "zstd").option("path", self.path).bucketBy(buckets, "b").saveAsTable(self.name)
         self.table = self.spark.table(self.name)
         self.clean()
 
     def clean(self) -> None:
-        """Let Spark's cleaner delete the shuffle files that nothing needs any more."""
+        """Let Spark's cleaner delete the shuffle files that nothing needs any more: it waits for the references to go, on both sides."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
@@ -97,7 +114,7 @@ class Batches:
         return int(self.spark.conf.get(name, str(otherwise)))
 
     def parts(self, keys: float) -> int:
-        """How many parts ``keys`` keys are dealt to."""
+        """How many parts ``keys`` keys are dealt to: as many as keep each at its size, and one a task of the shuffle at least."""
         wanted = math.ceil(keys / self.setting("spark.corvane.partKeys", PART_KEYS))
         return min(max(1, self.setting("spark.sql.shuffle.partitions", 200), wanted), 1 << SLOT_BITS)
 
@@ -119,6 +136,7 @@ class Batches:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
         self.clean()
 
 
@@ -130,14 +148,14 @@ def forward_rows(b: int, found: list[tuple[np.ndarray, list[np.ndarray], int, in
             rows["b"].append(b)
             rows["part"].append(offset + p)
             rows["keys"].append(pack_sorted(keys[lo:hi]))
-            rows["values"].append([pack(v[lo:hi].astype(np.uint32)) for v in values])
+            rows["values"].append([pack_counts(v[lo:hi]) for v in values])
     return pa.table(rows, schema=_FORWARD)
 
 
-def add_up(table: pa.Table) -> pa.Table:
+def add_up(table: pa.Table, offset: int = 0) -> pa.Table:
     """One part's replies: the totals of each batch's keys; and a row with b = -1: distinct keys, and of each value the sum and the keys with any."""
     table = table.sort_by([("b", "ascending")])
-    part, batches = table["part"][0].as_py(), table["b"].to_pylist()
+    part, batches = table["part"][0].as_py() + offset, table["b"].to_pylist()
     keys = [unpack_sorted(x.as_buffer().to_pybytes()) for x in table["keys"]]
     sizes = [len(x) for x in keys]
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -148,24 +166,30 @@ def add_up(table: pa.Table) -> pa.Table:
     edges = np.concatenate([[0], np.cumsum(sizes)])
     any_value = np.zeros(len(distinct), bool)
     for k in range(len(values[0])):
-        one = np.concatenate([unpack(v[k], np.uint32) for v in values])
-        total = np.bincount(place, weights=one, minlength=len(distinct)).astype(np.int64)
+        one = np.concatenate([unpack_counts(v[k]) for v in values])
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, place, one)
         stats += [int(total.sum()), int((total > 0).sum())]
         any_value |= total > 0
-        each = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)[place]
+        each = total[place]
         for i in range(len(batches)):
-            replies[i].append(pack(each[edges[i] : edges[i + 1]]))
+            replies[i].append(pack_counts(each[edges[i] : edges[i + 1]]))
     stats.append(int(any_value.sum()))
     return pa.table({"b": [*batches, -1], "part": [part] * (len(batches) + 1), "totals": [*replies, None], "stats": [*[None] * len(batches), stats]}, schema=_REPLY)
 
 
-def totals(forward: DataFrame) -> DataFrame:
-    """Replies to all batches."""
-    return forward.groupBy("part").applyInArrow(add_up, REPLY)
+def part_by_part(forward: DataFrame, parts: int, function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``function`` on each of the parts 0 to ``parts`` - 1, each a task's own."""
+    return forward.repartitionById(parts, "part").groupBy("part").applyInArrow(lambda table: function(table), schema)  # of one argument, as Spark looks at it
+
+
+def totals(forward: DataFrame, parts: int, offset: int = 0) -> DataFrame:
+    """Replies to all batches; their parts are numbered from ``offset``."""
+    return part_by_part(forward, parts, partial(add_up, offset=offset), REPLY)
 
 
 def read_totals(replies: pa.Table, offset: int, parts: int, k: int) -> np.ndarray:
     """Value ``k`` of a batch's keys of one kind, in the order of the keys."""
     rows = replies.sort_by([("part", "ascending")])
-    got = [unpack(v[k], np.uint32) for p, v in zip(rows["part"].to_pylist(), rows["totals"].to_pylist(), strict=True) if offset <= p < offset + parts]
-    return np.concatenate(got) if got else np.zeros(0, np.uint32)
+    got = [unpack_counts(v[k]) for p, v in zip(rows["part"].to_pylist(), rows["totals"].to_pylist(), strict=True) if offset <= p < offset + parts]
+    return np.concatenate(got) if got else np.zeros(0, np.int64)

@@ -25,7 +25,8 @@ documents link when their sets' Jaccard similarity is at least ``PERCENT`` / 100
 Columns are 64-bit hashes of lower-cased words, and set sizes and overlaps are counted over
 them; see ``words`` for the odds of a clash. Null texts and texts without words: size 0,
 linked with nothing. Null ids: never linked, null component. Rows that share an id but not
-their text are documents of their own. Extra columns are ignored.
+their text are documents of their own; rows that share both share their fate. Ids may be of any
+type, and the smallest is the first in their order. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.batches import dealt_anew, forget, small_batches, text_or_empty, written
+from corvane.llm.batches import dealt_anew, forget, long_ids, named_back, send_package, text_or_empty, written
 from corvane.llm.components import components
 from corvane.llm.exchange import FORWARD, Batches, forward_rows, key_bits, read_totals, totals
 from corvane.llm.words import NOT_BLANK, U64, Words, mix, window_hashes
@@ -72,8 +73,8 @@ def text_hash(text: str):
 
 def document_rows(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> DataFrame:
     """One row for each row of ``docs``: set size and identity; and of possible partners' columns, the rarest and all."""
-    small_batches(docs.sparkSession)
-    corpus = Batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("t")))
+    send_package(docs.sparkSession)
+    corpus = Batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("t")))
     bits, parts = key_bits(corpus.chars // 2, SPARE_BITS), corpus.parts(corpus.chars / 6)
     shift = U64(64 - bits)
 
@@ -104,7 +105,7 @@ def document_rows(docs: DataFrame, n: int, percent: int, text: str, doc_id: str)
             rows["shared"].append(own[order][f[order] > 1].astype(np.int64) if some else None)
         return pa.table(rows, schema=_ROWS)
 
-    replies = totals(corpus.each(send, FORWARD)).select("b", "part", "totals").where("b >= 0")
+    replies = totals(corpus.each(send, FORWARD), parts).select("b", "part", "totals").where("b >= 0")
     rows = written(corpus.replied(replies, receive, ROWS), "sets")
     corpus.drop()
     return rows
@@ -177,10 +178,14 @@ def jaccard_rows(docs: DataFrame, n: int, percent: int, text: str, doc_id: str)
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
-    return jaccard_rows(docs, n, percent, text, doc_id).select("doc_id", "n_shingles", "component_id")
+    numbered, names = long_ids(docs, doc_id)
+    found = jaccard_rows(numbered, n, percent, text, doc_id).select("doc_id", "n_shingles", "component_id")
+    return named_back(found, names, "doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest id (then hash of the text); same columns."""
-    gone = jaccard_rows(docs, n, percent, text, doc_id).where(~F.col("kept")).select(F.col("doc_id").alias("_corvane_id"), F.col("t").alias("_corvane_t"))
+    numbered, names = long_ids(docs, doc_id)
+    gone = jaccard_rows(numbered, n, percent, text, doc_id).where(~F.col("kept")).select("doc_id", "t")
+    gone = named_back(gone, names, "doc_id").select(F.col("doc_id").alias("_corvane_id"), F.col("t").alias("_corvane_t"))
     return docs.join(gone, (F.col(doc_id) == F.col("_corvane_id")) & (text_hash(text) == F.col("_corvane_t")), "left_anti")

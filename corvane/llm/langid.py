@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 from pyspark.sql.functions import arrow_udf
 
-from corvane.llm.batches import release, small_batches
+from corvane.llm.batches import release, send_package
 
 #: The sample: so many labelled rows of a language at most, and so many bytes of them.
 ROWS_A_LANGUAGE = 96
@@ -94,14 +94,16 @@ def classify(text: str | None, models: list, narrow: float = NARROW) -> dict:
 
 def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", out: str = "language", narrow: float = NARROW, level: int = LEVEL) -> DataFrame:
     """``df`` with the struct ``out``: lang, score, margin, rejected. Only the text is looked at."""
-    small_batches(df.sparkSession)
+    send_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
 
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
+
     @arrow_udf(RESULT)
     def run(texts: pa.Array) -> pa.Array:
         models = compressors(shared.value, level)
-        rows = [classify(x.as_py(), models, narrow) for x in texts]
+        found = pa.array([classify(x.as_py(), models, narrow) for x in texts], kind)
         release()
-        return pa.array(rows, pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())]))
+        return found
 
     return df.withColumn(out, run(F.col(text)))

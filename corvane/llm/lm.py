@@ -5,22 +5,24 @@ Tokens are lower-cased words and one end token a text. With counts c over the tr
     p(w | u v) = w3 c(u v w) / c(u v)  +  w2 c(v w) / c(v)  +  w1 c(w) / N  +  w0 / (V + 1)
 
 where the weights depend on the bucket of the context: the longest context that was seen, and
-the number of binary digits of how often. Before a text stands a start of its own, which was
-seen once for each training text. The training texts are split into a kept and a deleted
-part; the weights of each bucket are found by expectation-maximisation so that estimates from
-the kept part explain the deleted part's tokens best. Scores use the counts of both parts.
-
-Counts come from all texts, through ``exchange``: each batch sends its distinct n-grams of
-each length once and gets their totals back. For the weights, every deleted token is an event
-(bucket, and each estimate over the uniform one, in halves of an octave); equal events are
-added up, so the driver gets a table whose size is bounded by the number of buckets and
-ratios whatever the corpus, and that still has every event.
-
-Null and empty texts have the end token only. Rows with the same id are scored by
-themselves. With no training texts, every token has probability 1 / (0 + 1). Rows whose fold
-is null are scored and not learned from. Word counts use 64-bit hashes, longer n-grams fewer
-bits (one of them has the hash of another with odds of 2^-SPARE_BITS). Extra columns are
-ignored.
+the number of binary digits of how often. An estimate whose context was never seen has weight
+0, so the probabilities of all words sum to 1 after every context. Before a text stands a start
+of its own, which was seen once for each training text. The training texts are split into a
+kept and a deleted part; the weights of each bucket are found by expectation-maximisation so
+that estimates from the kept part explain the deleted part's tokens best. Scores use the counts
+of both parts.
+
+Counts come from all texts, through ``exchange``: each batch sends its distinct n-grams of a
+length once and gets their totals back. Words and bigrams go first, then each longer length; an
+n-gram of which a part was never seen in training is not sent. Every deleted token is an event: its bucket and its estimates as they are, written to
+the shared folder, equal ones of a batch once. A round of EM is one aggregate over that table, so
+the driver holds the weights of each bucket and sums of the same number, whatever the corpus.
+
+Buckets without events take the mean weights of their context's length, else those of all
+events, over the estimates that they may use. Null and empty texts have the end token only. Rows
+with the same id are scored by themselves. With no training texts, every token has probability
+1 / (0 + 1). Rows whose fold is null are scored and not learned from. N-grams are 64-bit hashes
+(see ``words`` for the odds of a clash). Ids may be of any type. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,28 +34,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.batches import forget, small_batches, written
-from corvane.llm.exchange import FORWARD, Batches, forward_rows, key_bits, read_totals, totals
+from corvane.llm.batches import forget, long_ids, named_back, send_package, written
+from corvane.llm.exchange import FORWARD, Batches, forward_rows, read_totals, totals
 from corvane.llm.words import NOT_BLANK, STEP, U64, Words, mix
 
 ORDER = 3
 KEPT, DELETED, HELD_OUT = 0, 1, 2
 #: Contexts seen 2^(BUCKETS - 2) times or more share the last bucket of their length.
 BUCKETS = 40
-ROUNDS = 60
+#: Rounds of EM at most; it ends when a round makes a token's mean log-likelihood better by less than LEAST_GAIN.
+ROUNDS = 40
+LEAST_GAIN = 1e-7
 #: No component's weight is less, so that every token has a probability.
 LEAST_WEIGHT = 1e-6
-#: Ratios are kept as round(PER_OCTAVE * log2(ratio)) + SHIFT, zero as -1; codes fit in CODE_BITS.
-PER_OCTAVE, SHIFT, CODE_BITS = 2, 128, 9
-SPARE_BITS = 14
 END = mix(np.array([0x456E64], dtype=U64))[0]
 
 SCORES = "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("fold", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-EVENTS = "code long, n long"
-_EVENTS = pa.schema([("code", pa.int64()), ("n", pa.int64())])
-
-
 @dataclass(frozen=True)
 class Sizes:
     """Tokens and distinct tokens of the kept part and of all training texts."""
@@ -67,7 +64,7 @@ class Sizes:
 class Events:
     """A batch's tokens in order, and for each length the places of their n-grams in the sorted distinct ones."""
 
-    def __init__(self, table: pa.Table, order: int, bits: int):
+    def __init__(self, table: pa.Table, order: int):
         words = Words(table["text"], NOT_BLANK)
         n = np.diff(words.first)
         self.lengths = n + 1
@@ -85,7 +82,7 @@ class Events:
                 before = np.concatenate([gram[:1], gram[:-1]])
                 before[self.opens] = U64(k)  # the text's start
                 gram = mix(before * U64(STEP) + tokens)
-            keys, place = np.unique(gram if k == 1 else gram >> U64(64 - bits), return_inverse=True)
+            keys, place = np.unique(gram, return_inverse=True)
             self.keys.append(keys)
             self.place.append(place)
         self.end = int(np.searchsorted(self.keys[0], END))
@@ -96,6 +93,31 @@ class Events:
         """How often the batch has each n-gram of length k + 1, in the kept and in the deleted part."""
         return [np.bincount(self.place[k][self.fold == part], minlength=len(self.keys[k])) for part in (KEPT, DELETED)]
 
+    def possible(self, k: int, shorter: np.ndarray) -> np.ndarray:
+        """The n-grams of length k + 1 that training texts may have, given the totals of length k; the others have none."""
+        own = shorter[self.place[k - 1]]
+        before = np.concatenate([own[:1], own[:-1]])
+        before[self.opens] = self.texts
+        most = np.zeros(len(self.keys[k]), np.int64)
+        most[self.place[k]] = np.minimum(own, before)
+        return most > 0
+
+    def totals(self, reply: pa.Table, order: int, parts: int) -> list[list[np.ndarray]]:
+        """Of each length, the totals of the kept and of the deleted part for each of the batch's n-grams."""
+        out: list[list[np.ndarray]] = []
+        for k in range(order):
+            if k < 2:
+                out.append([read_totals(reply, k * parts, parts, part) for part in (0, 1)])
+                if not k:
+                    self.texts = int(sum(x[self.end] for x in out[0]))  # each training text ends once
+                continue
+            sent = self.possible(k, sum(out[k - 1]))
+            both = [np.zeros(len(self.keys[k]), np.int64) for _ in (0, 1)]
+            for part in (0, 1):
+                both[part][sent] = read_totals(reply, k * parts, parts, part)
+            out.append(both)
+        return out
+
     def found(self, totals_of: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Of every token, the totals of its n-grams by length, and those of their contexts (of length 1 on)."""
         own = [t[p].astype(np.int64) for t, p in zip(totals_of, self.place, strict=True)]
@@ -122,41 +144,50 @@ def estimates(own: list[np.ndarray], contexts: list[np.ndarray], tokens: int) ->
     return [*longer[::-1], own[0] / max(1, tokens)]
 
 
-def ratio_code(estimate: np.ndarray, words: int) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        code = np.round(PER_OCTAVE * np.log2(estimate * (words + 1))) + SHIFT
-    return np.where(estimate > 0, np.clip(np.nan_to_num(code, neginf=0), 0, (1 << CODE_BITS) - 2), -1).astype(np.int64)
-
-
-def event_codes(bucket: np.ndarray, ratios: list[np.ndarray]) -> np.ndarray:
-    code = bucket.astype(np.int64)
-    for r in ratios:
-        code = (code << CODE_BITS) | (r + 1)
-    return code
-
+def learn_weights(events: DataFrame, order: int = ORDER, rounds: int = ROUNDS, tokens: int = 1) -> np.ndarray:
+    """Weights of each bucket by EM over events(bucket, e1 ... the longest n-gram's estimate first, n); the uniform estimate is 1 and has the last weight.
 
-def learn_weights(codes: np.ndarray, n: np.ndarray, order: int = ORDER, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of each bucket by EM, the longest n-gram's first and the uniform one's last; buckets without events share pooled ones."""
+    A round is one partial aggregate by bucket, of which there is a fixed number.
+    """
     size = max(1, order - 1) * BUCKETS
-    ratios = [((codes >> (CODE_BITS * k)) & ((1 << CODE_BITS) - 1)) - 1 for k in range(order)][::-1]
-    bucket = codes >> (CODE_BITS * order)
-    e = np.stack([*[np.where(r < 0, 0.0, 2.0 ** ((r - SHIFT) / PER_OCTAVE)) for r in ratios], np.ones(len(codes))], axis=1)
-
-    def fit(own: np.ndarray) -> np.ndarray:
-        w = np.full(order + 1, 1 / (order + 1))
-        for _ in range(rounds):
-            share = e[own] * w
-            share *= (n[own] / share.sum(axis=1))[:, None]
-            w = share.sum(axis=0) / share.sum()
-        w = np.maximum(w, LEAST_WEIGHT)
-        return w / w.sum()
-
-    uniform_only = np.zeros(order + 1)
-    uniform_only[-1] = 1.0
-    out = np.tile(fit(np.arange(len(codes))) if len(codes) else uniform_only, (size, 1))
-    for b in np.unique(bucket):
-        out[b] = fit(np.flatnonzero(bucket == b))
-    return out
+    level = np.arange(size) // BUCKETS  # of a bucket: its context has this many words and one
+    may = np.ones((size, order + 1), bool)
+    for k in range(order - 1):  # component k is the n-gram of length order - k, whose context has order - k - 1 words
+        may[:, k] = level >= order - k - 2
+    if order > 1:
+        may[0, : order - 1] = False  # no context was seen
+    may[:, order - 1] = tokens > 0
+    even = may / may.sum(axis=1, keepdims=True)
+    w, shares, n, before = even, np.zeros((size, order + 1)), np.zeros(size), -np.inf
+    for _ in range(rounds):
+        own = F.element_at(F.lit([[float(x) for x in row] for row in w]), F.col("bucket") + 1)
+        parts = [own[k] * F.col(f"e{k}") for k in range(order)] + [own[order]]
+        each = events.select("bucket", "n", *[p.alias(f"p{k}") for k, p in enumerate(parts)])
+        each = each.select("*", sum(F.col(f"p{k}") for k in range(order + 1)).alias("p"))
+        sums = [F.sum(F.col("n") * F.col(f"p{k}") / F.col("p")).alias(f"s{k}") for k in range(order + 1)]
+        found = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("p")).alias("log"), *sums).collect()
+        if not found:
+            break
+        shares, n = np.zeros((size, order + 1)), np.zeros(size)
+        for r in found:
+            shares[r["bucket"]], n[r["bucket"]] = [r[f"s{k}"] for k in range(order + 1)], r["n"]
+        w = np.where((n > 0)[:, None], shares / np.maximum(n, 1)[:, None], even)
+        w = np.where(may, np.maximum(w, LEAST_WEIGHT), 0.0)
+        w /= w.sum(axis=1, keepdims=True)
+        mean = sum(r["log"] for r in found) / n.sum()
+        if mean - before < LEAST_GAIN:
+            break
+        before = mean
+    for b in np.flatnonzero(n == 0):
+        for pool in (shares[level == level[b]], shares):
+            mean = np.where(may[b], pool.sum(axis=0), 0.0)
+            if mean.sum() > 0:
+                mean = np.where(may[b], np.maximum(mean / mean.sum(), LEAST_WEIGHT), 0.0)
+                w[b] = mean / mean.sum()
+                break
+        else:
+            w[b] = even[b]
+    return w
 
 
 def score_corpus(docs: DataFrame, fold: str = "fold", text: str = "text", doc_id: str = "doc_id", order: int = ORDER, rounds: int = ROUNDS) -> tuple[DataFrame, Sizes]:
@@ -164,41 +195,63 @@ def score_corpus(docs: DataFrame, fold: str = "fold", text: str = "text", doc_id
 
     ``fold`` says what a row is for: KEPT and DELETED rows train, others are only scored.
     """
-    small_batches(docs.sparkSession)
-    corpus = Batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(fold).cast("int").alias("fold"), F.col(text).alias("text")))
-    bits, parts = key_bits(corpus.chars // 2, SPARE_BITS), corpus.parts(corpus.chars / 8)
+    send_package(docs.sparkSession)
+    slim, names = long_ids(docs.select(F.col(doc_id).alias("doc_id"), F.col(fold).cast("int").alias("fold"), F.col(text).alias("text")), "doc_id")
+    corpus = Batches(slim)
+    parts = corpus.parts(corpus.chars / 8)
+    first = min(order, 2)
 
     def send(table: pa.Table) -> pa.Table:
-        e = Events(table, order, bits)
-        return forward_rows(table["b"][0].as_py(), [(e.keys[k], e.counts(k), bits if k else 64, parts, k * parts) for k in range(order)])
+        e = Events(table, first)
+        return forward_rows(table["b"][0].as_py(), [(e.keys[k], e.counts(k), 64, parts, k * parts) for k in range(first)])
 
-    replies = written(totals(corpus.each(send, FORWARD)), "counts")
+    replies = written(totals(corpus.each(send, FORWARD), first * parts), "counts")
     sums = replies.where(f"b = -1 AND part < {parts}").select(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0)).alias(f"s{k}") for k in range(6)]).first()
     sizes = Sizes(kept_tokens=sums["s1"], kept_words=sums["s2"], tokens=sums["s1"] + sums["s3"], words=sums["s5"])
-    answered = replies.where("b >= 0").drop("stats")
+    tables, answered = [replies], replies.where("b >= 0").drop("stats")
+    corpus.clean()
+    for k in range(first, order):
+
+        def send_longer(table: pa.Table, reply: pa.Table, k: int = k) -> pa.Table:
+            if not table.num_rows:
+                return forward_rows(0, [])
+            e = Events(table, k + 1)
+            sent = e.possible(k, sum(e.totals(reply, k, parts)[k - 1]))
+            return forward_rows(table["b"][0].as_py(), [(e.keys[k][sent], [x[sent] for x in e.counts(k)], 64, parts, 0)])
 
-    def looked_up(table: pa.Table, value: int) -> list[np.ndarray]:
-        return [read_totals(table, k * parts, parts, value) for k in range(order)]
+        tables.append(written(totals(corpus.replied(answered, send_longer, FORWARD), parts, k * parts).where("b >= 0").drop("stats"), "counts"))
+        answered = answered.unionByName(tables[-1])
+        corpus.clean()
+
+    event_schema = pa.schema([("bucket", pa.int32()), *[(f"e{k}", pa.float64()) for k in range(order)], ("n", pa.int64())])
 
     def collect_events(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _EVENTS.empty_table()
-        e = Events(table, order, bits)
-        own, contexts = e.found(looked_up(reply, 0))
+            return event_schema.empty_table()
+        e = Events(table, order)
+        own, contexts = e.found([kept for kept, _ in e.totals(reply, order, parts)])
         deleted = e.fold == DELETED
         own, contexts = [x[deleted] for x in own], [x[deleted] for x in contexts]
-        ratios = [ratio_code(p, sizes.kept_words) for p in estimates(own, contexts, sizes.kept_tokens)]
-        code, n = np.unique(event_codes(bucket_of(contexts) if contexts else np.zeros(len(own[0])), ratios), return_counts=True)
-        return pa.table({"code": code, "n": n}).cast(_EVENTS)
-
-    events = corpus.replied(answered, collect_events, EVENTS).groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    weights = learn_weights(events["code"].to_numpy(), events["n"].to_numpy(), order, rounds)
+        bucket = bucket_of(contexts) if contexts else np.zeros(len(own[0]), np.int64)
+        ratios = [p * (sizes.kept_words + 1) for p in estimates(own, contexts, sizes.kept_tokens)]  # over the uniform one
+        ordered = np.lexsort([bucket, *ratios])
+        bucket, ratios = bucket[ordered], [x[ordered] for x in ratios]
+        lead = np.ones(len(bucket), bool)
+        lead[1:] = np.any([x[1:] != x[:-1] for x in (bucket, *ratios)], axis=0)
+        at = np.flatnonzero(lead)
+        return pa.table({"bucket": bucket[at].astype(np.int32), **{f"e{k}": x[at] for k, x in enumerate(ratios)}, "n": np.diff(at, append=len(bucket))}, schema=event_schema)
+
+    event_columns = "bucket int, " + "".join(f"e{k} double, " for k in range(order)) + "n long"
+    events = written(corpus.replied(answered, collect_events, event_columns), "events")
+    weights = learn_weights(events, order, rounds, sizes.kept_tokens)
+    forget(events)
+    corpus.clean()
 
     def score(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _SCORES.empty_table()
-        e = Events(table, order, bits)
-        own, contexts = e.found([a.astype(np.int64) + b for a, b in zip(looked_up(reply, 0), looked_up(reply, 1), strict=True)])
+        e = Events(table, order)
+        own, contexts = e.found([kept + deleted for kept, deleted in e.totals(reply, order, parts)])
         w = weights[bucket_of(contexts) if contexts else np.zeros(len(own[0]), np.int64)]
         p = w[:, -1] / (sizes.words + 1)
         for k, estimate in enumerate(estimates(own, contexts, sizes.tokens)):
@@ -211,5 +264,5 @@ def score_corpus(docs: DataFrame, fold: str = "fold", text: str = "text", doc_id
 
     scores = written(corpus.replied(answered, score, SCORES), "scores")
     corpus.drop()
-    forget(replies)
-    return scores, sizes
+    forget(*tables)
+    return named_back(scores, names, "doc_id"), sizes

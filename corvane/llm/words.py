@@ -39,6 +39,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
+#: Other values for a second hash that knows nothing of the first.
+OTHER_VALUE = mix(np.arange(1001, 1257, dtype=U64) * U64(STEP))
 
 
 @lru_cache(1)
@@ -92,8 +94,8 @@ class Words:
         return self.bytes[self.start[k] : self.end[k]].tobytes()
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans are in order and do not overlap."""
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans are in order of their starts and of their ends."""
     up, down = powers()
     out = np.empty(len(start), dtype=U64)
     k = 0
@@ -105,12 +107,12 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
             h, power, factor = 0, 1, pow(BASE, PIECE, 1 << 64)
             for at in range(low, high, PIECE):
                 part = data[at : min(high, at + PIECE)]
-                h += int((BYTE_VALUE[part] * up[: len(part)]).sum(dtype=U64)) * power
+                h += int((values[part] * up[: len(part)]).sum(dtype=U64)) * power
                 power = power * factor % (1 << 64)
             out[k] = U64(h % (1 << 64))
         else:
             total = np.zeros(high - low + 1, dtype=U64)
-            np.cumsum(BYTE_VALUE[data[low:high]] * up[: high - low], out=total[1:])
+            np.cumsum(values[data[low:high]] * up[: high - low], out=total[1:])
             a, b = start[k:n] - low, end[k:n] - low
             out[k:n] = (total[b] - total[a]) * down[a]
         k = n

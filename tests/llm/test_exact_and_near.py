@@ -106,3 +106,11 @@ def test_jaccard_rows_that_share_an_id_are_documents_of_their_own(spark):
     a, b = prose(30), prose(30)
     got = jaccard.jaccard_components(frame(spark, [(5, a), (5, b), (3, a), (9, b)]))
     assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(3, 3), (5, 3), (5, 5), (9, 5)]
+
+
+def test_jaccard_takes_ids_of_any_type(spark):
+    a, b = prose(30), prose(30)
+    docs = spark.createDataFrame([("y", a), ("x", a), ("z", b), (None, a)], "doc_id string, text string")
+    got = jaccard.jaccard_components(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {("x", "x"), ("y", "x"), ("z", "z"), (None, None)}
+    assert {r.doc_id for r in jaccard.one_of_each(docs).collect()} == {"x", "z", None}

@@ -67,56 +67,124 @@ def test_lm_base_matches_brute_force_and_model_matches_its_formula(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_em_finds_the_mixture():
+def test_em_finds_the_mixture(spark):
     rng = np.random.default_rng(0)
     n = 40000
     kind = rng.choice(3, n, p=[0.5, 0.3, 0.2])  # each component explains its own events best
-    ratios = [np.where(kind == 0, 2**20 / 1000, 0.0), np.zeros(n), np.where(kind <= 1, 2.0**10 / 1000, 0.0)]
-    codes = lm.event_codes(np.full(n, 4), [lm.ratio_code(r, 999) for r in ratios])
-    w = lm.learn_weights(codes, np.ones(n), 3, 400)
-    assert abs(w[4].sum() - 1) < 1e-9 and abs(w[4][0] - 0.5) < 0.02 and w[4][1] < 0.001 and 0.2 < w[4][2] < 0.4 and 0.1 < w[4][3] < 0.3
-    assert lm.learn_weights(np.zeros(0, np.int64), np.zeros(0), 3)[3].tolist() == [0, 0, 0, 1]
+    rows = [(lm.BUCKETS + 4, 2.0**20 if k == 0 else 0.0, 0.0, 2.0**10 if k <= 1 else 0.0, 1) for k in kind.tolist()]
+    schema = "bucket int, e0 double, e1 double, e2 double, n long"
+    w = lm.learn_weights(spark.createDataFrame(rows, schema), 3, 60)
+    own = w[lm.BUCKETS + 4]
+    assert abs(own.sum() - 1) < 1e-9 and abs(own[0] - 0.5) < 0.02 and own[1] < 0.001 and 0.2 < own[2] < 0.4 and 0.1 < own[3] < 0.3
+    # buckets without events use what their context allows: two words and more, one word, none
+    assert np.allclose(w.sum(axis=1), 1) and (w[lm.BUCKETS + 9] > 0).all() and w[7][0] == 0 < w[7][1] and w[0][:2].tolist() == [0, 0]
+    assert lm.learn_weights(spark.createDataFrame([], schema), 3, tokens=0)[3].tolist() == [0, 0.5, 0, 0.5]
+    assert lm.learn_weights(spark.createDataFrame([], schema), 3, tokens=0)[0].tolist() == [0, 0, 0, 1]
+
+
+def plain_model(rows, folds, order, rounds=lm.ROUNDS):
+    """Counts, EM and scores of deleted interpolation, token by token."""
+    tokens = {i: ["<s>"] * (order - 1) + [*blank_words(t), "</s>"] for i, t in rows}
+    levels = max(1, order - 1)
+
+    def counted(parts):
+        grams, contexts = [Counter() for _ in range(order)], [Counter() for _ in range(order)]
+        for i, p in tokens.items():
+            if folds[i] in parts:
+                for at in range(order - 1, len(p)):
+                    for k in range(order):
+                        grams[k][tuple(p[at - k : at + 1])] += 1
+                        contexts[k][tuple(p[at - k : at])] += 1
+        return grams, contexts
+
+    def looked_up(p, at, grams, contexts):
+        bucket, e = 0, []
+        for k in range(order - 1, 0, -1):
+            c = contexts[k][tuple(p[at - k : at])]
+            if c and not bucket:
+                bucket = (k - 1) * lm.BUCKETS + c.bit_length()
+            e.append(grams[k][tuple(p[at - k : at + 1])] / c if c else 0.0)
+        n = sum(grams[0].values())
+        return bucket, [*e, grams[0][(p[at],)] / max(n, 1)], 1 / (len(grams[0]) + 1)
+
+    kept = counted({0})
+    events = {}
+    for i, p in tokens.items():
+        if folds[i] == 1:
+            for at in range(order - 1, len(p)):
+                b, e, u = looked_up(p, at, *kept)
+                events.setdefault(b, []).append([x / u for x in e] + [1.0])
+    may = {b: [order - k - 2 <= b // lm.BUCKETS and b > 0 for k in range(order - 1)] + [bool(kept[0][0]), True] for b in range(levels * lm.BUCKETS)}
+    even = {b: [x / sum(m) for x in m] for b, m in may.items()}
+    w, shares, last = dict(even), {}, -math.inf
+    for _ in range(rounds):
+        log = 0.0
+        for b, rows_ in events.items():
+            shares[b] = [0.0] * (order + 1)
+            for e in rows_:
+                total = sum(x * y for x, y in zip(w[b], e))
+                log += math.log(total)
+                for k in range(order + 1):
+                    shares[b][k] += w[b][k] * e[k] / total
+        for b, rows_ in events.items():
+            own = [max(s / len(rows_), lm.LEAST_WEIGHT) if m else 0.0 for s, m in zip(shares[b], may[b])]
+            w[b] = [x / sum(own) for x in own]
+        n = sum(map(len, events.values()))
+        if not n or log / n - last < lm.LEAST_GAIN:
+            break
+        last = log / n
+    for b in set(even) - set(events):
+        for pool in ([s for x, s in shares.items() if x // lm.BUCKETS == b // lm.BUCKETS], list(shares.values())):
+            mean = [sum(s[k] for s in pool) if may[b][k] else 0.0 for k in range(order + 1)]
+            if sum(mean) > 0:
+                mean = [max(x / sum(mean), lm.LEAST_WEIGHT) if m else 0.0 for x, m in zip(mean, may[b])]
+                w[b] = [x / sum(mean) for x in mean]
+                break
+    full = counted({0, 1})
+    scores = {}
+    for i, p in tokens.items():
+        scores[i] = 0.0
+        for at in range(order - 1, len(p)):
+            b, e, u = looked_up(p, at, *full)
+            scores[i] += math.log10(sum(x * y for x, y in zip(w[b], [*e, u])))
+    return scores, w, full
+
+
+def small_corpus():
+    import random
+
+    rng = random.Random(11)
+    words = "a b c d e f g h".split()
+    rows = [(i, " ".join(rng.choice(words[: 2 + i % 7]) + rng.choice(["", "", "x"]) for _ in range(rng.randrange(0, 25)))) for i in range(60)]
+    return [*rows, (60, None), (61, ""), (62, "entirely new words stand here")], {i: 2 if i == 62 else (0, 0, 1, 2, 0)[i % 5] for i in range(63)}
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_lm_scores_match_a_plain_computation(spark, order):
-    """With all weights known, every token's probability is the formula's."""
-    rows = [(1, "a b a b c"), (2, "a b"), (3, None), (4, "a b a d"), (5, "b a b a b c a"), (6, "z a b")]
-    folds = {1: 0, 2: 0, 3: 0, 4: 1, 5: 0, 6: 2}
-    docs = frame(spark, rows).withColumn("fold", F.expr("CASE doc_id WHEN 4 THEN 1 WHEN 6 THEN 2 ELSE 0 END"))
-    fixed = np.random.default_rng(order).dirichlet(np.ones(order + 1), max(1, order - 1) * lm.BUCKETS)
-    learn, lm.learn_weights = lm.learn_weights, lambda *a: fixed
-    try:
-        scores, sizes = lm.score_corpus(docs, order=order)
-        got = {r.doc_id: r.score for r in scores.collect()}
-    finally:
-        lm.learn_weights = learn
-    grams = [Counter() for _ in range(order)]
-    contexts = [Counter() for _ in range(order)]
-    tokens = {i: [*blank_words(t), "</s>"] for i, t in rows}
-    padded = lambda i: ["<s>"] * (order - 1) + tokens[i]
-    for i in tokens:
-        if folds[i] != lm.HELD_OUT:
-            p = padded(i)
-            for at in range(order - 1, len(p)):
-                for k in range(order):
-                    grams[k][tuple(p[at - k : at + 1])] += 1
-                    contexts[k][tuple(p[at - k : at])] += 1
-    total, distinct = sum(grams[0].values()), len(grams[0])
-    for i in tokens:
-        p, score = padded(i), 0.0
-        for at in range(order - 1, len(p)):
-            bucket = 0
-            for k in range(1, order):
-                c = contexts[k][tuple(p[at - k : at])]
-                bucket = (k - 1) * lm.BUCKETS + c.bit_length() if c else bucket
-            w = fixed[bucket]
-            prob = w[-1] / (distinct + 1) + w[-2] * grams[0][(p[at],)] / total
-            for k in range(1, order):
-                c = contexts[k][tuple(p[at - k : at])]
-                prob += w[order - 1 - k] * (grams[k][tuple(p[at - k : at + 1])] / c if c else 0)
-            score += math.log10(prob)
-        assert got[i] == pytest.approx(score), (i, order)
+def test_lm_scores_match_plain_deleted_interpolation_with_learned_weights(spark, order):
+    rows, folds = small_corpus()
+    by_id = F.create_map(*[F.lit(x) for pair in folds.items() for x in pair])
+    scores, _ = lm.score_corpus(frame(spark, rows).withColumn("fold", by_id[F.col("doc_id").cast("int")]), order=order)
+    expected, _, _ = plain_model(rows, folds, order)
+    got = {r.doc_id: r.score for r in scores.collect()}
+    assert got.keys() == expected.keys() and all(got[i] == pytest.approx(expected[i], rel=1e-9, abs=1e-9) for i in got)
+
+
+def test_lm_probabilities_of_all_words_sum_to_one_after_every_context():
+    rows, folds = small_corpus()
+    _, w, (grams, contexts) = plain_model(rows, folds, 3)
+    words = [g[0] for g in grams[0]]
+    n = sum(grams[0].values())
+    for u, v in [("a", "b"), ("<s>", "<s>"), ("never", "seen"), ("never", "a"), ("<s>", "a")]:
+        cv, cuv = contexts[1][(v,)], contexts[2][(u, v)]
+        b = lm.BUCKETS + cuv.bit_length() if cuv else cv.bit_length() if cv else 0
+        p = [w[b][0] * (grams[2][(u, v, x)] / cuv if cuv else 0) + w[b][1] * (grams[1][(v, x)] / cv if cv else 0) + w[b][2] * grams[0][(x,)] / n + w[b][3] / (len(words) + 1) for x in [*words, "unknown"]]
+        assert sum(p) == pytest.approx(1, abs=1e-9)
+
+
+def test_lm_takes_ids_of_any_type(spark):
+    rows = [("b", "x y"), ("a", "x y z"), (None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("fold", F.lit(0))
+    assert {(r.doc_id, r.n_tokens) for r in lm.score_corpus(docs)[0].collect()} == {("b", 3), ("a", 4), (None, 2)}
 
 
 def test_lm_without_training_texts_and_empty_table(spark):
@@ -208,7 +276,7 @@ def test_exchange_totals_match_plain_counts_with_several_batches_a_bucket(spark)
             rows = [(words.word(k).decode(), int(got[np.searchsorted(keys, h)])) for k, h in enumerate(words.hashes())]
             return pa.table({"word": [r[0] for r in rows], "n": [r[1] for r in rows]}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
-        replies = exchange.totals(corpus.each(send, exchange.FORWARD)).where("b >= 0")
+        replies = exchange.totals(corpus.each(send, exchange.FORWARD), 5).where("b >= 0")
         got = {(r.word, r.n) for r in corpus.replied(replies, receive, "word string, n long").collect()}
         corpus.drop()
     finally:

@@ -63,8 +63,9 @@ def brute_repeats(rows, length):
 def test_repeated_bytes_match_brute_force(spark, monkeypatch):
     rows = list({r[0]: r for r in odd_texts() if r[0] is not None}.values())
     digest = lambda found: found.select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
-    got = sorted(tuple(r) for r in pfp.repeated_bytes(frame(spark, rows), result=digest).collect())
-    assert got == brute_repeats(rows, pfp.LENGTH)
+    for bits in (64, 3):  # with 3 bits, most keys stand for several phrases or windows
+        got = sorted(tuple(r) for r in pfp.repeated_bytes(frame(spark, rows), result=digest, name_bits=bits).collect())
+        assert got == brute_repeats(rows, pfp.LENGTH)
 
 
 def test_phrases_cover_every_window_once_whatever_the_pieces(monkeypatch):
@@ -89,6 +90,8 @@ def test_repeated_bytes_null_ids_versions_and_empty_table(spark):
     got = pfp.repeated_bytes(frame(spark, rows)).collect()
     assert len(got) == 4 and sum(r.n_removed == 0 for r in got) == 1 and [r.n_removed for r in got if r.doc_id is None] == [0]
     assert pfp.repeated_bytes(frame(spark, [])).count() == 0
+    named = spark.createDataFrame([("b", text), ("a", text), ("c", "x")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.n_removed > 0) for r in pfp.repeated_bytes(named).collect()) == [("a", False), ("b", True), ("c", False)]
 
 
 def brute_lines(rows, k):
