@@ -6,16 +6,18 @@
 2. The chunk dictionary: distinct (64-bit hash, chunk) pairs. This is the only time that
    texts move, once for each distinct chunk of a map task; a hash that stands for two
    different chunks is found here by comparing the chunks themselves.
-3. A recipe is the ordered list of a text's chunk identifiers. An identifier is the hash; in
-   the texts with a chunk whose hash is not unique, it is the SHA-256 of the chunk. Texts are
-   equal when their recipes are.
+3. A recipe is the ordered list of a text's chunk identifiers. An identifier is the hash; where
+   a hash is not unique, it is the SHA-256 of the chunk. Those recipes are made once for each
+   text, by its own SHA-256, and every row stays a row. Texts are equal when their recipes are.
 4. Recipes are grouped with partial aggregation, and the groups are joined back to the ids.
    Both sides of that join are dealt anew by the recipe, so a recipe that a third of all
    rows share is split by Spark's skew join.
 
-Null texts count as empty. Rows that repeat both text and doc_id can't be told apart and
-share their fate. Rows without an id never stay before one with an id; a group of only such
-rows has a null keep_id and all of it is kept.
+Null texts count as empty, empty tables give none. Rows that repeat both text and doc_id can't
+be told apart and share their fate: each has its row in the result, all counted in group_size.
+Rows that share a doc_id but not their text belong to different groups. Rows without an id never
+stay before one with an id; a group of only such rows has a null keep_id and all of it is kept.
+Ids may be of any type that has an order. Extra columns are ignored, or kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ def normalised(text: str = "text"):
     return F.regexp_replace(text_or_empty(text), BLANKS, " ")
 
 
+def chunk_hash(chunk):
+    return F.xxhash64(chunk)
+
+
 def chunked(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, chunks (an empty text has none) and text_sha256 of every row."""
     whole = df.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("norm"))
@@ -43,25 +49,26 @@ def chunked(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
 def ambiguous_hashes(chunks: DataFrame) -> DataFrame:
     """Hashes that stand for more than one chunk, by comparing the chunks; normally none."""
-    each = chunks.select(F.explode("chunks").alias("chunk")).select(F.xxhash64("chunk").alias("h"), "chunk")
+    each = chunks.select(F.explode("chunks").alias("chunk")).select(chunk_hash("chunk").alias("h"), "chunk")
     return each.distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
 
 
 def recipes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, recipe (ordered chunk identifiers) and text_sha256 of every row; written to the shared folder."""
     chunks = chunked(df, text, doc_id)
-    first = written(chunks.select("doc_id", "text_sha256", F.transform("chunks", lambda x: F.xxhash64(x)).alias("recipe")), "recipes")
-    unsure = [r["h"] for r in ambiguous_hashes(chunks).take(1)]
-    if not unsure:  # every 64-bit identifier is verified
-        return first.withColumn("recipe", F.transform("recipe", lambda x: x.cast("string")))
+    rows = written(chunks.select("doc_id", "text_sha256", F.transform("chunks", lambda x: chunk_hash(x)).alias("recipe")), "recipes")
+    named = rows.withColumn("recipe", F.transform("recipe", lambda x: x.cast("string")))
     doubtful = ambiguous_hashes(chunks)
-    strong = chunks.select("doc_id", "text_sha256", F.posexplode("chunks").alias("at", "chunk")).withColumn("h", F.xxhash64("chunk"))
-    strong = strong.join(doubtful.withColumn("doubtful", F.lit(True)), "h", "left")
-    named = strong.withColumn("name", F.when(F.col("doubtful"), F.sha2("chunk", 256)).otherwise(F.col("h").cast("string")))
-    lists = named.groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("parts"))
-    full = lists.select("doc_id", "text_sha256", F.col("parts.name").alias("recipe"))
-    empty = chunks.where(F.size("chunks") == 0).select("doc_id", "text_sha256", F.array().cast("array<string>").alias("recipe"))
-    return written(full.unionByName(empty), "recipes")
+    if not doubtful.take(1):  # every 64-bit identifier is verified
+        return named
+    each = chunks.select("text_sha256", F.posexplode("chunks").alias("at", "chunk")).withColumn("h", chunk_hash("chunk"))
+    each = each.join(doubtful.withColumn("doubtful", F.lit(True)), "h", "left")
+    name = F.when(F.col("doubtful"), F.sha2("chunk", 256)).otherwise(F.col("h").cast("string"))
+    places = each.groupBy("text_sha256", "at").agg(F.min(F.struct(name.alias("name"), F.coalesce("doubtful", F.lit(False)).alias("doubtful"))).alias("x"))
+    lists = places.groupBy("text_sha256").agg(F.array_sort(F.collect_list(F.struct("at", "x.name"))).alias("parts"), F.max("x.doubtful").alias("any")).where("any")
+    strong = written(lists.select(F.substring("text_sha256", 1, 64).alias("same"), F.col("parts.name").alias("strong")), "strong")
+    both = named.join(strong.hint("merge"), named["text_sha256"] == strong["same"], "left")
+    return both.select("doc_id", F.coalesce("strong", "recipe").alias("recipe"), "text_sha256")
 
 
 def exact_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -29,9 +29,36 @@ def test_exact_deduplicate_keeps_columns_and_one_of_each(spark):
     assert sorted(r.doc_id for r in left.where("doc_id in (1, 2, 25, 9, 10, 14, 15)").collect()) == [1, 9, 14]
 
 
-def test_ambiguous_chunk_hashes_are_found(spark):
+@pytest.mark.parametrize("doubtful", [0, 1, 3])
+def test_chunks_whose_hash_is_not_unique(spark, monkeypatch, doubtful):
+    """A hash that stands for two chunks is found by comparing them; every row keeps its row, whichever hashes are doubtful."""
+    from pyspark.sql import functions as F
+
     chunks = spark.createDataFrame([(["a", "b"],), (["a"],)], "chunks array<string>")
     assert exact_dedup.ambiguous_hashes(chunks).count() == 0
+    rows = [(1, "x"), (1, "x"), (2, "x"), (3, "y"), (3, "x"), (None, "y"), (4, ""), (5, None), (6, prose(3000)), (7, "y z")]
+    plain = sorted(map(repr, exact_dedup.exact_duplicates(frame(spark, rows)).collect()))
+    assert len(plain) == len(rows)
+    if doubtful:
+
+        def forced(chunks):
+            """Some hashes, or all of them, as if each stood for several chunks."""
+            return chunks.select(F.explode("chunks").alias("c")).select(F.xxhash64("c").alias("h")).distinct().where(F.pmod("h", F.lit(doubtful)) == 0)
+
+        monkeypatch.setattr(exact_dedup, "ambiguous_hashes", forced)
+        assert sorted(map(repr, exact_dedup.exact_duplicates(frame(spark, rows)).collect())) == plain
+        docs = frame(spark, rows)
+        assert sorted((r.doc_id, r.text) for r in exact_dedup.deduplicate(docs).where("doc_id in (1, 2, 3)").collect()) == [(1, "x"), (1, "x"), (3, "y")]
+
+
+def test_a_real_clash_of_chunk_hashes_keeps_texts_apart(spark, monkeypatch):
+    """With every chunk of the same hash, only the chunks themselves tell texts apart."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "chunk_hash", lambda x: F.lit(7).cast("long"))
+    rows = [(1, "x"), (2, "y"), (3, "x"), (4, prose(2000)), (5, "y")]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(frame(spark, rows)).collect()}
+    assert got == {1: (1, 2), 2: (2, 2), 3: (1, 2), 4: (4, 1), 5: (2, 2)}
 
 
 def test_chunks_cover_the_text_and_follow_content(spark):
