@@ -3,18 +3,22 @@
 Every run of ``window`` words of an item is a window; an item of fewer words, but not none,
 is one window as a whole. The hashes of all windows of a block of items are broadcast, and
 each document's windows of the same lengths are looked up; every hit is verified word by
-word. A block never has more than ``MOST_WINDOWS`` windows: a larger benchmark is split by a
-hash of item_id into as many blocks as it needs, the documents are scanned once for each,
-and the hit spans of a document are merged. A block is therefore the only thing that is
-broadcast or held by the driver, whatever the benchmark's size.
-
-Null texts have no words. Null item ids count as hits but are not listed. Repeated items
-are listed once. Output columns are structs under one name of the caller's choice, so extra
-columns never clash.
+word. A block never has more than ``MOST_WINDOWS`` windows: a larger benchmark is filled into as
+many blocks as it needs, a long item into several of them; the documents are scanned for one block
+after the other, each block's hits are written and its broadcast is given up before the next is
+made, and the hit spans of a document are merged. One block is therefore all that is broadcast or
+held by the driver, whatever the benchmark's size.
+
+Null texts have no words. Null item ids count as hits but are not listed; other ids are listed as
+strings. Repeated items are listed once. Repeated rows and rows that share an id have results of
+their own. Output columns are structs under one name of the caller's choice, so extra columns
+never clash.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from corvane.llm.batches import in_pieces, send_package
+from corvane.llm.batches import in_pieces, send_package, written
 from corvane.llm.words import ALNUM, Words, flat, window_hashes
 
 WINDOW = 10
@@ -33,7 +37,7 @@ FOUND = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),  # [first word, one past the last, first byte, one past the last]
-        T.StructField("items", T.ArrayType(T.LongType())),
+        T.StructField("items", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -41,7 +45,7 @@ FOUND = T.StructType(
 class Block:
     """The windows of some items, by length: sorted hashes, and the items of each distinct window's words."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.by_length: dict[int, np.ndarray] = {}
         self.items: dict[tuple[int, bytes], set] = {}
         words = Words(pa.array([x for _, x in items], pa.large_string()), ALNUM)
@@ -81,7 +85,7 @@ class Block:
             out.append((int(base[i + 1] - base[i]), own, sorted(x for x in items[i] if x is not None)))
         return pa.array(
             [{"n_words": a, "spans": b, "items": c} for a, b, c in out],
-            pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))]),
+            pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))]),
         )
 
 
@@ -119,14 +123,21 @@ def cut_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def blocks(benchmark: DataFrame, window: int, item: str, text: str, most: int):
-    """The benchmark as lists of items that have at most about ``most`` windows together."""
-    rows = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    # as many windows as characters / 2 at most; bounds the block without splitting words in the JVM
-    windows = rows.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0.0))).first()[0]
-    n = max(1, int(-(-windows // most)))
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], r["text"]) for r in part.toLocalIterator()]
+    """The benchmark as lists of (item, text) that have at most ``most`` windows together; a longer item is cut so that no window is lost."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    block, held = [], 0
+    for r in rows.toLocalIterator():
+        words = Words(pa.array([r["text"]], pa.large_string()), ALNUM)
+        n = len(words.start)
+        for a in range(0, max(1, n - window + 1) if n else 0, most):
+            b = min(n, a + most + window - 1)
+            new = max(1, b - a - window + 1)
+            if block and held + new > most:
+                yield block
+                block, held = [], 0
+            block.append((r["item"], words.bytes[words.start[a] : words.end[b - 1]].tobytes().decode()))
+            held += new
+    yield block
 
 
 def scan(
@@ -135,29 +146,32 @@ def scan(
 ) -> DataFrame:
     """``docs`` with the struct ``found``: n_words, the merged hit spans in words and bytes, and the ids of the items hit.
 
-    Ordinary benchmarks are one block and one pass, with no shuffle. With more blocks each is a
-    branch of a union, so that no worker holds two; a document's hits then meet by a key of its
-    id and text, and are joined back.
+    Ordinary benchmarks are one block and one pass, with no shuffle. With more blocks the hits of
+    each are written by a key of the text, meet there, and are joined back.
     """
     send_package(docs.sparkSession)
-    shared = [_finder(docs, x, window) for x in blocks(benchmark, window, item_id, item_text, most_windows)]
-    if len(shared) == 1:
-        return docs.withColumn(found, shared[0](F.col(text)))
+    every = blocks(benchmark, window, item_id, item_text, most_windows)
+    first, second = next(every), next(every, None)
+    if second is None:
+        return docs.withColumn(found, _finder(docs, first, window)[0](F.col(text)))
     key, part = "_corvane_key", "_corvane_part"
     keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    each = [keyed.select(key, find(F.col(text)).alias(part)).where(F.size(F.col(part)["spans"]) > 0).distinct() for find in shared]
-    union = each[0]
-    for more in each[1:]:
-        union = union.unionByName(more)
+    union = None
+    for block in itertools.chain([first, second], every):
+        find, shared = _finder(docs, block, window)
+        hits = written(keyed.select(key, find(F.col(text)).alias(part)).where(F.size(F.col(part)["spans"]) > 0).distinct(), "hits")
+        shared.unpersist()
+        union = hits if union is None else union.unionByName(hits)
     hits = union.groupBy(key).agg(F.collect_list(part).alias(part))  # at most one row of a block for each text
-    every = F.col(part)
-    words = _finder(docs, [], window)(F.col(text))
+    hits = hits.select(F.substring(key, 1, 64).alias("_corvane_at"), part)  # dealt anew, so that a common text can be split
+    each = F.col(part)
+    words = _finder(docs, [], window)[0](F.col(text))
     merged_hits = F.struct(
         words["n_words"].alias("n_words"),
-        merge_spans(F.coalesce(F.flatten(F.transform(every, lambda x: x["spans"])), F.array())).alias("spans"),
-        F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(every, lambda x: x["items"])))), F.array()).alias("items"),
+        merge_spans(F.coalesce(F.flatten(F.transform(each, lambda x: x["spans"])), F.array())).alias("spans"),
+        F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(each, lambda x: x["items"])))), F.array()).alias("items"),
     )
-    return keyed.join(hits, key, "left").withColumn(found, merged_hits).drop(key, part)
+    return keyed.join(hits.hint("merge"), F.col(key) == F.col("_corvane_at"), "left").withColumn(found, merged_hits).drop(key, part, "_corvane_at")
 
 
 def _finder(docs: DataFrame, items: list, window: int):
@@ -167,7 +181,7 @@ def _finder(docs: DataFrame, items: list, window: int):
     def find(texts: pa.Array) -> pa.Array:
         return in_pieces(texts, shared.value.scan)
 
-    return find.asNondeterministic()  # it isn't, but a filter on the result must not make Spark look twice
+    return find.asNondeterministic(), shared  # it isn't, but a filter on the result must not make Spark look twice
 
 
 def hit_words(spans: Column) -> Column:

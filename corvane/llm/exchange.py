@@ -26,7 +26,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.batches import delete, release, shared_dir
@@ -87,6 +87,12 @@ def key_bits(keys: int, spare: int) -> int:
     return min(64, max(24, math.ceil(math.log2(max(keys, 2))) + spare))
 
 
+def clean(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files that nothing needs any more: it waits for the references to go, on both sides."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Batches:
     """A corpus in batches; ``drop()`` removes the table when the results are written."""
 
@@ -106,9 +112,7 @@ class Batches:
         self.clean()
 
     def clean(self) -> None:
-        """Let Spark's cleaner delete the shuffle files that nothing needs any more: it waits for the references to go, on both sides."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        clean(self.spark)
 
     def setting(self, name: str, otherwise: int) -> int:
         return int(self.spark.conf.get(name, str(otherwise)))

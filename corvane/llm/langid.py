@@ -11,8 +11,9 @@ the result is marked as rejected. Equal sizes go to the language that is first i
 name.
 
 Null texts and texts without a letter: ``und``, score 0, rejected. With no labelled text at
-all, every text is ``und``. Labels are compared as they are; null labels are not learned.
-Only the struct column named by the caller is added.
+all, every text is ``und``. Labels are compared as they are; null labels are not learned, null ids
+are learned like others. Repeated rows are learned once and have results of their own. Only the
+struct column named by the caller is added; extra columns stay.
 """
 
 from __future__ import annotations
@@ -48,19 +49,22 @@ def prepared(text: str) -> str:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS_A_LANGUAGE, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A dictionary for each language, from at most ``rows`` rows of it, chosen by a hash of their key."""
-    slim = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("h"), (~F.length(text).between(*FIT_CHARS)).cast("int").alias("odd")
-    )
-    order = Window.partitionBy("lang").orderBy("odd", "h", "key")
+    """A dictionary for each language, from at most ``rows`` rows of it, chosen by a hash of key and text.
+
+    The driver gets the hashes of the chosen rows, then their texts, each once however often the
+    row is repeated.
+    """
+    usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    slim = usable.select(F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h"), (~F.length(text).between(*FIT_CHARS)).cast("int").alias("odd")).distinct()
+    order = Window.partitionBy("lang").orderBy("odd", "h")
     chosen = slim.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).collect()
-    picked = {(r["lang"], r["key"]): (r["odd"], r["h"]) for r in chosen}
-    keys = sorted({k for _, k in picked if k is not None})
+    odd = {(r["lang"], r["h"]): r["odd"] for r in chosen}
     found: dict[str, list] = {}
-    sample = labelled.where(F.col(key).isin(keys) & F.col(text).isNotNull()) if keys else labelled.limit(0)
-    for r in sample.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.substring(text, 1, 2 * size).alias("text")).distinct().toLocalIterator():
-        if (r["lang"], r["key"]) in picked:
-            found.setdefault(r["lang"], []).append((*picked[r["lang"], r["key"]], r["text"]))
+    if odd:
+        sample = usable.select(F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h"), F.substring(text, 1, 2 * size).alias("text"))
+        for r in sample.where(F.col("h").isin(sorted({h for _, h in odd}))).distinct().toLocalIterator():
+            if (r["lang"], r["h"]) in odd:
+                found.setdefault(r["lang"], []).append((odd[r["lang"], r["h"]], r["h"], r["text"]))
     return {name: " ".join(prepared(x) for _, _, x in sorted(own)).encode()[:size] for name, own in found.items()}
 
 

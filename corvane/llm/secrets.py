@@ -4,22 +4,28 @@ Every version of every file is addressed by the SHA-256 of its content. A ledger
 each (blob, rule, rule version), the spans that the rule found; a scan looks only at pairs
 the ledger lacks, and findings are joined back to every path and version with that content.
 
+The ledger is a folder of Parquet files in shared storage. ``update`` appends what a scan adds
+(``read_ledger`` and ``update`` are all that a nightly job needs), and a rule of a new version is
+the only one that old blobs are scanned for.
+
 Spans are code points, end exclusive: leftmost matches that don't overlap, one rule at a
-time, then those whose checked group is too short are dropped. The offsets come from what
-lies between the matches. Null contents are empty blobs. An unknown rule name in a ledger is
-kept and ignored. Paths and versions may repeat; every row of the input has its row in the
-result.
+time, then those whose checked group is too short are dropped. A match's offset is the running
+sum of what lies between the matches and of the matches before it, by a window over the blob's
+own matches, so a text with very many costs in proportion. Null contents are empty blobs. An
+unknown rule name in a ledger is kept and ignored, and pairs that it has twice count once. Paths
+and versions may repeat; every row of the input has its row in the result. An empty table adds
+nothing. Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.batches import text_or_empty
+from corvane.llm.batches import text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -47,25 +53,33 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
     return nothing.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in LEDGER.fields])
 
 
-def rule_spans(text: Column, rule: Rule) -> Column:
-    """array<[start, end]> of the rule's findings in a text."""
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger that ``update`` keeps at ``path``."""
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def rule_matches(text: Column, rule: Rule) -> Column:
+    """array<struct<gap, size, tested>> of a rule's matches in order: code points before it, of it, and of the group that is tested."""
     pattern = F.lit(rule.pattern)
-    match = F.regexp_extract_all(text, pattern, F.lit(0))
+    matches = F.regexp_extract_all(text, pattern, F.lit(0))
     tested = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    before = F.split(text, rule.pattern, -1)
+    gaps = F.slice(F.split(text, rule.pattern, -1), 1, F.size(matches))
     long = lambda x: F.length(x).cast("long")
-    # running offsets: [end of the last match, spans so far]
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<bigint>>").alias("spans"))
+    both = F.zip_with(matches, tested, lambda a, b: F.struct(long(a).alias("size"), long(b).alias("tested")))
+    found = F.zip_with(both, gaps, lambda x, gap: F.struct(long(gap).alias("gap"), x["size"].alias("size"), x["tested"].alias("tested")))
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast("array<struct<gap:bigint,size:bigint,tested:bigint>>"))
 
-    def step(state, x):
-        begin = state["at"] + x["gap"]
-        end = begin + x["size"]
-        return F.struct(end.alias("at"), F.when(x["tested"] >= rule.least, F.concat(state["spans"], F.array(F.array(begin, end)))).otherwise(state["spans"]).alias("spans"))
 
-    gaps = F.slice(before, 1, F.size(match))
-    parts = F.zip_with(F.zip_with(match, tested, lambda a, b: F.struct(long(a).alias("size"), long(b).alias("tested"))), gaps, lambda x, gap: F.struct(long(gap).alias("gap"), x["size"].alias("size"), x["tested"].alias("tested")))
+def spans_of(matches: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Ledger rows from (blob_id, rule, version, matches): running offsets, and the matches that pass their test."""
     none = F.array().cast("array<array<bigint>>")
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, start, step, lambda s: s["spans"])).otherwise(none)
+    bare = matches.where(F.size("matches") == 0).select("blob_id", "rule", "version", none.alias("spans"))
+    least = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.least)])
+    each = matches.where(F.size("matches") > 0).select("blob_id", "rule", "version", F.posexplode("matches").alias("at", "x")).select("blob_id", "rule", "version", "at", "x.*")
+    before = Window.partitionBy("blob_id", "rule", "version").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before))
+    kept = F.when(F.col("tested") >= least[F.col("rule")], F.array(F.col("end") - F.col("size"), F.col("end")))
+    return bare.unionByName(placed.groupBy("blob_id", "rule", "version").agg(F.array_sort(F.collect_list(kept)).alias("spans")))
 
 
 def address(versions: DataFrame, text: str = "text", blob_id: str = "blob_id") -> DataFrame:
@@ -83,17 +97,24 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     blobs = versions.select(F.sha2(content, 256).alias("blob_id"), content.alias("content")).distinct()
     wanted = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     if ledger is not None:
-        seen = ledger.groupBy("blob_id").agg(F.collect_set(F.struct("rule", "version")).alias("seen"))  # as many as rules and versions
+        known = F.concat_ws(":", "rule", "version").isin([f"{r.name}:{r.version}" for r in rules])
+        seen = ledger.where(known).groupBy("blob_id").agg(F.collect_set(F.struct("rule", "version")).alias("seen"))  # as many as rules at most
         blobs = blobs.join(seen, "blob_id", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<struct<rule:string,version:int>>"))))
     else:
         blobs = blobs.withColumn("todo", wanted)
-    found = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.when(F.array_contains(F.col("todo"), F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"))), rule_spans(F.col("content"), r)).alias("spans")) for r in rules])
-    return blobs.where(F.size("todo") > 0).select("blob_id", F.explode(F.filter(found, lambda x: x["spans"].isNotNull())).alias("x")).select("blob_id", "x.*")
-
-
-def update(ledger: DataFrame, versions: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The ledger with what the new versions add to it."""
-    return ledger.unionByName(scan_unseen(versions, ledger, rules, text))
+    asked = lambda r: F.array_contains(F.col("todo"), F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")))
+    found = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.when(asked(r), rule_matches(F.col("content"), r)).alias("matches")) for r in rules])
+    each = blobs.where(F.size("todo") > 0).select("blob_id", F.explode(F.filter(found, lambda x: x["matches"].isNotNull())).alias("x")).select("blob_id", "x.*")
+    return spans_of(written(each, "matches"), rules)
+
+
+def update(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """Append to the ledger at ``path`` what ``versions`` add to it, and read it."""
+    spark = versions.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(there)
+    scan_unseen(versions, read_ledger(spark, path) if exists else None, rules, text).write.mode("append").parquet(path)
+    return read_ledger(spark, path)
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out: str = "findings") -> DataFrame:

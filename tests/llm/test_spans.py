@@ -18,7 +18,7 @@ def brute_hits(docs, items, window=10):
                 if tuple(w[k : k + len(x)]) == x:
                     hit |= set(range(k, k + len(x)))
                     found.add(i)
-        out.append((d, len(w), len(hit), sorted(x for x in found if x is not None)))
+        out.append((d, len(w), len(hit), sorted(str(x) for x in found if x is not None)))
     return sorted(out, key=repr)
 
 
@@ -27,12 +27,25 @@ def test_decontamination_matches_brute_force(spark):
     text = dict(r for r in rows if r[0] is not None)
     items = [(1, " ".join(text[1].split()[20:45])), (2, "ONE, two"), (3, None), (4, ""), (5, " ".join(text[11].split()[4000:4011])), (None, "same " * 12), (6, prose(15)), (10, "one two")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    for most in (decontam.MOST_WINDOWS, 40):  # one block, and several
+    for most in (decontam.MOST_WINDOWS, 40, 7):  # one block, and several; the last has fewer windows than an item
         seen = decontam.scan(frame(spark, rows).withColumnRenamed("found", "other"), benchmark, most_windows=most)
         got = [(r.doc_id, r.found.n_words, r.hit, r.found["items"]) for r in seen.withColumn("hit", decontam.hit_words(F.col("found.spans"))).collect()]
         assert sorted(got, key=repr) == brute_hits(rows, items)
 
 
+def test_blocks_have_no_more_windows_than_they_may_and_lose_none(spark):
+    items = [(1, " ".join(f"w{i}" for i in range(100))), (2, "a b c"), (3, None), (4, " ".join(f"v{i}" for i in range(23)))]
+    found = list(decontam.blocks(spark.createDataFrame(items, "item_id long, text string"), 10, "item_id", "text", 20))
+    windows = [decontam.Block(x, 10).items for x in found]
+    assert all(len(x) <= 20 for x in windows) and sum(map(len, windows)) == 91 + 1 + 14 == len(set().union(*windows))
+
+
+def test_item_ids_of_any_type_are_sorted_as_strings(spark):
+    benchmark = spark.createDataFrame([("b9", "one two"), ("b10", "two three"), (None, "three four")], "item_id string, text string")
+    got = decontam.scan(frame(spark, [(1, "one two three four")]), benchmark).first().found
+    assert got["items"] == ["b10", "b9"] and decontam.merged([tuple(x) for x in got.spans])[0][:2] == (0, 4)
+
+
 def test_decontaminate_cuts_spans_or_drops_documents(spark):
     item = prose(20)
     rows = [(1, f"before {prose(60)} {item}, and after"), (2, item), (3, "clean text"), (4, None)]
@@ -128,10 +141,11 @@ def brute_secrets(text):
     return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out))
 
 
-def test_secrets_match_brute_force_and_ledger_is_incremental(spark):
+def test_secrets_match_brute_force_and_ledger_is_incremental(spark, tmp_path):
     rows = odd_texts()
     docs = frame(spark, rows)
-    ledger = secrets.update(secrets.empty_ledger(spark), docs).persist()
+    path = f"{tmp_path}/ledger"
+    ledger = secrets.update(docs, path)
     found = secrets.findings(docs, ledger, out="secrets_found")
     got = sorted(((r.doc_id, r.s) for r in found.select("doc_id", secrets.joined_spans(F.col("secrets_found")).alias("s")).collect()), key=repr)
     assert got == sorted(((i, brute_secrets(t or "")) for i, t in rows), key=repr)
@@ -142,3 +156,24 @@ def test_secrets_match_brute_force_and_ledger_is_incremental(spark):
     assert {(r.rule, r.version) for r in again.collect()} == {("hex", 2)}
     assert again.count() == len({t or "" for _, t in rows})
     assert secrets.findings(frame(spark, []), ledger).count() == 0
+
+
+def test_a_later_snapshot_is_scanned_for_its_new_blobs_and_findings_reach_all_paths(spark, tmp_path):
+    history = "path string, version int, text string"
+    first = spark.createDataFrame([("a", 1, "token=abcdefgh1"), ("b", 1, "nothing"), ("c", 1, None)], history)
+    second = spark.createDataFrame([("a", 2, "token=abcdefgh1 and more"), ("b", 1, "nothing"), ("d", 1, "token=abcdefgh1"), ("d", 1, "token=abcdefgh1")], history)
+    path = f"{tmp_path}/ledger"
+    assert secrets.update(first, path).count() == 3 * 3
+    assert {r.blob_id for r in secrets.scan_unseen(second, secrets.read_ledger(spark, path)).collect()} == {sha("token=abcdefgh1 and more")}
+    ledger = secrets.update(second, path)
+    assert ledger.count() == 4 * 3
+    got = secrets.findings(first.unionByName(second), ledger).select("path", "version", secrets.joined_spans(F.col("findings")).alias("s")).collect()
+    spans = "assign:0:15"
+    assert sorted((r.path, r.version, r.s) for r in got) == sorted([("a", 1, spans), ("b", 1, ""), ("c", 1, ""), ("a", 2, spans), ("b", 1, ""), ("d", 1, spans), ("d", 1, spans)])
+
+
+def test_secrets_of_a_long_text_with_very_many_matches(spark, tmp_path):
+    text = "token=abcdefgh1 x " * 40000 + "f" * 33
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secrets.findings(docs, secrets.update(docs, f"{tmp_path}/ledger")).first().findings
+    assert len(found["assign"]) == 40000 and found["assign"][-1] == [18 * 39999, 18 * 39999 + 15] and found["hex"] == [[720000, 720033]]
