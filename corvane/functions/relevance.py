@@ -34,22 +34,40 @@ def has(text: Column, pattern: str) -> Column:
     return text.rlike("(?U)" + pattern)
 
 
+def topic_score(name: str, s: Column) -> Column:
+    """What a sentence (in lower case) is worth for one topic."""
+    score = F.lit(0)
+    for points, must, also, never, least in reversed(SENTENCE_RULES[name]):
+        fits = has(s, must)
+        if also:
+            fits &= has(s, also)
+        if never:
+            fits &= ~has(s, never)
+        if least:
+            fits &= F.size(F.filter(F.split(s, r"(?U)\s+", -1), lambda w: w != "")) >= least
+        score = F.when(fits, points).otherwise(score)
+    return score
+
+
+def sentence_scores(sentence: Column) -> Column:
+    """struct<scores, prizes>: a sentence's score for each topic, whatever the query, and whether it is about prizes."""
+    s = F.lower(sentence)
+    scores = F.create_map(*[x for name in SENTENCE_RULES for x in (F.lit(name), F.when(has(s, REJECTED), 0).otherwise(topic_score(name, s)).cast("int"))])
+    return F.struct(scores.alias("scores"), has(s, PRIZES).alias("prizes"))
+
+
+def about_prizes(query: Column | None) -> Column:
+    return F.lit(False) if query is None else has(query, PRIZE_QUERY)
+
+
+def scored_for(known: Column, topic: Column, of_prizes: Column) -> Column:
+    """0 (not to be shown) to 6, from ``sentence_scores`` and whether the query is about prizes; sentences about prizes only answer such queries."""
+    return F.when(known["prizes"] & ~of_prizes, 0).otherwise(F.coalesce(known["scores"][topic], F.lit(0))).cast("int")
+
+
 def relevance_score(topic: Column, sentence: Column, query: Column | None = None) -> Column:
     """0 (not to be shown) to 6."""
-    s = F.lower(sentence)
-    score = F.lit(0)
-    for name, rules in reversed(SENTENCE_RULES.items()):
-        for points, must, also, never, least in reversed(rules):
-            fits = (topic == name) & has(s, must)
-            if also:
-                fits &= has(s, also)
-            if never:
-                fits &= ~has(s, never)
-            if least:
-                fits &= F.size(F.filter(F.split(s, r"(?U)\s+", -1), lambda w: w != "")) >= least
-            score = F.when(fits, points).otherwise(score)
-    prizes = has(s, PRIZES) & ~(has(query, PRIZE_QUERY) if query is not None else F.lit(False))
-    return F.when(has(s, REJECTED) | prizes, 0).otherwise(score).cast("int")
+    return scored_for(sentence_scores(sentence), topic, about_prizes(query))
 
 
 def explanation_topic(category: Column, signals: Column, facts: Column) -> Column:

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from corvane.functions.cues import CONNECTIVITY, facts
 from corvane.functions.json_text import draft_outcome, parsed_draft
-from corvane.functions.relevance import explanation_topic, relevance_score
+from corvane.functions.relevance import about_prizes, explanation_topic, scored_for, sentence_scores
 from corvane.functions.segment import sentence_units
 from corvane.functions.text import GENERIC_TERMS, passage_terms, reject_reason, trusted_urls, without_fence, words
 from corvane.operators.policy import guidance, handoff
 from corvane.operators.retrieval import search_passages
 from corvane.operators.review import review
+from corvane.session import settled
 
 Step = Callable[[DataFrame], DataFrame]
 NO_NAMES = "array<string>"
@@ -60,30 +61,40 @@ def observed(inputs: DataFrame, observer: Step = cue_observer) -> DataFrame:
     accepted = inputs.withColumn("rejected", reject_reason(F.col("text")))
     seen = observer(accepted.withColumn("facts", facts(F.col("text"))))
     generation = F.col("generation") if "generation" in seen.columns else F.lit(None).cast("string")
-    looked = seen.withColumn("_r", review(F.col("text"), F.col("observed"), generation))
+    looked = seen.withColumn("_r", review(F.col("text"), F.col("observed"), generation, F.col("facts")))
     return looked.withColumns({"category": F.col("_r.category"), "signals": F.col("_r.signals"), "issues": F.col("_r.issues"), "notes": F.col("_r.notes")}).drop("_r")
 
 
-def ranked_units(units, query):
-    """Sentence units by the query's terms they share, generic ones a fifth; ties in order."""
-    terms = F.array_distinct(passage_terms(query))
+def sentence_table(passages: DataFrame) -> DataFrame:
+    """passage_id, excerpt and units of every passage: its sentence units with their terms and their scores for each topic, whatever is asked."""
+    unit = lambda u: F.struct(u.alias("unit"), F.array_distinct(passage_terms(u)).alias("terms"), sentence_scores(u).alias("known"))
+    return passages.select("passage_id", F.col("text").alias("excerpt"), sentence_units()(F.col("text")).alias("found")).select("passage_id", "excerpt", F.transform("found", unit).alias("units"))
 
-    def share(u):
-        both = F.array_intersect(F.array_distinct(passage_terms(u)), terms)
-        generic = F.size(F.array_intersect(both, words(*GENERIC_TERMS)))
-        return (F.size(both) - generic) * 10 + generic * 2
 
-    placed = F.transform(units, lambda u, i: F.struct((-share(u)).alias("order"), i.alias("at"), u.alias("unit")))
-    return F.transform(F.array_sort(placed), lambda x: x["unit"])
+def shared_weight(terms, wanted):
+    """How much of a query's terms a unit has, generic ones counted a fifth."""
+    both = F.array_intersect(terms, wanted)
+    generic = F.size(F.array_intersect(both, words(*GENERIC_TERMS)))
+    return (F.size(both) - generic) * 10 + generic * 2
+
+
+def best_units(units, wanted, topic, of_prizes):
+    """At most OPTIONS units (order, at, unit) that may explain the topic: by relevance, then by shared terms, then in order."""
+    rated = F.transform(
+        units, lambda u, i: F.struct((-scored_for(u["known"], topic, of_prizes)).alias("order"), (-shared_weight(u["terms"], wanted)).alias("share"), i.alias("at"), u["unit"].alias("unit"))
+    )
+    return F.slice(F.array_sort(F.filter(rated, lambda x: x["order"] < 0)), 1, OPTIONS)
 
 
 def explain(inputs: DataFrame, documents: DataFrame, passages: DataFrame, observer: Step = cue_observer, selector: Step = first_sentence) -> DataFrame:
     """Every input with status, topic, explanation, quoted source and observation.
 
     documents(doc_id, title, category, platform, tags, urls, source_type, text);
-    passages(doc_id, passage_id, text). Only inputs that pass a gate go on to the next step.
+    passages(doc_id, passage_id, text). Only inputs that pass a gate go on to the next step. A
+    selector gives ``draft``, and may give ``complete``: no draft is generation_unavailable, one
+    that isn't complete incomplete_generation.
     """
-    seen = observed(inputs, observer).persist()  # Python looks at each text once
+    seen = settled(observed(inputs, observer))  # Python looks at each text once
     seen = seen.withColumn("topic", explanation_topic(F.col("category"), F.transform("signals", lambda s: s["signal"]), F.col("facts")))
     clear = seen.where(F.col("rejected").isNull() & (F.col("category") != "unknown") & (F.size("issues") == 0))
     asked = clear.select(
@@ -92,17 +103,17 @@ def explain(inputs: DataFrame, documents: DataFrame, passages: DataFrame, observ
     )
     hits = search_passages(asked.drop("topic"), documents, passages, LIMIT, PER_DOCUMENT)
     sources = documents.select("doc_id", "urls", trusted_urls(F.col("urls")).alias("trusted"))
-    found = hits.join(passages.select("passage_id", F.col("text").alias("excerpt")), "passage_id").join(sources, "doc_id")
-    retrieved = found.groupBy("query_id").agg(F.count("*").alias("n_retrieved"), F.bool_and("trusted").alias("all_trusted"))
-    scored = found.join(asked.select("query_id", "query", "topic"), "query_id").where("topic <> 'none'")
-    units = ranked_units(sentence_units()(F.col("excerpt")), F.col("query"))
-    rated = F.transform(units, lambda u, i: F.struct((-relevance_score(F.col("topic"), u, F.col("query"))).alias("order"), i.alias("at"), u.alias("unit")))
-    best = F.slice(F.array_sort(F.filter(rated, lambda x: x["order"] < 0)), 1, OPTIONS)
+    retrieved = hits.join(sources, "doc_id").groupBy("query_id").agg(F.bool_and("trusted").alias("all_trusted"))
+    wanted = asked.select("query_id", F.array_distinct(passage_terms(F.col("query"))).alias("wanted"), about_prizes(F.col("query")).alias("of_prizes"), "topic").where("topic <> 'none'")
+    scored = hits.join(wanted, "query_id").join(sentence_table(passages), "passage_id")
+    best = best_units(F.col("units"), F.col("wanted"), F.col("topic"), F.col("of_prizes"))
     offered = scored.select("query_id", "doc_id", "passage_id", "excerpt", "rank", F.concat(F.lit("S"), F.col("rank").cast("string")).alias("source_id"), best.alias("best")).where(F.size("best") > 0)
     first = Window.partitionBy("query_id").orderBy(F.col("best")[0]["order"], "rank")
     one = offered.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("options", F.transform("best", lambda x: x["unit"])).drop("_n", "best", "rank")
     drafted = selector(one).withColumn("parsed", parsed_draft(without_fence(F.col("draft"))))
-    judged = drafted.withColumn("outcome", draft_outcome(F.col("parsed"), F.col("source_id"), F.col("options")))
+    complete = F.coalesce(F.col("complete"), F.lit(False)) if "complete" in drafted.columns else F.lit(True)
+    outcome = F.when(F.col("draft").isNull(), "generation_unavailable").when(~complete, "incomplete_generation").otherwise(draft_outcome(F.col("parsed"), F.col("source_id"), F.col("options")))
+    judged = drafted.withColumn("outcome", outcome)
     answers = judged.select("query_id", "outcome", F.col("doc_id").alias("cited_document"), "excerpt", F.when(F.col("outcome") == "answered", F.element_at("options", F.col("parsed.sentence_id").cast("int"))).alias("quote"))
     both = seen.join(retrieved.withColumnRenamed("query_id", "input_id"), "input_id", "left").join(answers.withColumnRenamed("query_id", "input_id"), "input_id", "left")
     status = (

@@ -16,6 +16,7 @@ from pyspark.sql.functions import arrow_udf
 
 from corvane.functions.cues import CONNECTIVITY, SIGNALS
 from corvane.functions.text import dedup_key, exact_comparison_tokens, reject_reason, weak_key, words
+from corvane.session import settled
 
 # What labels may say.
 CATEGORIES = ("message", "alert", "wifi", "unknown")
@@ -26,6 +27,8 @@ PROVENANCES = ("synthetic_authored", "uci_sms_derived")
 REVIEWS = ("draft_needs_human_review", "automated_reviewed", "human_reviewed")
 MOST_SIGNALS, MOST_ISSUES, MOST_EVIDENCE = 8, 5, 500
 SIMILAR, SIMILAR_SOURCES = 0.85, 0.75
+#: Characters by which texts and prompts meet.
+ANCHOR = 16
 
 
 def struct_names(signals: Column) -> Column:
@@ -115,9 +118,19 @@ def input_overlap(left: DataFrame, right: DataFrame, left_id: str, text: str = "
     return left.select(F.col(left_id).alias("id"), weak_key(F.col(text)).alias("k")).join(keys, "k", "left_semi").select("id")
 
 
-def prompt_leakage(rows: DataFrame, prompt: DataFrame, row_id: str, text: str = "text") -> DataFrame:
-    """Rows whose text is inside the prompt; ``prompt`` has one row (prompt)."""
-    return rows.join(F.broadcast(prompt.limit(1)), F.contains(F.col("prompt"), F.col(text)) & (F.length(text) > 0)).select(F.col(row_id).alias("id"))
+def prompt_leakage(rows: DataFrame, prompts: DataFrame, row_id: str, text: str = "text", prompt: str = "prompt") -> DataFrame:
+    """Rows whose text is inside one of the prompts; empty texts are in none.
+
+    A text's first ANCHOR characters, or all of a shorter one, stand somewhere in the prompt: texts
+    meet the prompts' runs of up to so many characters by equality, and then the whole text is
+    looked for. No prompt is dropped and none is broadcast to all rows.
+    """
+    named = prompts.where(F.col(prompt).isNotNull()).select(F.col(prompt).alias("prompt")).distinct().withColumn("p", F.xxhash64("prompt"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.length("prompt")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(ANCHOR)), lambda n: F.substring(F.col("prompt"), i, n))))
+    anchors = named.where(F.length("prompt") > 0).select("p", F.explode(F.array_distinct(runs)).alias("anchor"))
+    asked = rows.where(F.length(text) > 0).select(F.col(row_id).alias("id"), F.col(text).alias("asked"), F.substring(text, 1, ANCHOR).alias("anchor"))
+    met = asked.join(anchors, "anchor").join(named, "p").where(F.contains("prompt", F.col("asked")))
+    return met.select("id").distinct()
 
 
 @arrow_udf(T.DoubleType())
@@ -125,7 +138,7 @@ def sequence_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
     """The larger of both directions' matching-block ratio of two token lists."""
 
     def one(a, b):
-        return max(SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in ((a, b), (b, a)))
+        return 1.0 if a == b else max(SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in ((a, b), (b, a)))
 
     return pa.array([one(a, b) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
 
@@ -144,7 +157,7 @@ def bag_candidates(rows: DataFrame, least: float) -> DataFrame:
     n - ceil(n * t / (2 - t)) + 1 rarest tokens: pairs meet on these. At the first token that
     they share, what is left of either bag bounds the overlap. Then bags are compared.
     """
-    bags = token_rows(rows).persist()  # counted, ordered and compared
+    bags = settled(token_rows(rows))  # counted, ordered and compared
     frequency = bags.groupBy("token", "k").agg(F.count("*").alias("df"))
     ordered = bags.join(frequency, ["token", "k"]).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "token", "k")))
     prefix = ordered.where((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * least / (2 - least) - 1e-9) + 1))
@@ -160,25 +173,37 @@ def bag_candidates(rows: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", overlap.alias("overlap")).where(2 * F.col("overlap") >= least * (F.col("n_a") + F.col("n_b")))
 
 
+def same_tokens(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows(id, split, sourced, text) with their tokens, the representative of their class (rep: the smallest id with the same tokens, split and sourced) and its size (copies)."""
+    tokens = settled(rows.select("id", "split", "sourced", exact_comparison_tokens(F.col(text)).alias("tokens")))
+    named = tokens.withColumns({"h1": F.xxhash64("tokens"), "h2": F.xxhash64(F.lit(1), "tokens")})
+    classes = named.groupBy("split", "sourced", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    classes = classes.select(F.struct("split", "sourced", "h1", "h2").alias("class"), "rep", "copies")
+    return named.withColumn("class", F.struct("split", "sourced", "h1", "h2")).join(classes.hint("merge"), "class").select("id", "split", "sourced", "tokens", "rep", "copies")
+
+
 def near_duplicates(rows: DataFrame, text: str = "text") -> DataFrame:
-    """left, right, splits and similarity of near copies across splits; rows(id, split, sourced, text).
+    """left, right, splits, copies and similarity of near copies across splits; rows(id, split, sourced, text).
 
-    Similar at SIMILAR, or at SIMILAR_SOURCES where both rows are ``sourced``. Two texts without
-    tokens are alike in full.
+    Similar at SIMILAR, or at SIMILAR_SOURCES where both rows are ``sourced``. Pairs are between
+    representatives: rows of a split that have the same tokens are one class (``same_tokens`` says
+    which row is in which), and left_copies and right_copies are the sizes of the classes. Texts
+    without tokens are alike in full, and so are their classes.
     """
-    tokens = rows.select("id", "split", "sourced", exact_comparison_tokens(F.col(text)).alias("tokens")).persist()  # five uses
-    found = bag_candidates(tokens, SIMILAR_SOURCES).select("a", "b")
-    lists = tokens.select("id", "tokens")
+    members = same_tokens(rows, text)
+    reps = settled(members.where(F.col("id") == F.col("rep")))
+    lists = reps.select("id", "tokens")
+    found = bag_candidates(reps.select("id", "split", "tokens"), SIMILAR_SOURCES).select("a", "b")
     found = found.join(lists.select(F.col("id").alias("a"), F.col("tokens").alias("t_a")), "a").join(lists.select(F.col("id").alias("b"), F.col("tokens").alias("t_b")), "b")
-    empty = tokens.where(F.size("tokens") == 0).select("id", "split")
-    blank = empty.select(F.col("id").alias("a"), F.col("split").alias("x")).join(empty.select(F.col("id").alias("b"), F.col("split").alias("y")), (F.col("x") < F.col("y")) | (F.col("x") > F.col("y")))
-    scored = found.select("a", "b", sequence_ratio(F.col("t_a"), F.col("t_b")).alias("score")).unionByName(blank.where("a < b").select("a", "b", F.lit(1.0).alias("score")))
-    slim = tokens.select("id", "split", "sourced")
-    left = slim.withColumnsRenamed({"id": "a", "split": "left_split", "sourced": "left_sourced"})
-    right = slim.withColumnsRenamed({"id": "b", "split": "right_split", "sourced": "right_sourced"})
+    empty = reps.where(F.size("tokens") == 0).select("id", "split")  # a class for each split and ``sourced``
+    blank = empty.select(F.col("id").alias("a"), F.col("split").alias("x"), F.lit(0).alias("k")).join(empty.select(F.col("id").alias("b"), F.col("split").alias("y"), F.lit(0).alias("k")), "k").where("x <> y AND a < b")
+    scored = found.select("a", "b", sequence_ratio(F.col("t_a"), F.col("t_b")).alias("score")).unionByName(blank.select("a", "b", F.lit(1.0).alias("score")))
+    slim = reps.select("id", "split", "sourced", "copies")
+    left = slim.withColumnsRenamed({"id": "a", "split": "left_split", "sourced": "left_sourced", "copies": "left_copies"})
+    right = slim.withColumnsRenamed({"id": "b", "split": "right_split", "sourced": "right_sourced", "copies": "right_copies"})
     least = F.when(F.col("left_sourced") & F.col("right_sourced"), SIMILAR_SOURCES).otherwise(SIMILAR)
     both = scored.join(left, "a").join(right, "b").where(F.col("score") >= least)
-    return both.select(F.col("a").alias("left"), "left_split", F.col("b").alias("right"), "right_split", F.round("score", 4).alias("similarity"))
+    return both.select(F.col("a").alias("left"), "left_split", "left_copies", F.col("b").alias("right"), "right_split", "right_copies", F.round("score", 4).alias("similarity"))
 
 
 def profile(rows: DataFrame, dimensions: list[str], split: str = "split") -> DataFrame:
@@ -195,6 +220,16 @@ def missing_values(rows: DataFrame, column: str, expected: list[str], split: str
     return wanted.join(observed, ["split", "value"], "left_anti")
 
 
+def verified_counts(verified: DataFrame) -> DataFrame:
+    """How many rows of each split and label ``verify_source`` found without and with a problem."""
+    return verified.groupBy("split", "label").agg(F.count_if(F.col("problem").isNull()).alias("verified"), F.count_if(F.col("problem").isNotNull()).alias("failed"))
+
+
+def duplicate_sources(rows: DataFrame, row_id: str, source: str) -> DataFrame:
+    """source, first_id and uses of the source records that more than one row is made of; null is no record."""
+    return rows.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("source")).agg(F.min(row_id).alias("first_id"), F.count("*").alias("uses")).where("uses > 1")
+
+
 def verify_source(examples: DataFrame, archive: DataFrame, redacted_text: Column) -> DataFrame:
     """id, split, label and problem (null if none) of examples(id, split, record_number, label, raw_sha256, text).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.session import load
+from corvane.session import load, spread
 
 #: (SQL text, cues with a colon each, category after review, level, actions)
 TEMPLATES = [
@@ -44,4 +44,4 @@ def expected_sql(k: int) -> str:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """input_id and text."""
-    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("input_id"), F.expr(text_sql()).alias("text")).repartition("input_id")
+    return spread(load(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("input_id"), F.expr(text_sql()).alias("text"))

@@ -14,7 +14,7 @@ from corvane.functions.text import dedup_key, exact_comparison_tokens, passage_t
 from corvane.operators import evaluation, explain, metrics, policy, quality, retrieval, training
 from corvane.plans.knowledge import knowledge
 from corvane.plans.messages import expected_sql, messages, text_sql
-from corvane.session import load
+from corvane.session import load, settled, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,14 +32,14 @@ def query(name: str, sql: str | None = None):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test documents as a searchable corpus: language as category, first line as title, source as tag."""
-    docs = load(spark, sf_dir, "documents").repartition("doc_id")  # one row group a file: a scan is one task
+    docs = spread(load(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.col("lang").alias("category"), F.substring_index("text", "\n", 1).alias("title"), F.array("source").alias("tags"), "text", "source")
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test documents as labelled rows: eight of ten to train, one each to validate and test."""
     split = F.when(F.col("doc_id") % 10 < 8, "train").when(F.col("doc_id") % 10 == 8, "validation").otherwise("test")
-    return load(spark, sf_dir, "documents").repartition("doc_id").withColumn("split", split)
+    return spread(load(spark, sf_dir, "documents")).withColumn("split", split)
 
 
 SPLIT_SQL = "CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'validation' ELSE 'test' END"
@@ -79,28 +79,20 @@ def selection_sql(words: str, limit: int) -> str:
         found AS (SELECT * FROM ranked WHERE rank <= {limit})"""
 
 
-def asked(spark: SparkSession, sf_dir: str, expansion: bool = False, whole: bool = False) -> DataFrame:
-    """Benchmark items as queries: words 1-8, and 9-12 as expansion; ``whole`` items keep every word."""
+def asked(spark: SparkSession, sf_dir: str, expansion: bool = False) -> DataFrame:
+    """Benchmark items as queries, with every word; with ``expansion``, words 1-8 are the query and all others its expansion."""
     parts = F.split("text", " ")
-    item = load(spark, sf_dir, "benchmark")
-    if whole:
-        head, rest = F.array_join(F.slice(parts, 1, 8), " "), F.array_join(F.slice(parts, 9, F.greatest(F.size(parts), F.lit(1))), " ")
-        return item.select(F.col("item_id").alias("query_id"), (head if expansion else F.col("text")).alias("query"), (rest if expansion else F.lit("")).alias("expansion"), F.lit(None).cast("string").alias("category"))
-    text = lambda a, n: F.array_join(F.slice(parts, a, n), " ")
-    return item.select(F.col("item_id").alias("query_id"), text(1, 8).alias("query"), text(9, 4).alias("expansion") if expansion else F.lit("").alias("expansion"), F.lit(None).cast("string").alias("category"))
+    head, rest = F.array_join(F.slice(parts, 1, 8), " "), F.array_join(F.slice(parts, 9, F.greatest(F.size(parts), F.lit(1))), " ")
+    return load(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), (head if expansion else F.col("text")).alias("query"), (rest if expansion else F.lit("")).alias("expansion"), F.lit(None).cast("string").alias("category"),
+    )
 
 
-@query("keyword_search", f"WITH {selection_sql('array_to_string(string_split(text, chr(32))[1:8], chr(32))', 3)} SELECT query_id, doc_id, score, rank FROM found")
+@query("keyword_search", f"WITH {selection_sql('text', 3)} SELECT query_id, doc_id, score, rank FROM found")
 def keyword_search(spark, sf_dir):
     return retrieval.search_documents(asked(spark, sf_dir), documents(spark, sf_dir), 3)
 
 
-@query("keyword_search_whole", f"WITH {selection_sql('text', 3)} SELECT query_id, doc_id, score, rank FROM found")
-def keyword_search_whole(spark, sf_dir):
-    """keyword_search with every word of every item."""
-    return retrieval.search_documents(asked(spark, sf_dir, whole=True), documents(spark, sf_dir), 3)
-
-
 def bm25_sql(both: str, first: str, expansion: str) -> str:
     return f"""
     WITH {selection_sql(both, 10)},
@@ -132,17 +124,11 @@ def words_sql(a: str) -> str:
     return f"array_to_string(string_split(text, chr(32))[{a}], chr(32))"
 
 
-@query("bm25_search", bm25_sql(words_sql("1:12"), words_sql("1:8"), words_sql("9:12")))
+@query("bm25_search", bm25_sql("text", words_sql("1:8"), words_sql("9:")))
 def bm25_search(spark, sf_dir):
     return search_lines(spark, sf_dir, asked(spark, sf_dir, True))
 
 
-@query("bm25_search_whole", bm25_sql("text", words_sql("1:8"), words_sql("9:")))
-def bm25_search_whole(spark, sf_dir):
-    """bm25_search with every word of every item: words 1-8 are the query, all others the expansion."""
-    return search_lines(spark, sf_dir, asked(spark, sf_dir, True, whole=True))
-
-
 @query("term_counts", f"SELECT doc_id, len({terms_sql('text')})::BIGINT AS n_search_terms, len({bag_sql('text')})::BIGINT AS n_passage_terms FROM documents")
 def term_counts(spark, sf_dir):
     docs = documents(spark, sf_dir)
@@ -202,9 +188,10 @@ def duplicate_inputs(spark, sf_dir):
     return quality.duplicate_inputs(documents(spark, sf_dir), row_id="doc_id")
 
 
-@query("group_leakage", f"SELECT source AS group_id, count(DISTINCT {SPLIT_SQL}) AS n_splits, count(*) AS n_rows FROM documents GROUP BY source HAVING count(DISTINCT {SPLIT_SQL}) > 1")
+@query("group_leakage", f"SELECT doc_id // 3 AS group_id, count(DISTINCT {SPLIT_SQL}) AS n_splits, count(*) AS n_rows FROM documents GROUP BY 1 HAVING count(DISTINCT {SPLIT_SQL}) > 1")
 def group_leakage(spark, sf_dir):
-    return quality.group_leakage(examples(spark, sf_dir), "source")
+    rows = examples(spark, sf_dir).withColumn("scenario", F.expr("doc_id div 3"))
+    return quality.group_leakage(rows, "scenario")
 
 
 @query("unknown_references", """
@@ -214,23 +201,24 @@ def unknown_references(spark, sf_dir):
     return quality.unknown_references(rows, load(spark, sf_dir, "benchmark"), "doc_id", "refs", "item_id")
 
 
-@query("input_overlap", r"""
-    WITH k AS (SELECT DISTINCT trim(lower(line)) AS k FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))
-    SELECT conv_id * 1000 + turn AS id FROM conversations WHERE trim(replace(lower(text), 'ß', 'ss')) IN (SELECT replace(k, 'ß', 'ss') FROM k)""")
+@query("input_overlap", rf"""
+    WITH d AS (SELECT doc_id, {SPLIT_SQL} AS split, regexp_replace(replace(lower(text), 'ß', 'ss'), '^\s+|\s+$', '', 'g') AS k FROM documents)
+    SELECT doc_id AS id FROM d WHERE split <> 'train' AND k IN (SELECT k FROM d WHERE split = 'train')""")
 def input_overlap(spark, sf_dir):
-    lines = documents(spark, sf_dir).select(F.explode(F.split("text", "\n", -1)).alias("text"))
-    turns = load(spark, sf_dir, "conversations").withColumn("turn_id", F.col("conv_id") * 1000 + F.col("turn"))
-    return quality.input_overlap(turns, lines, "turn_id")
+    rows = examples(spark, sf_dir)
+    return quality.input_overlap(rows.where("split <> 'train'"), rows.where("split = 'train'"), "doc_id")
 
 
-PROMPT_SQL = "SELECT string_agg(text, chr(10) ORDER BY item_id) AS prompt FROM benchmark"
+#: Planted: parts of the prompts, and parts of them with another ending.
+PLANTED_SQL = "SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - 2 * item_id, substr(text, 4, 30) FROM benchmark UNION ALL SELECT -2 - 2 * item_id, substr(text, 1, 25) || '~' FROM benchmark UNION ALL SELECT -1000000 - item_id, substr(text, 2, 3) FROM benchmark"
 
 
-@query("prompt_leakage", f"WITH p AS ({PROMPT_SQL}) SELECT doc_id AS id FROM documents, p WHERE contains(prompt, text) AND length(text) > 0")
+@query("prompt_leakage", f"SELECT id FROM ({PLANTED_SQL}) AS r WHERE length(text) > 0 AND EXISTS (SELECT 1 FROM benchmark b WHERE contains(b.text, r.text))")
 def prompt_leakage(spark, sf_dir):
-    items = load(spark, sf_dir, "benchmark")  # a prompt is a few kB: all examples in one text
-    prompt = items.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), "\n").alias("prompt"))
-    return quality.prompt_leakage(load(spark, sf_dir, "documents"), prompt, "doc_id")
+    items, docs = load(spark, sf_dir, "benchmark"), load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    part = lambda i, a, n, end="": items.select(F.expr(i).cast("long").alias("id"), F.concat(F.substring("text", a, n), F.lit(end)).alias("text"))
+    rows = docs.unionByName(part("-1 - 2 * item_id", 4, 30)).unionByName(part("-2 - 2 * item_id", 1, 25, "~")).unionByName(part("-1000000 - item_id", 2, 3))
+    return quality.prompt_leakage(rows, items, "id", prompt="text")
 
 
 def near_rows(spark, sf_dir):
@@ -327,20 +315,9 @@ def contract_pass_counts(spark, sf_dir):
 
 
 @query("before_after_diff", r"""
-    WITH b AS (SELECT doc_id, text AS before FROM documents WHERE doc_id % 7 <> 0), a AS (SELECT doc_id, regexp_replace(text, '[0-9]{5,}', '[NUMBER]', 'g') AS after FROM documents WHERE doc_id % 11 <> 0)
-    SELECT doc_id, sha256(before) AS before_hash, sha256(after) AS after_hash FROM b FULL JOIN a USING (doc_id) WHERE before IS DISTINCT FROM after""")
-def before_after_diff(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
-    after = docs.where("doc_id % 11 <> 0").withColumn("text", F.regexp_replace("text", "[0-9]{5,}", "[NUMBER]"))
-    found = metrics.changes(docs.where("doc_id % 7 <> 0"), after, "doc_id", "text")
-    return found.select("doc_id", F.sha2("before", 256).alias("before_hash"), F.sha2("after", 256).alias("after_hash"))
-
-
-@query("before_after_diff_whole", r"""
     WITH d AS (SELECT doc_id, text AS before, regexp_replace(text, '[0-9]{5,}', '[NUMBER]', 'g') AS after FROM documents)
     SELECT doc_id, sha256(before) AS before_hash, sha256(after) AS after_hash FROM d WHERE before IS DISTINCT FROM after""")
-def before_after_diff_whole(spark, sf_dir):
-    """before_after_diff of every document."""
+def before_after_diff(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     found = metrics.changes(docs, docs.withColumn("text", F.regexp_replace("text", "[0-9]{5,}", "[NUMBER]")), "doc_id", "text")
     return found.select("doc_id", F.sha2("before", 256).alias("before_hash"), F.sha2("after", 256).alias("after_hash"))
@@ -426,7 +403,7 @@ def draft_validation(spark, sf_dir):
 
 @query("html_article_text")
 def html_article_text(spark, sf_dir):
-    pages = load(spark, sf_dir, "pages").repartition("page_id")
+    pages = spread(load(spark, sf_dir, "pages"))
     return pages.select("page_id", article_text(Gate())(F.col("html")).alias("article"))
 
 
@@ -448,15 +425,20 @@ def verified(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     return quality.verify_source(rows, archive, F.col("raw"))
 
 
-@query("source_verification", verification_sql("lineitem WHERE l_linenumber <= 2"))
+@query("source_verification", verification_sql("lineitem"))
 def source_verification(spark, sf_dir):
-    return verified(spark, sf_dir, load(spark, sf_dir, "lineitem").where("l_linenumber <= 2"))
+    return verified(spark, sf_dir, load(spark, sf_dir, "lineitem"))
 
 
-@query("source_verification_whole", verification_sql("lineitem"))
-def source_verification_whole(spark, sf_dir):
-    """source_verification of every line."""
-    return verified(spark, sf_dir, load(spark, sf_dir, "lineitem"))
+@query("source_verification_counts", f"""
+    SELECT split, label, count(*) FILTER (problem IS NULL) AS verified, count(*) FILTER (problem IS NOT NULL) AS failed FROM ({verification_sql("lineitem")}) GROUP BY split, label""")
+def source_verification_counts(spark, sf_dir):
+    return quality.verified_counts(verified(spark, sf_dir, load(spark, sf_dir, "lineitem")))
+
+
+@query("duplicate_sources", "SELECT l_partkey AS source, min(l_orderkey) AS first_id, count(*) AS uses FROM lineitem GROUP BY l_partkey HAVING count(*) > 1")
+def duplicate_sources(spark, sf_dir):
+    return quality.duplicate_sources(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
 
 
 @query("topic_relevance", r"""
@@ -493,7 +475,7 @@ def reviewed_observations(spark, sf_dir):
 
 @query("policy_flags", f"SELECT o_orderkey AS input_id, array_to_string(list_sort(string_split({expected_sql(1)}, ',')), ',') AS flags FROM orders")
 def policy_flags(spark, sf_dir):
-    seen = observed_messages(spark, sf_dir).withColumn("f", policy.policy_flags(F.col("text"), F.col("category"), F.col("signals")))
+    seen = observed_messages(spark, sf_dir).withColumn("f", policy.policy_flags(F.col("text"), F.col("category"), F.col("signals"), F.col("facts")))
     return seen.select("input_id", joined("f.flags").alias("flags"))
 
 
@@ -582,7 +564,7 @@ def challenge_checks(spark, sf_dir):
     SELECT 'templates' AS suite, "check", count(*) AS passed, count(*) AS total FROM orders, (SELECT unnest(['approved_actions_only', 'no_prohibited_actions', 'action_evidence_verified', 'citation_provenance',
         'literal_explanation', 'handoff_preserves_actions', 'handoff_no_completion_claim', 'handoff_does_not_copy_input', 'private_markers_excluded', '*']) AS "check") GROUP BY ALL""")
 def contract_checks(spark, sf_dir):
-    guided = guided_messages(spark, sf_dir).persist()
+    guided = settled(guided_messages(spark, sf_dir))
     shared = policy.handoff(guided, "input_id", knowledge(spark)).select("input_id", F.col("status").alias("handoff_status"), F.col("action_ids").alias("handoff_actions"), F.col("text").alias("handoff_text"))
     rows = guided.join(shared, "input_id").join(messages(spark, sf_dir), "input_id")
     rows = rows.withColumns({"explanation": F.lit(""), "quote": F.lit(None).cast("string"), "excerpt": F.lit(""), "private_markers": F.array(F.lit("482913"), F.lit("shop.example"))})

@@ -8,3 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the test tables, by a path that only Spark has to understand."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once for several uses: a checkpoint in the session's shared folder, which Spark's cleaner can delete, or else kept by the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, where it is read in fewer: a small file is one task, and large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

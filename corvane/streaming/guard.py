@@ -22,7 +22,7 @@ def read_inputs(spark: SparkSession, folder: str, kind: str = "json") -> DataFra
 
 def levels(inputs: DataFrame, observer=cue_observer) -> DataFrame:
     """input_id, category, flags, level and proposed actions of inputs(input_id, text), streaming or not."""
-    seen = observed(inputs, observer).withColumn("_f", policy_flags(F.col("text"), F.col("category"), F.col("signals")))
+    seen = observed(inputs, observer).withColumn("_f", policy_flags(F.col("text"), F.col("category"), F.col("signals"), F.col("facts")))
     flags = F.col("_f.flags")
     first = level(F.col("category"), F.col("issues"), flags, F.col("facts"))
     return seen.select("input_id", "rejected", "category", flags.alias("flags"), first.alias("level"), action_ids(first, F.col("category"), flags, F.col("facts")).alias("actions"))

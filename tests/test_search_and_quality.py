@@ -100,10 +100,27 @@ def test_near_duplicates_match_brute_force(spark):
         if s != z and ratio >= (0.75 if a and b else 0.85):
             expected.add((i, j))
     got = quality.near_duplicates(spark.createDataFrame(rows, "id long, split string, sourced boolean, text string"))
-    assert {(r.left, r.right) for r in got.collect()} == expected and {(100, 101), (102, 103)} <= expected
+    table = spark.createDataFrame(rows, "id long, split string, sourced boolean, text string")
+    rep = {r.id: r.rep for r in quality.same_tokens(table).collect()}
+    assert {(r.left, r.right) for r in got.collect()} == {(min(p), max(p)) for p in ({rep[a], rep[b]} for a, b in expected)} and {(100, 101), (102, 103)} <= expected
     assert got.where("left = 102").first().similarity == 1.0
 
 
+def test_large_groups_of_equal_texts_are_pairs_of_classes(spark):
+    rows = [(i, ("train", "test")[i % 2], False, "the same words again") for i in range(300)] + [(1000 + i, ("train", "test")[i % 2], False, None if i % 4 else " ") for i in range(40)]
+    table = spark.createDataFrame(rows, "id long, split string, sourced boolean, text string")
+    got = {tuple(r) for r in quality.near_duplicates(table).collect()}
+    assert {g for g in got if g[0] < 1000} == {(0, "train", 150, 1, "test", 150, 1.0)}
+    assert {r.rep for r in quality.same_tokens(table).where("id < 1000").collect()} == {0, 1}
+
+
+def test_prompts_of_any_number_and_texts_of_any_length(spark):
+    prompts = spark.createDataFrame([("a long prompt with a question in it",), ("another prompt",), ("",), (None,), ("another prompt",)], "prompt string")
+    rows = [(1, "a"), (2, "prompt with a question"), (3, "prompt with a questionable"), (4, ""), (5, None), (6, "another prompt"), (7, "another prompt "), (8, "z"), (1, "a")]
+    got = quality.prompt_leakage(spark.createDataFrame(rows, "id long, text string"), prompts, "id")
+    assert sorted(r.id for r in got.collect()) == [1, 2, 6]
+
+
 def test_label_rules(spark):
     ok = {"category": "message", "signals": [], "issues": []}
     unknown = {"category": "unknown", "signals": [], "issues": ["unsupported"]}
