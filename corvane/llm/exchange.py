@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from corvane.llm.batches import delete, release, shared_dir
 
-#: Characters of text in a batch, and keys in a part: what one Python worker holds at once (some 150 MB).
+#: Characters of text in a batch, and keys in a part: what one Python worker holds at once (some 100 MB).
 #: Rows that are sent are batches x parts at most, and keys at most: a larger corpus wants larger ones, as
 #: far as workers have memory, by the settings spark.corvane.batchChars and spark.corvane.partKeys.
 BATCH_CHARS = 4_000_000
-PART_KEYS = 2_000_000
+PART_KEYS = 500_000
 #: Keys are dealt by so many of their highest bits.
 SLOT_BITS = 24
 

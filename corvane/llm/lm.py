@@ -15,8 +15,9 @@ of both parts.
 Counts come from all texts, through ``exchange``: each batch sends its distinct n-grams of a
 length once and gets their totals back. Words and bigrams go first, then each longer length; an
 n-gram of which a part was never seen in training is not sent. Every deleted token is an event: its bucket and its estimates as they are, written to
-the shared folder, equal ones of a batch once. A round of EM is one aggregate over that table, so
-the driver holds the weights of each bucket and sums of the same number, whatever the corpus.
+the shared folder, equal ones of a batch once. A round of EM is one pass over that table with sums
+by bucket, so the driver holds the weights of each bucket and as many sums, whatever the corpus.
+The same pass over the texts writes the totals of every token, from which scores are made.
 
 Buckets without events take the mean weights of their context's length, else those of all
 events, over the estimates that they may use. Null and empty texts have the end token only. Rows
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.batches import forget, long_ids, named_back, send_package, written
-from corvane.llm.exchange import FORWARD, Batches, forward_rows, read_totals, totals
+from corvane.llm.exchange import FORWARD, Batches, forward_rows, pack_counts, read_totals, totals, unpack_counts
 from corvane.llm.words import NOT_BLANK, STEP, U64, Words, mix
 
 ORDER = 3
@@ -51,6 +52,15 @@ END = mix(np.array([0x456E64], dtype=U64))[0]
 
 SCORES = "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("fold", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+EVENTS = "bucket binary, ratios binary, n binary"
+LOOKED_UP = f"{EVENTS}, doc_id array<long>, fold array<int>, n_tokens array<long>, texts long, totals array<binary>"
+_EVENTS = pa.schema([(name, pa.binary()) for name in ("bucket", "ratios", "n")])
+_LOOKED_UP = pa.schema(
+    [*_EVENTS, ("doc_id", pa.list_(pa.int64())), ("fold", pa.list_(pa.int32())), ("n_tokens", pa.list_(pa.int64())), ("texts", pa.int64()), ("totals", pa.list_(pa.binary()))]
+)
+_SUMS = pa.schema([("bucket", pa.int32()), ("sums", pa.list_(pa.float64()))])
+
+
 @dataclass(frozen=True)
 class Sizes:
     """Tokens and distinct tokens of the kept part and of all training texts."""
@@ -120,18 +130,23 @@ class Events:
 
     def found(self, totals_of: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Of every token, the totals of its n-grams by length, and those of their contexts (of length 1 on)."""
-        own = [t[p].astype(np.int64) for t, p in zip(totals_of, self.place, strict=True)]
-        contexts = []
-        for c in own[:-1]:
-            before = np.concatenate([c[:1], c[:-1]])
-            before[self.opens] = int(totals_of[0][self.end])
-            contexts.append(before)
-        return own, contexts
-
-
-def bucket_of(contexts: list[np.ndarray]) -> np.ndarray:
-    """The longest context that was seen, and its frequency; 0 if none was."""
-    out = np.zeros(len(contexts[0]) if contexts else 0, np.int64)
+        own = [t[p] for t, p in zip(totals_of, self.place, strict=True)]
+        return own, contexts_of(own, self.start, int(totals_of[0][self.end]))
+
+
+def contexts_of(own: list[np.ndarray], start: np.ndarray, texts: int) -> list[np.ndarray]:
+    """The totals of every token's contexts of length 1 on: those of the n-grams that end before it, and at a text's start the number of training texts."""
+    contexts = []
+    for c in own[:-1]:
+        before = np.concatenate([c[:1], c[:-1]])
+        before[start] = texts
+        contexts.append(before)
+    return contexts
+
+
+def bucket_of(contexts: list[np.ndarray], n: int) -> np.ndarray:
+    """The longest context of each of n tokens that was seen, and its frequency; 0 if none was."""
+    out = np.zeros(n, np.int64)
     for k, count in enumerate(contexts):
         digits = np.minimum(np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1, BUCKETS - 1)
         out = np.where(count > 0, k * BUCKETS + digits, out)
@@ -144,11 +159,43 @@ def estimates(own: list[np.ndarray], contexts: list[np.ndarray], tokens: int) ->
     return [*longer[::-1], own[0] / max(1, tokens)]
 
 
-def learn_weights(events: DataFrame, order: int = ORDER, rounds: int = ROUNDS, tokens: int = 1) -> np.ndarray:
-    """Weights of each bucket by EM over events(bucket, e1 ... the longest n-gram's estimate first, n); the uniform estimate is 1 and has the last weight.
+def event_row(bucket: np.ndarray, ratios: list[np.ndarray]) -> pa.Table:
+    """One row with a batch's events, equal ones once: their buckets, the estimates over the uniform one, the longest n-gram's first, and how often they occur."""
+    ordered = np.lexsort([bucket, *ratios])
+    bucket, ratios = bucket[ordered], [x[ordered] for x in ratios]
+    lead = np.ones(len(bucket), bool)
+    lead[1:] = np.any([x[1:] != x[:-1] for x in (bucket, *ratios)], axis=0)
+    at = np.flatnonzero(lead)
+    n = np.diff(at, append=len(bucket))
+    return pa.table({"bucket": [bucket[at].astype(np.int32).tobytes()], "ratios": [np.concatenate([x[at] for x in ratios]).tobytes()], "n": [n.astype(np.int64).tobytes()]}, schema=_EVENTS)
+
+
+def expected(events: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """A round's sums under the weights ``w``: each bucket's expected shares of its components, its events, and the log-likelihood of all."""
+    size, components = w.shape
+
+    def one(batches):
+        total = np.zeros((size, components + 2))
+        for batch in batches:
+            for row in batch.to_pylist():
+                bucket, n = np.frombuffer(row["bucket"], np.int32), np.frombuffer(row["n"], np.int64)
+                ratios = np.frombuffer(row["ratios"]).reshape(components - 1, len(n))
+                parts = [w[bucket, k] * ratios[k] for k in range(components - 1)] + [w[bucket, -1]]
+                p = np.sum(parts, axis=0)
+                for k, x in enumerate([*[n * part / p for part in parts], n, n * np.log(p)]):
+                    total[:, k] += np.bincount(bucket, weights=x, minlength=size)
+        some = np.flatnonzero(total[:, components])
+        yield pa.RecordBatch.from_pydict({"bucket": some.astype(np.int32), "sums": list(total[some])}, schema=_SUMS)
+
+    sums = events.mapInArrow(one, "bucket int, sums array<double>").groupBy("bucket").agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(components + 2)])
+    out = np.zeros((size, components + 2))
+    for r in sums.collect():  # a row a bucket, of which there is a fixed number
+        out[r["bucket"]] = r[1:]
+    return out[:, :components], out[:, components], float(out[:, components + 1].sum())
 
-    A round is one partial aggregate by bucket, of which there is a fixed number.
-    """
+
+def learn_weights(events: DataFrame, order: int = ORDER, rounds: int = ROUNDS, tokens: int = 1) -> np.ndarray:
+    """Weights of each bucket by EM over rows of ``event_row``; the uniform estimate's is the last."""
     size = max(1, order - 1) * BUCKETS
     level = np.arange(size) // BUCKETS  # of a bucket: its context has this many words and one
     may = np.ones((size, order + 1), bool)
@@ -160,24 +207,15 @@ def learn_weights(events: DataFrame, order: int = ORDER, rounds: int = ROUNDS, t
     even = may / may.sum(axis=1, keepdims=True)
     w, shares, n, before = even, np.zeros((size, order + 1)), np.zeros(size), -np.inf
     for _ in range(rounds):
-        own = F.element_at(F.lit([[float(x) for x in row] for row in w]), F.col("bucket") + 1)
-        parts = [own[k] * F.col(f"e{k}") for k in range(order)] + [own[order]]
-        each = events.select("bucket", "n", *[p.alias(f"p{k}") for k, p in enumerate(parts)])
-        each = each.select("*", sum(F.col(f"p{k}") for k in range(order + 1)).alias("p"))
-        sums = [F.sum(F.col("n") * F.col(f"p{k}") / F.col("p")).alias(f"s{k}") for k in range(order + 1)]
-        found = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("p")).alias("log"), *sums).collect()
-        if not found:
+        shares, n, log = expected(events, w)
+        if not n.any():
             break
-        shares, n = np.zeros((size, order + 1)), np.zeros(size)
-        for r in found:
-            shares[r["bucket"]], n[r["bucket"]] = [r[f"s{k}"] for k in range(order + 1)], r["n"]
         w = np.where((n > 0)[:, None], shares / np.maximum(n, 1)[:, None], even)
         w = np.where(may, np.maximum(w, LEAST_WEIGHT), 0.0)
         w /= w.sum(axis=1, keepdims=True)
-        mean = sum(r["log"] for r in found) / n.sum()
-        if mean - before < LEAST_GAIN:
+        if log / n.sum() - before < LEAST_GAIN:
             break
-        before = mean
+        before = log / n.sum()
     for b in np.flatnonzero(n == 0):
         for pool in (shares[level == level[b]], shares):
             mean = np.where(may[b], pool.sum(axis=0), 0.0)
@@ -223,46 +261,41 @@ def score_corpus(docs: DataFrame, fold: str = "fold", text: str = "text", doc_id
         answered = answered.unionByName(tables[-1])
         corpus.clean()
 
-    event_schema = pa.schema([("bucket", pa.int32()), *[(f"e{k}", pa.float64()) for k in range(order)], ("n", pa.int64())])
-
-    def collect_events(table: pa.Table, reply: pa.Table) -> pa.Table:
+    def look_up(table: pa.Table, reply: pa.Table) -> pa.Table:
+        """The batch's events, and of every token the totals of its n-grams, from which scores follow without the text."""
         if not table.num_rows:
-            return event_schema.empty_table()
+            return _LOOKED_UP.empty_table()
         e = Events(table, order)
-        own, contexts = e.found([kept for kept, _ in e.totals(reply, order, parts)])
+        both = e.totals(reply, order, parts)
+        own, contexts = e.found([kept for kept, _ in both])
         deleted = e.fold == DELETED
         own, contexts = [x[deleted] for x in own], [x[deleted] for x in contexts]
-        bucket = bucket_of(contexts) if contexts else np.zeros(len(own[0]), np.int64)
         ratios = [p * (sizes.kept_words + 1) for p in estimates(own, contexts, sizes.kept_tokens)]  # over the uniform one
-        ordered = np.lexsort([bucket, *ratios])
-        bucket, ratios = bucket[ordered], [x[ordered] for x in ratios]
-        lead = np.ones(len(bucket), bool)
-        lead[1:] = np.any([x[1:] != x[:-1] for x in (bucket, *ratios)], axis=0)
-        at = np.flatnonzero(lead)
-        return pa.table({"bucket": bucket[at].astype(np.int32), **{f"e{k}": x[at] for k, x in enumerate(ratios)}, "n": np.diff(at, append=len(bucket))}, schema=event_schema)
-
-    event_columns = "bucket int, " + "".join(f"e{k} double, " for k in range(order)) + "n long"
-    events = written(corpus.replied(answered, collect_events, event_columns), "events")
-    weights = learn_weights(events, order, rounds, sizes.kept_tokens)
-    forget(events)
-    corpus.clean()
+        row = event_row(bucket_of(contexts, len(own[0])), ratios)
+        totals_of = [(kept + deleted)[place] for (kept, deleted), place in zip(both, e.place, strict=True)]
+        rest = {"doc_id": [table["doc_id"].to_pylist()], "fold": [table["fold"].to_pylist()], "n_tokens": [e.lengths], "texts": [e.texts], "totals": [[pack_counts(x) for x in totals_of]]}
+        return pa.table({**{name: row[name] for name in row.column_names}, **rest}, schema=_LOOKED_UP)
 
-    def score(table: pa.Table, reply: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _SCORES.empty_table()
-        e = Events(table, order)
-        own, contexts = e.found([kept + deleted for kept, deleted in e.totals(reply, order, parts)])
-        w = weights[bucket_of(contexts) if contexts else np.zeros(len(own[0]), np.int64)]
-        p = w[:, -1] / (sizes.words + 1)
-        for k, estimate in enumerate(estimates(own, contexts, sizes.tokens)):
-            p = p + w[:, k] * estimate
-        base = np.log10((own[0] + 1) / (sizes.tokens + sizes.words + 1))
-        add = lambda x: np.add.reduceat(x, e.start)  # noqa: E731  every text has a token
-        return pa.table(
-            {"doc_id": table["doc_id"], "fold": table["fold"], "n_tokens": e.lengths, "n_known": add((own[0] > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
-        ).cast(_SCORES)
-
-    scores = written(corpus.replied(answered, score, SCORES), "scores")
+    found = written(corpus.replied(answered, look_up, LOOKED_UP), "tokens")
     corpus.drop()
     forget(*tables)
+    weights = learn_weights(found.select("bucket", "ratios", "n"), order, rounds, sizes.kept_tokens)
+
+    def score(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths = np.array(row["n_tokens"])
+                start = np.cumsum(lengths) - lengths
+                own = [unpack_counts(x) for x in row["totals"]]
+                contexts = contexts_of(own, start, row["texts"])
+                w = weights[bucket_of(contexts, len(own[0]))]
+                p = w[:, -1] / (sizes.words + 1)
+                for k, estimate in enumerate(estimates(own, contexts, sizes.tokens)):
+                    p = p + w[:, k] * estimate
+                base = np.log10((own[0] + 1) / (sizes.tokens + sizes.words + 1))
+                known, base, p = (np.add.reduceat(x, start) for x in ((own[0] > 0).astype(np.int64), base, np.log10(p)))  # every text has a token
+                yield pa.RecordBatch.from_pydict({"doc_id": row["doc_id"], "fold": row["fold"], "n_tokens": lengths, "n_known": known, "base_score": base, "score": p}, schema=_SCORES)
+
+    scores = written(found.mapInArrow(score, SCORES), "scores")
+    forget(found)
     return named_back(scores, names, "doc_id"), sizes

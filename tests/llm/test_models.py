@@ -71,15 +71,15 @@ def test_em_finds_the_mixture(spark):
     rng = np.random.default_rng(0)
     n = 40000
     kind = rng.choice(3, n, p=[0.5, 0.3, 0.2])  # each component explains its own events best
-    rows = [(lm.BUCKETS + 4, 2.0**20 if k == 0 else 0.0, 0.0, 2.0**10 if k <= 1 else 0.0, 1) for k in kind.tolist()]
-    schema = "bucket int, e0 double, e1 double, e2 double, n long"
-    w = lm.learn_weights(spark.createDataFrame(rows, schema), 3, 60)
+    ratios = [np.where(kind == 0, 2.0**20, 0.0), np.zeros(n), np.where(kind <= 1, 2.0**10, 0.0)]
+    rows = [tuple(r.values()) for part in (slice(0, 100), slice(100, n)) for r in lm.event_row(np.full(n, lm.BUCKETS + 4)[part], [x[part] for x in ratios]).to_pylist()]
+    w = lm.learn_weights(spark.createDataFrame(rows, lm.EVENTS), 3, 60)
     own = w[lm.BUCKETS + 4]
     assert abs(own.sum() - 1) < 1e-9 and abs(own[0] - 0.5) < 0.02 and own[1] < 0.001 and 0.2 < own[2] < 0.4 and 0.1 < own[3] < 0.3
     # buckets without events use what their context allows: two words and more, one word, none
     assert np.allclose(w.sum(axis=1), 1) and (w[lm.BUCKETS + 9] > 0).all() and w[7][0] == 0 < w[7][1] and w[0][:2].tolist() == [0, 0]
-    assert lm.learn_weights(spark.createDataFrame([], schema), 3, tokens=0)[3].tolist() == [0, 0.5, 0, 0.5]
-    assert lm.learn_weights(spark.createDataFrame([], schema), 3, tokens=0)[0].tolist() == [0, 0, 0, 1]
+    assert lm.learn_weights(spark.createDataFrame([], lm.EVENTS), 3, tokens=0)[3].tolist() == [0, 0.5, 0, 0.5]
+    assert lm.learn_weights(spark.createDataFrame([], lm.EVENTS), 3, tokens=0)[0].tolist() == [0, 0, 0, 1]
 
 
 def plain_model(rows, folds, order, rounds=lm.ROUNDS):
