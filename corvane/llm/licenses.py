@@ -1,21 +1,28 @@
-"""Licence scans: sparse TF-IDF cosine of lines to templates, then inheritance by path.
-
-Every line of a file is compared with every template notice; a line whose cosine with one is
-``LEAST`` or more declares that licence, and the best line (then the first template) is the
-file's own. Terms are lower-cased runs of letters, digits, dots and hyphens; weights are term
-count times ln((1 + N) / (1 + df)) + 1, with df over all N files; a term that no template has
-counts in the line's length with df 0. Lines without any of the terms that a match needs (by
-Cauchy-Schwarz: without them, what is left of a template is too short) are not weighed.
+"""Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by path.
+
+A file has three kinds of units, each compared with the templates of its kind: every line with
+one-line notices; its opening, which is its first ``OPENING`` lines together, with the headers
+that works carry and with the beginnings of long licences; and all of a licence file with whole
+licence texts. Openings and whole files are weighed where they have a word of ``HINT``; a licence
+file is one that is named so, or whose opening has such a word in its first line. Wrapped lines
+and other layout don't count: a unit is a bag of terms.
+
+A unit whose cosine with a template is ``LEAST`` or more declares its licence, and the best unit
+(then the first template) is the file's own. Terms are lower-cased runs of letters, digits, dots
+and hyphens; weights are term count times ln((1 + N) / (1 + df)) + 1, with df over all N files; a
+term that no template has counts in the unit's length with df 0. Lines without any of the terms
+that a match needs (by Cauchy-Schwarz: without them, what is left of a template is too short) are
+not weighed.
 
 A file that declares no licence itself takes it from the licence files of the nearest
-directory above it: files named like LICENSE or COPYING, and files whose first line declares
-one. Of several in a directory the one with the smallest path counts. Ancestors are joined
-for each distinct directory, not for each file; then files meet their directory in a join
-that Spark can split where a directory has a third of all files.
+directory above it: files named like LICENSE or COPYING, files whose first line declares one, and
+files that are a licence as a whole. Of several in a directory the one with the smallest path
+counts. Ancestors are joined for each distinct directory, not for each file; then files meet their
+directory in a join that Spark can split where a directory has a third of all files.
 
 Only DataFrame functions are used; what is collected are the frequencies of the templates'
 terms, of which there is a fixed number. Null texts and empty files declare nothing. A null
-path is in no directory. Repeated rows stay. Extra columns are ignored.
+path is in no directory. Repeated rows stay. Extra columns stay, but for the text's.
 """
 
 from __future__ import annotations
@@ -28,19 +35,78 @@ from pyspark.sql import functions as F
 from corvane.llm.batches import text_or_empty, written
 
 LEAST = 0.6
-#: Notices by which works name their licence.
+OPENING = 20
+#: The kinds of units, and their numbers; lines are numbered from 0.
+LINE, HEADER, WHOLE = "line", "opening", "whole"
+OPENING_UNIT, WHOLE_UNIT = -1, -2
+HINT = r"(?i)(licen[cs]e|copyright|redistribut|warrant|permission)"
+#: Notices by which works name their licence, headers, and the texts of short licences.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
+Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE,
+DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_TERMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of
+source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAME = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+written permission."""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being
+the original software. 3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
+source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this
+software dedicate any and all copyright interest in the software to the public domain."""
+_APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_GNU_HEADER = """This program is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {n} of
+the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."""
+_GNU_OPENING = """{name} Version {n}, {date} Copyright (C) {years} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but
+changing it is not allowed. Preamble"""
+_MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+http://mozilla.org/MPL/2.0/."""
+#: (licence, kind of unit, text); the order breaks ties.
 TEMPLATES = (
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("MIT", LINE, "Released under the MIT License"),
+    ("MIT", LINE, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("Apache-2.0", LINE, "Licensed under the Apache License, Version 2.0"),
+    ("GPL-3.0", LINE, "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-2.0", LINE, "This work is licensed under the GNU General Public License, version 2"),
+    ("LGPL-3.0", LINE, "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("BSD", LINE, "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("MPL-2.0", LINE, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("CC-BY-4.0", LINE, "Licensed under CC BY 4.0"),
+    ("CC-BY-SA-4.0", LINE, "Licensed under CC BY-SA 4.0"),
+    ("CC-BY-NC-4.0", LINE, "Licensed under CC BY-NC 4.0"),
+    ("Apache-2.0", HEADER, _APACHE_HEADER),
+    ("Apache-2.0", HEADER, "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions."),
+    ("GPL-2.0", HEADER, _GNU_HEADER.format(name="GNU General Public License", n=2)),
+    ("GPL-3.0", HEADER, _GNU_HEADER.format(name="GNU General Public License", n=3)),
+    ("LGPL-3.0", HEADER, _GNU_HEADER.format(name="GNU Lesser General Public License", n=3)),
+    ("AGPL-3.0", HEADER, _GNU_HEADER.format(name="GNU Affero General Public License", n=3)),
+    ("GPL-2.0", HEADER, _GNU_OPENING.format(name="GNU GENERAL PUBLIC LICENSE", n=2, date="June 1991", years="1989, 1991")),
+    ("GPL-3.0", HEADER, _GNU_OPENING.format(name="GNU GENERAL PUBLIC LICENSE", n=3, date="29 June 2007", years="2007")),
+    ("MPL-2.0", HEADER, _MPL_HEADER),
+    ("MIT", WHOLE, f"MIT License {_MIT}"),
+    ("ISC", WHOLE, f"ISC License {_ISC}"),
+    ("BSD-2-Clause", WHOLE, f"BSD 2-Clause License {_BSD_TERMS} {_BSD_DISCLAIMER}"),
+    ("BSD-3-Clause", WHOLE, f"BSD 3-Clause License {_BSD_TERMS} {_BSD_NAME} {_BSD_DISCLAIMER}"),
+    ("Zlib", WHOLE, f"zlib License {_ZLIB}"),
+    ("Unlicense", WHOLE, _UNLICENSE),
 )
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
 TERM = r"[a-z0-9][a-z0-9.-]*[a-z0-9]|[a-z0-9]"
@@ -58,7 +124,7 @@ def terms(text):
 
 def weights(files: DataFrame, templates=TEMPLATES, text: str = "text") -> tuple[dict[str, float], float]:
     """idf of every template term over all files, and of a term that no file has."""
-    vocabulary = sorted({t for _, notice in templates for t in python_terms(notice)})
+    vocabulary = sorted({t for _, _, notice in templates for t in python_terms(notice)})
     found = files.select(F.array_intersect(terms(text_or_empty(text)), F.array(*map(F.lit, vocabulary))).alias("v"))
     counted = found.select(F.explode(F.concat(F.col("v"), F.array(F.lit("")))).alias("term")).groupBy("term").count()
     df = {r["term"]: r["count"] for r in counted.collect()}
@@ -68,12 +134,13 @@ def weights(files: DataFrame, templates=TEMPLATES, text: str = "text") -> tuple[
 
 
 def vectors(idf: dict[str, float], templates=TEMPLATES) -> list[tuple[str, dict[str, float], float]]:
+    """(kind, weights by term, length) of each template."""
     out = []
-    for name, notice in templates:
+    for _, kind, notice in templates:
         own: dict[str, float] = {}
         for t in python_terms(notice):
             own[t] = own.get(t, 0.0) + idf[t]
-        out.append((name, own, math.sqrt(sum(x * x for x in own.values()))))
+        out.append((kind, own, math.sqrt(sum(x * x for x in own.values()))))
     return out
 
 
@@ -98,29 +165,46 @@ def small_table(spark: SparkSession, names: tuple[str, ...], rows: list[tuple])
 
 def keyed(files: DataFrame, text: str) -> DataFrame:
     """``files`` with a key of path and content; rows that repeat both share it."""
-    return files.withColumn("_key", F.xxhash64(F.coalesce("path", F.lit("")), text_or_empty(text)))
+    return files.withColumn("_key", F.sha2(F.concat_ws("\x00", F.coalesce("path", F.lit("")), text_or_empty(text)), 256))
+
+
+def units(files: DataFrame, must: list[str], text: str) -> DataFrame:
+    """_key, path, kind, unit and terms of all that may match a template; written to the shared folder."""
+    content = text_or_empty(text)
+    needed_terms = F.array(*map(F.lit, must))
+    lines = F.split(content, "\n", -1)
+    named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
+    opening = F.array_join(F.slice(lines, 1, OPENING), "\n")
+    slim = keyed(files, text).select("_key", "path", content.alias("content"), lines.alias("lines"), opening.alias("opening"), named.alias("named"))
+    hinted = slim.where(F.col("opening").rlike(HINT) | F.arrays_overlap(terms(F.col("content")), needed_terms))
+    is_file = F.col("named") | F.col("lines")[0].rlike(HINT)
+    unit = lambda kind, n, words: F.struct(F.lit(kind).alias("kind"), n.alias("unit"), terms(words).alias("terms"))
+    each = F.concat(
+        F.filter(F.transform("lines", lambda x, i: unit(LINE, i, x)), lambda u: F.arrays_overlap(u["terms"], needed_terms)),
+        F.when(F.col("opening").rlike(HINT), F.array(unit(HEADER, F.lit(OPENING_UNIT), F.col("opening")))).otherwise(F.array()),
+        F.when(F.col("content").rlike(HINT) & is_file, F.array(unit(WHOLE, F.lit(WHOLE_UNIT), F.col("content")))).otherwise(F.array()),
+    )
+    return written(hinted.select("_key", "path", F.explode(each).alias("u")).select("_key", "path", "u.*").distinct(), "units")
 
 
 def declared(files: DataFrame, templates=TEMPLATES, least: float = LEAST, text: str = "text") -> DataFrame:
-    """_key, path, license, score and whether the first line declares one, of each file that declares a licence."""
+    """_key, path, license, score and gives (whether it licenses its directory by its first line or as a whole), of each file that declares a licence."""
     spark = files.sparkSession
     idf, unknown = weights(files, templates, text)
     own = vectors(idf, templates)
-    must = F.array(*map(F.lit, needed(own, least)))
     terms_of = small_table(spark, ("term", "idf"), list(idf.items()))
-    parts = small_table(spark, ("which", "term", "y", "length"), [(i, t, x, n) for i, (_, v, n) in enumerate(own) for t, x in v.items()])
+    parts = small_table(spark, ("which", "kind", "term", "y", "length"), [(i, kind, t, x, n) for i, (kind, v, n) in enumerate(own) for t, x in v.items()])
 
-    some = keyed(files, text).where(F.arrays_overlap(terms(text_or_empty(text)), must)).select("_key", "path", F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("line", "words"))
-    some = written(some.select("_key", "path", "line", terms(F.col("words")).alias("terms")).where(F.arrays_overlap("terms", must)).distinct(), "notices")
-    counts = some.select("_key", "line", F.explode("terms").alias("term")).groupBy("_key", "line", "term").agg(F.count("*").alias("n"))
+    some = units(files, needed([v for v in own if v[0] == LINE], least), text)
+    counts = some.select("_key", "kind", "unit", F.explode("terms").alias("term")).groupBy("_key", "kind", "unit", "term").agg(F.count("*").alias("n"))
     weighed = counts.join(F.broadcast(terms_of), "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(unknown)))
-    norms = weighed.groupBy("_key", "line").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
-    dots = weighed.join(F.broadcast(parts), "term").groupBy("_key", "line", "which", "length").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scores = dots.join(norms, ["_key", "line"]).select("_key", "line", "which", F.round(F.col("dot") / F.sqrt("square") / F.col("length"), 9).alias("score")).where(F.col("score") >= least)
-    best = scores.groupBy("_key").agg(F.max(F.struct("score", (-F.col("which")).alias("which"))).alias("best"), (F.min("line") == 0).alias("on_top"))
-    names = F.array(*[F.lit(name) for name, _ in templates])
+    norms = weighed.groupBy("_key", "unit").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+    dots = weighed.join(F.broadcast(parts), ["kind", "term"]).groupBy("_key", "unit", "which", "length").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    scores = dots.join(norms, ["_key", "unit"]).select("_key", "unit", "which", F.round(F.col("dot") / F.sqrt("square") / F.col("length"), 9).alias("score")).where(F.col("score") >= least)
+    best = scores.groupBy("_key").agg(F.max(F.struct("score", (-F.col("which")).alias("which"))).alias("best"), F.bool_or(F.col("unit").isin(0, WHOLE_UNIT)).alias("gives"))
+    names = F.array(*[F.lit(name) for name, _, _ in templates])
     paths = some.select("_key", "path").distinct()
-    return best.join(paths, "_key").select("_key", "path", names[-F.col("best.which")].alias("license"), F.col("best.score").alias("score"), "on_top")
+    return best.join(paths, "_key").select("_key", "path", names[-F.col("best.which")].alias("license"), F.col("best.score").alias("score"), "gives")
 
 
 def directory(path):
@@ -132,7 +216,7 @@ def scan(files: DataFrame, templates=TEMPLATES, least: float = LEAST, text: str
     """Every column of ``files`` but the text, with own_license, own_score, license and inherited_from (a path)."""
     own = written(declared(files, templates, least, text), "licenses")
     slim = keyed(files, text).drop(text).withColumn("_dir", directory(F.col("path")))
-    givers = own.where(F.col("on_top") | F.col("path").rlike(LICENCE_FILE)).where(F.col("path").contains("/"))
+    givers = own.where(F.col("gives") | F.col("path").rlike(LICENCE_FILE)).where(F.col("path").contains("/"))
     givers = givers.groupBy(directory(F.col("path")).alias("above")).agg(F.min(F.struct("path", "license")).alias("giver"))
     dirs = slim.select("_dir").where("_dir IS NOT NULL").distinct()
     names = F.split("_dir", "/")

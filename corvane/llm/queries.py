@@ -103,7 +103,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), F.col("doc_id").cast("string"))
+    folders = F.expr("slice(array(concat('part', doc_id div 1000), concat('box', doc_id div 20)), 1, cast(pmod(doc_id, 3) as int))")  # a tree of several levels
+    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), folders, F.col("doc_id").cast("string"))
     found = licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
     return found.select("doc_id", "path", "own_license", F.round("own_score", 6).alias("own_score"), "license", "inherited_from")
 
@@ -126,29 +127,38 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-NOTICES = ", ".join(f"({i}, '{name}', '{notice}')" for i, (name, notice) in enumerate(licenses.TEMPLATES))
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+NOTICES = ", ".join(f"({i}, '{name}', '{kind}', {quoted(notice)})" for i, (name, kind, notice) in enumerate(licenses.TEMPLATES))
 
 ORACLES: dict[str, str] = {
     "op9_license_scan": f"""
-        WITH d AS (SELECT doc_id, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'und') || '/' || doc_id AS path, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'und') AS dir,
+        WITH d AS (SELECT doc_id, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'und') || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/part' || doc_id // 1000 ELSE '/part' || doc_id // 1000 || '/box' || doc_id // 20 END AS dir,
                           coalesce(text, '') AS text FROM documents),
-             t AS (SELECT * FROM (VALUES {NOTICES}) AS v(i, name, notice)),
-             tt AS (SELECT i, term, count(*) AS tf FROM (SELECT i, unnest(regexp_extract_all(lower(notice), '{licenses.TERM}')) AS term FROM t) GROUP BY i, term),
+             t AS (SELECT * FROM (VALUES {NOTICES}) AS v(i, name, kind, notice)),
+             tt AS (SELECT i, kind, term, count(*) AS tf FROM (SELECT i, kind, unnest(regexp_extract_all(lower(notice), '{licenses.TERM}')) AS term FROM t) GROUP BY ALL),
              df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{licenses.TERM}')) AS term FROM d) WHERE term IN (SELECT term FROM tt) GROUP BY term),
              n AS (SELECT count(*) AS n FROM d),
              idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), n),
-             v AS (SELECT i, term, tf * idf AS y, sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY i)) AS length FROM tt JOIN idf USING (term)),
-             l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
-             lt AS (SELECT doc_id, pos, term, count(*) AS tf FROM (SELECT doc_id, pos, unnest(regexp_extract_all(lower(line), '{licenses.TERM}')) AS term FROM l) GROUP BY ALL),
-             w AS (SELECT doc_id, pos, lt.term, tf * coalesce(idf, ln(1 + n) + 1) AS x FROM lt LEFT JOIN idf USING (term), n),
+             v AS (SELECT i, kind, term, tf * idf AS y, sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY i)) AS length FROM tt JOIN idf USING (term)),
+             ls AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM d),
+             u AS (SELECT doc_id, 'line' AS kind, unnest(ls) AS words, generate_subscripts(ls, 1) - 1 AS pos FROM ls
+                   UNION ALL SELECT doc_id, 'opening', array_to_string(ls[1:{licenses.OPENING}], chr(10)), {licenses.OPENING_UNIT} FROM ls WHERE regexp_matches(array_to_string(ls[1:{licenses.OPENING}], chr(10)), '{licenses.HINT}')
+                   UNION ALL SELECT doc_id, 'whole', text, {licenses.WHOLE_UNIT} FROM ls WHERE regexp_matches(ls[1], '{licenses.HINT}')),
+             lt AS (SELECT doc_id, kind, pos, term, count(*) AS tf FROM (SELECT doc_id, kind, pos, unnest(regexp_extract_all(lower(words), '{licenses.TERM}')) AS term FROM u) GROUP BY ALL),
+             w AS (SELECT doc_id, kind, pos, lt.term, tf * coalesce(idf, ln(1 + n) + 1) AS x FROM lt LEFT JOIN idf USING (term), n),
              norm AS (SELECT doc_id, pos, sum(x ^ 2) AS square FROM w GROUP BY doc_id, pos),
-             dot AS (SELECT doc_id, pos, i, length, sum(x * y) AS dot FROM w JOIN v USING (term) GROUP BY ALL),
+             dot AS (SELECT doc_id, pos, i, length, sum(x * y) AS dot FROM w JOIN v USING (kind, term) GROUP BY ALL),
              sc AS (SELECT doc_id, pos, i, round(dot / sqrt(square) / length, 9) AS score FROM dot JOIN norm USING (doc_id, pos) WHERE round(dot / sqrt(square) / length, 9) >= {licenses.LEAST}),
-             best AS (SELECT doc_id, min(pos) = 1 AS on_top, max(score) AS score, arg_min(i, (-score, i)) AS i FROM sc GROUP BY doc_id),
-             own AS (SELECT d.doc_id, path, dir, name, score, on_top FROM best JOIN t USING (i) JOIN d USING (doc_id)),
-             giver AS (SELECT dir, min(path) AS path, arg_min(name, path) AS name FROM own WHERE on_top GROUP BY dir)
-        SELECT d.doc_id, d.path, own.name AS own_license, round(own.score, 6) AS own_score, coalesce(own.name, giver.name) AS license, CASE WHEN own.name IS NULL THEN giver.path END AS inherited_from
-        FROM d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN giver ON giver.dir = d.dir""",
+             best AS (SELECT doc_id, bool_or(pos IN (0, {licenses.WHOLE_UNIT})) AS gives, max(score) AS score, arg_min(i, (-score, i)) AS i FROM sc GROUP BY doc_id),
+             own AS (SELECT d.doc_id, dir || '/' || d.doc_id AS path, dir, name, score, gives FROM best JOIN t USING (i) JOIN d USING (doc_id)),
+             giver AS (SELECT dir, min(path) AS path, arg_min(name, path) AS name FROM own WHERE gives GROUP BY dir),
+             up AS (SELECT dir, k, array_to_string(string_split(dir, '/')[1:k], '/') AS above FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM d))),
+             near AS (SELECT up.dir, arg_max(giver.path, k) AS path, arg_max(giver.name, k) AS name FROM up JOIN giver ON up.above = giver.dir GROUP BY up.dir)
+        SELECT d.doc_id, d.dir || '/' || d.doc_id AS path, own.name AS own_license, round(own.score, 6) AS own_score, coalesce(own.name, near.name) AS license, CASE WHEN own.name IS NULL THEN near.path END AS inherited_from
+        FROM d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN near ON near.dir = d.dir""",
     "op7_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
              p AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM l),

@@ -233,20 +233,48 @@ def test_licences_headers_inheritance_and_odd_rows(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def wrapped(text, width=60):
+    import textwrap
+
+    return "\n".join(textwrap.wrap(" ".join(text.split()), width))
+
+
+def test_licence_files_wrapped_headers_and_trees_of_directories(spark):
+    texts = {(name, kind): text for name, kind, text in licenses.TEMPLATES}
+    code = "\n".join(f"def f{i}(x): return x + {i}" for i in range(30))
+    rows = [
+        ("p/LICENSE", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrapped(texts["MIT", licenses.WHOLE][12:])),
+        ("p/src/a.py", code), ("p/src/deep/er/b.py", code + "\n"), ("p/src/deep/COPYING", "Copyright 1999 X\n" + wrapped(texts["BSD-3-Clause", licenses.WHOLE], 40)),
+        ("p/src/apache.c", "/*\n" + wrapped(texts["Apache-2.0", licenses.HEADER].replace("TERMS AND CONDITIONS", "")) + "\n*/\n"),
+        ("q/gpl2.c", wrapped(licenses._GNU_HEADER.format(name="GNU General Public License", n=2)) + "\n" + code[:80]),
+        ("q/gpl3.c", wrapped(licenses._GNU_HEADER.format(name="GNU General Public License", n=3)) + "\n" + code[:80]),
+        ("q/x/plain.c", code), ("q/notes.txt", "we talk of the license of cars and of permission to park " * 3), ("r/ISC", wrapped(texts["ISC", licenses.WHOLE])), ("r/s/t/u.txt", "words"),
+        ("s/LICENSE", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nCopyright (C) 1989, 1991 Free Software Foundation, Inc.\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n\nPreamble\n"),
+    ]
+    got = {r.path: (r.own_license, r.license, r.inherited_from) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {
+        "p/LICENSE": ("MIT", "MIT", None), "p/src/a.py": (None, "MIT", "p/LICENSE"), "p/src/deep/er/b.py": (None, "BSD-3-Clause", "p/src/deep/COPYING"), "p/src/deep/COPYING": ("BSD-3-Clause", "BSD-3-Clause", None),
+        "p/src/apache.c": ("Apache-2.0", "Apache-2.0", None), "q/gpl2.c": ("GPL-2.0", "GPL-2.0", None), "q/gpl3.c": ("GPL-3.0", "GPL-3.0", None), "q/x/plain.c": (None, None, None), "q/notes.txt": (None, None, None),
+        "r/ISC": ("ISC", "ISC", None), "r/s/t/u.txt": (None, "ISC", "r/ISC"), "s/LICENSE": ("GPL-2.0", "GPL-2.0", None),
+    }
+
+
 def test_licence_scores_match_a_plain_computation(spark):
-    rows = [("a", "Released under the MIT License.\nfree text of the file"), ("b", "Licensed under the Apache License"), ("c", "the license of this work"), ("d", "This work is licensed under the GNU General Public License, version 3.")]
+    rows = [("a", "Released under the MIT License.\nfree text of the file"), ("b", "Licensed under the Apache License"), ("c", "the license of this work"), ("d", "This work is licensed under the GNU General Public License, version 3."),
+            ("e/LICENSE", licenses._MIT), ("f", licenses._APACHE_HEADER.replace(". ", ".\n"))]
     files = spark.createDataFrame(rows, "path string, text string")
     idf, unknown = licenses.weights(files)
     vectors = licenses.vectors(idf)
     best = {}
     for path, text in rows:
-        for line in text.split("\n"):
-            own = Counter(licenses.python_terms(line))
+        units = [(licenses.LINE, line) for line in text.split("\n")] + [(licenses.HEADER, "\n".join(text.split("\n")[: licenses.OPENING]))] + [(licenses.WHOLE, text)]
+        for kind, unit in units:
+            own = Counter(licenses.python_terms(unit))
             x = {t: n * idf.get(t, unknown) for t, n in own.items()}
             norm = math.sqrt(sum(v * v for v in x.values())) or 1
-            for name, vector, length in vectors:
+            for (name, _, _), (of, vector, length) in zip(licenses.TEMPLATES, vectors, strict=True):
                 score = sum(x.get(t, 0) * y for t, y in vector.items()) / norm / length
-                if score >= licenses.LEAST and score > best.get(path, ("", 0))[1] + 1e-9:
+                if of == kind and score >= licenses.LEAST and score > best.get(path, ("", 0))[1] + 1e-9:
                     best[path] = (name, score)
     got = {r.path: (r.license, r.score) for r in licenses.declared(files).collect()}
     assert {k: (n, round(s, 6)) for k, (n, s) in got.items()} == {k: (n, round(s, 6)) for k, (n, s) in best.items()}
