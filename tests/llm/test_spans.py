@@ -125,12 +125,39 @@ def test_line_dedup_matches_brute_force(spark):
     head, foot = [prose(5) for _ in range(4)], [prose(4) for _ in range(3)]
     rows = [(1, "\n".join([*head, prose(6), *foot])), (2, "\n".join([prose(3), *head, *foot])), (3, "\n".join(head[:2] + ["x"] + head[2:])), (4, None), (5, ""), (6, "a\n\n\n\n\nb"), (7, "\n".join(["r"] * 50)), (8, head[0])]
     removed = F.aggregate("spans", F.lit(0), lambda t, x: t + x[1] - x[0])
-    for k in (1, 2, 3, 4):
+    rows += [(9, "\n".join([*head, *foot, *head, "end"])), (10, "\n".join([*foot, *head, *foot, *head])), (11, "\n".join(f"l{i % 5}" for i in range(37)))]
+    for k in (1, 2, 3, 7):
         got = sorted((r.doc_id, r.n_lines, r.gone, r.text) for r in lines.deduplicate_lines(frame(spark, rows), k).withColumn("gone", removed).collect())
         assert got == brute_lines(rows, k), k
     assert lines.deduplicate_lines(frame(spark, [])).count() == 0
 
 
+def test_repeated_runs_are_maximal_and_have_an_earlier_copy(spark):
+    """Every run is what its source has, goes on as far as both do, and starts earlier there."""
+    import random
+
+    rng = random.Random(9)
+    blocks = [[f"b{i}.{j}" for j in range(rng.randrange(1, 20))] for i in range(6)]
+    rows = [(i, "\n".join(x for _ in range(4) for x in rng.choice(blocks))) for i in range(12)] + [(20, "\n".join(["r"] * 33))]
+    split = {i: t.split("\n") for i, t in rows}
+    for k in (1, 2, 3, 7):
+        runs = lines.repeated_runs(frame(spark, rows), k).collect()
+        seen = set()
+        for r in runs:
+            a, b = split[r.doc_id], split[r.source.doc_id]
+            i, j = r.at, r.source.at
+            assert (r.source.doc_id, j) < (r.doc_id, i) and r.n >= k and a[i : i + r.n] == b[j : j + r.n]
+            assert i + r.n == len(a) or j + r.n == len(b) or a[i + r.n] != b[j + r.n]
+            seen |= {(r.doc_id, x) for x in range(i, i + r.n)}
+        gone, known = set(), set()
+        for i, t in sorted(rows):
+            for at in range(len(split[i]) - k + 1):
+                window = tuple(split[i][at : at + k])
+                gone |= {(i, x) for x in range(at, at + k)} if window in known else set()
+                known.add(window)
+        assert seen == gone and max(r.n for r in runs) >= 19
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
