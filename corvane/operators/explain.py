@@ -56,6 +56,11 @@ def expansion(signals):
     return F.array_join(F.transform(signals, lambda s: phrase(s["signal"])), " ")
 
 
+def search_category(category):
+    """The category of documents that an observation's category is searched in."""
+    return F.when(category == "alert", "popup").otherwise(category)
+
+
 def observed(inputs: DataFrame, observer: Step = cue_observer) -> DataFrame:
     """inputs(input_id, text) with facts, the reviewed observation, notes and rejection."""
     accepted = inputs.withColumn("rejected", reject_reason(F.col("text")))
@@ -99,7 +104,7 @@ def explain(inputs: DataFrame, documents: DataFrame, passages: DataFrame, observ
     clear = seen.where(F.col("rejected").isNull() & (F.col("category") != "unknown") & (F.size("issues") == 0))
     asked = clear.select(
         F.col("input_id").alias("query_id"), F.col("text").alias("query"), expansion(F.col("signals")).alias("expansion"),
-        F.when(F.col("category") == "alert", "popup").otherwise(F.col("category")).alias("category"), "topic",
+        search_category(F.col("category")).alias("category"), "topic",
     )
     hits = search_passages(asked.drop("topic"), documents, passages, LIMIT, PER_DOCUMENT)
     sources = documents.select("doc_id", "urls", trusted_urls(F.col("urls")).alias("trusted"))

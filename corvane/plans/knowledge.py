@@ -9,7 +9,7 @@ DOCUMENTS = [
     ("message_phishing", "Phishing messages", "message", "any", "original_html", ["phishing", "password", "code", "link"], ["https://consumer.ftc.gov/phishing"],
      "Scammers send messages to trick you into giving them your password or a verification code, so never share them. If a company is named, use a phone number or site you know is real, not one from the message."),
     ("message_avoid_scam", "Avoiding a scam", "message", "any", "original_html", ["scam", "payment", "money", "gift", "card"], ["https://consumer.ftc.gov/scams"],
-     "Honest companies don't pressure you to pay, and anyone who wants you to pay with a gift card or to send money at once is running a scam. Before you do anything else, talk to someone you trust."),
+     "Honest companies don't pressure you to pay, and anyone who wants you to pay with a gift card or to send money at once is running a scam. A stranger who insists that you pay a fee before you get anything may be pulling you into a scam. Before you do anything else, talk to someone you trust."),
     ("message_remote", "Remote access", "message", "any", "original_html", ["remote", "support", "access"], ["https://consumer.ftc.gov/remote"],
      "People who ask for remote access to your device to fix a problem you didn't report are often impersonating a company in a scam."),
     ("popup_safari", "Popups in Safari", "popup", "any", "authored_summary", ["popup", "safari", "warning", "support"], ["https://support.apple.com/popups"],

@@ -12,8 +12,8 @@ from corvane.functions.relevance import relevance_score
 from corvane.functions.segment import passages, sentence_units
 from corvane.functions.text import dedup_key, exact_comparison_tokens, passage_terms, redacted, reject_reason, search_terms, without_fence
 from corvane.operators import evaluation, explain, metrics, policy, quality, retrieval, training
-from corvane.plans.knowledge import knowledge
-from corvane.plans.messages import expected_sql, messages, text_sql
+from corvane.plans.knowledge import DOCUMENTS, knowledge
+from corvane.plans.messages import TEMPLATES, case, evidence_sql, expected_sql, messages, text_sql
 from corvane.session import load, settled, spread
 
 QUERIES: dict = {}
@@ -376,13 +376,18 @@ def sft_export(spark, sf_dir):
     return users.join(answers, ["conv_id", "turn"]).select("conv_id", "turn", F.to_json(F.struct(chat.alias("messages"))).alias("json"))
 
 
-@query("decision_weights")
-def decision_weights(spark, sf_dir):
-    seen = observed_messages(spark, sf_dir)
-    content = json_text.observation_json(F.col("category"), F.col("signals"), F.col("issues"))
-    tokens = F.transform(F.sequence(F.lit(0), F.floor(F.length("content") / 4).cast("int")), lambda i: F.struct((i * 4).alias("from"), (i * 4 + 4).alias("to")))
-    weights = json_text.token_weights(tokens, F.col("spans"), 4.0)
-    return seen.select("input_id", content.alias("content")).withColumn("spans", json_text.decision_spans(F.col("content"))).select("input_id", F.size("spans").alias("n_spans"), F.aggregate(weights, F.lit(0.0), lambda s, w: s + w).alias("weight"))
+@query("token_weights", """
+    WITH d AS (SELECT doc_id, length(text) AS n, [[length(text) // 3, length(text) // 3 + 5], [length(text) // 2, length(text) // 2 + 1], [0, doc_id % 9]] AS spans FROM documents),
+    t AS (SELECT doc_id, i * 4 AS a, i * 4 + 4 AS b, spans FROM (SELECT doc_id, spans, unnest(range(0, n // 4 + 1)) AS i FROM d))
+    SELECT doc_id, sum(CASE WHEN len(list_filter(spans, lambda s: a < s[2] AND b > s[1])) > 0 THEN 4.0 ELSE 1.0 END)::DOUBLE AS weight FROM t GROUP BY doc_id""")
+def token_weights(spark, sf_dir):
+    n = F.length("text").cast("long")
+    part = lambda a, b: F.array(a.cast("long"), b.cast("long"))
+    third, half = F.floor(n / 3), F.floor(n / 2)
+    spans = F.array(part(third, third + 5), part(half, half + 1), part(F.lit(0), F.col("doc_id") % 9))
+    tokens = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(n / 4)), lambda i: F.struct((i * 4).alias("from"), (i * 4 + 4).alias("to")))
+    rows = documents(spark, sf_dir).select("doc_id", tokens.alias("tokens"), spans.alias("spans"))
+    return rows.select("doc_id", F.aggregate(json_text.token_weights(F.col("tokens"), F.col("spans"), 4.0), F.lit(0.0), lambda s, w: s + w).alias("weight"))
 
 
 @query("draft_validation", """
@@ -462,18 +467,22 @@ def joined(names):
     return F.array_join(names, ",")
 
 
-@query("literal_cues", f"SELECT o_orderkey AS input_id, {text_sql()} AS text, {expected_sql(1)} AS cues FROM orders")
+@query("literal_cues", f"SELECT o_orderkey AS input_id, {text_sql()} AS text, {expected_sql("cues")} AS cues FROM orders")
 def literal_cues(spark, sf_dir):
     found = messages(spark, sf_dir).withColumn("facts", facts(F.col("text")))
     return found.select("input_id", "text", joined(F.transform("facts.cues", lambda c: c["signal"])).alias("cues"))
 
 
-@query("reviewed_observations", f"SELECT o_orderkey AS input_id, {expected_sql(2)} AS category, CASE WHEN o_orderkey % 16 = 14 THEN 'contextless_help_request' ELSE '' END AS notes FROM orders")
+@query("reviewed_observations", f"""
+    SELECT o_orderkey AS input_id, {expected_sql("category")} AS category, {expected_sql("issue")} AS issues, {expected_sql("notes")} AS notes,
+           CASE WHEN {expected_sql("category")} = 'unknown' THEN '' ELSE array_to_string(list_filter([{evidence_sql(0, 0)} || '=' || {evidence_sql(0, 1)}, {evidence_sql(1, 0)} || '=' || {evidence_sql(1, 1)}], lambda x: x IS NOT NULL), ',') END AS signals
+    FROM orders""")
 def reviewed_observations(spark, sf_dir):
-    return observed_messages(spark, sf_dir).select("input_id", "category", joined("notes").alias("notes"))
+    signals = F.transform("signals", lambda s: F.concat(s["signal"], F.lit("="), s["evidence"]))
+    return observed_messages(spark, sf_dir).select("input_id", "category", joined("issues").alias("issues"), joined("notes").alias("notes"), joined(signals).alias("signals"))
 
 
-@query("policy_flags", f"SELECT o_orderkey AS input_id, array_to_string(list_sort(string_split({expected_sql(1)}, ',')), ',') AS flags FROM orders")
+@query("policy_flags", f"SELECT o_orderkey AS input_id, array_to_string(list_sort(string_split({expected_sql("cues")}, ',')), ',') AS flags FROM orders")
 def policy_flags(spark, sf_dir):
     seen = observed_messages(spark, sf_dir).withColumn("f", policy.policy_flags(F.col("text"), F.col("category"), F.col("signals"), F.col("facts")))
     return seen.select("input_id", joined("f.flags").alias("flags"))
@@ -483,23 +492,92 @@ def guided_messages(spark, sf_dir):
     return policy.guidance(observed_messages(spark, sf_dir).withColumn("status", F.lit("answered")), "input_id", knowledge(spark))
 
 
-SUPPORT_SQL = f"CASE WHEN {expected_sql(4)} IN ('no_change', 'clarify') THEN 'policy_only' ELSE 'verified_local_support' END"
+SUPPORT_SQL = f"CASE WHEN {expected_sql("actions")} IN ('no_change', 'clarify') THEN 'policy_only' ELSE 'verified_local_support' END"
 
 
-@query("guidance_levels", f"SELECT o_orderkey AS input_id, {expected_sql(3)} AS level, {expected_sql(4)} AS actions, {SUPPORT_SQL} AS evidence_status FROM orders")
+@query("guidance_levels", f"SELECT o_orderkey AS input_id, {expected_sql("level")} AS level, {expected_sql("actions")} AS actions, {SUPPORT_SQL} AS evidence_status FROM orders")
 def guidance_levels(spark, sf_dir):
     return guided_messages(spark, sf_dir).select("input_id", "level", joined("actions").alias("actions"), "evidence_status")
 
 
+STATUS_SQL = f"CASE WHEN {expected_sql('category')} = 'unknown' THEN 'uncertain_analysis' WHEN {expected_sql('cited')} IS NULL THEN 'insufficient_evidence' ELSE 'answered' END"
+#: What explains each topic, of our small reference corpus.
+EXPLANATIONS = {
+    "payment": "A stranger who insists that you pay a fee before you get anything may be pulling you into a scam.",
+    "secrets": "Scammers send messages to trick you into giving them your password or a verification code, so never share them.",
+    "remote_support": "People who ask for remote access to your device to fix a problem you didn't report are often impersonating a company in a scam.",
+    "gift_payment": "Honest companies don't pressure you to pay, and anyone who wants you to pay with a gift card or to send money at once is running a scam.",
+    "no_internet": "For a no internet connection message, try the same network on another device.",
+    "wifi_password_prompt": "Choose a network that you recognize, and ask the owner of the network for its password.",
+    "unsecured_network": "In the past, public networks were risky. Today, most sites use encryption, and you can look for https in the address bar of your browser.",
+    "popup": "A popup with a phone number is not proof of a problem with your iPhone.",
+}
+
+
+def text_in_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+EXPLANATION_SQL = f"CASE {expected_sql('topic')} " + " ".join(f"WHEN '{k}' THEN {text_in_sql(v)}" for k, v in EXPLANATIONS.items()) + " END"
+
+
+def handoff_sql() -> str:
+    """The text to share of each template, put together from its parts."""
+    texts, bound = {a: t for a, t, _, _ in policy.ACTIONS}, {a: d for a, _, d, _ in policy.ACTIONS if d}
+    sources = {d[0]: (d[4], d[6]) for d in DOCUMENTS}
+    out = []
+    for _, cues, category, _, _, level, actions, _, _ in TEMPLATES:
+        ids = actions.split(",")
+        used = [bound[a] for a in ids if a in bound]
+        links = list(dict.fromkeys(f"- {sources[d][0]}: {u}" for d in used for u in sources[d][1]))
+        flags = [name.replace("_", " ") for name in policy.FLAG_NAMES if name in {c for c, _ in cues}]
+        wifi = category == "wifi"
+        parts = [
+            "Help request", f"I would like help with {policy.SITUATIONS[category]}.", policy.ASSESSMENTS[level], f"Found in the text (not verified): {'; '.join(flags)}." if flags else None,
+            "The steps are backed by local reference passages." if used else "Only general precautions; no step is backed by a source.",
+            "Suggested steps (not recorded as done):\n" + "\n".join(f"{i}. {texts[a]}" for i, a in enumerate(ids, 1)),
+            "Keep passwords and codes private. Pay, install or allow nothing because of an unexpected request.",
+            "Don't join an unknown network, and don't reset, erase or disable anything." if wifi else None,
+            "Please look at the Wi-Fi status with me." if wifi else "Please look at this with me, and check the request by a way we already trust.",
+            "Sources:\n" + "\n".join(links) if used else None, policy.LIMITS,
+        ]
+        out.append(text_in_sql("\n\n".join(p for p in parts if p)))
+    return case(out)
+
+
+HANDOFF_SQL = handoff_sql()
+
+
 @query("handoff_text", f"""
-    SELECT o_orderkey AS input_id, 'ready' AS status, {expected_sql(3)} IN ('attention', 'check_source', 'uncertain') AS suggested, {expected_sql(4)} AS action_ids, false AS leaks FROM orders""")
+    SELECT o_orderkey AS input_id, 'ready' AS status, {expected_sql("level")} IN ('attention', 'check_source', 'uncertain') AS suggested, {expected_sql("actions")} AS action_ids, {HANDOFF_SQL} AS text FROM orders""")
 def handoff_text(spark, sf_dir):
     shared = policy.handoff(guided_messages(spark, sf_dir), "input_id", knowledge(spark))
-    leaks = F.contains("text", F.col("input_id").cast("string")) & (F.col("input_id") > 99) | F.contains("text", F.lit("482913"))
-    return shared.select("input_id", "status", "suggested", joined("action_ids").alias("action_ids"), leaks.alias("leaks"))
+    return shared.select("input_id", "status", "suggested", joined("action_ids").alias("action_ids"), "text")
+
+
+#: Guidance that was changed on its way: what is changed, by the order's number modulo their count; the first is left as it was.
+TAMPERED = (
+    {}, {"category": "'other'"}, {"level": "'fine'"}, {"policy_version": "'1'"}, {"flags": "array('odd')"}, {"actions": "array('pay_requester')"}, {"actions": "cast(array() AS array<string>)"},
+    {"actions": "array('no_such_action')"}, {"evidence_status": "'checked'"},
+)
+
 
+@query("handoff_tampered", f"""
+    SELECT o_orderkey AS input_id, CASE WHEN (o_orderkey // {len(TEMPLATES)}) % {len(TAMPERED)} = 0 THEN 'ready' ELSE 'fallback' END AS status,
+           CASE WHEN (o_orderkey // {len(TEMPLATES)}) % {len(TAMPERED)} = 0 THEN {expected_sql("actions")} ELSE '' END AS action_ids,
+           (o_orderkey // {len(TEMPLATES)}) % {len(TAMPERED)} <> 0 AS is_fallback_text FROM orders""")
+def handoff_tampered(spark, sf_dir):
+    which = F.expr(f"(input_id div {len(TEMPLATES)}) % {len(TAMPERED)}")
+    rows = guided_messages(spark, sf_dir)
+    for i, change in enumerate(TAMPERED):
+        rows = rows.withColumns({name: F.when(which == i, F.expr(value)).otherwise(F.col(name)) for name, value in change.items()}) if change else rows
+    shared = policy.handoff(rows, "input_id", knowledge(spark))
+    return shared.select("input_id", "status", joined("action_ids").alias("action_ids"), (F.col("text") == policy.FALLBACK).alias("is_fallback_text"))
 
-@query("explained_inputs")
+
+@query("explained_inputs", f"""
+    SELECT o_orderkey AS input_id, {expected_sql("category")} AS category, {expected_sql("topic")} AS topic, {STATUS_SQL} AS status, {expected_sql("cited")} AS cited_document,
+           CASE {expected_sql("cited")} IS NOT NULL WHEN true THEN {EXPLANATION_SQL} ELSE '' END AS explanation FROM orders""")
 def explained_inputs(spark, sf_dir):
     corpus = knowledge(spark)
     table = retrieval.passage_table(corpus, passages())
@@ -523,12 +601,43 @@ def dedup_keys(spark, sf_dir):
 
 
 @query("observation_texts", f"""
-    SELECT o_orderkey AS input_id, CASE {expected_sql(2)} WHEN 'message' THEN 'This is a message or email.' WHEN 'alert' THEN 'This is a notification or popup.'
-        WHEN 'wifi' THEN 'This describes an iPhone Wi-Fi connection.' ELSE 'There is not enough information to identify the situation reliably.' END AS summary, o_orderkey % 16 = 14 AS asks_for_context FROM orders""")
+    SELECT o_orderkey AS input_id, CASE {expected_sql("category")} WHEN 'message' THEN 'This is a message or email.' WHEN 'alert' THEN 'This is a notification or popup.'
+        WHEN 'wifi' THEN 'This describes an iPhone Wi-Fi connection.' ELSE 'There is not enough information to identify the situation reliably.' END AS summary,
+        CASE {expected_sql("issue")} {" ".join(f"WHEN '{k}' THEN {text_in_sql(v)}" for k, v in observation.ISSUE_TEXT.items())} ELSE {text_in_sql(observation.NO_ISSUE)} END AS uncertainty FROM orders""")
 def observation_texts(spark, sf_dir):
     seen = observed_messages(spark, sf_dir)
-    asks = observation.uncertainty(F.col("issues")) == observation.ISSUE_TEXT["insufficient_context"]
-    return seen.select("input_id", observation.summary(F.col("category")).alias("summary"), asks.alias("asks_for_context"))
+    return seen.select("input_id", observation.summary(F.col("category")).alias("summary"), observation.uncertainty(F.col("issues")).alias("uncertainty"))
+
+
+TARGET_SQL = f"""CASE WHEN {expected_sql("category")} = 'unknown' THEN '{{"category":"unknown","signals":[],"issues":["' || {expected_sql("issue")} || '"]}}'
+    ELSE '{{"category":"' || {expected_sql("category")} || '","signals":[' || array_to_string(list_filter([{", ".join(f"""'{{"signal":"' || {evidence_sql(k, 0)} || '","evidence":"' || {evidence_sql(k, 1)} || '"}}'""" for k in (0, 1))}], lambda x: x IS NOT NULL), ',') || '],"issues":[]}}' END"""
+
+
+@query("training_targets", f"""SELECT o_orderkey AS input_id, {TARGET_SQL} AS target, '{{"category":"unknown","signals":[],"issues":["unsupported"]}}' AS abstention FROM orders""")
+def training_targets(spark, sf_dir):
+    seen = observed_messages(spark, sf_dir).withColumn("o", F.struct("category", "signals", "issues"))
+    return seen.select("input_id", F.to_json(observation.training_target(F.col("o"))).alias("target"), F.to_json(observation.unknown("unsupported")).alias("abstention"))
+
+
+@query("query_expansions", f"""
+    SELECT o_orderkey AS input_id, CASE {expected_sql("category")} WHEN 'alert' THEN 'popup' ELSE {expected_sql("category")} END AS category, CASE WHEN {expected_sql("category")} = 'unknown' THEN '' ELSE
+           array_to_string(list_filter([{", ".join(f"CASE {evidence_sql(k, 0)} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in explain.EXPANSIONS.items()) + " END" for k in (0, 1))}], lambda x: x IS NOT NULL), ' ') END AS expansion FROM orders""")
+def query_expansions(spark, sf_dir):
+    seen = observed_messages(spark, sf_dir)
+    return seen.select("input_id", explain.search_category(F.col("category")).alias("category"), explain.expansion(F.col("signals")).alias("expansion"))
+
+
+@query("decision_spans", f"""
+    WITH c AS (SELECT o_orderkey AS input_id, replace(replace(replace({TARGET_SQL}, '":"', '": "'), '":[', '": ['), '","', '", "') AS a FROM orders),
+    d AS (SELECT input_id, replace(replace(a, '],"issues"', '], "issues"'), '}},{{', '}}, {{') AS e FROM c),
+    f AS (SELECT input_id, replace(e, '","signals"', '", "signals"') AS content FROM d),
+    n AS (SELECT input_id, content, len(regexp_extract_all(content, '"signal":')) AS k FROM f)
+    SELECT input_id, content, (4 + k + greatest(k - 1, 0))::INT AS n_spans, strpos(content, '"' || regexp_extract(content, '"category": "([^"]*)"', 1) || '"')::INT - 1 AS first_from FROM n""")
+def decision_spans(spark, sf_dir):
+    seen = observed_messages(spark, sf_dir)
+    content = json_text.observation_json(F.col("category"), F.col("signals"), F.col("issues"))
+    found = seen.select("input_id", content.alias("content")).withColumn("spans", json_text.decision_spans(F.col("content")))
+    return found.select("input_id", "content", F.size("spans").alias("n_spans"), F.col("spans")[0][0].alias("first_from"))
 
 
 @query("context_budget", "SELECT doc_id, ceil(length(text) / 4.0)::BIGINT + 256 <= 4096 AS fits FROM documents")
@@ -550,28 +659,59 @@ def epoch_groups(spark, sf_dir):
     return training.epoch_groups(load(spark, sf_dir, "documents"), "doc_id", 7, 3, 4).groupBy("group_no").agg(F.count("*").alias("n"))
 
 
-@query("challenge_checks", """
-    SELECT 'templates' AS suite, "check", count(*) AS passed, count(*) AS total FROM orders, (SELECT unnest(['category', 'level', 'required_flags', 'appropriate_action', '*']) AS "check") GROUP BY ALL""")
+@query("challenge_checks", f"""
+    WITH e AS (SELECT o_orderkey AS k, {expected_sql("category")} AS category, {expected_sql("level")} AS level, string_split({expected_sql("actions")}, ',') AS actions, {expected_sql("cues")} AS cues FROM orders),
+    c AS (SELECT k % 3 <> 0 OR category = 'message' AS category, k % 5 <> 0 OR level = 'attention' AS level, k % 7 <> 0 OR contains(cues, 'visible_link') AS required_flags, k % 11 <> 0 OR list_contains(actions, 'clarify') AS appropriate_action FROM e),
+    u AS (SELECT unnest(['category', 'level', 'required_flags', 'appropriate_action', '*']) AS "check", unnest([category, level, required_flags, appropriate_action, category AND level AND required_flags AND appropriate_action]) AS ok FROM c)
+    SELECT 'templates' AS suite, "check", count(*) FILTER (ok) AS passed, count(*) AS total FROM u GROUP BY ALL""")
 def challenge_checks(spark, sf_dir):
-    parts = lambda k: F.filter(F.split(F.expr(expected_sql(k)), ","), lambda x: x != "")
-    orders = load(spark, sf_dir, "orders")
-    expected = orders.select(F.col("o_orderkey").alias("input_id"), F.expr(expected_sql(2)).alias("expected_category"), F.array(F.expr(expected_sql(3))).alias("levels"), parts(1).alias("required_flags"), parts(4).alias("actions_any"))
+    """Expectations are those of the templates, but for some orders something else is expected, and the check must fail unless that holds, too."""
+    parts = lambda name: F.filter(F.split(F.expr(expected_sql(name)), ","), lambda x: x != "")
+    other = lambda n, value, own: F.when(F.col("o_orderkey") % n == 0, value).otherwise(own)
+    one = lambda x: F.array(F.lit(x))
+    expected = load(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("input_id"), other(3, F.lit("message"), F.expr(expected_sql("category"))).alias("expected_category"), other(5, one("attention"), F.array(F.expr(expected_sql("level")))).alias("levels"),
+        other(7, one("visible_link"), parts("cues")).alias("required_flags"), other(11, one("clarify"), parts("actions")).alias("actions_any"),
+    )
     both = evaluation.expectations(guided_messages(spark, sf_dir), expected, "input_id")
     return metrics.check_counts(both.select(F.lit("templates").alias("suite"), evaluation.challenge_checks().alias("checks")), "suite", "checks")
 
 
-@query("contract_checks", """
-    SELECT 'templates' AS suite, "check", count(*) AS passed, count(*) AS total FROM orders, (SELECT unnest(['approved_actions_only', 'no_prohibited_actions', 'action_evidence_verified', 'citation_provenance',
-        'literal_explanation', 'handoff_preserves_actions', 'handoff_no_completion_claim', 'handoff_does_not_copy_input', 'private_markers_excluded', '*']) AS "check") GROUP BY ALL""")
+CONTRACT = ("approved_actions_only", "no_prohibited_actions", "action_evidence_verified", "citation_provenance", "literal_explanation", "handoff_preserves_actions", "handoff_no_completion_claim", "handoff_does_not_copy_input", "private_markers_excluded")
+
+
+@query("contract_checks", f"""
+    WITH k AS (SELECT o_orderkey AS k, {text_sql()} AS text FROM orders),
+    c AS (SELECT k % 2 <> 0 AND k % 3 <> 0 AS approved_actions_only, k % 3 <> 0 AS no_prohibited_actions, k % 5 <> 0 AS action_evidence_verified, k % 7 <> 0 AS citation_provenance, k % 11 <> 0 AND k % 7 <> 0 AS literal_explanation,
+                 k % 2 <> 0 AND k % 3 <> 0 AS handoff_preserves_actions, k % 13 <> 0 AS handoff_no_completion_claim, k % 17 <> 0 AND k % 13 <> 0 AS handoff_does_not_copy_input, k % 19 <> 0 AND k % 13 <> 0 AND (k % 17 <> 0 OR NOT (contains(text, '482913') OR contains(text, 'shop.example'))) AS private_markers_excluded FROM k),
+    u AS (SELECT unnest([{", ".join(f"'{x}'" for x in CONTRACT)}, '*']) AS "check", unnest([{", ".join(CONTRACT)}, {" AND ".join(CONTRACT)}]) AS ok FROM c)
+    SELECT 'templates' AS suite, "check", count(*) FILTER (ok) AS passed, count(*) AS total FROM u GROUP BY ALL""")
 def contract_checks(spark, sf_dir):
+    """Results of the templates, some of them changed so that they break one contract or several."""
     guided = settled(guided_messages(spark, sf_dir))
     shared = policy.handoff(guided, "input_id", knowledge(spark)).select("input_id", F.col("status").alias("handoff_status"), F.col("action_ids").alias("handoff_actions"), F.col("text").alias("handoff_text"))
     rows = guided.join(shared, "input_id").join(messages(spark, sf_dir), "input_id")
-    rows = rows.withColumns({"explanation": F.lit(""), "quote": F.lit(None).cast("string"), "excerpt": F.lit(""), "private_markers": F.array(F.lit("482913"), F.lit("shop.example"))})
+    when = lambda n, value, own: F.when(F.col("input_id") % n == 0, value).otherwise(own)
+    more = lambda n, action: F.when(F.col("input_id") % n == 0, F.array(F.lit(action))).otherwise(F.array().cast("array<string>"))
+    marker, told = F.lit("482913"), F.col("handoff_text")
+    rows = rows.withColumns(
+        {
+            "actions": F.concat("actions", more(2, "no_such_action"), more(3, "pay_requester")),
+            "evidence_status": when(5, F.lit("unavailable"), F.col("evidence_status")),
+            "quote": when(7, F.lit("words that are nowhere"), F.lit(None).cast("string")),
+            "excerpt": F.lit("an excerpt"),
+            "explanation": when(11, F.lit("made up"), F.lit("")),
+            "handoff_text": when(13, F.concat(F.lit("All done. "), F.col("text"), marker), when(17, F.concat(told, F.col("text")), when(19, F.concat(told, marker), told))),
+            "private_markers": F.array(marker, F.lit("shop.example")),
+        }
+    )
+    rows = rows.withColumns({"handoff_text": F.when((F.col("input_id") % 17 == 0) & (F.col("input_id") % 19 == 0) & (F.col("input_id") % 13 != 0), F.concat("handoff_text", marker)).otherwise(F.col("handoff_text"))})
     return metrics.check_counts(rows.select(F.lit("templates").alias("suite"), evaluation.contract_checks().alias("checks")), "suite", "checks")
 
 
-@query("replay_changes", "SELECT o_orderkey AS input_id, 'message' AS before, 'unknown' AS after FROM orders WHERE o_orderkey % 16 = 14")
+@query("replay_changes", f"""
+    WITH t AS (SELECT o_orderkey AS input_id, {expected_sql("category")} AS after, CASE WHEN {expected_sql("cues")} LIKE '%wifi_%' OR {expected_sql("cues")} LIKE '%no_internet%' OR {expected_sql("cues")} = 'unsecured_network' THEN 'wifi' ELSE 'message' END AS guess FROM orders)
+    SELECT input_id, guess AS before, after FROM t WHERE after = 'unknown'""")
 def replay_changes(spark, sf_dir):
     seen = observed_messages(spark, sf_dir)
     before = seen.select("input_id", F.col("observed.category").alias("c"))
@@ -579,8 +719,8 @@ def replay_changes(spark, sf_dir):
 
 
 @query("result_view", f"""
-    SELECT o_orderkey AS input_id, replace({expected_sql(3)}, '_', ' ') AS title, len(string_split({expected_sql(4)}, ','))::INT AS n_steps,
-           CASE WHEN {expected_sql(3)} IN ('attention', 'connection_check', 'check_source') THEN 2 ELSE 0 END::INT AS n_avoid FROM orders""")
+    SELECT o_orderkey AS input_id, replace({expected_sql("level")}, '_', ' ') AS title, len(string_split({expected_sql("actions")}, ','))::INT AS n_steps,
+           CASE WHEN {expected_sql("level")} IN ('attention', 'connection_check', 'check_source') THEN 2 ELSE 0 END::INT AS n_avoid FROM orders""")
 def result_view(spark, sf_dir):
     seen = observed_messages(spark, sf_dir).withColumn("explanation", F.lit(""))
     view = policy.result_view(seen, guided_messages(spark, sf_dir), "input_id")
