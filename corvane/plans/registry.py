@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import json_text, observation
+from corvane.functions import json_text, observation, relevance
 from corvane.functions.cues import facts
 from corvane.functions.html import Gate, article_text
 from corvane.functions.relevance import relevance_score
@@ -51,6 +51,14 @@ PASSAGE_STOP_SQL = (
 )
 
 
+def text_in_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def listed_sql(values) -> str:
+    return "[" + ", ".join(map(text_in_sql, values)) + "]"
+
+
 def terms_sql(x: str) -> str:
     plain = f"replace(replace(replace(replace(lower({x}), 'ß', 'ss'), 'wi-fi', 'wifi'), 'e-mail', 'email'), 'pop-up', 'popup')"
     return f"list_filter(list_distinct(regexp_extract_all({plain}, '[a-z0-9]+')), lambda w: NOT list_contains({STOP_SQL}, w))"
@@ -129,13 +137,65 @@ def bm25_search(spark, sf_dir):
     return search_lines(spark, sf_dir, asked(spark, sf_dir, True))
 
 
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as queries of a category; every other one names Apple."""
+    category = F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")]), (F.col("item_id") % 4 + 1).cast("int"))
+    text = F.when(F.col("item_id") % 8 < 4, F.col("text")).otherwise(F.concat("text", F.lit(" apple")))
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"), F.lit("").alias("expansion"), category.alias("category"))
+
+
+GATED_SQL = "SELECT item_id, CASE WHEN item_id % 8 < 4 THEN text ELSE text || ' apple' END AS text, ['en', 'de', 'fr', 'es'][item_id % 4 + 1] AS wanted FROM benchmark"
+CATEGORY_SQL = f"""
+    q AS (SELECT item_id AS query_id, wanted, unnest({terms_sql('text')}) AS term FROM ({GATED_SQL})),
+    {CORPUS_SQL},
+    dt AS (SELECT doc_id, category, {terms_sql('title')} AS tt, {terms_sql('tag')} AS gt, {terms_sql('text')} AS bt FROM corpus),
+    dx AS (SELECT doc_id, category, tt, gt, bt, unnest(list_distinct(list_concat(list_concat(tt, gt), bt))) AS term FROM dt),
+    p AS (SELECT doc_id, category, term, 4 * list_contains(tt, term)::INT + 3 * list_contains(gt, term)::INT + list_contains(bt, term)::INT AS points, list_contains(tt, term) OR list_contains(gt, term) AS gate FROM dx),
+    s AS (SELECT query_id, doc_id, sum(points)::INT AS score, bool_or(gate AND NOT list_contains({GENERIC_SQL}, p.term)) AS seen FROM q JOIN p ON q.term = p.term AND q.wanted = p.category GROUP BY query_id, doc_id),
+    ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE seen AND score > 0)"""
+
+
+@query("category_search", f"WITH {CATEGORY_SQL} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 5")
+def category_search(spark, sf_dir):
+    """Only documents of the query's category are searched."""
+    return retrieval.search_documents(gated(spark, sf_dir), documents(spark, sf_dir), 5)
+
+
+@query("platform_gate", f"""
+    WITH {CATEGORY_SQL},
+    found AS (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 10),
+    kept AS (SELECT query_id, doc_id FROM found JOIN ({GATED_SQL}) i ON i.item_id = query_id WHERE wanted <> 'en' OR list_contains({terms_sql('text')}, 'apple') OR doc_id % 3 <> 0)
+    SELECT query_id, count(*) AS n_documents, min(doc_id) AS first_document, max(doc_id) AS last_document FROM kept GROUP BY query_id""")
+def platform_gate(spark, sf_dir):
+    """Queries in English that don't name Apple see no document of one platform; every document is one passage, and all are listed."""
+    docs = documents(spark, sf_dir).withColumn("platform", F.when(F.col("doc_id") % 3 == 0, "ios").otherwise("any"))
+    seen = retrieval.gated_documents(gated(spark, sf_dir), docs, 10, "en")
+    return seen.groupBy("query_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_document"), F.max("doc_id").alias("last_document"))
+
+
 @query("term_counts", f"SELECT doc_id, len({terms_sql('text')})::BIGINT AS n_search_terms, len({bag_sql('text')})::BIGINT AS n_passage_terms FROM documents")
 def term_counts(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return docs.select("doc_id", F.size(search_terms(F.col("text"))).cast("long").alias("n_search_terms"), F.size(passage_terms(F.col("text"))).cast("long").alias("n_passage_terms"))
 
 
-@query("chunk_documents")
+CHUNKS_SQL = r"""
+    p AS (SELECT doc_id, line, i, len(regexp_extract_all(line, '\S+')) AS w, regexp_matches(line, '[.!?]\s*$') AS ends
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+    g AS (SELECT doc_id, i, line, 1 AS grp, w AS acc, w >= 45 AND ends AS closed FROM p WHERE i = 1
+          UNION ALL
+          SELECT p.doc_id, p.i, p.line, g.grp + closed::INT, CASE WHEN closed THEN 0 ELSE g.acc END + p.w, CASE WHEN closed THEN 0 ELSE g.acc END + p.w >= 45 AND p.ends FROM g JOIN p ON p.doc_id = g.doc_id AND p.i = g.i + 1),
+    t AS (SELECT doc_id, grp, string_split(regexp_replace(string_agg(line, chr(10) ORDER BY i), '([.!?]["”'']?\s+)([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM g GROUP BY doc_id, grp),
+    q AS (SELECT doc_id, grp, unnest(s) AS piece, generate_subscripts(s, 1) AS k FROM t WHERE len(regexp_extract_all(array_to_string(s, ''), '\S+')) >= 5),
+    c AS (SELECT *, len(regexp_extract_all(piece, '\S+')) AS w FROM q),
+    h AS (SELECT doc_id, grp, k, piece, 1 AS part, w AS acc FROM c WHERE k = 1
+          UNION ALL
+          SELECT c.doc_id, c.grp, c.k, c.piece, h.part + (h.acc + c.w > 75)::INT, CASE WHEN h.acc + c.w > 75 THEN c.w ELSE h.acc + c.w END FROM h JOIN c ON c.doc_id = h.doc_id AND c.grp = h.grp AND c.k = h.k + 1),
+    u AS (SELECT doc_id, grp, part, regexp_replace(string_agg(piece, '' ORDER BY k), '^\s+|\s+$', '', 'g') AS text FROM h GROUP BY doc_id, grp, part),
+    chunks AS (SELECT doc_id, o AS ordinal, doc_id || ':' || o || ':' || sha256(text)[1:10] AS passage_id, text FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY grp, part) - 1)::INT AS o FROM u))"""
+
+
+@query("chunk_documents", f"WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id, ordinal, passage_id, text FROM chunks")
 def chunk_documents(spark, sf_dir):
     return retrieval.passage_table(documents(spark, sf_dir), passages(separator="\n"))
 
@@ -147,13 +207,17 @@ def chunk_ids(spark, sf_dir):
     return retrieval.passage_table(documents(spark, sf_dir), lambda text: F.split(text, "\n", -1)).drop("text")
 
 
-@query("chunk_stats")
+@query("chunk_stats", rf"WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id, count(*) AS n_passages, max(len(regexp_extract_all(text, '\S+')))::INT AS longest_words FROM chunks GROUP BY doc_id")
 def chunk_stats(spark, sf_dir):
     words = F.size(F.filter(F.split("text", r"(?U)\s+", -1), lambda w: w != ""))
     return chunk_documents(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_passages"), F.max(words).alias("longest_words"))
 
 
-@query("sentence_unit_counts")
+@query("sentence_unit_counts", rf"""
+    WITH RECURSIVE {CHUNKS_SQL},
+    v AS (SELECT passage_id, unnest(string_split(regexp_replace(line, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS x FROM (SELECT passage_id, unnest(string_split(text, chr(10))) AS line FROM chunks)),
+    y AS (SELECT passage_id, trim(x) AS x, len(regexp_extract_all(x, '\S+')) AS w FROM v)
+    SELECT passage_id, count(*) FILTER (x LIKE '%.' AND w BETWEEN 5 AND 100 AND NOT regexp_matches(x, '^(This|That|These|Those|They|It|But|However|Because|Or|And|If the answer)\b'))::INT AS n_units FROM y GROUP BY passage_id""")
 def sentence_unit_counts(spark, sf_dir):
     return chunk_documents(spark, sf_dir).select("passage_id", F.size(sentence_units("\n")(F.col("text"))).alias("n_units"))
 
@@ -242,7 +306,9 @@ def near_duplicate_candidates(spark, sf_dir):
     return quality.bag_candidates(rows, 0.75).select("a", "b", "overlap")
 
 
-@query("comparison_token_counts")
+@query("comparison_token_counts", r"""
+    WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'https?://\S+', 'url', 'g'), '\b\d+(?:[.\-]\d+)*\b', 'number', 'g') AS x FROM documents)
+    SELECT doc_id, len(regexp_extract_all(x, '[\p{L}\p{N}_]+'))::INT AS n_tokens FROM t""")
 def comparison_token_counts(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.size(exact_comparison_tokens(F.col("text"))).alias("n_tokens"))
 
@@ -390,23 +456,36 @@ def token_weights(spark, sf_dir):
     return rows.select("doc_id", F.aggregate(json_text.token_weights(F.col("tokens"), F.col("spans"), 4.0), F.lit(0.0), lambda s, w: s + w).alias("weight"))
 
 
-@query("draft_validation", """
-    WITH d AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'answered' WHEN 1 THEN 'insufficient_evidence' ELSE 'invalid_citation' END AS outcome FROM conversations)
-    SELECT conv_id, turn, outcome FROM d""")
+#: Drafts and what comes of each against the source S1 with two sentences.
+DRAFTS = (
+    ('```json\n{"source_id":"S1","sentence_id":1,"insufficient_evidence":false}\n```', "answered"), ('{"source_id":"S1","sentence_id":2,"insufficient_evidence":false}', "answered"),
+    ('{"source_id":" S1 ","sentence_id":1,"insufficient_evidence":false}', "answered"), ('{"source_id":"","sentence_id":0,"insufficient_evidence":true}', "insufficient_evidence"),
+    ('{"source_id":"S1","sentence_id":0,"insufficient_evidence":true}', "invalid_citation"), ('{"source_id":"S1","sentence_id":"1","insufficient_evidence":false}', "invalid_citation"),
+    ('{"source_id":"S1","sentence_id":9,"insufficient_evidence":false}', "invalid_citation"), ('{"source_id":"S1","sentence_id":0,"insufficient_evidence":false}', "invalid_citation"),
+    ('{"source_id":"S2","sentence_id":1,"insufficient_evidence":false}', "invalid_citation"), ('{"source_id":"S1","sentence_id":true,"insufficient_evidence":false}', "invalid_citation"),
+    ('{"source_id":"S1","sentence_id":1.0,"insufficient_evidence":false}', "invalid_citation"), ('{"source_id":"S1","sentence_id":1,"insufficient_evidence":0}', "invalid_citation"),
+    ('{"source_id":"S1","sentence_id":1,"insufficient_evidence":false} {}', "invalid_citation"), ('{"source_id":"S1","sentence_id":1}', "invalid_citation"),
+    ('{"source_id":"S1","sentence_id":1,"insufficient_evidence":false,"more":1}', "invalid_citation"), ('[1]', "invalid_citation"), ('{"source_id":"S1","sentence_id":-1,"insufficient_evidence":false}', "invalid_citation"),
+    ('Here: {"source_id":"S1","sentence_id":1,"insufficient_evidence":false}', "invalid_citation"), ("", "invalid_citation"), ('{"source_id":null,"sentence_id":1,"insufficient_evidence":false}', "invalid_citation"),
+)
+
+
+@query("draft_validation", f"SELECT conv_id, turn, {listed_sql([x for _, x in DRAFTS])}[(conv_id + turn) % {len(DRAFTS)} + 1] AS outcome FROM conversations")
 def draft_validation(spark, sf_dir):
-    kinds = [
-        '```json\n{"source_id":"S1","sentence_id":1,"insufficient_evidence":false}\n```',
-        '{"source_id":"","sentence_id":0,"insufficient_evidence":true}',
-        '{"source_id":"S1","sentence_id":"1","insufficient_evidence":false}',
-        '{"source_id":"S1","sentence_id":9,"insufficient_evidence":false}',
-        '{"source_id":"S1","sentence_id":1,"insufficient_evidence":false} {}',
-    ]
-    draft = F.element_at(F.array(*map(F.lit, kinds)), (F.col("turn") % 5 + 1).cast("int"))
+    draft = F.element_at(F.array(*[F.lit(x) for x, _ in DRAFTS]), ((F.col("conv_id") + F.col("turn")) % len(DRAFTS) + 1).cast("int"))
     turns = load(spark, sf_dir, "conversations").withColumn("draft", json_text.parsed_draft(without_fence(draft)))
     return turns.select("conv_id", "turn", json_text.draft_outcome(F.col("draft"), F.lit("S1"), F.array(F.lit("one"), F.lit("two"))).alias("outcome"))
 
 
-@query("html_article_text")
+HTML_SQL = r"""
+    WITH a AS (SELECT page_id, coalesce(array_to_string(regexp_extract_all(html, '(?is)<article(?:\s[^>]*)?>(.*?)</article>', 1), ' '), '') AS x FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?is)<(script|style|noscript|svg)\b.*?</(script|style|noscript|svg)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)</?(p|li|h2|h3|br)(\s[^>]*)?/?>', chr(10) || chr(10), 'g'), '</?[a-zA-Z][^>]*>', ' ', 'g') AS x FROM a),
+    c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM b),
+    d AS (SELECT page_id, list_filter(list_transform(string_split(x, chr(10) || chr(10)), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: p <> '') AS parts FROM c)
+    SELECT page_id, array_to_string(parts, chr(10) || chr(10)) AS article FROM d"""
+
+
+@query("html_article_text", HTML_SQL)
 def html_article_text(spark, sf_dir):
     pages = spread(load(spark, sf_dir, "pages"))
     return pages.select("page_id", article_text(Gate())(F.col("html")).alias("article"))
@@ -446,17 +525,39 @@ def duplicate_sources(spark, sf_dir):
     return quality.duplicate_sources(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
 
 
-@query("topic_relevance", r"""
-    WITH s AS (SELECT doc_id, 'In this ' || source || ' text a gift card number for ' || lang || ' was used to pay' || CASE doc_id % 3 WHEN 0 THEN ' and it is a scam with pressure' WHEN 1 THEN ' so do not reset it' ELSE '' END AS t,
-                      CASE doc_id % 4 WHEN 0 THEN 'gift_payment' WHEN 1 THEN 'payment' WHEN 2 THEN 'popup' ELSE 'secrets' END AS topic FROM documents)
-    SELECT doc_id, topic, CASE WHEN doc_id % 3 = 1 THEN 0 WHEN topic = 'gift_payment' THEN 4 ELSE 0 END::INT AS relevance FROM s""")
+#: Sentences of our own that meet a topic's patterns, miss one, or are rejected; every topic meets every sentence.
+SENTENCES = (
+    "They trick you and ask for your password.", "Reset your password before they steal it.", "A scan of your password may trick you.", "Pay with a gift card, they say, and give the number.",
+    "Anyone who insists that you pay a fee at once may be running a scam of some kind.", "Pay now, it is a scam.", "Remote access for strangers is how a scam begins.", "A popup is not proof of anything.",
+    "A webpage with a phone number may be a scam, so never call.", "With a no internet connection message, try another device.", "See that Wi-Fi is on.", "Ask the owner for the password that you recognize.",
+    "Look for https in the address bar.", "Most websites use encryption.", "Some devices use encryption on a website.", "A blue checkmark shows a joined network.", "Joining a network and having working internet differ.",
+    "Contact the company by a phone number that you know is real.", "You won money in a lottery, so contact the company.", "The caller is a scammer with a gift card number.", "Airplane mode is off, so turn Wi-Fi on.", "",
+)
+
+
+def relevance_sql() -> str:
+    rows = []
+    for topic, rules in relevance.SENTENCE_RULES.items():
+        whens = ""
+        for points, must, also, never, least in rules:
+            fits = [f"regexp_matches(s, {text_in_sql(must)})", *([f"regexp_matches(s, {text_in_sql(also)})"] if also else []), *([f"NOT regexp_matches(s, {text_in_sql(never)})"] if never else []),
+                    *([f"len(regexp_extract_all(s, '\\S+')) >= {least}"] if least else [])]
+            whens += f" WHEN {' AND '.join(fits)} THEN {points}"
+        rows.append(f"WHEN '{topic}' THEN CASE{whens} ELSE 0 END")
+    prize = f"regexp_matches(s, {text_in_sql(relevance.PRIZES)}) AND NOT regexp_matches(query, {text_in_sql(relevance.PRIZE_QUERY)})"
+    return f"CASE WHEN regexp_matches(s, {text_in_sql(relevance.REJECTED)}) OR ({prize}) THEN 0 ELSE CASE topic {' '.join(rows)} ELSE 0 END END"
+
+
+@query("topic_relevance", f"""
+    WITH d AS (SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN '' ELSE ' ' || text END AS own, {listed_sql(SENTENCES)}[doc_id % {len(SENTENCES)} + 1] AS sentence, CASE doc_id % 5 WHEN 0 THEN 'I won a prize' ELSE split_part(text, chr(10), 1) END AS query FROM documents),
+    t AS (SELECT doc_id, query, lower(sentence || own) AS s, unnest({listed_sql([*relevance.SENTENCE_RULES, "none"])}) AS topic FROM d)
+    SELECT doc_id, topic, ({relevance_sql()})::INT AS relevance FROM t""")
 def topic_relevance(spark, sf_dir):
     c = F.col
-    ending = F.when(c("doc_id") % 3 == 0, " and it is a scam with pressure").when(c("doc_id") % 3 == 1, " so do not reset it").otherwise("")
-    text = F.concat(F.lit("In this "), c("source"), F.lit(" text a gift card number for "), c("lang"), F.lit(" was used to pay"), ending)
-    topic = F.when(c("doc_id") % 4 == 0, "gift_payment").when(c("doc_id") % 4 == 1, "payment").when(c("doc_id") % 4 == 2, "popup").otherwise("secrets")
-    rows = load(spark, sf_dir, "documents").select("doc_id", topic.alias("topic"), text.alias("t"))
-    return rows.select("doc_id", "topic", relevance_score(c("topic"), c("t")).alias("relevance"))
+    sentence = F.element_at(F.array(*map(F.lit, SENTENCES)), (c("doc_id") % len(SENTENCES) + 1).cast("int"))
+    asked = F.when(c("doc_id") % 5 == 0, "I won a prize").otherwise(F.substring_index("text", "\n", 1))
+    rows = documents(spark, sf_dir).select("doc_id", asked.alias("query"), F.concat(sentence, F.when(c("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit(" "), c("text")))).alias("t"), F.explode(F.array(*map(F.lit, [*relevance.SENTENCE_RULES, "none"]))).alias("topic"))
+    return rows.select("doc_id", "topic", relevance_score(c("topic"), c("t"), c("query")).alias("relevance"))
 
 
 def observed_messages(spark, sf_dir):
@@ -514,10 +615,6 @@ EXPLANATIONS = {
 }
 
 
-def text_in_sql(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 EXPLANATION_SQL = f"CASE {expected_sql('topic')} " + " ".join(f"WHEN '{k}' THEN {text_in_sql(v)}" for k, v in EXPLANATIONS.items()) + " END"
 
 
@@ -654,9 +751,14 @@ def length_violations(spark, sf_dir):
     return training.length_violations(documents(spark, sf_dir).select("doc_id", prompt.alias("p"), full.alias("f")), "doc_id", "p", "f")
 
 
-@query("epoch_groups", "SELECT (i // 4)::BIGINT AS group_no, count(*) AS n FROM (SELECT row_number() OVER () - 1 AS i FROM documents) GROUP BY 1")
+@query("epoch_groups", """
+    WITH n AS (SELECT count(*) AS n FROM documents), d AS (SELECT unnest(range(0, n)) AS place, n FROM n)
+    SELECT place // 4 AS group_no, count(*) AS n, min(place) AS first_place, max(place) AS last_place, any_value(n) AS distinct_ids FROM d GROUP BY 1""")
 def epoch_groups(spark, sf_dir):
-    return training.epoch_groups(load(spark, sf_dir, "documents"), "doc_id", 7, 3, 4).groupBy("group_no").agg(F.count("*").alias("n"))
+    placed = training.epoch_groups(load(spark, sf_dir, "documents"), "doc_id", 7, 3, 4)
+    ids = placed.agg(F.count_distinct("id").alias("distinct_ids"))
+    groups = placed.groupBy("group_no").agg(F.count("*").alias("n"), F.min("place").alias("first_place"), F.max("place").alias("last_place"))
+    return groups.withColumn("k", F.lit(0)).join(ids.withColumn("k", F.lit(0)), "k").drop("k")
 
 
 @query("challenge_checks", f"""
@@ -725,3 +827,6 @@ def result_view(spark, sf_dir):
     seen = observed_messages(spark, sf_dir).withColumn("explanation", F.lit(""))
     view = policy.result_view(seen, guided_messages(spark, sf_dir), "input_id")
     return view.select("input_id", "title", F.size("steps").alias("n_steps"), F.size("avoid").alias("n_avoid"))
+
+
+from corvane.plans import files  # noqa: E402, F401  registers the queries of sources and sinks

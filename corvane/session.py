@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,6 +13,26 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path where all executors see it: below ``spark.checkpoint.dir``, or a temporary one if all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="corvane-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def put_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> str:
+    """Write small files below a folder of any store."""
+    for name, content in files.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path)
+        out.write(bytearray(content))
+        out.close()
+    return folder
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once for several uses: a checkpoint in the session's shared folder, which Spark's cleaner can delete, or else kept by the executors."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()

@@ -40,10 +40,11 @@ def load_documents(spark: SparkSession, folder: str, gate: Gate = ADVICE_ARTICLE
     """
     entries = spark.read.option("multiLine", True).schema(CATALOG).json(f"{folder}/catalog.json").select(F.posexplode("documents").alias("ordinal", "d")).select("ordinal", "d.*")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{html,txt}").load(folder)
-    content = files.select(F.regexp_replace("path", r"^[a-z]+:/+", "/").alias("path"), F.col("content").cast("string").alias("content"))
-    root = folder.split("://")[-1].rstrip("/")
-    root = root if root.startswith("/") else os.path.abspath(root)
-    both = entries.join(content, F.concat(F.lit(root + "/"), F.col("file")) == F.col("path"), "left")
+    # entries name files below the folder: paths are compared from there on, whatever store, host and working directory come before
+    there = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(there).toUri().getPath().rstrip("/") + "/"
+    content = files.select(F.substring_index("path", root, -1).alias("path"), F.col("content").cast("string").alias("content"))
+    both = entries.join(content, F.col("file") == F.col("path"), "left")
     html = (F.col("source_type") == "original_html") & F.col("file").endswith(".html")
     plain = (F.col("source_type") == "authored_summary") & F.col("file").endswith(".txt")
     text = F.when(html, article_text(gate)(F.col("content"))).when(plain, F.regexp_replace("content", r"(?U)^\s+|\s+$", ""))
@@ -96,6 +97,12 @@ def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def split_fingerprints(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """split and SHA-256 of the bytes of each split's file."""
+    files = spark.read.format("binaryFile").load([f"{folder}/{split}.jsonl" for split in splits])
+    return files.select(F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("split"), F.sha2("content", 256).alias("sha256"))
+
+
 def fingerprint_mismatches(observed: DataFrame, manifest: DataFrame) -> DataFrame:
     """Splits whose (split, sha256) differ or that one side lacks."""
     a, b = observed.withColumnRenamed("sha256", "observed"), manifest.withColumnRenamed("sha256", "recorded")
