@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import words
-from corvane.operators.metrics import changes, summarise
+from corvane.operators.metrics import changes, check_counts, summarise
 from corvane.operators.policy import ACTIONS, LIMITS, PROHIBITED
 
 
@@ -67,3 +67,21 @@ def replay(before: DataFrame, after: DataFrame, key: str) -> tuple[DataFrame, Da
     both = summarise(before).withColumn("stage", F.lit("before")).unionByName(summarise(after).withColumn("stage", F.lit("after")))
     answer = F.to_json(F.struct("pred_category", "pred_signals", "pred_issues"))
     return both, changes(before.withColumn("answer", answer), after.withColumn("answer", answer), key, "answer")
+
+
+def compare_runs(runs: dict[str, DataFrame], by: list[str] | None = None) -> DataFrame:
+    """Measures of several runs over the same cases, in total and by each of ``by``: rows tagged with their run."""
+    found = None
+    for name, cases in runs.items():
+        one = summarise(cases, by).withColumn("run", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def audit(suites: dict[str, DataFrame]) -> DataFrame:
+    """suite, check, passed and total of several suites of rows(checks), and of all of them together as suite ``*``."""
+    found = None
+    for name, rows in suites.items():
+        one = rows.select(F.explode(F.array(F.lit(name), F.lit("*"))).alias("suite"), "checks")
+        found = one if found is None else found.unionByName(one)
+    return check_counts(found, "suite", "checks")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import json_text, observation, relevance
+from corvane.functions import json_text, observation, relevance, sql
 from corvane.functions.cues import facts
 from corvane.functions.html import Gate, article_text
 from corvane.functions.relevance import relevance_score
@@ -366,6 +366,28 @@ def classification_by_group(spark, sf_dir):
     return metrics.summarise(labelled_cases(spark, sf_dir), ["provenance", "gold_category"])
 
 
+@query("run_comparison", f"""
+    WITH {CASES_SQL}, o AS (SELECT * REPLACE ('en' AS pred_category, 0 AS pq, 0 AS pt, true AS valid) FROM c),
+    n AS (SELECT *, (gold_category = pred_category) AS cat, gq * pq + gt * pt AS tp, (1 - gq) * pq + (1 - gt) * pt AS fp, gq * (1 - pq) + gt * (1 - pt) AS fn FROM o)
+    SELECT 'predictor' AS run, provenance, {SUMMARY_SQL} FROM m GROUP BY GROUPING SETS ((), (provenance)) UNION ALL SELECT 'base', provenance, {SUMMARY_SQL} FROM n GROUP BY GROUPING SETS ((), (provenance))""")
+def run_comparison(spark, sf_dir):
+    """The simple predictor against one that always says English and finds nothing."""
+    cases, nothing = labelled_cases(spark, sf_dir), F.array().cast("array<string>")
+    base = cases.withColumns({"pred_category": F.lit("en"), "pred_signals": nothing, "pred_issues": nothing})
+    return evaluation.compare_runs({"predictor": cases, "base": base}, ["provenance"])
+
+
+@query("sql_functions", f"""
+    SELECT doc_id, len({terms_sql('text')})::INT AS n_search_terms, len({bag_sql('text')})::INT AS n_passage_terms, {KEY_SQL} AS key_hash, 3 AS words_at_most FROM documents""")
+def sql_functions(spark, sf_dir):
+    """The text functions by their SQL names."""
+    sql.register(spark)
+    documents(spark, sf_dir).createOrReplaceTempView("corvane_documents")
+    return spark.sql("""
+        SELECT doc_id, size(search_terms(text)) AS n_search_terms, size(passage_terms(text)) AS n_passage_terms, sha2(dedup_key(text), 256) AS key_hash,
+               if(forall(chunk_text('One two three. Four five six. Seven eight nine.', 3), x -> size(split(x, ' ')) = 3), 3, 0) AS words_at_most FROM corvane_documents""")
+
+
 @query("latency_summary", "SELECT event_type AS suite, count(*) AS n, round(avg(value), 3) AS mean_seconds, quantile_disc(value, 0.95) AS p95_seconds FROM events GROUP BY event_type")
 def latency_summary(spark, sf_dir):
     return metrics.latency(load(spark, sf_dir, "events"), "event_type", "value")
@@ -681,6 +703,18 @@ def explained_inputs(spark, sf_dir):
     return explain.explain(messages(spark, sf_dir), corpus, table).select("input_id", "category", "topic", "status", "cited_document", "explanation")
 
 
+@query("guided_inputs", f"""
+    SELECT o_orderkey AS input_id, {STATUS_SQL} AS status, {expected_sql("level")} AS level, 'ready' AS handoff, {STATUS_SQL} = 'answered' AS explained,
+           len(list_filter([{expected_sql("category")} = 'alert' AND {expected_sql("level")} = 'check_source', {expected_sql("category")} <> 'alert' AND {expected_sql("level")} = 'check_source', {expected_sql("level")} = 'attention', {expected_sql("level")} = 'connection_check',
+               {expected_sql("level")} = 'connection_check' AND contains({expected_sql("cues")}, 'unsecured_network'), {STATUS_SQL} <> 'answered'], lambda x: x))::INT AS n_cautions FROM orders""")
+def guided_inputs(spark, sf_dir):
+    """From text to explanation, guidance and a summary to share."""
+    corpus = knowledge(spark)
+    explained, guided, shared = explain.guide(messages(spark, sf_dir), corpus, retrieval.passage_table(corpus, passages()))
+    rows = explained.select("input_id", "status").join(guided.select("input_id", "level", "explained", F.size("cautions").alias("n_cautions")), "input_id")
+    return rows.join(shared.select("input_id", F.col("status").alias("handoff")), "input_id").select("input_id", "status", "level", "handoff", "explained", "n_cautions")
+
+
 @query("observation_errors", f"""
     SELECT o_orderkey AS input_id, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'evidence_not_in_text' WHEN 2 THEN 'connectivity_outside_wifi' ELSE 'repeated_signal' END AS errors FROM orders""")
 def observation_errors(spark, sf_dir):
@@ -767,6 +801,10 @@ def epoch_groups(spark, sf_dir):
     u AS (SELECT unnest(['category', 'level', 'required_flags', 'appropriate_action', '*']) AS "check", unnest([category, level, required_flags, appropriate_action, category AND level AND required_flags AND appropriate_action]) AS ok FROM c)
     SELECT 'templates' AS suite, "check", count(*) FILTER (ok) AS passed, count(*) AS total FROM u GROUP BY ALL""")
 def challenge_checks(spark, sf_dir):
+    return metrics.check_counts(challenge_rows(spark, sf_dir), "suite", "checks")
+
+
+def challenge_rows(spark, sf_dir):
     """Expectations are those of the templates, but for some orders something else is expected, and the check must fail unless that holds, too."""
     parts = lambda name: F.filter(F.split(F.expr(expected_sql(name)), ","), lambda x: x != "")
     other = lambda n, value, own: F.when(F.col("o_orderkey") % n == 0, value).otherwise(own)
@@ -776,7 +814,7 @@ def challenge_checks(spark, sf_dir):
         other(7, one("visible_link"), parts("cues")).alias("required_flags"), other(11, one("clarify"), parts("actions")).alias("actions_any"),
     )
     both = evaluation.expectations(guided_messages(spark, sf_dir), expected, "input_id")
-    return metrics.check_counts(both.select(F.lit("templates").alias("suite"), evaluation.challenge_checks().alias("checks")), "suite", "checks")
+    return both.select(F.lit("templates").alias("suite"), evaluation.challenge_checks().alias("checks"))
 
 
 CONTRACT = ("approved_actions_only", "no_prohibited_actions", "action_evidence_verified", "citation_provenance", "literal_explanation", "handoff_preserves_actions", "handoff_no_completion_claim", "handoff_does_not_copy_input", "private_markers_excluded")
@@ -789,6 +827,10 @@ CONTRACT = ("approved_actions_only", "no_prohibited_actions", "action_evidence_v
     u AS (SELECT unnest([{", ".join(f"'{x}'" for x in CONTRACT)}, '*']) AS "check", unnest([{", ".join(CONTRACT)}, {" AND ".join(CONTRACT)}]) AS ok FROM c)
     SELECT 'templates' AS suite, "check", count(*) FILTER (ok) AS passed, count(*) AS total FROM u GROUP BY ALL""")
 def contract_checks(spark, sf_dir):
+    return metrics.check_counts(contract_rows(spark, sf_dir), "suite", "checks")
+
+
+def contract_rows(spark, sf_dir):
     """Results of the templates, some of them changed so that they break one contract or several."""
     guided = settled(guided_messages(spark, sf_dir))
     shared = policy.handoff(guided, "input_id", knowledge(spark)).select("input_id", F.col("status").alias("handoff_status"), F.col("action_ids").alias("handoff_actions"), F.col("text").alias("handoff_text"))
@@ -808,7 +850,14 @@ def contract_checks(spark, sf_dir):
         }
     )
     rows = rows.withColumns({"handoff_text": F.when((F.col("input_id") % 17 == 0) & (F.col("input_id") % 19 == 0) & (F.col("input_id") % 13 != 0), F.concat("handoff_text", marker)).otherwise(F.col("handoff_text"))})
-    return metrics.check_counts(rows.select(F.lit("templates").alias("suite"), evaluation.contract_checks().alias("checks")), "suite", "checks")
+    return rows.select(F.lit("templates").alias("suite"), evaluation.contract_checks().alias("checks"))
+
+
+@query("product_audit", f"""
+    WITH a AS (SELECT 'contract' AS suite, "check", passed, total FROM ({ORACLES["contract_checks"]}) UNION ALL SELECT 'challenge', "check", passed, total FROM ({ORACLES["challenge_checks"]}))
+    SELECT suite, "check", passed, total FROM a UNION ALL SELECT '*', "check", sum(passed)::BIGINT, sum(total)::BIGINT FROM a GROUP BY "check" """)
+def product_audit(spark, sf_dir):
+    return evaluation.audit({"contract": contract_rows(spark, sf_dir), "challenge": challenge_rows(spark, sf_dir)})
 
 
 @query("replay_changes", f"""

@@ -135,3 +135,19 @@ def test_sequence_ratio_is_the_larger_direction(spark):
     want = max(difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in ((a, b), (b, a)))
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
     assert df.select(sequence_ratio(F.col("a"), F.col("b"))).first()[0] == pytest.approx(want)
+
+
+def test_functions_by_their_sql_names(spark):
+    from corvane.functions import sql
+    from pyspark.sql import functions as F
+
+    names = sql.register(spark)
+    assert {"search_terms", "passage_terms", "dedup_key", "redacted", "chunk_text", "literal_cues", "article_text"} <= set(names)
+    raw = ["see https://a.b/c?d now", "a&lt;b  &amp; c <fone no>", "mail to é.x+y@mail.example.com.", "call 0800 123 4567 now", "The Wi-Fi and the E-mail pop-ups, links", None]
+    df = spark.createDataFrame([(x,) for x in raw], "x string")
+    df.createOrReplaceTempView("texts_by_name")
+    by_name = spark.sql("SELECT redacted(x), search_terms(x), passage_terms(x), dedup_key(x) FROM texts_by_name").collect()
+    c = F.col("x")
+    assert [tuple(r) for r in by_name] == [tuple(r) for r in df.select(text.redacted(c), text.search_terms(c), text.passage_terms(c), text.dedup_key(c)).collect()]
+    one = spark.sql("SELECT literal_cues('Please send me $5 now'), chunk_text('A b c d e. F g h i j.', 5), article_text('<article><p>x</p></article>')").first()
+    assert one[0][0].signal == "payment_request" and one[1] == ["A b c d e.", "F g h i j."] and one[2] == "x"
