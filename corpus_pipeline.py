@@ -4,6 +4,13 @@ Language ID drops texts without a recognised language; exact dedup keeps one of
 equal texts, and the Jaccard join one of each group of near copies; decontamination cuts
 benchmark passages, or drops a document that is mostly benchmark; byte-level BPE encodes what
 is left and decodes it again.
+
+Rows, not ids, are what stages keep or drop. Null and empty texts have no language and go with
+the first stage. Rows that share an id but not their text are documents of their own; of rows that
+repeat both, all stay or all go. Rows without an id are copies of any equal text that has one, and
+are in no group of near copies. All columns of documents are carried, extra ones and those whose
+names clash with an operator's, too; the last stage names its own. Empty tables give empty tables.
+A stage's table goes when the next one is written; the last one's input stays for its lazy result.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, decontam, exact_dedup, jaccard, langid
-from corvane.llm.batches import shared_dir
+from corvane.llm.batches import delete, shared_dir
 from corvane.llm.queries import table, vocabulary
 
 
@@ -56,7 +63,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -70,6 +70,19 @@ def test_pipeline_matches_brute_force(spark, corpus):
     assert 206 not in expected and 205 in expected and 200 not in expected and 202 not in expected
 
 
+def test_rows_that_share_an_id_or_have_none_are_rows_of_their_own(spark, tmp_path):
+    texts = [t for _, t, _ in languages()]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (2, texts[2]), (None, texts[3]), (None, texts[0]), (3, texts[4]), (3, texts[4])] + [(100 + i, t) for i, t in enumerate(texts[5:])]
+    spark.createDataFrame([(i, t, x, "s", len(t)) for (i, t), (_, _, x) in zip(rows, [*languages()[:1], *languages()[1:2], *languages()[:1], *languages()[2:3], *languages()[3:4], *languages()[:1], *languages()[4:5], *languages()[4:5], *languages()[5:]])],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    left = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    assert left == sorted([(1, texts[0]), (1, texts[1]), (2, texts[2]), (None, texts[3]), (3, texts[4]), (3, texts[4])] + [(100 + i, t) for i, t in enumerate(texts[5:])], key=repr)
+
+
 def test_stages_keep_the_columns_of_documents(spark, corpus):
     docs = spark.read.parquet(f"{corpus[0]}/documents.parquet").withColumns({"b": F.lit(1), "found": F.lit("x"), "ids": F.lit(2), "raw": F.lit(3)})
     for name, stage in corpus_pipeline.STAGES[:-1]:
