@@ -36,7 +36,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The rules that the ledger of op2 was begun with: the last of an earlier version, whose spans are in the ledger and not in the result.
-EARLIER_RULES = (*secrets.RULES[:2], secrets.Rule("hex", 0, r"[0-9a-f]{40,}", 0, 40))
+EARLIER_RULES = tuple(secrets.Rule("hex", 0, r"[0-9a-f]{40,}", 0, 40) if r.name == "hex" else r for r in secrets.RULES)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +46,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     exchange.clean(spark)
     ledger = secrets.update(docs, path)  # scans the blobs for that rule only
     found = secrets.findings(docs, ledger)
-    spans = secrets.joined_spans(F.col("findings"))
+    spans, base = secrets.joined_spans(F.col("findings")), secrets.joined_spans(F.col("findings"), secrets.BASE_RULES)
     n = lambda kind: F.coalesce(F.size(F.col("findings")[kind]), F.lit(0)).cast("long")
     count = lambda kind: F.when(F.col("findings").isNull(), F.lit(0).cast("long")).otherwise(F.greatest(n(kind), F.lit(0).cast("long")))
-    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,15 +171,22 @@ ORACLES: dict[str, str] = {
                  UNION ALL
                  SELECT doc_id, 1, 16, regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM t
                  UNION ALL
-                 SELECT doc_id, 2, 32, regexp_extract_all(text, '[0-9a-f]+', 0), regexp_extract_all(text, '[0-9a-f]+', 0), string_split_regex(text, '[0-9a-f]+') FROM t),
+                 SELECT doc_id, 2, 32, regexp_extract_all(text, '[0-9a-f]+', 0), regexp_extract_all(text, '[0-9a-f]+', 0), string_split_regex(text, '[0-9a-f]+') FROM t
+                 UNION ALL
+                 SELECT doc_id, 3, 1, regexp_extract_all(text, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----', 0), regexp_extract_all(text, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----', 0), string_split_regex(text, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----') FROM t
+                 UNION ALL
+                 SELECT doc_id, 4, 24, regexp_extract_all(text, 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', 0), regexp_extract_all(text, 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', 0), string_split_regex(text, 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+') FROM t
+                 UNION ALL
+                 SELECT doc_id, 5, 4, regexp_extract_all(text, '[a-z][a-z0-9+.-]{0,20}://[^\x00-\x20/:@]{1,256}:([^\x00-\x20/:@]{1,256})@', 0), regexp_extract_all(text, '[a-z][a-z0-9+.-]{0,20}://[^\x00-\x20/:@]{1,256}:([^\x00-\x20/:@]{1,256})@', 1), string_split_regex(text, '[a-z][a-z0-9+.-]{0,20}://[^\x00-\x20/:@]{1,256}:[^\x00-\x20/:@]{1,256}@') FROM t),
              u AS (SELECT doc_id, k, least, generate_subscripts(found, 1) AS i, unnest(found) AS x, unnest(part) AS y, unnest(gaps[1:len(found)]) AS gap FROM m WHERE len(found) > 0),
              o AS (SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(x)) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
                    FROM u WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)),
              s AS (SELECT doc_id, k, start::BIGINT AS a, (start + length(x))::BIGINT AS b FROM o WHERE length(y) >= least),
-             j AS (SELECT doc_id, string_agg(['assign', 'access', 'hex'][k + 1] || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans,
+             j AS (SELECT doc_id, string_agg(['assign', 'access', 'hex', 'key', 'jwt', 'login'][k + 1] || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans,
+                          string_agg(['assign', 'access', 'hex'][k + 1] || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < 3) AS base,
                           count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex FROM s GROUP BY doc_id)
         SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-               sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM t LEFT JOIN j ON t.doc_id = j.doc_id""",
     "op4_jaccard_join": r"""
         WITH RECURSIVE w AS (

@@ -39,12 +39,19 @@ class Rule:
     least: int
 
 
-#: The kinds in their order.
-RULES = (
+#: The base kinds in their order.
+BASE_RULES = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Rule("access", 1, r"AKIA[A-Z0-9]{12,}", 0, 16),  # as AKIA[A-Z0-9]+ of 16 or more: runs are maximal
     Rule("hex", 1, r"[0-9a-f]{32,}", 0, 32),  # as [0-9a-f]+ of 32 or more
 )
+#: Kinds that are scanned besides: headers of private keys, signed tokens, and credentials inside addresses.
+RULES = (
+    *BASE_RULES,
+    Rule("key", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 24),
+    Rule("login", 1, r"[a-z][a-z0-9+.-]{0,20}://[^\x00-\x20/:@]{1,256}:([^\x00-\x20/:@]{1,256})@", 1, 4),
+)
 LEDGER = T.StructType([T.StructField("blob_id", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("version", T.IntegerType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
 
 

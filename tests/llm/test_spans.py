@@ -165,11 +165,14 @@ def brute_secrets(text):
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 16]
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 32]
-    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", text)]
+    out += [(m.start(), 4, m.end()) for m in re.finditer(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", text) if len(m.group()) >= 24]
+    out += [(m.start(), 5, m.end()) for m in re.finditer(r"[a-z][a-z0-9+.-]{0,20}://[^\x00-\x20/:@]{1,256}:([^\x00-\x20/:@]{1,256})@", text) if len(m.group(1)) >= 4]
+    return ",".join(f"{('assign', 'access', 'hex', 'key', 'jwt', 'login')[k]}:{a}:{b}" for a, k, b in sorted(out))
 
 
 def test_secrets_match_brute_force_and_ledger_is_incremental(spark, tmp_path):
-    rows = odd_texts()
+    rows = [*odd_texts(), (30, "é -----BEGIN RSA PRIVATE KEY-----\nab eyJhbGciOi.eyJzdWIiOi.c2lnbmF0dXJl at ftp://me:hunter22@host http://a:b@c")]
     docs = frame(spark, rows)
     path = f"{tmp_path}/ledger"
     ledger = secrets.update(docs, path)
@@ -190,10 +193,11 @@ def test_a_later_snapshot_is_scanned_for_its_new_blobs_and_findings_reach_all_pa
     first = spark.createDataFrame([("a", 1, "token=abcdefgh1"), ("b", 1, "nothing"), ("c", 1, None)], history)
     second = spark.createDataFrame([("a", 2, "token=abcdefgh1 and more"), ("b", 1, "nothing"), ("d", 1, "token=abcdefgh1"), ("d", 1, "token=abcdefgh1")], history)
     path = f"{tmp_path}/ledger"
-    assert secrets.update(first, path).count() == 3 * 3
+    kinds = len(secrets.RULES)
+    assert secrets.update(first, path).count() == 3 * kinds
     assert {r.blob_id for r in secrets.scan_unseen(second, secrets.read_ledger(spark, path)).collect()} == {sha("token=abcdefgh1 and more")}
     ledger = secrets.update(second, path)
-    assert ledger.count() == 4 * 3
+    assert ledger.count() == 4 * kinds
     got = secrets.findings(first.unionByName(second), ledger).select("path", "version", secrets.joined_spans(F.col("findings")).alias("s")).collect()
     spans = "assign:0:15"
     assert sorted((r.path, r.version, r.s) for r in got) == sorted([("a", 1, spans), ("b", 1, ""), ("c", 1, ""), ("a", 2, spans), ("b", 1, ""), ("d", 1, spans), ("d", 1, spans)])
