@@ -10,7 +10,7 @@ from corvane.functions.cues import facts
 from corvane.functions.html import Gate, article_text
 from corvane.functions.relevance import relevance_score
 from corvane.functions.segment import passages, sentence_units
-from corvane.functions.text import dedup_key, exact_comparison_tokens, passage_terms, redacted, reject_reason, search_terms, without_fence
+from corvane.functions.text import dedup_key, exact_comparison_tokens, paragraphs_normalised, passage_terms, redacted, reject_reason, search_terms, trusted_urls, without_fence
 from corvane.operators import evaluation, explain, metrics, policy, quality, retrieval, training
 from corvane.plans.knowledge import DOCUMENTS, knowledge
 from corvane.plans.messages import TEMPLATES, case, evidence_sql, expected_sql, messages, text_sql
@@ -242,6 +242,45 @@ def redact_documents(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", redacted(F.col("text"), entities=False).alias("redacted"))
 
 
+@query("redact_pages", r"""
+    WITH z AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM pages),
+    a AS (SELECT page_id, regexp_replace(replace(t, '<fone no>', '[PHONE]'), 'https?://\S+|www\.\S+', 'https://source-link.example', 'g') AS t FROM z),
+    b AS (SELECT page_id, regexp_replace(t, '[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_.-]+\.[a-zA-Z]{2,}\b', '[EMAIL]', 'g') AS t FROM a),
+    c AS (SELECT page_id, regexp_replace(t, '(^|[^0-9])0(?:[ ()-]*[0-9]){10}', '\1[PHONE]', 'g') AS t FROM b),
+    d AS (SELECT page_id, regexp_replace(t, '(?i)\b0[0-9]+x+\b', '[PHONE]', 'g') AS t FROM c),
+    e AS (SELECT page_id, regexp_replace(t, '[0-9]{5,}', '[NUMBER]', 'g') AS t FROM d),
+    f AS (SELECT page_id, regexp_replace(t, '(?i)\b(?:po\s*box|pobox|box)\s*[0-9]+[\p{L}\p{N}_/]*', '[POSTBOX]', 'g') AS t FROM e),
+    g AS (SELECT page_id, regexp_replace(t, '(?i)(^|[^\p{L}\p{N}_])[a-z]{1,2}[0-9][a-z0-9]?\s*[0-9][a-z]{2}($|[^\p{L}\p{N}_])', '\1[POSTCODE]\2', 'g') AS t FROM f)
+    SELECT page_id, sha256(trim(regexp_replace(t, '[\s\x{A0}]+', ' ', 'g'))) AS redacted_sha256 FROM g""")
+def redact_pages(spark, sf_dir):
+    """Redaction of texts with entities, which are decoded first."""
+    return spread(load(spark, sf_dir, "pages")).select("page_id", F.sha2(redacted(F.col("html")), 256).alias("redacted_sha256"))
+
+
+@query("normalised_paragraphs", r"""
+    WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, '. ', '.' || chr(10) || ' ' || chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM documents)
+    SELECT doc_id, len(parts)::INT AS n_paragraphs, sha256(array_to_string(parts, chr(10) || chr(10))) AS text_sha256 FROM p""")
+def normalised_paragraphs(spark, sf_dir):
+    text = paragraphs_normalised(F.replace("text", F.lit(". "), F.lit(".\n \n\n")))
+    rows = documents(spark, sf_dir).select("doc_id", text.alias("t"))
+    return rows.select("doc_id", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n\n", -1))).alias("n_paragraphs"), F.sha2("t", 256).alias("text_sha256"))
+
+
+#: Lists of links, and whether all are trusted.
+LINKS = (
+    ("https://consumer.ftc.gov/a", True), ("https://support.apple.com/x?y=1#z", True), ("", False), ("http://consumer.ftc.gov/a", False), ("https://consumer.ftc.gov.evil.example/", False),
+    ("https://support.apple.com/x https://other.example", False), ("https://support.apple.com/x https://consumer.ftc.gov", True), ("not a url", False), ("https://user@consumer.ftc.gov/a", False), ("ftp://support.apple.com/", False),
+)
+
+
+@query("trusted_sources", f"SELECT page_id, {listed_sql([x for x, _ in LINKS])}[page_id % {len(LINKS)} + 1] AS links, [{', '.join(str(ok).lower() for _, ok in LINKS)}][page_id % {len(LINKS)} + 1] AS trusted, false AS own_trusted FROM pages")
+def trusted_sources(spark, sf_dir):
+    """Lists of links by template, and each page's own link, none of which is trusted."""
+    links = F.element_at(F.array(*[F.lit(x) for x, _ in LINKS]), (F.col("page_id") % len(LINKS) + 1).cast("int"))
+    rows = load(spark, sf_dir, "pages").select("page_id", "url", links.alias("links"))
+    return rows.select("page_id", "links", trusted_urls(F.filter(F.split("links", " "), lambda x: x != "")).alias("trusted"), trusted_urls(F.array("url")).alias("own_trusted"))
+
+
 KEY_SQL = r"sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')))"
 
 
