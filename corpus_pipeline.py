@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, decontam, exact_dedup, jaccard, langid
-from corvane.llm.batches import delete, shared_dir
+from corvane.llm.batches import delete, shared_dir, shuffles_end
 from corvane.llm.queries import table, vocabulary
 
 
@@ -65,7 +65,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     before = None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        found = stage(spark, docs, sf_dir)
+        with shuffles_end(spark):
+            found.write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if before:
             delete(spark, before)

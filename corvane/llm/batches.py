@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -69,11 +70,24 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession):
+    """What is run in here has its shuffle files deleted when it has ended, not when its references happen to be collected; the session's setting comes back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it again: short lineage, nothing lost with an executor."""
+    """Write ``df`` below the shared folder and read it again: short lineage, nothing lost with an executor, no shuffle files left."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_end(spark):
+        df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.corvane_path = path
     return table

@@ -9,7 +9,8 @@ where no match of the pre-splitting pattern can lie across the cut:
   follows, which is what ``\\s+(?!\\S)`` takes.
 
 Nulls, empty texts: no ids, which decode to no bytes. Ids that are not in the rank file:
-decode to null (the whole row). Extra columns stay; a column of the output's name is replaced.
+decode to null (the whole row). Repeated rows and rows that share an id have results of their own,
+empty tables none. Extra columns stay; a column of the output's name is replaced.
 """
 
 from __future__ import annotations

@@ -17,7 +17,6 @@ hash's bits are in the difference, so fewer bits of hash make less to move.
 
 from __future__ import annotations
 
-import gc
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,10 +25,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.batches import delete, release, shared_dir
+from corvane.llm.batches import delete, release, shared_dir, shuffles_end
 
 #: Characters of text in a batch, and keys in a part: what one Python worker holds at once (some 100 MB).
 #: Rows that are sent are batches x parts at most, and keys at most: a larger corpus wants larger ones, as
@@ -87,16 +86,14 @@ def key_bits(keys: int, spare: int) -> int:
     return min(64, max(24, math.ceil(math.log2(max(keys, 2))) + spare))
 
 
-def clean(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files that nothing needs any more: it waits for the references to go, on both sides."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 class Batches:
-    """A corpus in batches; ``drop()`` removes the table when the results are written."""
+    """A corpus in batches; ``drop()`` removes the table when the results are written.
 
-    def __init__(self, df: DataFrame, text: str = "text"):
+    With ``code``, a function from a batch's rows to what later passes need of them and its
+    schema, the table holds that in the place of the texts.
+    """
+
+    def __init__(self, df: DataFrame, text: str = "text", code: tuple[Callable[[pa.Table], pa.Table], str] | None = None):
         self.spark = df.sparkSession
         chars = self.setting("spark.corvane.batchChars", BATCH_CHARS)
         total = df.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]  # characters, or bytes of binary texts
@@ -107,12 +104,13 @@ class Batches:
         # equal rows are told apart by the partition they come from, which a task that runs again finds the same
         dealt = df.withColumn("b", F.pmod(F.xxhash64("doc_id", text, F.spark_partition_id()), F.lit(self.n)))
         self.path = f"{shared_dir(self.spark).rstrip('/')}/{self.name}"
-        dealt.repartition(buckets, "b").write.option("compression", "zstd").option("path", self.path).bucketBy(buckets, "b").saveAsTable(self.name)
+        dealt = dealt.repartition(buckets, "b")
+        if code:
+            function, schema = code
+            dealt = dealt.groupBy("b").applyInArrow(lambda table: function(table), schema)
+        with shuffles_end(self.spark):
+            dealt.write.option("compression", "zstd").option("path", self.path).bucketBy(buckets, "b").saveAsTable(self.name)
         self.table = self.spark.table(self.name)
-        self.clean()
-
-    def clean(self) -> None:
-        clean(self.spark)
 
     def setting(self, name: str, otherwise: int) -> int:
         return int(self.spark.conf.get(name, str(otherwise)))
@@ -141,7 +139,6 @@ class Batches:
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         delete(self.spark, self.path)
-        self.clean()
 
 
 def forward_rows(b: int, found: list[tuple[np.ndarray, list[np.ndarray], int, int, int]]) -> pa.Table:

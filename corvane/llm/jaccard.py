@@ -26,7 +26,8 @@ Columns are 64-bit hashes of lower-cased words, and set sizes and overlaps are c
 them; see ``words`` for the odds of a clash. Null texts and texts without words: size 0,
 linked with nothing. Null ids: never linked, null component. Rows that share an id but not
 their text are documents of their own; rows that share both share their fate. Ids may be of any
-type, and the smallest is the first in their order. Extra columns are ignored.
+type, and the smallest is the first in their order. Empty tables give none. Extra columns are
+ignored, or kept by ``one_of_each``.
 """
 
 from __future__ import annotations

@@ -8,11 +8,13 @@ where the weights depend on the bucket of the context: the longest context that
 the number of binary digits of how often. An estimate whose context was never seen has weight
 0, so the probabilities of all words sum to 1 after every context. Before a text stands a start
 of its own, which was seen once for each training text. The training texts are split into a
-kept and a deleted part; the weights of each bucket are found by expectation-maximisation so
-that estimates from the kept part explain the deleted part's tokens best. Scores use the counts
+kept and a deleted part; the weights of each bucket are found by expectation-maximisation (with
+steps that make it faster, see ``climb``) so that estimates from the kept part explain the deleted
+part's tokens best. Scores use the counts
 of both parts.
 
-Counts come from all texts, through ``exchange``: each batch sends its distinct n-grams of a
+Texts are read once: the batch table holds each batch's distinct words and the place of every
+token among them. Counts come from all texts, through ``exchange``: each batch sends its distinct n-grams of a
 length once and gets their totals back. Words and bigrams go first, then each longer length; an
 n-gram of which a part was never seen in training is not sent. Every deleted token is an event: its bucket and its estimates as they are, written to
 the shared folder, equal ones of a batch once. A round of EM is one pass over that table with sums
@@ -23,11 +25,13 @@ Buckets without events take the mean weights of their context's length, else tho
 events, over the estimates that they may use. Null and empty texts have the end token only. Rows
 with the same id are scored by themselves. With no training texts, every token has probability
 1 / (0 + 1). Rows whose fold is null are scored and not learned from. N-grams are 64-bit hashes
-(see ``words`` for the odds of a clash). Ids may be of any type. Extra columns are ignored.
+(see ``words`` for the odds of a clash). Ids may be of any type. Empty tables give none. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.batches import forget, long_ids, named_back, send_package, written
-from corvane.llm.exchange import FORWARD, Batches, forward_rows, pack_counts, read_totals, totals, unpack_counts
+from corvane.llm.exchange import FORWARD, Batches, forward_rows, pack_counts, pack_sorted, read_totals, totals, unpack_counts, unpack_sorted
 from corvane.llm.words import NOT_BLANK, STEP, U64, Words, mix
 
 ORDER = 3
@@ -71,33 +75,43 @@ class Sizes:
     words: int
 
 
+CODED = "b long, doc_id array<long>, fold array<int>, n_tokens array<long>, words binary, place binary"
+_CODED = pa.schema([("b", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("fold", pa.list_(pa.int32())), ("n_tokens", pa.list_(pa.int64())), ("words", pa.binary()), ("place", pa.binary())])
+
+
+def coded(table: pa.Table) -> pa.Table:
+    """A batch's texts as one row: its distinct words, and every token's place among them; later passes look at no text."""
+    words = Words(table["text"], NOT_BLANK)
+    n = np.diff(words.first)
+    ends = np.cumsum(n + 1) - 1
+    last = np.zeros(int((n + 1).sum()), bool)
+    last[ends] = True
+    tokens = np.full(len(last), END, dtype=U64)
+    tokens[~last] = words.hashes()
+    keys, place = np.unique(tokens, return_inverse=True)
+    rows = {"doc_id": table["doc_id"].to_pylist(), "fold": table["fold"].to_pylist(), "n_tokens": n + 1, "words": pack_sorted(keys), "place": pack_counts(place)}
+    return pa.table({"b": [table["b"][0].as_py()], **{name: [x] for name, x in rows.items()}}, schema=_CODED)
+
+
 class Events:
     """A batch's tokens in order, and for each length the places of their n-grams in the sorted distinct ones."""
 
     def __init__(self, table: pa.Table, order: int):
-        words = Words(table["text"], NOT_BLANK)
-        n = np.diff(words.first)
-        self.lengths = n + 1
-        self.start = words.first[:-1] + np.arange(len(n))
-        last = np.zeros(int(self.lengths.sum()), bool)
-        last[self.start + n] = True
-        tokens = np.full(len(last), END, dtype=U64)
-        tokens[~last] = words.hashes()
-        self.opens = np.zeros(len(tokens), bool)
-        self.opens[self.start] = True
-        self.keys, self.place = [], []
+        (row,) = table.to_pylist()
+        self.b, self.doc_id, self.folds, self.lengths = row["b"], row["doc_id"], row["fold"], np.array(row["n_tokens"])
+        self.start = np.cumsum(self.lengths) - self.lengths
+        self.keys, self.place = [unpack_sorted(row["words"])], [unpack_counts(row["place"])]
+        tokens = self.keys[0][self.place[0]]
         gram = tokens
-        for k in range(1, order + 1):
-            if k > 1:
-                before = np.concatenate([gram[:1], gram[:-1]])
-                before[self.opens] = U64(k)  # the text's start
-                gram = mix(before * U64(STEP) + tokens)
+        for k in range(2, order + 1):
+            before = np.concatenate([gram[:1], gram[:-1]])
+            before[self.start] = U64(k)  # the text's start
+            gram = mix(before * U64(STEP) + tokens)
             keys, place = np.unique(gram, return_inverse=True)
             self.keys.append(keys)
             self.place.append(place)
         self.end = int(np.searchsorted(self.keys[0], END))
-        folds = np.array([-1 if x is None else x for x in table["fold"].to_pylist()])
-        self.fold = np.repeat(folds, self.lengths)
+        self.fold = np.repeat([-1 if x is None else x for x in self.folds], self.lengths)
 
     def counts(self, k: int) -> list[np.ndarray]:
         """How often the batch has each n-gram of length k + 1, in the kept and in the deleted part."""
@@ -107,7 +121,7 @@ class Events:
         """The n-grams of length k + 1 that training texts may have, given the totals of length k; the others have none."""
         own = shorter[self.place[k - 1]]
         before = np.concatenate([own[:1], own[:-1]])
-        before[self.opens] = self.texts
+        before[self.start] = self.texts
         most = np.zeros(len(self.keys[k]), np.int64)
         most[self.place[k]] = np.minimum(own, before)
         return most > 0
@@ -170,8 +184,8 @@ def event_row(bucket: np.ndarray, ratios: list[np.ndarray]) -> pa.Table:
     return pa.table({"bucket": [bucket[at].astype(np.int32).tobytes()], "ratios": [np.concatenate([x[at] for x in ratios]).tobytes()], "n": [n.astype(np.int64).tobytes()]}, schema=_EVENTS)
 
 
-def expected(events: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """A round's sums under the weights ``w``: each bucket's expected shares of its components, its events, and the log-likelihood of all."""
+def expected(events: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A round's sums under the weights ``w`` by bucket: the expected shares of the components, the events, and their log-likelihood."""
     size, components = w.shape
 
     def one(batches):
@@ -191,11 +205,11 @@ def expected(events: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     out = np.zeros((size, components + 2))
     for r in sums.collect():  # a row a bucket, of which there is a fixed number
         out[r["bucket"]] = r[1:]
-    return out[:, :components], out[:, components], float(out[:, components + 1].sum())
+    return out[:, :components], out[:, components], out[:, components + 1]
 
 
-def learn_weights(events: DataFrame, order: int = ORDER, rounds: int = ROUNDS, tokens: int = 1) -> np.ndarray:
-    """Weights of each bucket by EM over rows of ``event_row``; the uniform estimate's is the last."""
+def allowed(order: int, tokens: int) -> np.ndarray:
+    """Which components a bucket may use: those whose context it has seen; the unigram one if there are tokens, the uniform one always."""
     size = max(1, order - 1) * BUCKETS
     level = np.arange(size) // BUCKETS  # of a bucket: its context has this many words and one
     may = np.ones((size, order + 1), bool)
@@ -204,27 +218,66 @@ def learn_weights(events: DataFrame, order: int = ORDER, rounds: int = ROUNDS, t
     if order > 1:
         may[0, : order - 1] = False  # no context was seen
     may[:, order - 1] = tokens > 0
-    even = may / may.sum(axis=1, keepdims=True)
-    w, shares, n, before = even, np.zeros((size, order + 1)), np.zeros(size), -np.inf
-    for _ in range(rounds):
-        shares, n, log = expected(events, w)
+    return may
+
+
+def proper(w: np.ndarray, may: np.ndarray) -> np.ndarray:
+    """Weights of at least LEAST_WEIGHT for what may be used, that sum to 1 in each bucket."""
+    w = np.where(may, np.maximum(w, LEAST_WEIGHT), 0.0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def climb(round_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], may: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, shares, events) of buckets by EM: rounds in twos, each two followed by a step along the way that they went.
+
+    From w0, with w1 and w2 after one round and two, the step goes to w0 + 2a(w1 - w0) +
+    a^2(w2 - 2 w1 + w0) with a = |w1 - w0| / |w2 - 2 w1 + w0|, 1 at least (SQUAREM). A bucket in which
+    that is less likely than w1 goes on from w2 instead, so the likelihood never falls.
+    """
+    w = may / may.sum(axis=1, keepdims=True)
+    shares, n, last, safe, floor = np.zeros(w.shape), np.zeros(len(w)), -np.inf, None, None
+    step = lambda w: proper(np.where((n > 0)[:, None], shares / np.maximum(n, 1)[:, None], w), may)
+    while rounds > 0:
+        shares, n, log = round_of(w)
+        rounds -= 1
         if not n.any():
             break
-        w = np.where((n > 0)[:, None], shares / np.maximum(n, 1)[:, None], even)
-        w = np.where(may, np.maximum(w, LEAST_WEIGHT), 0.0)
-        w /= w.sum(axis=1, keepdims=True)
-        if log / n.sum() - before < LEAST_GAIN:
-            break
-        before = log / n.sum()
+        worse = safe is not None and log < floor - 1e-12 * np.abs(floor)
+        if np.any(worse):
+            w, safe = np.where(worse[:, None], safe, w), None
+            continue
+        w1 = step(w)
+        if log.sum() / n.sum() - last < LEAST_GAIN or not rounds:
+            return w1, shares, n
+        shares, n, floor = round_of(w1)
+        rounds -= 1
+        w2 = step(w1)
+        if (floor.sum() - log.sum()) / n.sum() < LEAST_GAIN or not rounds:
+            return w2, shares, n
+        last, safe = floor.sum() / n.sum(), w2
+        r = w1 - w
+        v = w2 - w1 - r
+        size, bend = np.linalg.norm(r, axis=1), np.linalg.norm(v, axis=1)
+        a = np.maximum(1.0, np.where(bend > 0, size / np.where(bend > 0, bend, 1.0), 1.0))[:, None]
+        w = proper(w + 2 * a * r + a * a * v, may)
+    return w, shares, n
+
+
+def learn_weights(events: DataFrame, order: int = ORDER, rounds: int = ROUNDS, tokens: int = 1) -> np.ndarray:
+    """Weights of each bucket by EM over rows of ``event_row``; the uniform estimate's is the last."""
+    may = allowed(order, tokens)
+    w, shares, n = climb(lambda w: expected(events, w), may, rounds)
+    return pooled(w, shares, n, may)
+
+
+def pooled(w: np.ndarray, shares: np.ndarray, n: np.ndarray, may: np.ndarray) -> np.ndarray:
+    """The weights, with those of buckets without events from the mean of their context's length, else of all, over what they may use."""
+    level = np.arange(len(w)) // BUCKETS
+    w = w.copy()
     for b in np.flatnonzero(n == 0):
-        for pool in (shares[level == level[b]], shares):
-            mean = np.where(may[b], pool.sum(axis=0), 0.0)
-            if mean.sum() > 0:
-                mean = np.where(may[b], np.maximum(mean / mean.sum(), LEAST_WEIGHT), 0.0)
-                w[b] = mean / mean.sum()
-                break
-        else:
-            w[b] = even[b]
+        means = [np.where(may[b], pool.sum(axis=0), 0.0) for pool in (shares[level == level[b]], shares)]
+        mean = next((m / m.sum() for m in means if m.sum() > 0), may[b] / may[b].sum())
+        w[b] = proper(mean[None], may[b][None])[0] if any(m.sum() > 0 for m in means) else mean
     return w
 
 
@@ -235,19 +288,18 @@ def score_corpus(docs: DataFrame, fold: str = "fold", text: str = "text", doc_id
     """
     send_package(docs.sparkSession)
     slim, names = long_ids(docs.select(F.col(doc_id).alias("doc_id"), F.col(fold).cast("int").alias("fold"), F.col(text).alias("text")), "doc_id")
-    corpus = Batches(slim)
+    corpus = Batches(slim, code=(coded, CODED))
     parts = corpus.parts(corpus.chars / 8)
     first = min(order, 2)
 
     def send(table: pa.Table) -> pa.Table:
         e = Events(table, first)
-        return forward_rows(table["b"][0].as_py(), [(e.keys[k], e.counts(k), 64, parts, k * parts) for k in range(first)])
+        return forward_rows(e.b, [(e.keys[k], e.counts(k), 64, parts, k * parts) for k in range(first)])
 
     replies = written(totals(corpus.each(send, FORWARD), first * parts), "counts")
     sums = replies.where(f"b = -1 AND part < {parts}").select(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0)).alias(f"s{k}") for k in range(6)]).first()
     sizes = Sizes(kept_tokens=sums["s1"], kept_words=sums["s2"], tokens=sums["s1"] + sums["s3"], words=sums["s5"])
     tables, answered = [replies], replies.where("b >= 0").drop("stats")
-    corpus.clean()
     for k in range(first, order):
 
         def send_longer(table: pa.Table, reply: pa.Table, k: int = k) -> pa.Table:
@@ -255,12 +307,11 @@ def score_corpus(docs: DataFrame, fold: str = "fold", text: str = "text", doc_id
                 return forward_rows(0, [])
             e = Events(table, k + 1)
             sent = e.possible(k, sum(e.totals(reply, k, parts)[k - 1]))
-            return forward_rows(table["b"][0].as_py(), [(e.keys[k][sent], [x[sent] for x in e.counts(k)], 64, parts, 0)])
+            return forward_rows(e.b, [(e.keys[k][sent], [x[sent] for x in e.counts(k)], 64, parts, 0)])
 
         tables.append(written(totals(corpus.replied(answered, send_longer, FORWARD), parts, k * parts).where("b >= 0").drop("stats"), "counts"))
         answered = answered.unionByName(tables[-1])
-        corpus.clean()
-
+    
     def look_up(table: pa.Table, reply: pa.Table) -> pa.Table:
         """The batch's events, and of every token the totals of its n-grams, from which scores follow without the text."""
         if not table.num_rows:
@@ -273,7 +324,7 @@ def score_corpus(docs: DataFrame, fold: str = "fold", text: str = "text", doc_id
         ratios = [p * (sizes.kept_words + 1) for p in estimates(own, contexts, sizes.kept_tokens)]  # over the uniform one
         row = event_row(bucket_of(contexts, len(own[0])), ratios)
         totals_of = [(kept + deleted)[place] for (kept, deleted), place in zip(both, e.place, strict=True)]
-        rest = {"doc_id": [table["doc_id"].to_pylist()], "fold": [table["fold"].to_pylist()], "n_tokens": [e.lengths], "texts": [e.texts], "totals": [[pack_counts(x) for x in totals_of]]}
+        rest = {"doc_id": [e.doc_id], "fold": [e.folds], "n_tokens": [e.lengths], "texts": [e.texts], "totals": [[pack_counts(x) for x in totals_of]]}
         return pa.table({**{name: row[name] for name in row.column_names}, **rest}, schema=_LOOKED_UP)
 
     found = written(corpus.replied(answered, look_up, LOOKED_UP), "tokens")

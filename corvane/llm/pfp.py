@@ -28,8 +28,8 @@ some 10^-11. Grams are only counted, by shorter hashes: a clash there adds work
 
 Nulls are empty texts; texts shorter than LENGTH keep all bytes. Null ids come first. Rows
 that share a doc_id are versions of one document: of strings that start at the same place,
-an arbitrary one counts as the earlier. Ids may be of any type that has an order. Extra columns
-are ignored.
+an arbitrary one counts as the earlier, and each has its row. Ids may be of any type that has an
+order. Empty tables give none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -262,7 +262,6 @@ def repeated_bytes(
         found = part_by_part(corpus.replied(answers, send, FIRSTS), parts, partial(order_part, offset=k * parts), ANSWERS)
         tables.append(written(found, name))
         answers = answers.unionByName(tables[-1])
-        corpus.clean()
     removed = written(named_back(result(corpus.replied(answers, remove, RESULT)), names, "doc_id"), "kept")
     corpus.drop()
     forget(*tables)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.batches import text_or_empty, written
+from corvane.llm.batches import shuffles_end, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -120,7 +120,9 @@ def update(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text
     spark = versions.sparkSession
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(there)
-    scan_unseen(versions, read_ledger(spark, path) if exists else None, rules, text).write.mode("append").parquet(path)
+    found = scan_unseen(versions, read_ledger(spark, path) if exists else None, rules, text)
+    with shuffles_end(spark):
+        found.write.mode("append").parquet(path)
     return read_ledger(spark, path)
 
 

@@ -114,27 +114,30 @@ def plain_model(rows, folds, order, rounds=lm.ROUNDS):
             for at in range(order - 1, len(p)):
                 b, e, u = looked_up(p, at, *kept)
                 events.setdefault(b, []).append([x / u for x in e] + [1.0])
-    may = {b: [order - k - 2 <= b // lm.BUCKETS and b > 0 for k in range(order - 1)] + [bool(kept[0][0]), True] for b in range(levels * lm.BUCKETS)}
-    even = {b: [x / sum(m) for x in m] for b, m in may.items()}
-    w, shares, last = dict(even), {}, -math.inf
-    for _ in range(rounds):
-        log = 0.0
+    may = lm.allowed(order, int(bool(kept[0][0])))
+    assert may.tolist() == [[order - k - 2 <= b // lm.BUCKETS and b > 0 for k in range(order - 1)] + [bool(kept[0][0]), True] for b in range(levels * lm.BUCKETS)]
+
+    def round_of(w):
+        shares, n, log = np.zeros(w.shape), np.zeros(len(w)), np.zeros(len(w))
         for b, rows_ in events.items():
-            shares[b] = [0.0] * (order + 1)
             for e in rows_:
                 total = sum(x * y for x, y in zip(w[b], e))
-                log += math.log(total)
+                log[b] += math.log(total)
+                n[b] += 1
                 for k in range(order + 1):
                     shares[b][k] += w[b][k] * e[k] / total
-        for b, rows_ in events.items():
-            own = [max(s / len(rows_), lm.LEAST_WEIGHT) if m else 0.0 for s, m in zip(shares[b], may[b])]
-            w[b] = [x / sum(own) for x in own]
-        n = sum(map(len, events.values()))
-        if not n or log / n - last < lm.LEAST_GAIN:
-            break
-        last = log / n
-    for b in set(even) - set(events):
-        for pool in ([s for x, s in shares.items() if x // lm.BUCKETS == b // lm.BUCKETS], list(shares.values())):
+        return shares, n, log
+
+    found, shares, n = lm.climb(round_of, may, rounds)
+    if events:  # as likely as by many rounds without steps
+        slow = may / may.sum(axis=1, keepdims=True)
+        for _ in range(150):
+            s, m, _ = round_of(slow)
+            slow = lm.proper(np.where((m > 0)[:, None], s / np.maximum(m, 1)[:, None], slow), may)
+        assert round_of(found)[2].sum() > round_of(slow)[2].sum() - 0.02
+    w = {b: own.tolist() for b, own in enumerate(found)}
+    for b in set(range(len(found))) - set(events):
+        for pool in ([s for x, s in enumerate(shares) if x // lm.BUCKETS == b // lm.BUCKETS], list(shares)):
             mean = [sum(s[k] for s in pool) if may[b][k] else 0.0 for k in range(order + 1)]
             if sum(mean) > 0:
                 mean = [max(x / sum(mean), lm.LEAST_WEIGHT) if m else 0.0 for x, m in zip(mean, may[b])]
@@ -311,3 +314,31 @@ def test_exchange_totals_match_plain_counts_with_several_batches_a_bucket(spark)
         spark.conf.unset("spark.corvane.batchChars")
         spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
     assert got == set(Counter(w for t in texts for w in blank_words(t)).items())
+
+
+def test_pieces_bound_what_is_worked_on_at_once():
+    import pyarrow as pa
+
+    from corvane.llm.batches import in_pieces
+
+    texts = ["a" * 10, None, "b" * 35, "", "c" * 200, "d", "é" * 20, None]
+    seen = []
+
+    def lengths(part: pa.Array) -> pa.Array:
+        seen.append(sum(len((x or "").encode()) for x in part.to_pylist()))
+        return pa.array([len(x or "") for x in part.to_pylist()], pa.int64())
+
+    for kind in (pa.string(), pa.large_string()):
+        seen.clear()
+        assert in_pieces(pa.array(texts, kind), lengths, 50).to_pylist() == [len(x or "") for x in texts]
+        assert len(seen) > 1 and all(n <= 50 or n == 200 for n in seen)
+    assert in_pieces(pa.array([], pa.string()), lengths).to_pylist() == [] and in_pieces(pa.array([None], pa.string()), lengths).to_pylist() == [0]
+
+
+def test_the_callers_session_keeps_its_settings(spark):
+    before = {k: v for k, v in spark.conf.getAll.items()}
+    docs = frame(spark, [(1, "a b c"), (2, None)])
+    bpe.encode(docs, PATH, PATTERN).collect()
+    langid.identify(docs, {}).collect()
+    lm.score_corpus(docs.withColumn("fold", F.lit(0)))[0].collect()
+    assert {k: v for k, v in spark.conf.getAll.items()} == before
