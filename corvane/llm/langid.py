@@ -33,6 +33,8 @@ from corvane.llm.batches import release, send_package
 #: The sample: so many labelled rows of a language at most, and so many bytes of them.
 ROWS_A_LANGUAGE = 96
 DICTIONARY_BYTES = 64 << 10
+#: The sample of a language is chosen from the samples of so many parts of its rows.
+SLOTS = 64
 #: Rows of such lengths are taken first.
 FIT_CHARS = (200, 8000)
 LEVEL = 6
@@ -56,8 +58,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """
     usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     slim = usable.select(F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h"), (~F.length(text).between(*FIT_CHARS)).cast("int").alias("odd")).distinct()
-    order = Window.partitionBy("lang").orderBy("odd", "h")
-    chosen = slim.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).collect()
+    for groups in (["lang", "slot"], ["lang"]):  # first in slots, so that no task gets rows from all others, whatever language most rows have
+        order = Window.partitionBy(*groups).orderBy("odd", "h")
+        slim = slim.withColumn("slot", F.pmod("h", F.lit(SLOTS))).withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).drop("n")
+    chosen = slim.collect()
     odd = {(r["lang"], r["h"]): r["odd"] for r in chosen}
     found: dict[str, list] = {}
     if odd:
