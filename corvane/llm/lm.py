@@ -50,6 +50,8 @@ BUCKETS = 40
 #: Rounds of EM at most; it ends when a round makes a token's mean log-likelihood better by less than LEAST_GAIN.
 ROUNDS = 40
 LEAST_GAIN = 1e-7
+#: Rows of events, one for each batch, that a task of a round reads.
+BATCHES_A_TASK = 16
 #: No component's weight is less, so that every token has a probability.
 LEAST_WEIGHT = 1e-6
 END = mix(np.array([0x456E64], dtype=U64))[0]
@@ -330,7 +332,8 @@ def score_corpus(docs: DataFrame, fold: str = "fold", text: str = "text", doc_id
     found = written(corpus.replied(answered, look_up, LOOKED_UP), "tokens")
     corpus.drop()
     forget(*tables)
-    weights = learn_weights(found.select("bucket", "ratios", "n"), order, rounds, sizes.kept_tokens)
+    events = found.select("bucket", "ratios", "n").coalesce(max(2 * found.sparkSession.sparkContext.defaultParallelism, corpus.n // BATCHES_A_TASK + 1))  # each a few MB
+    weights = learn_weights(events, order, rounds, sizes.kept_tokens)
 
     def score(batches):
         for batch in batches:
