@@ -165,7 +165,7 @@ def small_table(spark: SparkSession, names: tuple[str, ...], rows: list[tuple])
 
 def keyed(files: DataFrame, text: str) -> DataFrame:
     """``files`` with a key of path and content; rows that repeat both share it."""
-    return files.withColumn("_key", F.sha2(F.concat_ws("\x00", F.coalesce("path", F.lit("")), text_or_empty(text)), 256))
+    return files.withColumn("_key", F.unhex(F.substring(F.sha2(F.concat_ws("\x00", F.coalesce("path", F.lit("")), text_or_empty(text)), 256), 1, 32)))  # 16 bytes
 
 
 def units(files: DataFrame, must: list[str], text: str) -> DataFrame:
