@@ -41,20 +41,28 @@ def send_package(spark: SparkSession) -> None:
         context.corvane_sent = True
 
 
-def in_pieces(texts: pa.Array, function: Callable[[pa.Array], pa.Array], size: int = BYTES_AT_ONCE) -> pa.Array:
-    """``function`` on runs of rows whose texts have ``size`` bytes together, one row at least, and the results as one array."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
+def runs_of_rows(texts: pa.Array, size: int = BYTES_AT_ONCE) -> list[tuple[int, int]]:
+    """(from, to) of runs of rows whose texts have ``size`` bytes together, one row at least."""
     n = len(texts)
-    if texts.nbytes <= size or n <= 1:
-        return function(texts)
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     found, at = [], 0
     while at < n:
         before = int(ends[at - 1]) if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
-        found.append(function(texts.slice(at, stop - at)))
+        found.append((at, stop))
         at = stop
+    return found
+
+
+def in_pieces(texts: pa.Array, function: Callable[[pa.Array], pa.Array], size: int = BYTES_AT_ONCE) -> pa.Array:
+    """``function`` on runs of rows whose texts have ``size`` bytes together, one row at least, and the results as one array."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if texts.nbytes <= size or len(texts) <= 1:
+        return function(texts)
+    found = []
+    for a, b in runs_of_rows(texts, size):
+        found.append(function(texts.slice(a, b - a)))
         release()
     return pa.concat_arrays(found)
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontam, exact_dedup, jaccard, langid, licenses, lines, lm, pfp, secrets
+from corvane.llm import bpe, decontam, divergence, exact_dedup, jaccard, langid, licenses, lines, lm, minhash, pfp, secrets, vectors
 from corvane.llm.batches import shared_dir
 
 
@@ -103,6 +103,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vectors.encode(table(spark, sf_dir, "embeddings"))
+    return vectors.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(vectors.digest(codebooks)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_secret_scan": op2_secret_scan,
@@ -114,6 +127,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_minhash_dedup": op12_minhash_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 def quoted(text: str) -> str:
@@ -122,7 +138,59 @@ def quoted(text: str) -> str:
 
 NOTICES = ", ".join(f"({i}, '{name}', '{kind}', {quoted(notice)})" for i, (name, kind, notice) in enumerate(licenses.TEMPLATES))
 
+def lloyd_sql(rounds: int = vectors.ROUNDS) -> str:
+    """Codebooks by plain Lloyd rounds: every part meets every entry."""
+    nearest = "SELECT vec_id, part, any_value(x) AS x, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::HUGEINT * 256 + entry) AS m FROM p JOIN b{0} USING (part) GROUP BY vec_id, part"
+    floored = "((s - (s % n + n) % n) // n)::DOUBLE"
+    steps = ""
+    for r in range(rounds):
+        steps += f"""
+             a{r} AS MATERIALIZED ({nearest.format(r)}),
+             b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(u.c, b{r}.c) AS c FROM b{r} LEFT JOIN (
+                 SELECT part, entry, list({floored} ORDER BY pos) AS c FROM (
+                     SELECT part, (m % 256)::BIGINT AS entry, pos, sum(x[pos]::HUGEINT) AS s, count(*) AS n FROM (SELECT part, m, x, unnest(range(1, len(x) + 1)) AS pos FROM a{r}) GROUP BY ALL)
+                 GROUP BY part, entry) u USING (part, entry)),"""
+    return f"""
+        WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             p AS MATERIALIZED (SELECT vec_id, part, e[part * len(e) // 4 + 1 : (part + 1) * len(e) // 4] AS x FROM (SELECT vec_id, e, unnest(range(4)) AS part FROM v)),
+             b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256)),{steps}
+             f AS ({nearest.format(rounds)}),
+             o AS (SELECT vec_id, string_agg(printf('%02x', (m % 256)::BIGINT), '' ORDER BY part) AS code, sum(m // 256)::BIGINT AS error FROM f GROUP BY vec_id),
+             h AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(c) AS y, generate_subscripts(c, 1) AS pos FROM b{rounds}))
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM o JOIN v USING (vec_id), h"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+             t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+             k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+             c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+             g AS (SELECT DISTINCT lang, source FROM d),
+             dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+             p AS MATERIALIZED (SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER w + count(*) OVER w))::HUGEINT AS p FROM dense WINDOW w AS (PARTITION BY lang, source)),
+             l AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER w + count(*) OVER w))::HUGEINT AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) WINDOW w AS (PARTITION BY lang)),
+             f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+             pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+             term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+        WHERE part = 'pair' OR rank <= 200""",
+    "op13_vector_codes": lloyd_sql(),
+    "op12_minhash_dedup": r"""
+        WITH RECURSIVE w AS (
+                 SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(3, len(w)) - 1], ' ') AS shingle
+                   FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS overlap FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+             e AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * overlap >= 85 * (x.n + y.n - overlap)),
+             r AS (SELECT a AS doc_id, a AS seen FROM (SELECT DISTINCT a FROM e) UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.seen = e.a)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id, w.doc_id = coalesce(c.component_id, w.doc_id) AS kept
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)""",
     "op9_license_scan": f"""
         WITH d AS (SELECT doc_id, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'und') || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/part' || doc_id // 1000 ELSE '/part' || doc_id // 1000 || '/box' || doc_id // 20 END AS dir,
                           coalesce(text, '') AS text FROM documents),

@@ -25,6 +25,8 @@ LOWER = _bytes.copy()
 LOWER[65:91] += 32
 #: Everything but \x20 and \x09-\x0D.
 NOT_BLANK = ~((_bytes == 0x20) | ((_bytes >= 0x09) & (_bytes <= 0x0D)))
+#: Small letters and all that isn't ASCII.
+LETTERS = ((_bytes >= 0x61) & (_bytes <= 0x7A)) | (_bytes >= 0x80)
 #: Digits, small letters and all that isn't ASCII.
 ALNUM = ((_bytes >= 0x30) & (_bytes <= 0x39)) | ((_bytes >= 0x61) & (_bytes <= 0x7A)) | (_bytes >= 0x80)
 
