@@ -33,6 +33,13 @@ def put_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> str:
     return folder
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new shared folder and read again: nothing is lost with an executor, and Spark knows its size."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once for several uses: a checkpoint in the session's shared folder, which Spark's cleaner can delete, or else kept by the executors."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from corvane.functions.html import ADVICE_ARTICLE, Gate, article_text
 from corvane.functions.text import weak_key
+from corvane.sources.lines import numbered_lines, tree_fingerprints
 
 CATALOG = T.StructType(
     [
@@ -55,12 +56,6 @@ def load_documents(spark: SparkSession, folder: str, gate: Gate = ADVICE_ARTICLE
     ).orderBy("ordinal")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1) and value of a text file, whatever its splits."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1)).alias("at", "value")).select((F.col("at") + 1).alias("line"), "value")
-
-
 OBSERVATION = "struct<category:string,signals:array<struct<signal:string,evidence:string>>,issues:array<string>>"
 EXAMPLE = (
     "id string, scenario_group string, language string, provenance string, source struct<dataset:string,record_number:int,original_label:string,raw_text_sha256:string,sanitization_version:int>, "
@@ -72,10 +67,7 @@ EXAMPLE_KEYS = tuple(part.split(" ")[0] for part in (
 
 def load_examples(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
     """split, line, the example's columns and problem (null, "not json", "unknown key") of JSON lines files."""
-    found = None
-    for split in splits:
-        lines = read_lines(spark, f"{folder}/{split}.jsonl").select(F.lit(split).alias("split"), "line", "value")
-        found = lines if found is None else found.unionByName(lines)
+    found = numbered_lines(spark, {split: f"{folder}/{split}.jsonl" for split in splits}).withColumnRenamed("name", "split")
     parsed = found.withColumn("e", F.from_json("value", EXAMPLE))
     keys = F.json_object_keys("value")
     problem = F.when(F.col("e").isNull() | keys.isNull(), "not json").when(F.size(F.array_except(keys, F.array(*map(F.lit, EXAMPLE_KEYS)))) > 0, "unknown key")
@@ -103,6 +95,12 @@ def split_fingerprints(spark: SparkSession, folder: str, splits: tuple[str, ...]
     return files.select(F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("split"), F.sha2("content", 256).alias("sha256"))
 
 
+def split_trees(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """split and the fingerprint of each split's lines as a tree of digests: for files that are too large for one row."""
+    trees = tree_fingerprints(numbered_lines(spark, {split: f"{folder}/{split}.jsonl" for split in splits}))
+    return trees.select(F.col("name").alias("split"), F.col("fingerprint").alias("sha256"))
+
+
 def fingerprint_mismatches(observed: DataFrame, manifest: DataFrame) -> DataFrame:
     """Splits whose (split, sha256) differ or that one side lacks."""
     a, b = observed.withColumnRenamed("sha256", "observed"), manifest.withColumnRenamed("sha256", "recorded")
