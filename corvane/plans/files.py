@@ -16,7 +16,7 @@ from corvane.functions.html import ADVICE_ARTICLE
 from corvane.operators import evaluation, explain, metrics, policy, quality
 from corvane.plans.knowledge import DOCUMENTS, knowledge
 from corvane.plans.messages import expected_sql, messages
-from corvane.plans.registry import SYSTEM, documents, guided_messages, json_sql, labelled_cases, query, text_in_sql
+from corvane.plans.registry import CASES_SQL, SPLIT_SQL, SUMMARY_SQL, SYSTEM, documents, examples, guided_messages, json_sql, labelled_cases, query, text_in_sql
 from corvane.session import load, put_files, shared_folder
 from corvane.sources import catalog, sinks
 from corvane.streaming import guard
@@ -183,7 +183,7 @@ def exported_chats(spark, sf_dir):
     answers = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     split = F.element_at(F.array(*map(F.lit, SPLITS)), (F.col("conv_id") % 3 + 1).cast("int"))
     folder = shared_folder(spark, "export")
-    sinks.guard_paths(sf_dir, folder)
+    sinks.guard_paths(sf_dir, folder, report=f"{folder}/report.json")
     sinks.export_chats(users.join(answers, ["conv_id", "turn"]).select(split.alias("split"), json_text.chat(SYSTEM, F.col("asked"), F.col("answer")).alias("messages")), folder)
     read = lambda name: spark.read.text(f"{folder}/{name}.jsonl").select(F.lit(name).alias("split"), F.col("value").alias("json"))
     return read("train").unionByName(read("valid"))
@@ -208,13 +208,25 @@ def guarded_paths(spark, sf_dir):
     UNION ALL SELECT 'cases', count(*), count(*) FILTER (n_chars <= 4000), NULL FROM j""")
 def written_reports(spark, sf_dir):
     """A report is written although its checks failed, and says so."""
-    cases, folder = labelled_cases(spark, sf_dir), shared_folder(spark, "report")
-    sinks.write_report(metrics.summarise(cases), cases, folder, passed=False)
+    folder = shared_folder(spark, "report")
+    sinks.write_report(labelled_cases(spark, sf_dir), folder, passed=False)
     told = spark.read.json(f"{folder}/metrics").select(F.lit("metrics").alias("part"), F.col("examples").alias("n"), "valid_outputs", "passed")
     rows = spark.read.json(f"{folder}/cases").agg(F.lit("cases").alias("part"), F.count("*").alias("n"), F.count_if(F.size("pred_issues") == 0).alias("valid_outputs"), F.lit(None).cast("boolean").alias("passed"))
     return told.unionByName(rows)
 
 
+@query("observed_report", f"""
+    WITH {CASES_SQL}, r AS (SELECT {SUMMARY_SQL}, {", ".join(f"count(*) FILTER (gold_category = '{x}') AS n_{x}" for x in ("en", "de"))}, count(*) FILTER (gold_category NOT IN ('en', 'de')) AS n_others FROM m)
+    SELECT *, category_accuracy > 0.5 AS passed FROM r""")
+def observed_report(spark, sf_dir):
+    """The measures that a report observed while it wrote its cases, from its file."""
+    folder = shared_folder(spark, "report")
+    sinks.write_report(labelled_cases(spark, sf_dir), folder, lambda told: told["category_accuracy"] > 0.5, {"gold_category": ("en", "de")})
+    told = spark.read.json(f"{folder}/metrics")
+    names = {"gold_category=en": "n_en", "gold_category=de": "n_de", "gold_category=*": "n_others"}
+    return told.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in told.columns])
+
+
 @query("summary_json", f"""SELECT '{{"input_id":' || o_orderkey || ',"level":"' || {expected_sql("level")} || '"}}' AS json FROM orders""")
 def summary_json(spark, sf_dir):
     """Results as JSON with the columns that may be shown."""

@@ -11,7 +11,7 @@ from corvane.functions.html import Gate, article_text
 from corvane.functions.relevance import relevance_score
 from corvane.functions.segment import passages, sentence_units
 from corvane.functions.text import dedup_key, exact_comparison_tokens, paragraphs_normalised, passage_terms, redacted, reject_reason, search_terms, trusted_urls, without_fence
-from corvane.operators import evaluation, explain, metrics, policy, quality, retrieval, training
+from corvane.operators import evaluation, explain, index, metrics, policy, quality, retrieval, training
 from corvane.plans.knowledge import DOCUMENTS, knowledge
 from corvane.plans.messages import TEMPLATES, case, evidence_sql, expected_sql, messages, text_sql
 from corvane.session import load, settled, spread
@@ -137,6 +137,23 @@ def bm25_search(spark, sf_dir):
     return search_lines(spark, sf_dir, asked(spark, sf_dir, True))
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> index.Index:
+    """An index that was built when every text was redacted, and brought up to date with the texts as they are."""
+    corpus = documents(spark, sf_dir)
+    before = corpus.withColumn("text", redacted(F.col("text")))
+    return index.build(before, lambda text: F.split(text, "\n", -1)).update(corpus)
+
+
+@query("indexed_keyword_search", f"WITH {selection_sql('text', 3)} SELECT query_id, doc_id, score, rank FROM found")
+def indexed_keyword_search(spark, sf_dir):
+    return indexed(spark, sf_dir).search_documents(asked(spark, sf_dir), 3)
+
+
+@query("indexed_bm25_search", ORACLES["bm25_search"])
+def indexed_bm25_search(spark, sf_dir):
+    return indexed(spark, sf_dir).search_passages(asked(spark, sf_dir, expansion=True), any_platform_for=None)
+
+
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as queries of a category; every other one names Apple."""
     category = F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")]), (F.col("item_id") % 4 + 1).cast("int"))
@@ -169,7 +186,7 @@ def category_search(spark, sf_dir):
 def platform_gate(spark, sf_dir):
     """Queries in English that don't name Apple see no document of one platform; every document is one passage, and all are listed."""
     docs = documents(spark, sf_dir).withColumn("platform", F.when(F.col("doc_id") % 3 == 0, "ios").otherwise("any"))
-    seen = retrieval.gated_documents(gated(spark, sf_dir), docs, 10, "en")
+    seen = retrieval.gated_documents(gated(spark, sf_dir), docs.select("doc_id", "platform"), lambda wide, most: retrieval.search_documents(wide, docs, most), 10, "en")
     return seen.groupBy("query_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_document"), F.max("doc_id").alias("last_document"))
 
 

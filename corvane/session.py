@@ -23,11 +23,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def files_of(spark: SparkSession, path: str):
+    """(file system, path) of the JVM, for what Spark's readers and writers don't do: look, rename, delete."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), there
+
+
 def put_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> str:
     """Write small files below a folder of any store."""
     for name, content in files.items():
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        out = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path)
+        store, path = files_of(spark, f"{folder}/{name}")
+        out = store.create(path)
         out.write(bytearray(content))
         out.close()
     return folder
