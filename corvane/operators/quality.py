@@ -6,16 +6,12 @@ loader that stops at the first would stop.
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
 
 from corvane.functions.cues import CONNECTIVITY, SIGNALS
 from corvane.functions.text import dedup_key, exact_comparison_tokens, reject_reason, weak_key, words
+from corvane.operators.matching import block_candidates, block_similarity
 from corvane.session import settled
 
 # What labels may say.
@@ -133,16 +129,6 @@ def prompt_leakage(rows: DataFrame, prompts: DataFrame, row_id: str, text: str =
     return met.select("id").distinct()
 
 
-@arrow_udf(T.DoubleType())
-def sequence_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
-    """The larger of both directions' matching-block ratio of two token lists."""
-
-    def one(a, b):
-        return 1.0 if a == b else max(SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in ((a, b), (b, a)))
-
-    return pa.array([one(a, b) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
-
-
 def token_rows(rows: DataFrame) -> DataFrame:
     """id, n, and each token as (token, how many times before): equal bags have equal sets of them."""
     each = rows.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
@@ -158,15 +144,15 @@ def bag_candidates(rows: DataFrame, least: float) -> DataFrame:
     they share, what is left of either bag bounds the overlap. Then bags are compared.
     """
     bags = settled(token_rows(rows))  # counted, ordered and compared
-    frequency = bags.groupBy("token", "k").agg(F.count("*").alias("df"))
-    ordered = bags.join(frequency, ["token", "k"]).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "token", "k")))
+    frequency = bags.groupBy("token", "k").agg(F.count("*").alias("df")).select(F.struct("token", "k").alias("same"), "df")
+    ordered = bags.join(frequency.hint("merge"), F.struct("token", "k") == F.col("same")).drop("same").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "token", "k")))
     prefix = ordered.where((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * least / (2 - least) - 1e-9) + 1))
     splits = rows.select("id", "split")
     prefix = prefix.select("id", "n", "token", "k", (F.col("n") - F.col("place") + 1).alias("left")).join(splits, "id")
     a = prefix.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("split").alias("s_a"), "token", "k")
     b = prefix.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), F.col("split").alias("s_b"), "token", "k")
     fits = (F.col("s_a") != F.col("s_b")) & (F.col("a") < F.col("b")) & (2 * F.least("left_a", "left_b") >= least * (F.col("n_a") + F.col("n_b")))
-    pairs = a.join(b, ["token", "k"]).where(fits).select("a", "b", "n_a", "n_b").distinct()
+    pairs = a.join(b.hint("merge"), ["token", "k"]).where(fits).select("a", "b", "n_a", "n_b").distinct()
     sets = bags.groupBy("id").agg(F.collect_list(F.xxhash64("token", "k")).alias("bag"))  # as many as a text has tokens
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
     overlap = F.size(F.array_intersect("bag_a", "bag_b")).cast("long")
@@ -193,11 +179,11 @@ def near_duplicates(rows: DataFrame, text: str = "text") -> DataFrame:
     members = same_tokens(rows, text)
     reps = settled(members.where(F.col("id") == F.col("rep")))
     lists = reps.select("id", "tokens")
-    found = bag_candidates(reps.select("id", "split", "tokens"), SIMILAR_SOURCES).select("a", "b")
+    found = block_candidates(reps.select("id", "split", "sourced", "tokens"), (round(100 * SIMILAR_SOURCES), round(100 * SIMILAR)))
     found = found.join(lists.select(F.col("id").alias("a"), F.col("tokens").alias("t_a")), "a").join(lists.select(F.col("id").alias("b"), F.col("tokens").alias("t_b")), "b")
     empty = reps.where(F.size("tokens") == 0).select("id", "split")  # a class for each split and ``sourced``
     blank = empty.select(F.col("id").alias("a"), F.col("split").alias("x"), F.lit(0).alias("k")).join(empty.select(F.col("id").alias("b"), F.col("split").alias("y"), F.lit(0).alias("k")), "k").where("x <> y AND a < b")
-    scored = found.select("a", "b", sequence_ratio(F.col("t_a"), F.col("t_b")).alias("score")).unionByName(blank.select("a", "b", F.lit(1.0).alias("score")))
+    scored = found.select("a", "b", block_similarity(F.col("t_a"), F.col("t_b"), F.col("least")).alias("score")).unionByName(blank.select("a", "b", F.lit(1.0).alias("score")))
     slim = reps.select("id", "split", "sourced", "copies")
     left = slim.withColumnsRenamed({"id": "a", "split": "left_split", "sourced": "left_sourced", "copies": "left_copies"})
     right = slim.withColumnsRenamed({"id": "b", "split": "right_split", "sourced": "right_sourced", "copies": "right_copies"})

@@ -345,7 +345,37 @@ def near_rows(spark, sf_dir):
     return examples(spark, sf_dir).select(F.col("doc_id").alias("id"), "split", (F.col("source") == "src0").alias("sourced"), "text")
 
 
-@query("near_duplicates")
+#: Every pair of splits whose bags of tokens allow the similarity, and both directions' matching blocks: each round finds the longest block of each part by its diagonals, and cuts the part there.
+BLOCKS_SQL = rf"""
+    WITH RECURSIVE x AS (SELECT doc_id AS id, {SPLIT_SQL} AS split, source = 'src0' AS sourced, regexp_replace(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'https?://\S+', 'url', 'g'), '\b\d+(?:[.\-]\d+)*\b', 'number', 'g') AS t FROM documents),
+    w AS (SELECT id, split, sourced, regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') AS w FROM x),
+    rep AS (SELECT min(id) AS id, split, sourced, w, len(w) AS n, count(*) AS copies FROM w GROUP BY split, sourced, w),
+    tok AS MATERIALIZED (SELECT id, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM rep),
+    places AS MATERIALIZED (SELECT id, token, list(place ORDER BY place) AS ats FROM tok GROUP BY id, token),
+    c AS (SELECT id, token, len(ats) AS c FROM places),
+    o AS (SELECT p.id AS a, q.id AS b, sum(least(p.c, q.c)) AS overlap FROM c p JOIN c q ON p.token = q.token AND p.id < q.id GROUP BY ALL),
+    pair AS MATERIALIZED (SELECT a, b, p.n + q.n AS size FROM o JOIN rep p ON p.id = a JOIN rep q ON q.id = b WHERE p.split <> q.split AND 2 * overlap >= 0.75 * (p.n + q.n)),
+    seg AS (
+        SELECT x, y, 1::BIGINT AS xa, nx::BIGINT AS xb, 1::BIGINT AS ya, ny::BIGINT AS yb, 0::BIGINT AS m
+        FROM (SELECT a AS x, b AS y, p.n AS nx, q.n AS ny FROM pair JOIN rep p ON p.id = a JOIN rep q ON q.id = b UNION ALL SELECT b, a, q.n, p.n FROM pair JOIN rep p ON p.id = a JOIN rep q ON q.id = b)
+        UNION ALL
+        SELECT x, y, unnest([1, xa, i + len]), unnest([0, i - 1, xb]), unnest([1, ya, j + len]), unnest([0, j - 1, yb]), unnest([len, 0, 0])
+        FROM (SELECT x, y, xa, xb, ya, yb, len, i, j, row_number() OVER (PARTITION BY x, y, xa, ya ORDER BY len DESC, i, j) AS best
+              FROM (SELECT x, y, xa, xb, ya, yb, count(*) AS len, min(i) AS i, min(j) AS j
+                    FROM (SELECT x, y, xa, xb, ya, yb, i, j, i - row_number() OVER (PARTITION BY x, y, xa, ya, i - j ORDER BY i) AS run
+                          FROM (SELECT x, y, xa, xb, ya, yb, i, unnest(ats) AS j
+                                FROM (SELECT x, y, xa, xb, ya, yb, unnest(w[xa:xb]) AS token, unnest(range(xa, xb + 1)) AS i FROM seg JOIN rep ON rep.id = x WHERE xb >= xa AND yb >= ya) u
+                                JOIN places v ON v.id = u.y AND v.token = u.token) WHERE j BETWEEN ya AND yb)
+                    GROUP BY x, y, xa, xb, ya, yb, i - j, run))
+        WHERE best = 1),
+    m AS (SELECT least(x, y) AS a, greatest(x, y) AS b, x, sum(m) AS m FROM seg GROUP BY ALL),
+    s AS (SELECT a, b, max(2.0 * m / size) AS score FROM m JOIN pair USING (a, b) GROUP BY a, b
+          UNION ALL SELECT p.id, q.id, 1.0 FROM rep p JOIN rep q ON p.n = 0 AND q.n = 0 AND p.split <> q.split AND p.id < q.id)
+    SELECT a AS left, p.split AS left_split, p.copies AS left_copies, b AS right, q.split AS right_split, q.copies AS right_copies, round(score, 4) AS similarity
+    FROM s JOIN rep p ON p.id = a JOIN rep q ON q.id = b WHERE score >= CASE WHEN p.sourced AND q.sourced THEN 0.75 ELSE 0.85 END"""
+
+
+@query("near_duplicates", BLOCKS_SQL.replace("\\\\", "\\"))
 def near_duplicates(spark, sf_dir):
     return quality.near_duplicates(near_rows(spark, sf_dir))
 

@@ -1,4 +1,3 @@
-import difflib
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,15 +127,6 @@ def test_token_weights_and_completion_start(spark):
     assert list(row) == [[1.0, 4.0, 4.0], 2, None]
 
 
-def test_sequence_ratio_is_the_larger_direction(spark):
-    from corvane.operators.quality import sequence_ratio
-
-    a, b = "a b c d a b".split(), "b a b c".split()
-    want = max(difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in ((a, b), (b, a)))
-    df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
-    assert df.select(sequence_ratio(F.col("a"), F.col("b"))).first()[0] == pytest.approx(want)
-
-
 def test_functions_by_their_sql_names(spark):
     from corvane.functions import sql
     from pyspark.sql import functions as F
