@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from corvane.functions.cues import literal_cues
+from corvane.functions.cues import all_cues
 from corvane.functions.html import article_text
 from corvane.functions.segment import passages_of, sentence_units
 from corvane.functions.text import PASSAGE_STOP_WORDS, REDACTIONS, STOP_WORDS, exact_comparison_tokens, exact_unescape
@@ -57,7 +57,7 @@ def chunk_text(texts: pa.Array, most_words: pa.Array) -> pa.Array:
 
 def register(spark: SparkSession) -> list[str]:
     """Make the functions known to the session; returns their names."""
-    in_python = {"exact_unescape": exact_unescape, "chunk_text": chunk_text, "sentence_units": sentence_units(), "comparison_tokens": exact_comparison_tokens, "literal_cues": literal_cues, "article_text": article_text()}
+    in_python = {"exact_unescape": exact_unescape, "chunk_text": chunk_text, "sentence_units": sentence_units(), "comparison_tokens": exact_comparison_tokens, "literal_cues": all_cues, "article_text": article_text()}
     for name, function in in_python.items():
         spark.udf.register(name, function)
     for name, (kind, body) in EXPRESSIONS.items():
