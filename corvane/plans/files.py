@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import io
-import json
 import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import json_text, observation
@@ -16,23 +16,10 @@ from corvane.functions.html import ADVICE_ARTICLE
 from corvane.operators import evaluation, explain, metrics, policy, quality
 from corvane.plans.knowledge import DOCUMENTS, knowledge
 from corvane.plans.messages import expected_sql, messages
-from corvane.plans.registry import CASES_SQL, SPLIT_SQL, SUMMARY_SQL, SYSTEM, documents, examples, guided_messages, json_sql, labelled_cases, query, text_in_sql
+from corvane.plans.registry import CASES_SQL, SPLIT_SQL, SUMMARY_SQL, SYSTEM, documents, examples, guided_messages, json_sql, labelled_cases, listed_sql, query, text_in_sql
 from corvane.session import load, put_files, shared_folder
-from corvane.sources import catalog, sinks
-from corvane.streaming import guard
-
-FOLDER_ARTICLE = '<main id="main-content"><p>menu</p><article class="node node--view-mode-cfg-default"><h1>no</h1><div class="field--name-body"><h2>Head</h2><p>One &amp;  two.<script>x()</script></p><div>inner<ul><li>a</li><li>b</li></ul></div></div><div>after</div></article></main>'
-#: id, file, kind, its content (None: no such file); and what is expected: text and problem.
-ENTRIES = (
-    ("d1", "a/one.html", "original_html", FOLDER_ARTICLE, "Head\n\nOne & two.\n\ninner\n\na\n\nb", None),
-    ("d2", "two.txt", "authored_summary", "\n  A plain  summary.\nSecond line.\t\n", "A plain  summary.\nSecond line.", None),
-    ("d3", "missing.txt", "authored_summary", None, None, "missing file"),
-    ("d4", "four.html", "authored_summary", "<p>text</p>", None, "unsupported source"),
-    ("d5", "five.txt", "original_html", "text", None, "unsupported source"),
-    ("d6", "six.html", "original_html", "<main id='main-content'><p>no article</p></main>", "", "empty document"),
-    ("d7", "seven.txt", "authored_summary", " \n ", "", "empty document"),
-)
-
+from corvane.sources import catalog, lines, sinks
+from corvane.streaming import guard, session
 
 def rows_sql(columns: str, rows) -> str:
     """A table of constants."""
@@ -40,92 +27,154 @@ def rows_sql(columns: str, rows) -> str:
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(value, r)) + ")" for r in rows) + f") AS v({columns})"
 
 
-@query("catalog_documents", rows_sql("doc_id, ordinal, title, n_tags, urls, text, problem", [(i, k, f"Title of {i}", k % 3, f"https://consumer.ftc.gov/{i}", text, problem) for k, (i, _, _, _, text, problem) in enumerate(ENTRIES)]))
-def catalog_documents(spark, sf_dir):
-    entries = [{"id": i, "title": f"Title of {i}", "category": "message", "platform": "any", "source_type": kind, "file": file, "tags": ["x", "y"][: k % 3], "sources": [{"url": f"https://consumer.ftc.gov/{i}"}]}
-               for k, (i, file, kind, *_) in enumerate(ENTRIES)]
-    files = {file: content.encode() for _, file, _, content, _, _ in ENTRIES if content is not None} | {"catalog.json": json.dumps({"version": 1, "documents": entries}).encode()}
-    found = catalog.load_documents(spark, put_files(spark, shared_folder(spark, "catalog"), files), ADVICE_ARTICLE)
-    return found.select("doc_id", "ordinal", "title", F.size("tags").alias("n_tags"), F.array_join("urls", ",").alias("urls"), "text", "problem")
-
-
-def example(i: str, **other) -> dict:
-    seen = {"category": "message", "signals": [], "issues": []}
-    base = {"id": i, "scenario_group": "g" + i, "language": "en", "provenance": "synthetic_authored", "source": None, "review_status": "human_reviewed", "case_kind": "ordinary", "input_text": "hello " + i,
-            "expected": seen, "rejected_output": {"category": "unknown", "signals": [], "issues": ["unsupported"]}, "rejection_reason": "r", "rationale": "r", "reference_ids": []}
-    return {**base, **other}
-
-
-_LINK = {"category": "message", "signals": [{"signal": "visible_link", "evidence": "https://a.example"}], "issues": []}
-#: split, line as text; expected: id, problem, and rules that are broken.
-LINES = (
-    ("train", json.dumps(example("a")), "a", None, ""),
-    ("train", "not json", None, "not json", None),
-    ("train", json.dumps(example("b", extra=1)), "b", "unknown key", ""),
-    ("train", json.dumps(example("c", language="de")), "c", None, "enumeration"),
-    ("validation", json.dumps(example("d", expected=_LINK)), "d", None, "evidence_not_in_text"),
-    ("validation", json.dumps(example("e", expected=_LINK, input_text="see https://a.example")), "e", None, ""),
-    ("validation", json.dumps(example("f", provenance="uci_sms_derived")), "f", None, "source_missing"),
-    ("validation", json.dumps(example("g", case_kind="normal_connection")), "g", None, "connection_not_wifi"),
-    ("test", json.dumps(example("h", rejected_output=_LINK | {"signals": []})), "h", None, "rejected_is_gold"),
-    ("test", json.dumps(example("i", input_text="  ")), "i", None, "input"),
-    ("test", json.dumps(example("j", case_kind="unclear")), "j", None, "unclear_not_unknown"),
-)
-SPLITS = ("train", "validation", "test")
+#: What a page's entry says of its file: a file that isn't there, a kind that doesn't fit it, or a plain text.
+CATALOGED_SQL = "CASE WHEN page_id % 11 = 0 THEN 'missing file' WHEN page_id % 7 = 0 THEN 'unsupported source' END"
 
 
-def numbered() -> list[tuple]:
-    seen: dict[str, int] = {}
-    out = []
-    for split, line, *expected in LINES:
-        seen[split] = seen.get(split, 0) + 1
-        out.append((split, seen[split], line, *expected))
-    return out
+@query("catalog_documents", rf"""
+    WITH p AS (SELECT page_id, url, regexp_replace(html, '^\s+|\s+$', '', 'g') AS html, {CATALOGED_SQL} AS problem FROM pages)
+    SELECT page_id::VARCHAR AS doc_id, (row_number() OVER (ORDER BY page_id) - 1)::INT AS ordinal, 'Page ' || page_id AS title, page_id % 3 AS n_tags, url AS urls,
+           CASE WHEN problem IS NULL THEN sha256(html) END AS text_sha256, coalesce(problem, CASE WHEN html = '' THEN 'empty document' END) AS problem FROM p""")
+def catalog_documents(spark, sf_dir):
+    """The pages as files, one folder each, and a catalog of them."""
+    folder, pages = shared_folder(spark, "catalog"), load(spark, sf_dir, "pages")
+    pages.select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy("page_id").text(f"{folder}/files")
+    written = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(f"{folder}/files")
+    relative = F.concat(F.lit("files/"), F.substring_index("path", "/files/", -1))
+    files = written.select(F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("long").alias("page_id"), relative.alias("file"))
+    k = F.col("page_id")
+    entry = F.struct(
+        k.cast("string").alias("id"), F.concat(F.lit("Page "), k.cast("string")).alias("title"), F.lit("message").alias("category"), F.lit("any").alias("platform"),
+        F.when(k % 7 == 0, "original_html").otherwise("authored_summary").alias("source_type"), F.when(k % 11 == 0, F.lit("files/none.txt")).otherwise(F.col("file")).alias("file"),
+        F.slice(F.array(F.lit("x"), F.lit("y")), F.lit(1), (k % 3).cast("int")).alias("tags"), F.array(F.struct("url")).alias("sources"),
+    )
+    entries = pages.join(files, "page_id").agg(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e"))))["e"].alias("documents"))  # a catalog is one document
+    entries.select(F.to_json(F.struct(F.lit(1).alias("version"), "documents")).alias("value")).coalesce(1).write.text(f"{folder}/catalog.json")
+    found = catalog.load_documents(spark, folder, ADVICE_ARTICLE)
+    return found.select("doc_id", "ordinal", "title", F.size("tags").cast("long").alias("n_tags"), F.array_join("urls", ",").alias("urls"), F.when(F.col("problem").isNull(), F.sha2("text", 256)).alias("text_sha256"), "problem")
 
 
-def example_files() -> dict[str, bytes]:
-    return {f"{s}.jsonl": ("\n".join(line for split, line, *_ in LINES if split == s) + "\n").encode() for s in SPLITS}
+SPLITS = ("train", "validation", "test")
 
 
-@query("labelled_examples", rows_sql("split, line, id, problem, rules", [(s, n, i, problem, rules) for s, n, _, i, problem, rules in numbered()]))
+def exported_splits(rows: DataFrame, folder: str) -> str:
+    """rows(split, doc_id, value) as lines in the order of doc_id, a folder of files for each split."""
+    for split in SPLITS:
+        ordered = rows.where(F.col("split") == split).repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")
+        ordered.select("value").write.text(f"{folder}/{split}.jsonl")
+    return folder
+
+
+@query("exported_lines", """
+    SELECT 'documents' AS name, row_number() OVER (ORDER BY doc_id) AS line, doc_id AS id, 0::BIGINT AS turn, sha256(text) AS text_sha256 FROM documents
+    UNION ALL SELECT 'conversations', row_number() OVER (ORDER BY conv_id, turn), conv_id, turn, sha256(text) FROM conversations""")
+def exported_lines(spark, sf_dir):
+    """Tables as JSON lines in many files, with either end of lines, read back with the number of each line."""
+    folder, tasks = shared_folder(spark, "lines"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text")
+    turns = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn", "text")
+    for name, rows, end in (("documents", docs, "\n"), ("conversations", turns, "\r\n")):
+        ordered = rows.repartitionByRange(tasks, "id", "turn").sortWithinPartitions("id", "turn")
+        ordered.select(F.to_json(F.struct("id", "turn", "text")).alias("value")).write.option("lineSep", end).text(f"{folder}/{name}")
+    found = lines.numbered_lines(spark, {name: f"{folder}/{name}" for name in ("documents", "conversations")})
+    read = found.select("name", "line", F.from_json("value", "id long, turn long, text string").alias("r"))
+    return read.select("name", "line", "r.id", "r.turn", F.sha2("r.text", 256).alias("text_sha256"))
+
+
+#: Documents as examples of all kinds; some lines are no JSON, some have a key that no example has.
+KINDS = ("ordinary", "normal_connection", "unclear", "suspicious_pattern")
+EXAMPLES_SQL = f"""
+    e AS (SELECT doc_id, {SPLIT_SQL} AS split, row_number() OVER (PARTITION BY {SPLIT_SQL} ORDER BY doc_id) AS line, doc_id % 50 AS odd, {listed_sql(KINDS)}[doc_id % 4 + 1] AS kind, lang,
+                 NOT regexp_matches(text, '\\S') OR length(text) > 4000 OR regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') AS bad FROM documents),
+    r AS (SELECT split, line, CASE WHEN odd <> 7 THEN doc_id::VARCHAR END AS id, CASE odd WHEN 7 THEN 'not json' WHEN 9 THEN 'unknown key' END AS problem,
+                 CASE WHEN odd <> 7 THEN list_filter([CASE WHEN bad THEN 'input' END, CASE WHEN kind = 'unclear' THEN 'unclear_not_unknown' END, CASE WHEN kind = 'normal_connection' THEN 'connection_not_wifi' END,
+                                                      CASE WHEN lang <> 'en' THEN 'enumeration' END], lambda x: x IS NOT NULL) END AS rules FROM e)""".replace("\\\\", "\\")
+
+
+def exported_examples(spark, sf_dir) -> DataFrame:
+    """What a loader finds in the documents written as examples."""
+    k = F.col("doc_id")
+    seen = lambda category, *issues: F.struct(F.lit(category).alias("category"), F.array().cast("array<struct<signal:string,evidence:string>>").alias("signals"), F.array(*map(F.lit, issues)).cast("array<string>").alias("issues"))
+    fields = {
+        "id": k.cast("string"), "scenario_group": F.concat(F.lit("g"), k.cast("string")), "language": F.col("lang"), "provenance": F.lit("synthetic_authored"), "source": F.lit(None).cast("string"), "review_status": F.lit("human_reviewed"),
+        "case_kind": F.element_at(F.array(*map(F.lit, KINDS)), (k % 4 + 1).cast("int")), "input_text": F.col("text"), "expected": seen("message"), "rejected_output": seen("unknown", "unsupported"),
+        "rejection_reason": F.lit("r"), "rationale": F.lit("r"), "reference_ids": F.array().cast("array<string>"), "extra": F.when(k % 50 == 9, 1),
+    }
+    value = F.when(k % 50 == 7, F.concat(F.lit("not json "), k.cast("string"))).otherwise(F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()])))
+    rows = examples(spark, sf_dir).select("split", "doc_id", value.alias("value"))
+    return catalog.load_examples(spark, exported_splits(rows, shared_folder(spark, "examples")))
+
+
+@query("labelled_examples", f"WITH {EXAMPLES_SQL} SELECT split, line, id, problem, array_to_string(rules, ',') AS rules FROM r")
 def labelled_examples(spark, sf_dir):
     """Line numbers, unknown keys, and the rules that each example breaks."""
-    rows = catalog.load_examples(spark, put_files(spark, shared_folder(spark, "examples"), example_files()))
-    return rows.select("split", F.col("line").cast("int").alias("line"), "id", "problem", F.when(F.col("problem").isNull() | (F.col("problem") == "unknown key"), F.array_join(quality.label_errors(rows), ",")).alias("rules"))
+    rows = exported_examples(spark, sf_dir)
+    return rows.select("split", "line", "id", "problem", F.when(F.coalesce(F.col("problem") != "not json", F.lit(True)), F.array_join(quality.label_errors(rows), ",")).alias("rules"))
 
 
-@query("first_violations", rows_sql("split, line, rule", [("train", 2, "not json")]))
+@query("first_violations", f"""
+    WITH {EXAMPLES_SQL}, v AS (SELECT split, line, unnest(CASE WHEN problem IS NOT NULL THEN [problem] ELSE rules END) AS rule FROM r)
+    SELECT split, line, rule FROM v ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END, line, rule LIMIT 1""")
 def first_violations(spark, sf_dir):
     """The violation at which a strict loader stops."""
-    rows = catalog.load_examples(spark, put_files(spark, shared_folder(spark, "examples"), example_files()))
+    rows = exported_examples(spark, sf_dir)
     broken = rows.select("split", "line", F.explode(F.when(F.col("problem").isNotNull(), F.array("problem")).otherwise(quality.label_errors(rows))).alias("rule"))
-    return quality.first_violation(broken).select("split", F.col("line").cast("int").alias("line"), "rule")
+    return quality.first_violation(broken).select("split", "line", "rule")
 
 
-@query("manifest_check", rows_sql("split, observed, recorded", [("test", hashlib.sha256(example_files()["test.jsonl"]).hexdigest(), "0" * 64), ("validation", hashlib.sha256(example_files()["validation.jsonl"]).hexdigest(), None), ("other", None, "1" * 64)]))
-def manifest_check(spark, sf_dir):
-    """The training manifest's checksums against the files: one agrees, one differs, and each side has one that the other lacks."""
-    files = example_files()
-    manifest = {"splits": [{"split": "train", "sha256": hashlib.sha256(files["train.jsonl"]).hexdigest()}, {"split": "test", "sha256": "0" * 64}, {"split": "other", "sha256": "1" * 64}]}
-    folder = put_files(spark, shared_folder(spark, "manifest"), files | {"manifest.json": json.dumps(manifest, indent=1).encode()})
-    recorded = catalog.load_manifest(spark, f"{folder}/manifest.json").select(F.explode("splits").alias("s")).select("s.split", "s.sha256")
-    return catalog.fingerprint_mismatches(catalog.split_fingerprints(spark, folder), recorded)
+def tree_sql(text: str, name: str) -> str:
+    """Fingerprints of the documents of each split as lines, of up to 4096 * 4096 lines."""
+    return f"""
+    {name}_0 AS (SELECT {SPLIT_SQL} AS split, row_number() OVER (PARTITION BY {SPLIT_SQL} ORDER BY doc_id) - 1 AS k, sha256(doc_id || ' ' || translate({text}, chr(10) || chr(13), '  ')) AS digest FROM documents),
+    {name}_1 AS (SELECT split, k // {lines.FAN_OUT} AS k, sha256(string_agg(digest, '' ORDER BY k)) AS digest FROM {name}_0 GROUP BY split, k // {lines.FAN_OUT}),
+    {name} AS (SELECT split, CASE count(*) WHEN 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY k)) END AS digest FROM {name}_1 GROUP BY split)"""
 
 
-CASES = (("c1", "message", " Send ME $5 \n", ["attention"], ["payment_request"]), ("c2", "wifi", "My iPhone says Wi-Fi is OFF", ["connection_check"], []), ("c3", "message", "", [], []))
+@query("manifest_check", f"""
+    WITH {tree_sql("text", "o")}, {tree_sql("replace(text, 'e', 'a')", "n")},
+    m AS (SELECT split, digest FROM o WHERE split <> 'validation' UNION ALL SELECT 'other', repeat('1', 64)),
+    f AS (SELECT split, CASE split WHEN 'test' THEN n.digest ELSE o.digest END AS digest FROM o JOIN n USING (split))
+    SELECT split, f.digest AS observed, m.digest AS recorded FROM f FULL JOIN m USING (split) WHERE f.digest IS DISTINCT FROM m.digest""")
+def manifest_check(spark, sf_dir):
+    """The fingerprints of a manifest against the splits' files: one agrees, one has changed since, and each side has one that the other lacks."""
+    line = lambda text: F.concat_ws(" ", F.col("doc_id").cast("string"), F.translate(text, "\n\r", "  ")).alias("value")
+    rows, text = examples(spark, sf_dir), F.col("text")
+    before = exported_splits(rows.select("split", "doc_id", line(text)), shared_folder(spark, "splits"))
+    trees = catalog.split_trees(spark, before).where("split <> 'validation'").unionByName(spark.range(1).select(F.lit("other").alias("split"), F.repeat(F.lit("1"), 64).alias("sha256")))
+    folder = shared_folder(spark, "manifest")
+    trees.agg(F.collect_list(F.struct("split", "sha256")).alias("splits")).coalesce(1).write.json(f"{folder}/manifest.json")  # one entry a split
+    after = exported_splits(rows.select("split", "doc_id", line(F.when(F.col("split") == "test", F.replace(text, F.lit("e"), F.lit("a"))).otherwise(text))), shared_folder(spark, "splits"))
+    recorded = catalog.load_manifest(spark, f"{folder}/manifest.json").select(F.explode("splits").alias("s")).select("s.split", "s.sha256")
+    return catalog.fingerprint_mismatches(catalog.split_trees(spark, after), recorded)
 
 
-@query("evaluation_cases", rows_sql("id, category, input_key, n_levels, flags", [(i, c, x.strip().lower(), len(levels), ",".join(flags)) for i, c, x, levels, flags in CASES]))
+@query("evaluation_cases", r"""
+    SELECT conv_id || ':' || turn AS id, role AS category, regexp_replace(replace(lower(text), 'ß', 'ss'), '^\s+|\s+$', '', 'g') AS input_key, (turn % 3)::INT AS n_levels, CASE WHEN role = 'user' THEN 'payment_request,visible_link' ELSE '' END AS flags
+    FROM conversations""")
 def evaluation_cases(spark, sf_dir):
-    lines = "\n".join(json.dumps({"id": i, "category": c, "group": "g", "input": x, "levels": levels, "required_flags": flags, "actions_any": [], "documents_any": [], "private_markers": []}) for i, c, x, levels, flags in CASES)
-    found = catalog.load_cases(spark, f"{put_files(spark, shared_folder(spark, 'cases'), {'cases.jsonl': lines.encode()})}/cases.jsonl")
+    """Every turn as a case of an evaluation, written as JSON lines and read with the key by which cases meet inputs."""
+    turns, folder = load(spark, sf_dir, "conversations"), shared_folder(spark, "cases")
+    some = lambda *values: F.array(*map(F.lit, values)).cast("array<string>")
+    fields = {
+        "id": F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "category": F.col("role"), "group": F.col("conv_id").cast("string"), "input": F.concat(F.lit(" \t"), "text", F.lit("\n")),
+        "levels": F.slice(some("attention", "uncertain"), F.lit(1), (F.col("turn") % 3).cast("int")), "required_flags": F.when(F.col("role") == "user", some("payment_request", "visible_link")).otherwise(some()),
+        "actions_any": some(), "documents_any": some(), "private_markers": some(),
+    }
+    turns.select(F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()])).alias("value")).write.text(f"{folder}/cases.jsonl")
+    found = catalog.load_cases(spark, f"{folder}/cases.jsonl")
     return found.select("id", "category", "input_key", F.size("levels").alias("n_levels"), F.array_join("required_flags", ",").alias("flags"))
 
 
-@query("replay_cases", rows_sql("id, category, n_signals", [("r1", "message", 1), ("r2", "unknown", 0)]))
+@query("replay_cases", "SELECT conv_id || ':' || turn AS id, role AS category, (turn % 2)::INT AS n_signals FROM conversations")
 def replay_cases(spark, sf_dir):
-    report = {"runs": {"base": {"cases": []}, "adapter": {"cases": [{"id": "r1", "predicted": {"category": "message", "signals": [{"signal": "visible_link", "evidence": "x"}]}}, {"id": "r2", "predicted": {"category": "unknown", "signals": []}}]}}}
-    found = catalog.load_replay(spark, f"{put_files(spark, shared_folder(spark, 'replay'), {'report.json': json.dumps(report).encode()})}/report.json")
+    """A report for each conversation, with two runs, of which one is read again."""
+    turns, folder = load(spark, sf_dir, "conversations"), shared_folder(spark, "replay")
+    signal = F.array(F.struct(F.lit("visible_link").alias("signal"), F.substring("text", 1, 9).alias("evidence")))
+    predicted = F.struct(F.col("role").alias("category"), F.slice(signal, F.lit(1), (F.col("turn") % 2).cast("int")).alias("signals"))
+    cases = turns.groupBy("conv_id").agg(F.collect_list(F.struct(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), predicted.alias("predicted"))).alias("cases"))  # a conversation's turns
+    runs = F.struct(F.struct(F.slice("cases", 1, 1).alias("cases")).alias("base"), F.struct("cases").alias("adapter"))
+    cases.select(F.to_json(F.struct(runs.alias("runs"))).alias("value")).write.text(f"{folder}/reports.jsonl")
+    found = catalog.load_replay(spark, f"{folder}/reports.jsonl", one_a_line=True)
     return found.select("id", F.col("predicted.category").alias("category"), F.size("predicted.signals").alias("n_signals"))
 
 
@@ -169,6 +218,22 @@ def streamed_levels(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out")
 
 
+@query("form_sessions", """
+    WITH d AS (SELECT conv_id, turn, role, last_value(CASE role WHEN 'user' THEN text WHEN 'system' THEN '' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS draft FROM conversations)
+    SELECT conv_id::VARCHAR AS session_id, turn AS event_id, 'submitted' AS outcome, sha256(coalesce(draft, '')) AS text_sha256 FROM d WHERE role = 'assistant'""")
+def form_sessions(spark, sf_dir):
+    """Conversations as events of a form: users edit, the system starts over, and each answer submits what is there."""
+    folder = shared_folder(spark, "sessions")
+    kind = F.when(F.col("role") == "user", "edit").when(F.col("role") == "system", "reset").otherwise("submit")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("turn"))
+    events = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("event_id"), at.alias("at"), kind.alias("kind"), F.when(F.col("role") == "user", F.col("text")).alias("text"))
+    events.write.json(f"{folder}/in")
+    session.use_state_store(spark)
+    found = session.sessions(session.read_events(spark, f"{folder}/in")).select("session_id", "event_id", "outcome", F.sha2("text", 256).alias("text_sha256"))
+    found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 CHAT_SQL = f"""'{{"messages":[{{"role":"system","content":"{SYSTEM}"}},{{"role":"user","content":' || {json_sql("'{\"input_text\": ' || " + json_sql('u.text') + " || '}'")} || '}},{{"role":"assistant","content":' || {json_sql('a.text')} || '}}]}}'"""
 
 

@@ -80,9 +80,9 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path).withColumn("input_key", weak_key(F.col("input")))
 
 
-def load_replay(spark: SparkSession, path: str, run: str = "adapter") -> DataFrame:
-    """The cases of one run of an evaluation report."""
-    return spark.read.option("multiLine", True).json(path).select(F.explode(F.col(f"runs.{run}.cases")).alias("case")).select("case.*")
+def load_replay(spark: SparkSession, path: str, run: str = "adapter", one_a_line: bool = False) -> DataFrame:
+    """The cases of one run of an evaluation report, or of many, with one report in each line."""
+    return spark.read.option("multiLine", not one_a_line).json(path).select(F.explode(F.col(f"runs.{run}.cases")).alias("case")).select("case.*")
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
