@@ -1,4 +1,5 @@
 """The text functions under names for SQL: ``register(spark)``, then for instance SELECT chunk_text(text, 75) FROM t.
+``chunk_text`` is a table function, too: SELECT ordinal, passage FROM t, LATERAL chunk_text(text, 75).
 
 What is an expression becomes a SQL function, which Catalyst inlines; what needs order or
 positions becomes an Arrow function.
@@ -9,10 +10,11 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql.functions import arrow_udf, udtf
 
 from corvane.functions.cues import all_cues
 from corvane.functions.html import article_text
+from corvane.functions.relevance import PRIZE_QUERY, PRIZES, REJECTED, SENTENCE_RULES
 from corvane.functions.segment import passages_of, sentence_units
 from corvane.functions.text import PASSAGE_STOP_WORDS, REDACTIONS, STOP_WORDS, exact_comparison_tokens, exact_unescape
 
@@ -55,6 +57,28 @@ def chunk_text(texts: pa.Array, most_words: pa.Array) -> pa.Array:
     return pa.array([passages_of(t, n) for t, n in zip(texts.to_pylist(), most_words.to_pylist(), strict=True)], pa.list_(pa.string()))
 
 
+@udtf(returnType="ordinal int, passage string")
+class Passages:
+    """The passages of a text as rows: FROM t, LATERAL chunk_text(text, 75), with a separator of paragraphs as third argument where it isn't an empty line."""
+
+    def eval(self, text: str, most_words: int, separator: str = "\n\n"):
+        yield from enumerate(passages_of(text, most_words, separator))
+
+
+def relevance_body() -> str:
+    """``relevance_score`` of (topic, sentence, query) as SQL."""
+    like = lambda x, pattern: f"{x} RLIKE {literal('(?U)' + pattern)}"
+    topics = ""
+    for topic, rules in SENTENCE_RULES.items():
+        whens = ""
+        for points, must, also, never, least in rules:
+            fits = [like("s", must), *([like("s", also)] if also else []), *([f"NOT {like('s', never)}"] if never else []), *([f"size(filter(split(s, r'(?U)\\s+'), w -> w <> '')) >= {least}"] if least else [])]
+            whens += f" WHEN {' AND '.join(fits)} THEN {points}"
+        topics += f" WHEN '{topic}' THEN CASE{whens} ELSE 0 END"
+    prizes = f"{like('s', PRIZES)} AND NOT coalesce({like('query', PRIZE_QUERY)}, false)"
+    return f"(SELECT CASE WHEN s IS NULL OR {like('s', REJECTED)} OR ({prizes}) THEN 0 ELSE CASE topic{topics} ELSE 0 END END FROM (SELECT lower(sentence) AS s))"
+
+
 def register(spark: SparkSession) -> list[str]:
     """Make the functions known to the session; returns their names."""
     in_python = {"exact_unescape": exact_unescape, "chunk_text": chunk_text, "sentence_units": sentence_units(), "comparison_tokens": exact_comparison_tokens, "literal_cues": all_cues, "article_text": article_text()}
@@ -62,4 +86,6 @@ def register(spark: SparkSession) -> list[str]:
         spark.udf.register(name, function)
     for name, (kind, body) in EXPRESSIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {body}")
-    return [*in_python, *EXPRESSIONS]
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION relevance_score(topic STRING, sentence STRING, query STRING) RETURNS INT RETURN {relevance_body()}")
+    spark.udtf.register("chunk_text", Passages)
+    return [*in_python, *EXPRESSIONS, "relevance_score"]

@@ -199,6 +199,12 @@ def profile(rows: DataFrame, dimensions: list[str], split: str = "split") -> Dat
     return each.groupBy("split", "dimension", "value").agg(F.count("*").alias("count"))
 
 
+def sorted_profile(found: DataFrame) -> DataFrame:
+    """A profile with the place (from 1) of each value in its split and dimension, nulls first: the order in which a report tells it."""
+    order = Window.partitionBy("split", "dimension").orderBy(F.asc_nulls_first("value"))
+    return found.withColumn("place", F.row_number().over(order))
+
+
 def missing_values(rows: DataFrame, column: str, expected: list[str], split: str = "split") -> DataFrame:
     """Values that a split never has."""
     observed = rows.groupBy(F.col(split).alias("split"), F.col(column).alias("value")).agg(F.count("*").alias("n"))

@@ -217,6 +217,14 @@ def chunk_documents(spark, sf_dir):
     return retrieval.passage_table(documents(spark, sf_dir), passages(separator="\n"))
 
 
+@query("chunk_table_function", f"WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id, ordinal, text AS passage FROM chunks")
+def chunk_table_function(spark, sf_dir):
+    """Passages by the table function of SQL."""
+    sql.register(spark)
+    documents(spark, sf_dir).createOrReplaceTempView("corvane_documents")
+    return spark.sql("SELECT doc_id, ordinal, passage FROM corvane_documents, LATERAL chunk_text(text, 75, '\\n')")
+
+
 @query("chunk_ids", """
     SELECT doc_id, (o - 1)::INT AS ordinal, doc_id || ':' || (o - 1) || ':' || sha256(line)[1:10] AS passage_id
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS o FROM documents)""")
@@ -404,6 +412,12 @@ def dataset_profile(spark, sf_dir):
     return quality.profile(examples(spark, sf_dir), ["lang", "source"])
 
 
+@query("sorted_histograms", " UNION ALL ".join(f"SELECT {SPLIT_SQL} AS split, '{d}' AS dimension, {d} AS value, count(*) AS count, row_number() OVER (PARTITION BY {SPLIT_SQL} ORDER BY {d})::INT AS place FROM documents GROUP BY 1, 3" for d in ("lang", "source")))
+def sorted_histograms(spark, sf_dir):
+    """Histograms with the place of each value in the order of values."""
+    return quality.sorted_profile(quality.profile(examples(spark, sf_dir), ["lang", "source"]))
+
+
 @query("missing_values", f"""
     SELECT split, value FROM (SELECT DISTINCT {SPLIT_SQL} AS split FROM documents), (SELECT unnest(['en', 'de', 'fr', 'es', 'it', 'nl']) AS value)
     EXCEPT SELECT {SPLIT_SQL}, lang FROM documents""")
@@ -657,17 +671,29 @@ def relevance_sql() -> str:
 
 
 @query("topic_relevance", f"""
-    WITH d AS (SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN '' ELSE ' ' || text END AS own, {listed_sql(SENTENCES)}[doc_id % {len(SENTENCES)} + 1] AS sentence, CASE doc_id % 5 WHEN 0 THEN 'I won a prize' ELSE split_part(text, chr(10), 1) END AS query FROM documents),
+    WITH d AS (SELECT doc_id, ' ' || text AS own, {listed_sql(SENTENCES)}[doc_id % {len(SENTENCES)} + 1] AS sentence, CASE doc_id % 5 WHEN 0 THEN 'I won a prize' ELSE text END AS query FROM documents),
     t AS (SELECT doc_id, query, lower(sentence || own) AS s, unnest({listed_sql([*relevance.SENTENCE_RULES, "none"])}) AS topic FROM d)
     SELECT doc_id, topic, ({relevance_sql()})::INT AS relevance FROM t""")
 def topic_relevance(spark, sf_dir):
     c = F.col
     sentence = F.element_at(F.array(*map(F.lit, SENTENCES)), (c("doc_id") % len(SENTENCES) + 1).cast("int"))
-    asked = F.when(c("doc_id") % 5 == 0, "I won a prize").otherwise(F.substring_index("text", "\n", 1))
-    rows = documents(spark, sf_dir).select("doc_id", asked.alias("query"), F.concat(sentence, F.when(c("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit(" "), c("text")))).alias("t"), F.explode(F.array(*map(F.lit, [*relevance.SENTENCE_RULES, "none"]))).alias("topic"))
+    asked = F.when(c("doc_id") % 5 == 0, "I won a prize").otherwise(c("text"))
+    rows = documents(spark, sf_dir).select("doc_id", asked.alias("query"), F.concat(sentence, F.lit(" "), c("text")).alias("t"), F.explode(F.array(*map(F.lit, [*relevance.SENTENCE_RULES, "none"]))).alias("topic"))
     return rows.select("doc_id", "topic", relevance_score(c("topic"), c("t"), c("query")).alias("relevance"))
 
 
+@query("relevance_by_name", ORACLES["topic_relevance"])
+def relevance_by_name(spark, sf_dir):
+    """The same scores by the SQL name."""
+    sql.register(spark)
+    documents(spark, sf_dir).createOrReplaceTempView("corvane_documents")
+    topics = ", ".join(f"'{x}'" for x in [*relevance.SENTENCE_RULES, "none"])
+    sentences = ", ".join('"' + x + '"' for x in SENTENCES)
+    return spark.sql(f"""
+        SELECT doc_id, topic, relevance_score(topic, concat(sentence, ' ', text), query) AS relevance
+        FROM (SELECT doc_id, text, array({sentences})[cast(doc_id % {len(SENTENCES)} AS INT)] AS sentence, if(doc_id % 5 = 0, 'I won a prize', text) AS query FROM corvane_documents) LATERAL VIEW explode(array({topics})) AS topic""")
+
+
 def observed_messages(spark, sf_dir):
     return explain.observed(messages(spark, sf_dir))
 
