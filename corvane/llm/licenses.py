@@ -1,45 +1,47 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by path.
 
-A file has three kinds of units, each compared with the templates of its kind: every line with
-one-line notices; its opening, which is its first ``OPENING`` lines together, with the headers
-that works carry and with the beginnings of long licences; and all of a licence file with whole
-licence texts. Openings and whole files are weighed where they have a word of ``HINT``; a licence
-file is one that is named so, or whose opening has such a word in its first line. Wrapped lines
-and other layout don't count: a unit is a bag of terms.
+A file has two kinds of units. Every line is compared with one-line notices. Runs are compared
+with headers, whole licences and the beginnings of long ones: a line is of a run if half of its
+distinct terms or more are words of these templates; lines without terms (blank, or of comment
+signs only) don't end a run, and code, names or prose do. Of a run all its prefixes of 1, 2, 4, 8 ...
+lines and the run itself are units, so a notice is found wherever it stands and whatever follows
+it; where other words of licences stand right before it in the same run, it is weighed with them.
+Wrapped lines and other layout don't count: a unit is a bag of terms.
 
 A unit whose cosine with a template is ``LEAST`` or more declares its licence, and the best unit
 (then the first template) is the file's own. Terms are lower-cased runs of letters, digits, dots
 and hyphens; weights are term count times ln((1 + N) / (1 + df)) + 1, with df over all N files; a
-term that no template has counts in the unit's length with df 0. Lines without any of the terms
-that a match needs (by Cauchy-Schwarz: without them, what is left of a template is too short) are
-not weighed.
-
-A file that declares no licence itself takes it from the licence files of the nearest
-directory above it: files named like LICENSE or COPYING, files whose first line declares one, and
-files that are a licence as a whole. Of several in a directory the one with the smallest path
-counts. Ancestors are joined for each distinct directory, not for each file; then files meet their
+term that no template has counts in the unit's length with df 0. Units without any of the terms
+that a match needs are not weighed: by Cauchy-Schwarz, what is left of a template without them is
+too short, and they are its rarest ones. Neither a name nor a place in the file is needed.
+
+A file that declares no licence itself takes it from the licence files of the nearest directory
+above it: files named like LICENSE or COPYING that declare one, files that are a licence text for
+``WHOLE_PERCENT`` of their terms, and files that begin as a long licence does. A header or a notice
+licenses its own file only. Of several in a directory the one with the smallest path counts.
+Ancestors are joined for each distinct directory, not for each file; then files meet their
 directory in a join that Spark can split where a directory has a third of all files.
 
 Only DataFrame functions are used; what is collected are the frequencies of the templates'
-terms, of which there is a fixed number. Null texts and empty files declare nothing. A null
-path is in no directory. Repeated rows stay. Extra columns stay, but for the text's.
+terms, of which there is a fixed number. The lines of one file are ordered in one task. Null texts
+and empty files declare nothing. A null path is in no directory. Repeated rows stay. Extra columns
+stay, whatever their names, but for the text's; what is found is one column, whose name must be new.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.batches import text_or_empty, written
+from corvane.llm.batches import forget, text_or_empty, written
 
 LEAST = 0.6
-OPENING = 20
-#: The kinds of units, and their numbers; lines are numbered from 0.
-LINE, HEADER, WHOLE = "line", "opening", "whole"
-OPENING_UNIT, WHOLE_UNIT = -1, -2
-HINT = r"(?i)(licen[cs]e|copyright|redistribut|warrant|permission)"
+#: Kinds of templates; a template of one line is compared with lines, any other with runs of lines.
+LINE, HEADER, BEGINNING, WHOLE = "line", "header", "beginning", "whole"
+RUN = "run"
+WHOLE_PERCENT = 80
 #: Notices by which works name their licence, headers, and the texts of short licences.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
 Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
@@ -93,13 +95,13 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", LINE, "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", LINE, "Licensed under CC BY-NC 4.0"),
     ("Apache-2.0", HEADER, _APACHE_HEADER),
-    ("Apache-2.0", HEADER, "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions."),
+    ("Apache-2.0", BEGINNING, "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions."),
     ("GPL-2.0", HEADER, _GNU_HEADER.format(name="GNU General Public License", n=2)),
     ("GPL-3.0", HEADER, _GNU_HEADER.format(name="GNU General Public License", n=3)),
     ("LGPL-3.0", HEADER, _GNU_HEADER.format(name="GNU Lesser General Public License", n=3)),
     ("AGPL-3.0", HEADER, _GNU_HEADER.format(name="GNU Affero General Public License", n=3)),
-    ("GPL-2.0", HEADER, _GNU_OPENING.format(name="GNU GENERAL PUBLIC LICENSE", n=2, date="June 1991", years="1989, 1991")),
-    ("GPL-3.0", HEADER, _GNU_OPENING.format(name="GNU GENERAL PUBLIC LICENSE", n=3, date="29 June 2007", years="2007")),
+    ("GPL-2.0", BEGINNING, _GNU_OPENING.format(name="GNU GENERAL PUBLIC LICENSE", n=2, date="June 1991", years="1989, 1991")),
+    ("GPL-3.0", BEGINNING, _GNU_OPENING.format(name="GNU GENERAL PUBLIC LICENSE", n=3, date="29 June 2007", years="2007")),
     ("MPL-2.0", HEADER, _MPL_HEADER),
     ("MIT", WHOLE, f"MIT License {_MIT}"),
     ("ISC", WHOLE, f"ISC License {_ISC}"),
@@ -144,67 +146,87 @@ def vectors(idf: dict[str, float], templates=TEMPLATES) -> list[tuple[str, dict[
     return out
 
 
-def needed(templates: list, least: float) -> list[str]:
-    """Terms of which a line that matches any template must have one."""
+def needed(templates: list, idf: dict[str, float], least: float) -> list[str]:
+    """Terms of which a unit that matches any of the templates must have one: of each, the most common terms are left out as long as what is left out is too short for a match."""
     out: set[str] = set()
     for _, own, length in templates:
-        rest = length * length
-        for term, x in sorted(own.items(), key=lambda p: (-p[1], p[0])):
-            if math.sqrt(max(rest, 0.0)) / length < least:
-                break
-            out.add(term)
-            rest -= x * x
+        rest = 0.0
+        for term in sorted(own, key=lambda t: (idf[t], t)):
+            if rest >= 0 and math.sqrt(rest + own[term] ** 2) / length < least - 1e-8:
+                rest += own[term] ** 2
+            else:
+                rest = -1.0
+                out.add(term)
     return sorted(out)
 
 
 def small_table(spark: SparkSession, names: tuple[str, ...], rows: list[tuple]) -> DataFrame:
-    """A table of constants as a plan of the JVM's own."""
-    structs = [F.struct(*[F.lit(x).alias(name) for name, x in zip(names, row, strict=True)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """A table of constants of the planner's own: no rows are sent, and no plan has an expression for each value."""
+    value = lambda x: f"'{x}'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else str(x)
+    return spark.sql("SELECT * FROM VALUES " + ", ".join("(" + ", ".join(map(value, row)) + ")" for row in rows) + f" AS t({', '.join(names)})")
 
 
-def keyed(files: DataFrame, text: str) -> DataFrame:
+def keyed(files: DataFrame, text: str, key: str = "_key", path: str = "path") -> DataFrame:
     """``files`` with a key of path and content; rows that repeat both share it."""
-    return files.withColumn("_key", F.unhex(F.substring(F.sha2(F.concat_ws("\x00", F.coalesce("path", F.lit("")), text_or_empty(text)), 256), 1, 32)))  # 16 bytes
+    return files.withColumn(key, F.unhex(F.substring(F.sha2(F.concat_ws("\x00", F.coalesce(path, F.lit("")), text_or_empty(text)), 256), 1, 32)))  # 16 bytes
 
 
-def units(files: DataFrame, must: list[str], text: str) -> DataFrame:
-    """_key, path, kind, unit and terms of all that may match a template; written to the shared folder."""
-    content = text_or_empty(text)
-    needed_terms = F.array(*map(F.lit, must))
-    lines = F.split(content, "\n", -1)
-    named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    opening = F.array_join(F.slice(lines, 1, OPENING), "\n")
-    slim = keyed(files, text).select("_key", "path", content.alias("content"), lines.alias("lines"), opening.alias("opening"), named.alias("named"))
-    hinted = slim.where(F.col("opening").rlike(HINT) | F.arrays_overlap(terms(F.col("content")), needed_terms))
-    is_file = F.col("named") | F.col("lines")[0].rlike(HINT)
-    unit = lambda kind, n, words: F.struct(F.lit(kind).alias("kind"), n.alias("unit"), terms(words).alias("terms"))
-    each = F.concat(
-        F.filter(F.transform("lines", lambda x, i: unit(LINE, i, x)), lambda u: F.arrays_overlap(u["terms"], needed_terms)),
-        F.when(F.col("opening").rlike(HINT), F.array(unit(HEADER, F.lit(OPENING_UNIT), F.col("opening")))).otherwise(F.array()),
-        F.when(F.col("content").rlike(HINT) & is_file, F.array(unit(WHOLE, F.lit(WHOLE_UNIT), F.col("content")))).otherwise(F.array()),
-    )
-    return written(hinted.select("_key", "path", F.explode(each).alias("u")).select("_key", "path", "u.*").distinct(), "units")
-
-
-def declared(files: DataFrame, templates=TEMPLATES, least: float = LEAST, text: str = "text") -> DataFrame:
-    """_key, path, license, score and gives (whether it licenses its directory by its first line or as a whole), of each file that declares a licence."""
+def lines_of(files: DataFrame) -> DataFrame:
+    """_key, place (from 0) and terms of every line of files(_key, content)."""
+    return files.select("_key", F.posexplode(F.split("content", "\n", -1)).alias("place", "line")).select("_key", "place", terms(F.col("line")).alias("terms"))
+
+
+def runs_of(lines: DataFrame, legal: list[str]) -> DataFrame:
+    """_key, start (from 1), size and terms of the units that runs of lines(_key, place, terms) make, a row for each line of each."""
+    known = F.array(*map(F.lit, legal))
+    some = lines.where(F.size("terms") > 0).withColumn("k", F.row_number().over(Window.partitionBy("_key").orderBy("place")))
+    some = some.where(2 * F.size(F.array_intersect("terms", known)) >= F.size(F.array_distinct("terms")))
+    some = some.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy("_key").orderBy("k")))
+    run = Window.partitionBy("_key", "run")
+    placed = some.withColumns({"r": F.row_number().over(run.orderBy("k")).cast("long"), "m": F.count("*").over(run), "start": F.min("k").over(run).cast("long")})
+    sizes = F.expr("concat(filter(transform(sequence(0, 40), j -> shiftleft(1L, j)), s -> s >= r AND s < m), array(m))")
+    return placed.select("_key", "start", "terms", F.explode(sizes).alias("size"))
+
+
+def units(files: DataFrame, must: dict[str, list[str]], legal: list[str]) -> DataFrame:
+    """_key, kind, start, size, term and n: how often each term is in each unit of files(_key, content) that may match a template."""
+    every = lines_of(files)
+    has = lambda kind: F.arrays_overlap("terms", F.array(*map(F.lit, must[kind])))
+    lines = every.where(has(LINE)).select("_key", F.lit(LINE).alias("kind"), F.col("place").cast("long").alias("start"), F.lit(1).cast("long").alias("size"), "terms")
+    runs = runs_of(every, legal).select("_key", F.lit(RUN).alias("kind"), "start", "size", "terms")
+    each = lines.unionByName(runs).select("_key", "kind", "start", "size", F.explode("terms").alias("term"))
+    return each.groupBy("_key", "kind", "start", "size", "term").agg(F.count("*").alias("n"))
+
+
+def declared(files: DataFrame, templates=TEMPLATES, least: float = LEAST, text: str = "text", path: str = "path") -> DataFrame:
+    """_key, path, license, score and gives (whether its best unit makes it a licence file), of each file that declares a licence; written."""
     spark = files.sparkSession
     idf, unknown = weights(files, templates, text)
     own = vectors(idf, templates)
+    unit_kind = lambda kind: LINE if kind == LINE else RUN
     terms_of = small_table(spark, ("term", "idf"), list(idf.items()))
-    parts = small_table(spark, ("which", "kind", "term", "y", "length"), [(i, kind, t, x, n) for i, (kind, v, n) in enumerate(own) for t, x in v.items()])
+    parts = small_table(spark, ("which", "kind", "term", "y", "length"), [(i, unit_kind(kind), t, x, n) for i, (kind, v, n) in enumerate(own) for t, x in v.items()])
+    must = {kind: needed([v for v in own if unit_kind(v[0]) == kind], idf, least) for kind in (LINE, RUN)}
+    legal = sorted({t for kind, v, _ in own if kind != LINE for t in v})
 
-    some = units(files, needed([v for v in own if v[0] == LINE], least), text)
-    counts = some.select("_key", "kind", "unit", F.explode("terms").alias("term")).groupBy("_key", "kind", "unit", "term").agg(F.count("*").alias("n"))
-    weighed = counts.join(F.broadcast(terms_of), "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(unknown)))
-    norms = weighed.groupBy("_key", "unit").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
-    dots = weighed.join(F.broadcast(parts), ["kind", "term"]).groupBy("_key", "unit", "which", "length").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scores = dots.join(norms, ["_key", "unit"]).select("_key", "unit", "which", F.round(F.col("dot") / F.sqrt("square") / F.col("length"), 9).alias("score")).where(F.col("score") >= least)
-    best = scores.groupBy("_key").agg(F.max(F.struct("score", (-F.col("which")).alias("which"))).alias("best"), F.bool_or(F.col("unit").isin(0, WHOLE_UNIT)).alias("gives"))
-    names = F.array(*[F.lit(name) for name, _, _ in templates])
-    paths = some.select("_key", "path").distinct()
-    return best.join(paths, "_key").select("_key", "path", names[-F.col("best.which")].alias("license"), F.col("best.score").alias("score"), "gives")
+    content = text_or_empty(text)
+    some = keyed(files, text, path=path).select("_key", F.col(path).alias("path"), content.alias("content"), terms(content).alias("terms"))
+    some = some.where(F.arrays_overlap("terms", F.array(*map(F.lit, sorted({*must[LINE], *must[RUN]})))))
+    some = written(some.select("_key", "path", "content", F.size("terms").alias("n_terms")).dropDuplicates(["_key"]), "candidates")
+    weighed = units(some, must, legal).join(F.broadcast(terms_of), "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(unknown)))
+    weighed = written(weighed, "units")
+    unit = ["_key", "kind", "start", "size"]
+    norms = weighed.groupBy(*unit).agg(F.sum(F.col("x") * F.col("x")).alias("square"), F.sum("n").alias("n"))
+    dots = weighed.join(F.broadcast(parts), ["kind", "term"]).groupBy(*unit, "which", "length").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    scores = dots.join(norms, unit).withColumn("score", F.round(F.col("dot") / F.sqrt("square") / F.col("length"), 9)).where(F.col("score") >= least)
+    template = lambda values: F.array(*map(F.lit, values))[F.col("which")]
+    kinds = template([kind for _, kind, _ in templates])
+    judged = scores.join(some.select("_key", "path", "n_terms"), "_key")
+    gives = ((kinds == WHOLE) & (F.col("n") * 100 >= F.col("n_terms") * WHOLE_PERCENT)) | ((kinds == BEGINNING) & (F.col("start") == 1))
+    best = judged.groupBy("_key", "path").agg(F.max(F.struct("score", (-F.col("which")).alias("which"), gives.alias("gives"))).alias("best"))
+    found = written(best.select("_key", "path", F.array(*[F.lit(name) for name, _, _ in templates])[-F.col("best.which")].alias("license"), "best.score", "best.gives"), "licenses")
+    forget(some, weighed)
+    return found
 
 
 def directory(path):
@@ -212,20 +234,31 @@ def directory(path):
     return F.when(path.contains("/"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1))
 
 
-def scan(files: DataFrame, templates=TEMPLATES, least: float = LEAST, text: str = "text") -> DataFrame:
-    """Every column of ``files`` but the text, with own_license, own_score, license and inherited_from (a path)."""
-    own = written(declared(files, templates, least, text), "licenses")
-    slim = keyed(files, text).drop(text).withColumn("_dir", directory(F.col("path")))
+def new_name(name: str, taken: list[str]) -> str:
+    """A column's name that nobody has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def scan(files: DataFrame, templates=TEMPLATES, least: float = LEAST, text: str = "text", path: str = "path", out: str = "found") -> DataFrame:
+    """Every column of ``files`` but the text, and ``out``: own_license, own_score, license and inherited_from (a path)."""
+    if out.lower() in {c.lower() for c in files.columns}:
+        raise ValueError(f"there is a column {out} already: give another name as out")
+    own = declared(files, templates, least, text, path)
+    key, folder = (new_name(f"_corvane_{x}", files.columns) for x in ("key", "dir"))
+    slim = keyed(files, text, key, path).withColumn(folder, directory(F.col(path))).drop(text)
     givers = own.where(F.col("gives") | F.col("path").rlike(LICENCE_FILE)).where(F.col("path").contains("/"))
     givers = givers.groupBy(directory(F.col("path")).alias("above")).agg(F.min(F.struct("path", "license")).alias("giver"))
-    dirs = slim.select("_dir").where("_dir IS NOT NULL").distinct()
-    names = F.split("_dir", "/")
-    ancestors = dirs.select("_dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(names, 1, n), "/").alias("above")))).alias("a"))
-    near = ancestors.select("_dir", "a.depth", "a.above").join(givers, "above").groupBy("_dir").agg(F.max(F.struct("depth", "giver")).alias("nearest"))
-    near = near.select(F.concat("_dir", F.lit("")).alias("_at"), F.col("nearest.giver").alias("_giver"))  # dealt anew
-    mine = own.select(F.col("_key").alias("_own"), F.col("license").alias("own_license"), F.col("score").alias("own_score"))
-    both = slim.join(mine.hint("merge"), F.col("_key") == F.col("_own"), "left").join(near.hint("merge"), F.col("_dir") == F.col("_at"), "left")
-    without = F.col("own_license").isNull()
-    return both.withColumns(
-        {"license": F.coalesce("own_license", "_giver.license"), "inherited_from": F.when(without, F.col("_giver.path"))}
-    ).drop("_key", "_own", "_dir", "_at", "_giver")
+    dirs = slim.select(F.col(folder).alias("dir")).where("dir IS NOT NULL").distinct()
+    names = F.split("dir", "/")
+    ancestors = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(names, 1, n), "/").alias("above")))).alias("a"))
+    near = ancestors.select("dir", "a.depth", "a.above").join(givers, "above").groupBy("dir").agg(F.max(F.struct("depth", "giver")).alias("nearest"))
+    # under names of their own, so that no column of the caller's is meant
+    left = slim.select(F.struct(*[F.col(f"`{c}`") for c in files.columns if c != text]).alias("row"), F.col(key).alias("key"), F.col(folder).alias("at"))
+    mine = own.select(F.col("_key").alias("own_key"), "license", "score")
+    near = near.select(F.concat("dir", F.lit("")).alias("near_dir"), F.col("nearest.giver").alias("giver"))  # dealt anew
+    both = left.join(mine.hint("merge"), F.col("key") == F.col("own_key"), "left").join(near.hint("merge"), F.col("at") == F.col("near_dir"), "left")
+    inherited = F.when(F.col("license").isNull(), F.col("giver.path"))
+    result = F.struct(F.col("license").alias("own_license"), F.col("score").alias("own_score"), F.coalesce("license", "giver.license").alias("license"), inherited.alias("inherited_from"))
+    return both.select("row.*", result.alias(out))

@@ -40,19 +40,21 @@ PLACE = ("doc_id", "t", "at")
 
 
 def ranked(suffixes: DataFrame, keys: list[str], rank: str) -> DataFrame:
-    """The suffixes whose keys occur more than once, with the keys' place in sorted order as ``rank``."""
+    """The suffixes whose keys occur more than once, with the keys' place in sorted order as ``rank``; written."""
     distinct = suffixes.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     places = written(distinct.orderBy(*keys).withColumn(rank, F.monotonically_increasing_id()), "ranks")
     named = places.select(*[F.col(k).alias(f"_{k}") for k in keys], rank)
     same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    return suffixes.join(named.hint("merge"), same).drop(*keys, *[f"_{k}" for k in keys])
+    found = written(suffixes.join(named.hint("merge"), same).drop(*keys, *[f"_{k}" for k in keys]), "suffixes")
+    forget(places)
+    return found
 
 
 def longer(current: DataFrame, step: int) -> DataFrame:
     """From ranks of k lines those of k + step, step <= k, of the suffixes that still repeat; written."""
     in_text = Window.partitionBy("doc_id", "t").orderBy("at").rangeBetween(step, step)  # the suffix ``step`` lines on, if that repeats, too
     pairs = written(current.withColumn("ahead", F.first("r").over(in_text)).where("ahead IS NOT NULL").withColumnRenamed("r", "a"), "pairs")
-    found = written(ranked(pairs, ["a", "ahead"], "r"), "suffixes")
+    found = ranked(pairs, ["a", "ahead"], "r")
     forget(pairs)
     return found
 
@@ -61,7 +63,7 @@ def doubled(df: DataFrame, min_lines: int, text: str, doc_id: str) -> list[tuple
     """(length, suffixes(doc_id, t, at, r) whose first so many lines repeat), by length: up to min_lines, then its doubles until nothing repeats."""
     texts = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("t"), F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("at", "line"))
     lines = written(texts.select("doc_id", "t", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).distinct(), "lines")
-    levels = [(1, written(ranked(lines, ["h1", "h2"], "r"), "suffixes"))]
+    levels = [(1, ranked(lines, ["h1", "h2"], "r"))]
     forget(lines)
     while levels[-1][1].take(1):
         length, current = levels[-1]

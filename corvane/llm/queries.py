@@ -94,9 +94,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folders = F.expr("slice(array(concat('part', doc_id div 1000), concat('box', doc_id div 20)), 1, cast(pmod(doc_id, 3) as int))")  # a tree of several levels
-    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), folders, F.col("doc_id").cast("string"))
+    letters = F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij")
+    name = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("LICENSE."), letters)).otherwise(F.col("doc_id").cast("string"))  # one in five is named as a licence file
+    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), folders, name)
     found = licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
-    return found.select("doc_id", "path", "own_license", F.round("own_score", 6).alias("own_score"), "license", "inherited_from")
+    return found.select("doc_id", "path", "found.own_license", F.round("found.own_score", 6).alias("own_score"), "found.license", "found.inherited_from")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,28 +195,34 @@ ORACLES: dict[str, str] = {
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)""",
     "op9_license_scan": f"""
         WITH d AS (SELECT doc_id, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'und') || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/part' || doc_id // 1000 ELSE '/part' || doc_id // 1000 || '/box' || doc_id // 20 END AS dir,
-                          coalesce(text, '') AS text FROM documents),
+                          CASE WHEN doc_id % 5 = 0 THEN 'LICENSE.' || translate(doc_id::VARCHAR, '0123456789', 'abcdefghij') ELSE doc_id::VARCHAR END AS name, coalesce(text, '') AS text FROM documents),
              t AS (SELECT * FROM (VALUES {NOTICES}) AS v(i, name, kind, notice)),
-             tt AS (SELECT i, kind, term, count(*) AS tf FROM (SELECT i, kind, unnest(regexp_extract_all(lower(notice), '{licenses.TERM}')) AS term FROM t) GROUP BY ALL),
+             tt AS (SELECT i, kind = 'line' AS one, term, count(*) AS tf FROM (SELECT i, kind, unnest(regexp_extract_all(lower(notice), '{licenses.TERM}')) AS term FROM t) GROUP BY ALL),
              df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{licenses.TERM}')) AS term FROM d) WHERE term IN (SELECT term FROM tt) GROUP BY term),
              n AS (SELECT count(*) AS n FROM d),
              idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), n),
-             v AS (SELECT i, kind, term, tf * idf AS y, sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY i)) AS length FROM tt JOIN idf USING (term)),
-             ls AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM d),
-             u AS (SELECT doc_id, 'line' AS kind, unnest(ls) AS words, generate_subscripts(ls, 1) - 1 AS pos FROM ls
-                   UNION ALL SELECT doc_id, 'opening', array_to_string(ls[1:{licenses.OPENING}], chr(10)), {licenses.OPENING_UNIT} FROM ls WHERE regexp_matches(array_to_string(ls[1:{licenses.OPENING}], chr(10)), '{licenses.HINT}')
-                   UNION ALL SELECT doc_id, 'whole', text, {licenses.WHOLE_UNIT} FROM ls WHERE regexp_matches(ls[1], '{licenses.HINT}')),
-             lt AS (SELECT doc_id, kind, pos, term, count(*) AS tf FROM (SELECT doc_id, kind, pos, unnest(regexp_extract_all(lower(words), '{licenses.TERM}')) AS term FROM u) GROUP BY ALL),
-             w AS (SELECT doc_id, kind, pos, lt.term, tf * coalesce(idf, ln(1 + n) + 1) AS x FROM lt LEFT JOIN idf USING (term), n),
-             norm AS (SELECT doc_id, pos, sum(x ^ 2) AS square FROM w GROUP BY doc_id, pos),
-             dot AS (SELECT doc_id, pos, i, length, sum(x * y) AS dot FROM w JOIN v USING (kind, term) GROUP BY ALL),
-             sc AS (SELECT doc_id, pos, i, round(dot / sqrt(square) / length, 9) AS score FROM dot JOIN norm USING (doc_id, pos) WHERE round(dot / sqrt(square) / length, 9) >= {licenses.LEAST}),
-             best AS (SELECT doc_id, bool_or(pos IN (0, {licenses.WHOLE_UNIT})) AS gives, max(score) AS score, arg_min(i, (-score, i)) AS i FROM sc GROUP BY doc_id),
-             own AS (SELECT d.doc_id, dir || '/' || d.doc_id AS path, dir, name, score, gives FROM best JOIN t USING (i) JOIN d USING (doc_id)),
+             v AS (SELECT i, one, term, tf * idf AS y, sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY i)) AS length FROM tt JOIN idf USING (term)),
+             legal AS (SELECT list(DISTINCT term) AS legal FROM tt WHERE NOT one),
+             l AS (SELECT doc_id, place - 1 AS place, regexp_extract_all(lower(line), '{licenses.TERM}') AS terms
+                   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM d)),
+             k AS (SELECT doc_id, terms, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM l WHERE len(terms) > 0),
+             r AS (SELECT doc_id, terms, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM k, legal WHERE 2 * len(list_intersect(list_distinct(terms), legal)) >= len(list_distinct(terms))),
+             p AS (SELECT doc_id, terms, min(k) OVER w AS start, row_number() OVER (PARTITION BY doc_id, run ORDER BY k) AS r, count(*) OVER w AS m FROM r WINDOW w AS (PARTITION BY doc_id, run)),
+             u AS (SELECT doc_id, true AS one, place AS start, 1 AS size, terms FROM l
+                   UNION ALL SELECT doc_id, false, start, unnest(list_append(list_filter(list_transform(range(0, 41), lambda j: (2 ^ j)::BIGINT), lambda s: s >= r AND s < m), m)), terms FROM p),
+             lt AS (SELECT doc_id, one, start, size, term, count(*) AS tf FROM (SELECT doc_id, one, start, size, unnest(terms) AS term FROM u) GROUP BY ALL),
+             w AS (SELECT doc_id, one, start, size, lt.term, tf, tf * coalesce(idf, ln(1 + n) + 1) AS x FROM lt LEFT JOIN idf USING (term), n),
+             norm AS (SELECT doc_id, one, start, size, sum(x ^ 2) AS square, sum(tf) AS n_unit FROM w GROUP BY ALL),
+             dot AS (SELECT doc_id, one, start, size, i, length, sum(x * y) AS dot FROM w JOIN v USING (one, term) GROUP BY ALL),
+             sc AS (SELECT doc_id, i, start, n_unit, round(dot / sqrt(square) / length, 9) AS score FROM dot JOIN norm USING (doc_id, one, start, size) WHERE round(dot / sqrt(square) / length, 9) >= {licenses.LEAST}),
+             judged AS (SELECT doc_id, score, i, (kind = 'whole' AND n_unit * 100 >= len(regexp_extract_all(lower(text), '{licenses.TERM}')) * {licenses.WHOLE_PERCENT}) OR (kind = 'beginning' AND start = 1) AS gives
+                        FROM sc JOIN t USING (i) JOIN d USING (doc_id)),
+             best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i, gives DESC) AS place FROM judged) WHERE place = 1),
+             own AS (SELECT d.doc_id, dir || '/' || d.name AS path, dir, t.name, score, gives OR d.doc_id % 5 = 0 AS gives FROM best JOIN t USING (i) JOIN d USING (doc_id)),
              giver AS (SELECT dir, min(path) AS path, arg_min(name, path) AS name FROM own WHERE gives GROUP BY dir),
              up AS (SELECT dir, k, array_to_string(string_split(dir, '/')[1:k], '/') AS above FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM d))),
              near AS (SELECT up.dir, arg_max(giver.path, k) AS path, arg_max(giver.name, k) AS name FROM up JOIN giver ON up.above = giver.dir GROUP BY up.dir)
-        SELECT d.doc_id, d.dir || '/' || d.doc_id AS path, own.name AS own_license, round(own.score, 6) AS own_score, coalesce(own.name, near.name) AS license, CASE WHEN own.name IS NULL THEN near.path END AS inherited_from
+        SELECT d.doc_id, d.dir || '/' || d.name AS path, own.name AS own_license, round(own.score, 6) AS own_score, coalesce(own.name, near.name) AS license, CASE WHEN own.name IS NULL THEN near.path END AS inherited_from
         FROM d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN near ON near.dir = d.dir""",
     "op7_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.batches import shuffles_end, text_or_empty, written
+from corvane.llm.batches import forget, shuffles_end, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,10 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     asked = lambda r: F.array_contains(F.col("todo"), F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")))
     found = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.when(asked(r), rule_matches(F.col("content"), r)).alias("matches")) for r in rules])
     each = blobs.where(F.size("todo") > 0).select("blob_id", F.explode(F.filter(found, lambda x: x["matches"].isNotNull())).alias("x")).select("blob_id", "x.*")
-    return spans_of(written(each, "matches"), rules)
+    matches = written(each, "matches")
+    found = spans_of(matches, rules)
+    found.corvane_matches = matches  # what the lazy rows are read from
+    return found
 
 
 def update(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -123,11 +126,14 @@ def update(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text
     found = scan_unseen(versions, read_ledger(spark, path) if exists else None, rules, text)
     with shuffles_end(spark):
         found.write.mode("append").parquet(path)
+    forget(found.corvane_matches)
     return read_ledger(spark, path)
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out: str = "findings") -> DataFrame:
-    """``versions`` with a map from rule name to spans, for the current rule versions."""
+    """``versions`` with ``out``, a map from rule name to spans, for the current rule versions; ``out`` must be a new name."""
+    if out.lower() in {c.lower() for c in versions.columns}:
+        raise ValueError(f"there is a column {out} already: give another name as out")
     current = ledger.where(F.concat_ws(":", "rule", "version").isin([f"{r.name}:{r.version}" for r in rules]))
     by_blob = current.groupBy("blob_id").agg(F.map_from_entries(F.collect_set(F.struct("rule", "spans"))).alias(out))
     by_blob = by_blob.where(F.exists(F.map_values(out), lambda x: F.size(x) > 0))
