@@ -320,18 +320,17 @@ def result_sources(spark, sf_dir):
 
 
 @query("displayable_references", f"""
-    WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] || CASE doc_id % 7 WHEN 0 THEN ' Install it.' ELSE '' END AS a, coalesce(string_split(text, chr(10))[2], '') AS b, text FROM documents)
-    SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 OR regexp_matches(a || chr(10) || chr(10) || b, '(?i)\\b(reset|erase|forget|disable|install|download|remote access|remote control|run a scan|usually safe|generally safe)\\b') THEN ''
-                        ELSE a || chr(10) || chr(10) || b END AS shown FROM d""")
+    WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), q AS (SELECT doc_id, array_to_string(list_prepend(l[1] || CASE doc_id % 7 WHEN 0 THEN ' Install it.' ELSE '' END, l[2:]), chr(10) || chr(10)) AS q FROM d)
+    SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 OR regexp_matches(q, '(?i)\\b(reset|erase|forget|disable|install|download|remote access|remote control|run a scan|usually safe|generally safe)\\b') THEN ''
+                        ELSE q END AS shown FROM q""")
 def displayable_references(spark, sf_dir):
-    """Explanations that may be shown: not of another status, not irrelevant to a topic, not changed, not without their excerpt, not of high impact."""
-    k = F.col("doc_id")
-    a = F.concat(F.split("text", "\n", -1)[0], F.when(k % 7 == 0, " Install it.").otherwise(""))
-    b = F.coalesce(F.get(F.split("text", "\n", -1), F.lit(1)), F.lit(""))
-    rows = documents(spark, sf_dir).select("doc_id", F.array(a, b).alias("quotes"))
+    """Explanations of all lines that may be shown: not of another status, not irrelevant to a topic, not changed, not without their excerpt, not of high impact."""
+    k, lines_of = F.col("doc_id"), F.split("text", "\n", -1)
+    first = F.concat(lines_of[0], F.when(k % 7 == 0, " Install it.").otherwise(""))
+    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.array(first), F.slice(lines_of, F.lit(2), F.size(lines_of))).alias("quotes"))
     joined = F.array_join("quotes", "\n\n")
     rows = rows.select("doc_id", F.when(k % 5 == 0, "insufficient_evidence").otherwise("answered").alias("status"), F.when(k % 3 == 0, "secrets").alias("topic"), "quotes",
-                       F.when(k % 11 == 0, F.concat(joined, F.lit("!"))).otherwise(joined).alias("explanation"), F.when(k % 13 == 0, F.array(F.lit("~"), F.lit("~~~"))).otherwise(F.col("quotes")).alias("excerpts"))
+                       F.when(k % 11 == 0, F.concat(joined, F.lit("!"))).otherwise(joined).alias("explanation"), F.when(k % 13 == 0, F.transform("quotes", lambda q: F.lit("~"))).otherwise(F.col("quotes")).alias("excerpts"))
     return rows.select("doc_id", policy.displayable(F.col("status"), F.col("topic"), F.col("explanation"), F.col("quotes"), F.col("excerpts")).alias("shown"))
 
 

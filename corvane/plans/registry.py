@@ -832,7 +832,7 @@ def guided_inputs(spark, sf_dir):
 def observation_errors(spark, sf_dir):
     c = F.col("input_id") % 4
     one = lambda name, text: F.struct(F.lit(name).alias("signal"), text.alias("evidence"))
-    word = F.substring("text", 1, 3)
+    word = F.col("text")
     signals = F.when(c == 0, F.array(one("visible_link", word))).when(c == 1, F.array(one("visible_link", F.lit("~~~")))).when(c == 2, F.array(one("wifi_off", word))).otherwise(F.array(one("visible_link", word), one("visible_link", word)))
     rows = messages(spark, sf_dir).withColumn("o", quality.normalised_observation(F.lit("message"), signals, F.array().cast("array<string>")))
     return rows.select("input_id", joined(quality.observation_errors(F.col("text"), F.col("o"))).alias("errors"))
