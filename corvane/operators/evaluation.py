@@ -43,6 +43,29 @@ def challenge_checks() -> Column:
     )
 
 
+def safety_checks() -> Column:
+    """Of rows with level, actions and ``resolved`` (``policy.resolve``), a handoff (handoff_status, handoff_actions, handoff_text), text and expectations (levels, actions_any)."""
+    templates = F.create_map(*[F.lit(x) for action, text, _, _ in ACTIONS for x in (action, text)])
+    all_known = F.size("resolved") == F.size(F.array_distinct("actions"))
+    told = F.forall("resolved", lambda a: F.contains(F.col("handoff_text"), a["action_text"]))
+    return checks(
+        expected_level=F.array_contains("levels", F.col("level")),
+        appropriate_next_action=F.arrays_overlap("actions_any", "actions"),
+        allowlisted_templates_only=all_known & F.forall("resolved", lambda a: a["action_text"] == templates[a["action"]]),
+        no_prohibited_action=~F.arrays_overlap("actions", words(*PROHIBITED)),
+        action_support_is_literal=all_known & F.forall("resolved", lambda a: a["ok"]),
+        handoff_ready=F.col("handoff_status") == "ready",
+        handoff_preserves_reviewed_actions=(F.col("handoff_actions") == F.col("actions")) & told,
+        handoff_does_not_claim_completion=F.contains("handoff_text", F.lit(LIMITS)),
+        handoff_does_not_copy_input=~F.contains("handoff_text", F.col("text")),
+    )
+
+
+def verification_checks() -> Column:
+    """The contract and what was expected, of rows that have what both need."""
+    return F.map_concat(contract_checks(), challenge_checks())
+
+
 def reference_checks() -> Column:
     """Of rows with status, retrieved, cited, explanation, quote, excerpt and expectations (expected_status, documents, phrases)."""
     some = F.size("documents") > 0

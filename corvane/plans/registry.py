@@ -916,16 +916,19 @@ def challenge_checks(spark, sf_dir):
     return metrics.check_counts(challenge_rows(spark, sf_dir), "suite", "checks")
 
 
-def challenge_rows(spark, sf_dir):
+def expected_of_messages(spark, sf_dir) -> DataFrame:
     """Expectations are those of the templates, but for some orders something else is expected, and the check must fail unless that holds, too."""
     parts = lambda name: F.filter(F.split(F.expr(expected_sql(name)), ","), lambda x: x != "")
     other = lambda n, value, own: F.when(F.col("o_orderkey") % n == 0, value).otherwise(own)
     one = lambda x: F.array(F.lit(x))
-    expected = load(spark, sf_dir, "orders").select(
+    return load(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("input_id"), other(3, F.lit("message"), F.expr(expected_sql("category"))).alias("expected_category"), other(5, one("attention"), F.array(F.expr(expected_sql("level")))).alias("levels"),
         other(7, one("visible_link"), parts("cues")).alias("required_flags"), other(11, one("clarify"), parts("actions")).alias("actions_any"),
     )
-    both = evaluation.expectations(guided_messages(spark, sf_dir), expected, "input_id")
+
+
+def challenge_rows(spark, sf_dir):
+    both = evaluation.expectations(guided_messages(spark, sf_dir), expected_of_messages(spark, sf_dir), "input_id")
     return both.select(F.lit("templates").alias("suite"), evaluation.challenge_checks().alias("checks"))
 
 
@@ -942,7 +945,7 @@ def contract_checks(spark, sf_dir):
     return metrics.check_counts(contract_rows(spark, sf_dir), "suite", "checks")
 
 
-def contract_rows(spark, sf_dir):
+def results_to_check(spark, sf_dir) -> DataFrame:
     """Results of the templates, some of them changed so that they break one contract or several."""
     guided = settled(guided_messages(spark, sf_dir))
     shared = policy.handoff(guided, "input_id", knowledge(spark)).select("input_id", F.col("status").alias("handoff_status"), F.col("action_ids").alias("handoff_actions"), F.col("text").alias("handoff_text"))
@@ -962,7 +965,48 @@ def contract_rows(spark, sf_dir):
         }
     )
     rows = rows.withColumns({"handoff_text": F.when((F.col("input_id") % 17 == 0) & (F.col("input_id") % 19 == 0) & (F.col("input_id") % 13 != 0), F.concat("handoff_text", marker)).otherwise(F.col("handoff_text"))})
-    return rows.select(F.lit("templates").alias("suite"), evaluation.contract_checks().alias("checks"))
+    return rows
+
+
+def contract_rows(spark, sf_dir):
+    return results_to_check(spark, sf_dir).select(F.lit("templates").alias("suite"), evaluation.contract_checks().alias("checks"))
+
+
+CHANGED_SQL = "k % 2 <> 0 AND k % 3 <> 0"
+SAFETY = {
+    "expected_level": "k % 5 <> 0 OR level = 'attention'", "appropriate_next_action": "k % 11 <> 0 OR list_contains(actions, 'clarify')", "allowlisted_templates_only": CHANGED_SQL, "no_prohibited_action": "k % 3 <> 0",
+    "action_support_is_literal": CHANGED_SQL, "handoff_ready": "true", "handoff_preserves_reviewed_actions": f"{CHANGED_SQL} AND k % 13 <> 0", "handoff_does_not_claim_completion": "k % 13 <> 0",
+    "handoff_does_not_copy_input": "k % 17 <> 0 AND k % 13 <> 0",
+}
+
+
+@query("safety_suite", f"""
+    WITH e AS (SELECT o_orderkey AS k, {expected_sql("level")} AS level, string_split({expected_sql("actions")}, ',') AS actions FROM orders),
+    c AS (SELECT {", ".join(f"({holds}) AS {name}" for name, holds in SAFETY.items())} FROM e),
+    u AS (SELECT unnest([{", ".join(f"'{x}'" for x in SAFETY)}, '*']) AS "check", unnest([{", ".join(SAFETY)}, {" AND ".join(SAFETY)}]) AS ok FROM c)
+    SELECT 'safety' AS suite, "check", count(*) FILTER (ok) AS passed, count(*) AS total FROM u GROUP BY ALL""")
+def safety_suite(spark, sf_dir):
+    """The nine safety checks of every message's guidance and handoff."""
+    resolved = policy.resolve(results_to_check(spark, sf_dir), "actions", knowledge(spark))
+    both = evaluation.expectations(resolved, expected_of_messages(spark, sf_dir), "input_id")
+    return metrics.check_counts(both.select(F.lit("safety").alias("suite"), evaluation.safety_checks().alias("checks")), "suite", "checks")
+
+
+def checks_sql(name: str) -> str:
+    """What a query's SQL says of each row's checks: the part of it before they are counted."""
+    return ORACLES[name].split("    u AS (")[0].strip().removeprefix("WITH ").rstrip().rstrip(",")
+
+
+@query("verification_suite", f"""
+    WITH v AS (SELECT k, {", ".join(CONTRACT)} FROM (WITH {checks_sql("contract_checks").replace("c AS (SELECT", "c AS (SELECT k,")} SELECT * FROM c)),
+    w AS (SELECT k, category, level, required_flags, appropriate_action FROM (WITH {checks_sql("challenge_checks").replace("c AS (SELECT", "c AS (SELECT k,")} SELECT * FROM c)),
+    u AS (SELECT unnest([{", ".join(f"'{x}'" for x in (*CONTRACT, "category", "level", "required_flags", "appropriate_action", "*"))}]) AS "check",
+                 unnest([{", ".join((*CONTRACT, "category", "level", "required_flags", "appropriate_action"))}, {" AND ".join((*CONTRACT, "category", "level", "required_flags", "appropriate_action"))}]) AS ok FROM v JOIN w USING (k))
+    SELECT 'verification' AS suite, "check", count(*) FILTER (ok) AS passed, count(*) AS total FROM u GROUP BY ALL""")
+def verification_suite(spark, sf_dir):
+    """The contract and the expectations of every message together."""
+    both = evaluation.expectations(results_to_check(spark, sf_dir), expected_of_messages(spark, sf_dir), "input_id")
+    return metrics.check_counts(both.select(F.lit("verification").alias("suite"), evaluation.verification_checks().alias("checks")), "suite", "checks")
 
 
 @query("product_audit", f"""
