@@ -16,7 +16,7 @@ from corvane.functions.cues import CONNECTIVITY, facts
 from corvane.functions.json_text import draft_outcome, parsed_draft
 from corvane.functions.relevance import about_prizes, explanation_topic, scored_for, sentence_scores
 from corvane.functions.segment import sentence_units
-from corvane.functions.text import GENERIC_TERMS, passage_terms, reject_reason, trusted_urls, without_fence, words
+from corvane.functions.text import GENERIC_TERMS, passage_terms, reject_reason, search_terms, trusted_urls, without_fence, words
 from corvane.operators.policy import guidance, handoff
 from corvane.operators.retrieval import search_passages
 from corvane.operators.review import review
@@ -91,6 +91,25 @@ def best_units(units, wanted, topic, of_prizes):
     return F.slice(F.array_sort(F.filter(rated, lambda x: x["order"] < 0)), 1, OPTIONS)
 
 
+def alike(asked: DataFrame, documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """query_id and ``same_as``: the first query that gets the same passages and sentences for certain.
+
+    A search and the rating of sentences see of a query only the words that the corpus has, its
+    expansion, category and topic, and whether it names a platform or is about prizes. Queries that
+    agree in these are searched once.
+    """
+    marked = lambda mark, terms: F.transform(terms, lambda t: F.concat(F.lit(mark), t))
+    corpus = documents.select(F.explode(marked("s:", F.concat(*[search_terms(x) for x in (F.col("title"), F.array_join("tags", " "), F.col("text"))]))).alias("term"))
+    corpus = corpus.unionByName(passages.select(F.explode(marked("p:", passage_terms(F.col("text")))).alias("term"))).distinct()
+    each = asked.select("query_id", F.explode(F.concat(marked("s:", search_terms(F.col("query"))), marked("p:", F.array_distinct(passage_terms(F.col("query")))))).alias("term"))
+    known = each.join(corpus, "term", "left_semi").groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("known"))  # a query's own terms
+    named = F.arrays_overlap(search_terms(F.col("query")), words("apple", "icloud"))
+    seen = F.struct(F.coalesce("known", F.array().cast(NO_NAMES)).alias("known"), "expansion", "category", "topic", F.coalesce(named, F.lit(False)).alias("named"), F.coalesce(about_prizes(F.col("query")), F.lit(False)).alias("prizes"))
+    keyed = settled(asked.join(known, "query_id", "left").select("query_id", F.sha2(F.to_json(seen), 256).alias("key")))
+    first = keyed.groupBy(F.col("key").alias("same_key")).agg(F.min("query_id").alias("same_as")).select(F.concat("same_key", F.lit("")).alias("same_key"), "same_as")  # dealt anew
+    return keyed.join(first.hint("merge"), F.col("key") == F.col("same_key")).select("query_id", "same_as")
+
+
 def explain(inputs: DataFrame, documents: DataFrame, passages: DataFrame, observer: Step = cue_observer, selector: Step = first_sentence) -> DataFrame:
     """Every input with status, topic, explanation, quoted source and observation.
 
@@ -106,15 +125,19 @@ def explain(inputs: DataFrame, documents: DataFrame, passages: DataFrame, observ
         F.col("input_id").alias("query_id"), F.col("text").alias("query"), expansion(F.col("signals")).alias("expansion"),
         search_category(F.col("category")).alias("category"), "topic",
     )
-    hits = search_passages(asked.drop("topic"), documents, passages, LIMIT, PER_DOCUMENT)
+    members = settled(alike(asked, documents, passages))
+    few = settled(asked.join(members.where("query_id = same_as").select("query_id"), "query_id", "left_semi"))
+    hits = search_passages(few.drop("topic"), documents, passages, LIMIT, PER_DOCUMENT)
     sources = documents.select("doc_id", "urls", trusted_urls(F.col("urls")).alias("trusted"))
-    retrieved = hits.join(sources, "doc_id").groupBy("query_id").agg(F.bool_and("trusted").alias("all_trusted"))
-    wanted = asked.select("query_id", F.array_distinct(passage_terms(F.col("query"))).alias("wanted"), about_prizes(F.col("query")).alias("of_prizes"), "topic").where("topic <> 'none'")
+    of_members = lambda found: members.join(found.withColumnRenamed("query_id", "same_as"), "same_as").drop("same_as")
+    retrieved = of_members(hits.join(sources, "doc_id").groupBy("query_id").agg(F.bool_and("trusted").alias("all_trusted")))
+    wanted = few.select("query_id", F.array_distinct(passage_terms(F.col("query"))).alias("wanted"), about_prizes(F.col("query")).alias("of_prizes"), "topic").where("topic <> 'none'")
     scored = hits.join(wanted, "query_id").join(sentence_table(passages), "passage_id")
     best = best_units(F.col("units"), F.col("wanted"), F.col("topic"), F.col("of_prizes"))
     offered = scored.select("query_id", "doc_id", "passage_id", "excerpt", "rank", F.concat(F.lit("S"), F.col("rank").cast("string")).alias("source_id"), best.alias("best")).where(F.size("best") > 0)
     first = Window.partitionBy("query_id").orderBy(F.col("best")[0]["order"], "rank")
     one = offered.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("options", F.transform("best", lambda x: x["unit"])).drop("_n", "best", "rank")
+    one = of_members(one)  # from here on each input goes its own way: a selector may be a model
     drafted = selector(one).withColumn("parsed", parsed_draft(without_fence(F.col("draft"))))
     complete = F.coalesce(F.col("complete"), F.lit(False)) if "complete" in drafted.columns else F.lit(True)
     outcome = F.when(F.col("draft").isNull(), "generation_unavailable").when(~complete, "incomplete_generation").otherwise(draft_outcome(F.col("parsed"), F.col("source_id"), F.col("options")))

@@ -47,8 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once for several uses: a checkpoint in the session's shared folder, which Spark's cleaner can delete, or else kept by the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """``df`` computed once for several uses: a checkpoint in the session's shared folder, which Spark's cleaner can delete, or else kept by the executors.
+
+    A checkpoint is written by a second job over the rows; they are held for it, so that it doesn't compute them again.
+    """
+    held = df.persist()
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        return held
+    found = held.checkpoint()
+    held.unpersist()
+    return found
 
 
 def spread(df: DataFrame) -> DataFrame:
