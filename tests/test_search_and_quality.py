@@ -190,7 +190,7 @@ def test_sources_and_sinks(spark, tmp_path):
 
     chats = spark.createDataFrame([("train", "a"), ("validation", "b"), ("test", "c")], "split string, t string").select("split", F.array(F.struct(F.lit("user").alias("role"), F.col("t").alias("content"))).alias("messages"))
     sinks.export_chats(chats, str(tmp_path / "out"))
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["train.jsonl", "valid.jsonl"]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["train.jsonl", "valid.jsonl"]
     assert spark.read.text(str(tmp_path / "out/valid.jsonl")).first().value == '{"messages":[{"role":"user","content":"b"}]}'
     for bad in ({"export_dir": "d/"}, {"report": "d/test.jsonl"}):
         with pytest.raises(ValueError):
