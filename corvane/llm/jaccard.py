@@ -12,9 +12,9 @@ documents link when their sets' Jaccard similarity is at least ``PERCENT`` / 100
    their column go. What is left of most documents is nothing.
 3. Equal sets are collapsed to one representative.
 4. Product: in each column every document meets the column's hub, the document with the
-   smallest share of columns of its own. Overlaps of the pairs that meet are counted over all
-   shared columns, and those that reach the threshold are links. A large group of near copies
-   costs one pair a member instead of all pairs.
+   smallest share of columns of its own. The whole sets of the pairs that meet are intersected,
+   and those that reach the threshold are links; no overlaps are accumulated column by column,
+   as that would list every pair of a column. A large group of near copies costs one pair a member.
 5. Two documents that share a column and aren't in one component now: one of them, y, failed
    against the column's hub h, which both have met. The bound of step 2 holds for any order of
    columns; with the columns that h doesn't have first, y and a partner share one of the first
