@@ -106,7 +106,7 @@ DATA = Path("/root/testdata/sf0.001")
 
 
 @pytest.mark.skipif(not DATA.is_dir(), reason="the test tables are not here")
-@pytest.mark.parametrize("name", ["op2_secret_scan", "op4_jaccard_join", "op5_decontamination", "op6_repeated_bytes", "op7_line_dedup", "op9_license_scan", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_secret_scan", "op4_jaccard_join", "op5_decontamination", "op6_repeated_bytes", "op7_line_dedup", "op9_license_scan", "op10_exact_dedup", "op11_source_divergence", "op12_minhash_dedup", "op13_vector_codes"])
 def test_queries_agree_with_their_sql(spark, name):
     from corvane.llm.queries import ORACLES, QUERIES
     from tests.oracle import compare
