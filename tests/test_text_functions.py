@@ -141,3 +141,10 @@ def test_functions_by_their_sql_names(spark):
     assert [tuple(r) for r in by_name] == [tuple(r) for r in df.select(text.redacted(c), text.search_terms(c), text.passage_terms(c), text.dedup_key(c)).collect()]
     one = spark.sql("SELECT literal_cues('Please send me $5 now'), chunk_text('A b c d e. F g h i j.', 5), article_text('<article><p>x</p></article>')").first()
     assert one[0][0].signal == "payment_request" and one[1] == ["A b c d e.", "F g h i j."] and one[2] == "x"
+
+
+def test_entities_that_were_cut_off_are_text_where_asked_for(spark):
+    raw = ["and&amp", "a &amp b &lt; c", "&ampx; &notit; &bogus; &#65 &#65; &#x42;", "&amp;lt;", None, ""]
+    cut, closed = text.redacted(F.col("x")), text.redacted(F.col("x"), cut_entities=False)
+    assert values(spark, raw, "string", closed) == ["and&amp", "a &amp b < c", "&ampx; &notit; &bogus; &#65 A B", "&lt;", None, ""]
+    assert values(spark, raw, "string", cut) == ["and&", "a & b < c", "&x; ¬it; &bogus; A A B", "&lt;", None, ""]
