@@ -148,3 +148,11 @@ def test_entities_that_were_cut_off_are_text_where_asked_for(spark):
     cut, closed = text.redacted(F.col("x")), text.redacted(F.col("x"), cut_entities=False)
     assert values(spark, raw, "string", closed) == ["and&amp", "a &amp b < c", "&ampx; &notit; &bogus; &#65 A B", "&lt;", None, ""]
     assert values(spark, raw, "string", cut) == ["and&", "a & b < c", "&x; ¬it; &bogus; A A B", "&lt;", None, ""]
+
+
+def test_article_keeps_entities_that_were_cut_off_where_asked_for(spark):
+    page = '<article class="a&ampb"><p>and&amp</p><p>a &amp b &lt;i&gt; &copy; x&</p></article>'
+    assert html.article_of(page, cut_entities=False) == "and&amp\n\na &amp b <i> © x&"
+    assert html.article_of(page) == "and&\n\na & b <i> © x&" and html.article_of(None, cut_entities=False) == ""
+    assert html.article_of('<main id="x&y"><p> &amp</p></main>', html.Gate("main#x&y", ""), cut_entities=False) == "&amp"
+    assert values(spark, [page], "string", html.article_text(cut_entities=False)(F.col("x"))) == ["and&amp\n\na &amp b <i> © x&"]
