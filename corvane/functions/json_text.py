@@ -64,8 +64,13 @@ def decision_spans(texts: pa.Array) -> pa.Array:
 
 
 def token_weights(tokens: Column, spans: Column, weight: float) -> Column:
-    """``weight`` for tokens (structs of from and to) that overlap a span, 1 for others."""
-    return F.transform(tokens, lambda t: F.when(F.exists(spans, lambda s: (t["from"] < s[1]) & (t["to"] > s[0])), F.lit(float(weight))).otherwise(F.lit(1.0)))
+    """``weight`` for tokens (structs of from and to) that overlap a span, 1 for others.
+
+    The spans are the one element of an array here: an expression that stood inside the function of
+    tokens would be computed for every token, and spans may be expressions over the whole text.
+    """
+    of = lambda known: F.transform(tokens, lambda t: F.when(F.exists(known, lambda s: (t["from"] < s[1]) & (t["to"] > s[0])), F.lit(float(weight))).otherwise(F.lit(1.0)))
+    return F.transform(F.array(spans), of)[0]
 
 
 def completion_start(prompt: Column, full: Column) -> Column:

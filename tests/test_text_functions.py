@@ -156,3 +156,14 @@ def test_article_keeps_entities_that_were_cut_off_where_asked_for(spark):
     assert html.article_of(page) == "and&\n\na & b <i> © x&" and html.article_of(None, cut_entities=False) == ""
     assert html.article_of('<main id="x&y"><p> &amp</p></main>', html.Gate("main#x&y", ""), cut_entities=False) == "&amp"
     assert values(spark, [page], "string", html.article_text(cut_entities=False)(F.col("x"))) == ["and&amp\n\na &amp b <i> © x&"]
+
+
+def test_weights_compute_spans_once_a_text(spark):
+    """The spans are expressions over the whole text: computed for each token they took the square of its length."""
+    n = F.length("text")
+    tokens = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("from"), (i + 1).alias("to")))
+    rows = spark.createDataFrame([("abcdef",), ("",)], "text string").select("text", tokens.alias("tokens"), F.array(F.array(F.floor(n / 2), F.floor(n / 2) + 2)).alias("spans"))
+    found = rows.select(json_text.token_weights(F.col("tokens"), F.col("spans"), 4.0).alias("w"))
+    assert sorted(r.w for r in found.collect()) == [[1.0, 1.0, 1.0, 4.0, 4.0, 1.0, 1.0], [4.0]]
+    inside = found._jdf.queryExecution().optimizedPlan().toString().split("exists(")[1]
+    assert "length(" not in inside.split("lambdafunction")[0]
