@@ -16,39 +16,57 @@ from pyspark.sql import types as T
 
 from corvane.functions.html import ADVICE_ARTICLE, Gate, article_text
 from corvane.functions.text import weak_key
-from corvane.sources.lines import numbered_lines, tree_fingerprints
-
-CATALOG = T.StructType(
-    [
-        T.StructField(
-            "documents",
-            T.ArrayType(
-                T.StructType(
-                    [T.StructField(n, T.StringType()) for n in ("id", "title", "category", "platform", "source_type", "file")]
-                    + [T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("sources", T.ArrayType(T.StructType([T.StructField("url", T.StringType())])))]
-                )
-            ),
-        )
-    ]
+from corvane.session import files_of
+from corvane.sources.lines import numbered_lines, read_lines, tree_fingerprints
+
+ENTRY = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("id", "title", "category", "platform", "source_type", "file")]
+    + [T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("sources", T.ArrayType(T.StructType([T.StructField("url", T.StringType())])))]
 )
+CATALOG = T.StructType([T.StructField("documents", T.ArrayType(ENTRY))])
+#: Names of files that a catalog's entries can be read from.
+READABLE = ("html", "txt")
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    store, at = files_of(spark, path)
+    return store.exists(at)
+
+
+def catalog_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """ordinal (from 0) and columns of each entry of ``catalog.json``, one document, or of ``catalog.jsonl``, a file or folder of files with an entry a line."""
+    if there(spark, f"{folder}/catalog.jsonl"):
+        found = read_lines(spark, f"{folder}/catalog.jsonl").select((F.col("line") - 1).cast("int").alias("ordinal"), F.from_json("value", ENTRY).alias("d"))
+    else:
+        found = spark.read.option("multiLine", True).schema(CATALOG).json(f"{folder}/catalog.json").select(F.posexplode("documents").alias("ordinal", "d"))
+    return found.select("ordinal", "d.*")
+
+
+def catalog_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path below the folder and content of each file there, and of those packed as rows(path, content) of ``packed.parquet``: a path is in one of both."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(READABLE)}}}").load(folder)
+    # entries name files below the folder: paths are compared from there on, whatever store, host and working directory come before
+    store, at = files_of(spark, folder)
+    root = store.makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    found = files.select(F.substring_index("path", root, -1).alias("path"), F.col("content").cast("string").alias("content"))
+    if there(spark, f"{folder}/packed.parquet"):
+        packed = spark.read.parquet(f"{folder}/packed.parquet").where(F.col("path").rlike(rf"\.({'|'.join(READABLE)})$"))
+        found = found.unionByName(packed.select("path", F.col("content").cast("string").alias("content")))
+    return found
 
 
 def load_documents(spark: SparkSession, folder: str, gate: Gate = ADVICE_ARTICLE) -> DataFrame:
     """doc_id, ordinal, title, category, platform, source_type, tags, urls, text and problem of each catalog entry, in its order.
 
     original_html files give their article, authored_summary files of .txt their text. A file
-    that is missing, empty or of another kind is a problem in its row, not an exception.
+    that is missing, empty or of another kind is a problem in its row, not an exception. A file
+    of its own for each entry is listed by the driver and opened alone; catalogs of very many
+    entries have them as lines of ``catalog.jsonl`` and their files as rows of ``packed.parquet``.
     """
-    entries = spark.read.option("multiLine", True).schema(CATALOG).json(f"{folder}/catalog.json").select(F.posexplode("documents").alias("ordinal", "d")).select("ordinal", "d.*")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{html,txt}").load(folder)
-    # entries name files below the folder: paths are compared from there on, whatever store, host and working directory come before
-    there = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    root = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(there).toUri().getPath().rstrip("/") + "/"
-    content = files.select(F.substring_index("path", root, -1).alias("path"), F.col("content").cast("string").alias("content"))
-    both = entries.join(content, F.col("file") == F.col("path"), "left")
+    both = catalog_entries(spark, folder).join(catalog_files(spark, folder), F.col("file") == F.col("path"), "left")
     html = (F.col("source_type") == "original_html") & F.col("file").endswith(".html")
     plain = (F.col("source_type") == "authored_summary") & F.col("file").endswith(".txt")
-    text = F.when(html, article_text(gate)(F.col("content"))).when(plain, F.regexp_replace("content", r"(?U)^\s+|\s+$", ""))
+    text = F.when(html, article_text(gate)(F.when(html, F.col("content")))).when(plain, F.regexp_replace("content", r"(?U)^\s+|\s+$", ""))
     told = both.withColumn("text", text)
     problem = F.when(F.col("path").isNull(), "missing file").when(~(html | plain), "unsupported source").when(F.coalesce(F.col("text"), F.lit("")) == "", "empty document")
     return told.select(
