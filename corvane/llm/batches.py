@@ -7,7 +7,6 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
-from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.session import shuffles_end
+
 #: Bytes of text that a Python worker works on at once, whatever the size of the Arrow batches that the session makes.
 BYTES_AT_ONCE = 4 << 20
 
@@ -78,18 +79,6 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir
 
 
-@contextmanager
-def shuffles_end(spark: SparkSession):
-    """What is run in here has its shuffle files deleted when it has ended, not when its references happen to be collected; the session's setting comes back."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it again: short lineage, nothing lost with an executor, no shuffle files left."""
     spark = df.sparkSession
